@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import mixing, sharding
+from mnemospark.llm import mixing, quality, sharding, toxicity
 
 
 def queries() -> dict:
-    return {"op3_mix": mixing.op3, "op4_shard": sharding.op4}
+    return {"op3_mix": mixing.op3, "op4_shard": sharding.op4, "op9_quality": quality.op9, "op10_toxicity": toxicity.op10}
 
 
 def oracle_sql() -> dict[str, str]:
