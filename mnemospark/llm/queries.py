@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import mixing, quality, sharding, toxicity
+from mnemospark.llm import mixing, pii, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
-    return {"op3_mix": mixing.op3, "op4_shard": sharding.op4, "op9_quality": quality.op9, "op10_toxicity": toxicity.op10}
+    return {
+        "op2_pii": pii.op2,
+        "op3_mix": mixing.op3,
+        "op4_shard": sharding.op4,
+        "op6_secrets": secrets.op6,
+        "op9_quality": quality.op9,
+        "op10_toxicity": toxicity.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
