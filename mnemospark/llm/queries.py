@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import mixing, pii, quality, secrets, sharding, toxicity
+from mnemospark.llm import jaccard, mixing, pii, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_jaccard": jaccard.op1,
         "op2_pii": pii.op2,
         "op3_mix": mixing.op3,
         "op4_shard": sharding.op4,
