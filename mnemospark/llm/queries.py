@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import jaccard, mixing, pii, quality, secrets, sharding, toxicity
+from mnemospark.llm import decontaminate, jaccard, mixing, pii, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mix": mixing.op3,
         "op4_shard": sharding.op4,
         "op6_secrets": secrets.op6,
+        "op7_decontaminate": decontaminate.op7,
         "op9_quality": quality.op9,
         "op10_toxicity": toxicity.op10,
     }
