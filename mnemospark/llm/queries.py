@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import decontaminate, jaccard, mixing, pii, quality, secrets, sharding, toxicity
+from mnemospark.llm import decontaminate, jaccard, mixing, pii, quality, secrets, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_shard": sharding.op4,
         "op6_secrets": secrets.op6,
         "op7_decontaminate": decontaminate.op7,
+        "op8_warc": warc.op8,
         "op9_quality": quality.op9,
         "op10_toxicity": toxicity.op10,
     }
