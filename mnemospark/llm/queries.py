@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import decontaminate, jaccard, mixing, pii, quality, secrets, sharding, toxicity, warc
+from mnemospark.llm import decontaminate, jaccard, mixing, pii, quality, secrets, sharding, suffixes, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_pii": pii.op2,
         "op3_mix": mixing.op3,
         "op4_shard": sharding.op4,
+        "op5_suffix_array": suffixes.op5,
         "op6_secrets": secrets.op6,
         "op7_decontaminate": decontaminate.op7,
         "op8_warc": warc.op8,
