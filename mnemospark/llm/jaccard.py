@@ -10,10 +10,10 @@ sets of distinct n-word shingles (ASCII lower case).
 2. Documents with equal sets are one class, classes with equal prefix and size
    one group.  Only groups have postings (shingle, group), for the first
    n - ceil(t n) + 1 shingles.
-3. Each posting is paired with one near neighbour of its list only (the first
-   of its size class, or the one before), and each class with the first of its
-   group.  These linear many pairs are verified on whole texts; links give
-   components.
+3. Each posting is first paired with the NEAR ones before it in its list, in
+   order of size, and each class with the NEAR ones before it in its group.
+   These linear many pairs are verified on whole texts, with the partners of
+   one document also held against each other; links give components.
 4. Then pairs of groups that share a posting are joined unless all their members
    are in one component already, expanded to members of different components,
    and verified.  Every pair that passes the size and position bounds is so
@@ -39,6 +39,10 @@ from mnemospark.llm.components import components
 HEAVY = 1 << 16
 #: A shingle is heavy if more than this share of the documents has it.
 HEAVY_SHARE = 1 / 2000
+#: 64-bit words of a set's parity map: bit k says whether an odd number of its shingles hash to k.
+MAP_WORDS = 8
+#: Neighbours before it in a list that a posting is first paired with.
+NEAR = 8
 #: Texts that one verifying run compares with one pivot.
 FAN = 64
 
@@ -96,7 +100,7 @@ def _describe(size: int, percent: int, heavy: np.ndarray, rank: np.ndarray, pref
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offs in slices(b.column("text")):
-                n, sets, heads, lists = [], [], [], []
+                n, sets, heads, lists, maps = [], [], [], [], []
                 for s in shingles(Words(data, offs), size):
                     p = _ordered(s, heavy, rank)[: len(s) - -(-percent * len(s) // 100) + 1] if len(s) else s
                     n.append(len(s))
@@ -105,54 +109,73 @@ def _describe(size: int, percent: int, heavy: np.ndarray, rank: np.ndarray, pref
                         lists.append(p.view(np.int64))
                     else:
                         sets.append(hashlib.md5(s.tobytes()).digest())
+                        odd = np.bincount((s >> np.uint64(7)).astype(np.int64) % (64 * MAP_WORDS), minlength=64 * MAP_WORDS) & 1
+                        maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 ids, head = b.column("id")[i:j], pa.array(heads, pa.binary())
                 if prefixes:
                     cut = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                     yield pa.RecordBatch.from_pydict({"id": ids, "n": pa.array(n, pa.int64()), "head": head, "prefix": pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))})
                 else:
-                    yield pa.RecordBatch.from_pydict({"id": ids, "n": pa.array(n, pa.int64()), "head": head, "whole": pa.array(sets, pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"id": ids, "n": pa.array(n, pa.int64()), "head": head, "whole": pa.array(sets, pa.binary()), "map": pa.array(maps, pa.list_(pa.int64()))})
 
     return run
 
 
-def _verify(size: int, percent: int):
-    """Rows (a, salt, id, text), sorted so that in each (a, salt) the rows of a come first: links (a, id)."""
+def _verify(size: int, percent: int, across: bool):
+    """Rows (a, salt, id, text), sorted so that in each (a, salt) the rows of a come first: links within each run.
+
+    A text is compared with a or, if ``across``, with the members of each component
+    that its run has so far until one links.
+    """
+
+    def linked(p: np.ndarray, s: np.ndarray) -> bool:
+        if 100 * min(len(p), len(s)) < percent * max(len(p), len(s)):
+            return False
+        both = len(np.intersect1d(p, s, assume_unique=True))
+        return 100 * both >= percent * (len(p) + len(s) - both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, pivots = None, []
+        key, parts = None, []
         for b in batches:
             a, salt, ids = (b.column(c).to_pylist() for c in ("a", "salt", "id"))
             left, right = [], []
             for i, _, data, offs in slices(b.column("text")):
                 for k, s in enumerate(shingles(Words(data, offs), size), start=i):
                     if (a[k], salt[k]) != key:
-                        key, pivots = (a[k], salt[k]), []
-                    if ids[k] == a[k]:
-                        pivots.append(s)
-                        continue
-                    for p in pivots:
-                        if 100 * min(len(p), len(s)) < percent * max(len(p), len(s)):
-                            continue
-                        both = len(np.intersect1d(p, s, assume_unique=True))
-                        if 100 * both >= percent * (len(p) + len(s) - both):
-                            left.append(a[k])
+                        key, parts = (a[k], salt[k]), []
+                    mine, others = [(ids[k], s)], []
+                    for part in parts:
+                        hit = next((other for other, p in part if other == ids[k] or (across or other == a[k]) and linked(p, s)), None)
+                        if hit is None:
+                            others.append(part)
+                        else:
+                            mine += part
+                            left.append(hit)
                             right.append(ids[k])
-                            break
+                    parts = [*others, mine]
             yield pa.RecordBatch.from_pydict({"u": pa.array(left, pa.int64()), "v": pa.array(right, pa.int64())})
 
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """Those of the distinct pairs (a, b) that link.  Pivots with many partners are split into runs of about FAN."""
-    pairs = stored(pairs, f"{name}-pairs")
+def _may_link(n1, map1, n2, map2, percent: int):
+    """Parity maps differ in no more bits than the sets may in shingles: a bound that no link breaks."""
+    differ = sum(F.bit_count(map1[i].bitwiseXOR(map2[i])) for i in range(MAP_WORDS))
+    return (100 + percent) * differ <= (100 - percent) * (n1 + n2)
+
+
+def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+    """Links that connect those of the distinct pairs (a, b) that link.  Pivots with many partners are split into runs of about FAN."""
+    a, b = (classes.select(F.col("rep").alias(x), F.struct("n", "map").alias(f"of_{x}")) for x in ("a", "b"))
+    pairs = pairs.join(a, "a").join(b, "b").where(_may_link(F.col("of_a.n"), F.col("of_a.map"), F.col("of_b.n"), F.col("of_b.map"), percent))
+    pairs = stored(pairs.select("a", "b").distinct(), f"{name}-pairs")
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("runs"))
     members = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("salt"), F.col("b").alias("id"))
     pivots = members.select("a", "salt", F.col("a").alias("id")).distinct()
     needs = members.union(pivots)
     rows = docs.join(needs, "id").select("a", "salt", "id", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("id") != F.col("a"), "id")
-    return rows.mapInArrow(_verify(size, percent), "u long, v long").distinct()
+    return rows.mapInArrow(_verify(size, percent, name == "near"), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,51 +188,49 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     """
     every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     heavy, rank = heavy_shingles(every, size)
-    facts = stored(every.mapInArrow(_describe(size, percent, heavy, rank, False), "id long, n long, head binary, whole binary"), "facts")
+    facts = stored(every.mapInArrow(_describe(size, percent, heavy, rank, False), "id long, n long, head binary, whole binary, map array<long>"), "facts")
     used = facts.where("id IS NOT NULL AND n > 0")
-    classes = stored(used.groupBy("n", "head", "whole").agg(F.min("id").alias("rep")).withColumn("gid", F.min("rep").over(Window.partitionBy("n", "head"))), "classes")
+    classes = stored(used.groupBy("n", "head", "whole", "map").agg(F.min("id").alias("rep")).withColumn("gid", F.min("rep").over(Window.partitionBy("n", "head"))), "classes")
     groups = classes.where("rep = gid").select("gid", "head").distinct()
 
     # Postings of one document for each group, with the place of the shingle in the order.
     lists = every.where("id IS NOT NULL").mapInArrow(_describe(size, percent, heavy, rank, True), "id long, n long, head binary, prefix array<long>")
     lists = lists.join(groups, (F.col("id") == F.col("gid")) & (lists["head"] == groups["head"])).select("gid", "n", "prefix")
     postings = lists.select("gid", "n", F.posexplode("prefix").alias("i", "h"))
-    # Size classes are at least as wide as the widest link.
-    bucket = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) + 1e-9))
-    by_list = Window.partitionBy("h").orderBy("bucket", "n", "gid")
-    by_size = Window.partitionBy("h", "bucket").orderBy("n", "gid")
-    here = F.struct("gid", "n", "i")
-    shared = postings.withColumn("bucket", bucket).withColumn("before", F.lag(here).over(by_list)).withColumn("after", F.lead("gid").over(by_list)).withColumn("first", F.first(here).over(by_size))
-    shared = stored(shared.where("before IS NOT NULL OR after IS NOT NULL").select("h", "gid", "n", "i", "before", "first"), "postings")
-
     def fits(n1, i1, n2, i2):
         """Sizes allow a link, and so does the number of shingles from the first common one on."""
         total = n1 + n2
         return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * F.least(n1 - i1, n2 - i2) >= percent * total)
 
-    first, before = F.col("first"), F.col("before")
-    to_first = (first["gid"] != F.col("gid")) & fits(F.col("n"), F.col("i"), first["n"], first["i"])
-    to_before = before.isNotNull() & (first["gid"] == F.col("gid")) & fits(F.col("n"), F.col("i"), before["n"], before["i"])
-    near = shared.select(F.when(to_first, first["gid"]).when(to_before, before["gid"]).alias("x"), F.col("gid").alias("y")).where("x IS NOT NULL")
-    near = near.union(classes.where("rep != gid").select(F.col("gid").alias("x"), F.col("rep").alias("y")))
+    # Postings of a list in order of size, each with those of the few before it that fit.
+    by_list = Window.partitionBy("h").orderBy("n", "gid")
+    shared = postings.withColumn("before", F.collect_list(F.struct("gid", "n", "i")).over(by_list.rowsBetween(-NEAR, -1))).withColumn("after", F.lead("gid").over(by_list))
+    shared = shared.where((F.size("before") > 0) | F.col("after").isNotNull())
+    before = F.transform(F.filter("before", lambda p: (p["gid"] != F.col("gid")) & fits(F.col("n"), F.col("i"), p["n"], p["i"])), lambda p: p["gid"])
+    shared = stored(shared.select("h", "gid", "n", "i", before.alias("before")), "postings")
+    near = shared.select(F.explode("before").alias("x"), F.col("gid").alias("y"))
+    kin = classes.withColumn("before", F.collect_list("rep").over(Window.partitionBy("n", "head").orderBy("rep").rowsBetween(-NEAR, -1)))
+    near = near.union(kin.select(F.explode("before").alias("x"), F.col("rep").alias("y")))
     near = near.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = stored(_links(every, near, size, percent, "near"), "links")
+    links = stored(_links(every, near, classes, size, percent, "near"), "links")
     labels = components(links)
-    labelled = stored(classes.join(labels, classes["rep"] == labels["node"], "left").select("gid", "rep", F.coalesce("component", "rep").alias("label")), "labels")
+    labelled = stored(classes.join(labels, classes["rep"] == labels["node"], "left").select("gid", "rep", "n", "map", F.coalesce("component", "rep").alias("label")), "labels")
 
     # What is left: groups sharing a posting whose members are not all connected.
-    spread = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    spread = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.when(F.count(F.lit(1)) == 1, F.min("map")).alias("map"))
     open_lists = shared.select("h", "gid", "n", "i").join(spread, "gid")
     x, y = open_lists.alias("x"), open_lists.alias("y")
     ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.gid") < F.col("y.gid")))
     same = (F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo"))
-    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & ordered & ~same & fits(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i")))
+    # A group of one class is its class: what its parity map excludes needs no expansion.
+    may = F.coalesce(_may_link(F.col("x.n"), F.col("x.map"), F.col("y.n"), F.col("y.map"), percent), F.lit(True))
+    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & may & ordered & ~same & fits(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i")))
     rest = rest.select(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2")).distinct()
     inside = spread.where("lo != hi").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
     m1, m2 = (labelled.select(F.col("gid").alias(g), F.col("rep").alias(r), F.col("label").alias(lab)) for g, r, lab in (("g1", "r1", "l1"), ("g2", "r2", "l2")))
     rest = rest.union(inside).join(m1, "g1").join(m2, "g2").where("l1 != l2 AND r1 != r2")
     rest = rest.select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
-    more = stored(_links(every, rest, size, percent, "rest"), "links")
+    more = stored(_links(every, rest, classes, size, percent, "rest"), "links")
 
     own = used.join(classes.select("n", "head", "whole", "rep"), ["n", "head", "whole"]).select("id", "rep", "n")
     # An id with several texts connects their classes.
@@ -221,5 +242,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of near duplicates the row of least id; rows without id stay; of rows with one id, one stays."""
+    found = near_duplicates(docs, size, percent, id_col, text_col)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    first = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return first.union(docs.where(F.col(id_col).isNull()))
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4, percent=85)

@@ -117,6 +117,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, keep=None)
     return train([tuple(r) for r in found])
 
 
+def _scores(model: Model, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, end row, scores) of slices of a column."""
+    k = len(model.weights)
+    for i, j, data, offs in slices(text):
+        doc, slot = _slots(data, offs)
+        term = model.index[slot].astype(np.int64)
+        pair = np.unique(doc[term > 0] * k + term[term > 0])
+        yield i, j, 1 / (1 + np.exp(-np.clip(model.logits(pair // k, pair % k, j - i), -30, 30)))
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) of each document, from its whole text.
 
@@ -126,17 +136,25 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offs in slices(b.column("text")):
-                doc, slot = _slots(data, offs)
-                term = model.index[slot].astype(np.int64)
-                k = len(model.weights)
-                pair = np.unique(doc[term > 0] * k + term[term > 0])
-                s = 1 / (1 + np.exp(-np.clip(model.logits(pair // k, pair % k, j - i), -30, 30)))
+            for i, j, s in _scores(model, b.column("text")):
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id")[i:j], "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that score ``threshold`` or more; columns are untouched and nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for i, j, s in _scores(model, b.column("text")):
+                keep[i:j] = s < threshold
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learn_rows():
     """The labels that may be learnt from, as a Column (a session must exist)."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
