@@ -1 +1 @@
-"""Part of mnemospark."""
+"""Operators: functions from DataFrames to a DataFrame."""

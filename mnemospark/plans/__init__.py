@@ -1,12 +1,5 @@
-"""Whole query plans composed of the operators."""
+"""Registered queries: the operators over the logical tables, each with its DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with vectors, as a first scan."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
-    vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
-    return docs.join(vecs, docs.doc_id == vecs.vec_id).select("doc_id", "lang", "source", "label")
+from mnemospark.plans import filters, scalars, scans  # noqa: F401

@@ -1 +1 @@
-"""Part of mnemospark."""
+"""Inputs: the logical tables, and file formats that the library reads and writes."""
