@@ -41,12 +41,21 @@ HEAVY = 1 << 16
 HEAVY_SHARE = 1 / 2000
 #: 64-bit words of a set's parity map: bit k says whether an odd number of its shingles hash to k.
 MAP_WORDS = 8
+#: Sets of more shingles than this also have a wide map, of a bit or so for each shingle: the small one tells them nothing.
+WIDE = 64 * MAP_WORDS
+#: 64-bit words of the bitmap of wanted documents, at most.
+BITMAP = 1 << 20
 #: Neighbours before it in a list that a posting is first paired with.
 NEAR = 8
 #: Texts that one verifying run compares with one pivot.
 FAN = 64
 
 
+def _parity(s: np.ndarray, bits: int) -> np.ndarray:
+    odd = np.bincount((s >> np.uint64(7)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _counts(size: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held, docs = [], 0, 0
@@ -100,7 +109,7 @@ def _describe(size: int, percent: int, heavy: np.ndarray, rank: np.ndarray, pref
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offs in slices(b.column("text")):
-                n, sets, heads, lists, maps = [], [], [], [], []
+                n, sets, heads, lists, maps, wide = [], [], [], [], [], []
                 for s in shingles(Words(data, offs), size):
                     p = _ordered(s, heavy, rank)[: len(s) - -(-percent * len(s) // 100) + 1] if len(s) else s
                     n.append(len(s))
@@ -109,14 +118,14 @@ def _describe(size: int, percent: int, heavy: np.ndarray, rank: np.ndarray, pref
                         lists.append(p.view(np.int64))
                     else:
                         sets.append(hashlib.md5(s.tobytes()).digest())
-                        odd = np.bincount((s >> np.uint64(7)).astype(np.int64) % (64 * MAP_WORDS), minlength=64 * MAP_WORDS) & 1
-                        maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                        maps.append(_parity(s, 64 * MAP_WORDS))
+                        wide.append(_parity(s, 1 << (len(s) - 1).bit_length()) if len(s) > WIDE else None)
                 ids, head = b.column("id")[i:j], pa.array(heads, pa.binary())
                 if prefixes:
                     cut = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                     yield pa.RecordBatch.from_pydict({"id": ids, "n": pa.array(n, pa.int64()), "head": head, "prefix": pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))})
                 else:
-                    yield pa.RecordBatch.from_pydict({"id": ids, "n": pa.array(n, pa.int64()), "head": head, "whole": pa.array(sets, pa.binary()), "map": pa.array(maps, pa.list_(pa.int64()))})
+                    yield pa.RecordBatch.from_pydict({"id": ids, "n": pa.array(n, pa.int64()), "head": head, "whole": pa.array(sets, pa.binary()), "map": pa.array(maps, pa.list_(pa.int64())), "wide": pa.array(wide, pa.list_(pa.int64()))})
 
     return run
 
@@ -164,16 +173,46 @@ def _may_link(n1, map1, n2, map2, percent: int):
     return (100 + percent) * differ <= (100 - percent) * (n1 + n2)
 
 
+def _may_link_wide(n1, wide1, n2, wide2, percent: int):
+    """The same bound on the wide maps, the longer one folded onto the shorter; sizes that may link differ by one doubling at most."""
+
+    def folded(x, y):
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda i, j: i.bitwiseXOR(j))).otherwise(x)
+
+    differ = F.aggregate(F.zip_with(folded(wide1, wide2), folded(wide2, wide1), lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda t, x: t + x)
+    return F.coalesce((100 + percent) * differ <= (100 - percent) * (n1 + n2), F.lit(True))
+
+
+def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose id is in ids, and some others: a filter by a bitmap of hashed ids, of bounded size whatever their number, so that texts nobody asks for aren't shuffled."""
+    place = F.pmod(F.xxhash64("id"), F.lit(64 * BITMAP))
+    words = ids.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    held = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bitmap = np.zeros(BITMAP, np.uint64)
+    bitmap[held.column("w").to_numpy()] = held.column("b").to_numpy().view(np.uint64)
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("__at").to_numpy(zero_copy_only=False)
+            keep = bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            yield b.select(schema.names).filter(pa.array(keep.astype(bool)))
+
+    return docs.where("id IS NOT NULL").withColumn("__at", place).mapInArrow(run, schema)
+
+
 def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int, name: str) -> DataFrame:
     """Links that connect those of the distinct pairs (a, b) that link.  Pivots with many partners are split into runs of about FAN."""
-    a, b = (classes.select(F.col("rep").alias(x), F.struct("n", "map").alias(f"of_{x}")) for x in ("a", "b"))
+    a, b = (classes.select(F.col("rep").alias(x), F.struct("n", "map", "wide").alias(f"of_{x}")) for x in ("a", "b"))
     pairs = pairs.join(a, "a").join(b, "b").where(_may_link(F.col("of_a.n"), F.col("of_a.map"), F.col("of_b.n"), F.col("of_b.map"), percent))
+    pairs = pairs.where(_may_link_wide(F.col("of_a.n"), F.col("of_a.wide"), F.col("of_b.n"), F.col("of_b.wide"), percent))
     pairs = stored(pairs.select("a", "b").distinct(), f"{name}-pairs")
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("runs"))
     members = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("salt"), F.col("b").alias("id"))
     pivots = members.select("a", "salt", F.col("a").alias("id")).distinct()
     needs = members.union(pivots)
-    rows = docs.join(needs, "id").select("a", "salt", "id", "text")
+    rows = _wanted(docs, needs.select("id").distinct()).join(needs, "id").select("a", "salt", "id", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("id") != F.col("a"), "id")
     return rows.mapInArrow(_verify(size, percent, name == "near"), "u long, v long").distinct()
 
@@ -188,9 +227,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     """
     every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     heavy, rank = heavy_shingles(every, size)
-    facts = stored(every.mapInArrow(_describe(size, percent, heavy, rank, False), "id long, n long, head binary, whole binary, map array<long>"), "facts")
+    facts = stored(every.mapInArrow(_describe(size, percent, heavy, rank, False), "id long, n long, head binary, whole binary, map array<long>, wide array<long>"), "facts")
     used = facts.where("id IS NOT NULL AND n > 0")
-    classes = stored(used.groupBy("n", "head", "whole", "map").agg(F.min("id").alias("rep")).withColumn("gid", F.min("rep").over(Window.partitionBy("n", "head"))), "classes")
+    classes = stored(used.groupBy("n", "head", "whole").agg(F.min("id").alias("rep"), F.first("map").alias("map"), F.first("wide").alias("wide")).withColumn("gid", F.min("rep").over(Window.partitionBy("n", "head"))), "classes")
     groups = classes.where("rep = gid").select("gid", "head").distinct()
 
     # Postings of one document for each group, with the place of the shingle in the order.
