@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import filters, joins, scalars, scans  # noqa: F401
+from mnemospark.plans import aggregates, filters, joins, scalars, scans, windows  # noqa: F401
