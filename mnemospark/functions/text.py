@@ -129,17 +129,29 @@ def dedupe_key(title: Column, content: Column) -> Column:
     return F.concat_ws("::", collapsed(title), collapsed(content))
 
 
+def _bound(c: Column, f) -> Column:
+    """f of the value of c, which is computed once: inside lambdas an expression of a row would be computed for each element."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def bigrams(c: Column) -> Column:
     """The distinct pairs of neighbouring tokens; the tokens themselves if there are fewer than two."""
-    t = tokens(c, 1)
-    pairs = F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.element_at(t, i), F.element_at(t, i + 1)))
-    return F.array_distinct(F.when(F.size(t) < 2, t).otherwise(pairs))
+
+    def pairs(t):
+        n = F.size(t) - 1
+        return F.array_distinct(F.when(n < 1, t).otherwise(F.zip_with(F.slice(t, F.lit(1), F.greatest(n, F.lit(0))), F.slice(t, F.lit(2), F.greatest(n, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))))
+
+    return _bound(tokens(c, 1), pairs)
 
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
     """Of two arrays of distinct values; ``empty`` if both are."""
-    both = F.size(F.array_union(a, b))
-    return F.when(both == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / both)
+
+    def of(x):
+        both = F.size(F.array_union(x["a"], x["b"]))
+        return F.when(both == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(x["a"], x["b"])) / both)
+
+    return _bound(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def significant_words(c: Column) -> Column:
@@ -148,8 +160,12 @@ def significant_words(c: Column) -> Column:
 
 def overlap_share(a: Column, b: Column) -> Column:
     """Share of the words of a, repeats included, that b has, of the longer one."""
-    hits = F.size(F.filter(a, lambda w: F.array_contains(b, w)))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(hits / F.greatest(F.size(a), F.size(b)))
+
+    def share(x):
+        hits = F.size(F.filter(x["a"], lambda w: F.array_contains(x["b"], w)))
+        return F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), 0.0).otherwise(hits / F.greatest(F.size(x["a"]), F.size(x["b"])))
+
+    return _bound(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def snippet(c: Column, most: int = 220) -> Column:

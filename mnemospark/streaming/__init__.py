@@ -1 +1 @@
-"""Part of mnemospark."""
+"""Structured Streaming versions of the stateful operators."""
