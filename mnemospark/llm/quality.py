@@ -152,10 +152,8 @@ def measures(data: np.ndarray, offs: np.ndarray, words: Words) -> dict[str, np.n
     symbols = count(SYMBOLS[data])
     solid = count(solid)
     # lines, each within one document
-    ends = np.unique(np.concatenate([np.flatnonzero(data == 10), offs[1:]]))
-    starts = np.unique(np.concatenate([np.flatnonzero(data == 10) + 1, offs[:-1]]))
-    starts = starts[starts < len(data)] if len(data) else starts[:0]
-    line_end = ends[np.searchsorted(ends, starts)] if len(starts) else starts
+    breaks = np.flatnonzero(data == 10)
+    starts, line_end = np.sort(np.concatenate([breaks + 1, offs[:-1]])), np.sort(np.concatenate([breaks, offs[1:]]))
     full = solid[line_end] > solid[starts]
     starts, line_end = starts[full], line_end[full]
     line_doc = np.searchsorted(offs, starts, side="right") - 1
