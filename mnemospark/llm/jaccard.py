@@ -46,7 +46,7 @@ WIDE = 64 * MAP_WORDS
 #: 64-bit words of the bitmap of wanted documents, at most.
 BITMAP = 1 << 20
 #: Neighbours before it in a list that a posting is first paired with.
-NEAR = 8
+NEAR = 4
 #: Texts that one verifying run compares with one pivot.
 FAN = 64
 
