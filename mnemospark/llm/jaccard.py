@@ -40,7 +40,7 @@ HEAVY = 1 << 16
 #: A shingle is heavy if more than this share of the documents has it.
 HEAVY_SHARE = 1 / 2000
 #: 64-bit words of a set's parity map: bit k says whether an odd number of its shingles hash to k.
-MAP_WORDS = 8
+MAP_WORDS = 16
 #: Sets of more shingles than this also have a wide map, of a bit or so for each shingle: the small one tells them nothing.
 WIDE = 64 * MAP_WORDS
 #: 64-bit words of the bitmap of wanted documents, at most.
