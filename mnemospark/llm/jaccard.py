@@ -44,7 +44,7 @@ MAP_WORDS = 16
 #: Sets of more shingles than this also have a wide map, of a bit or so for each shingle: the small one tells them nothing.
 WIDE = 64 * MAP_WORDS
 #: 64-bit words of the bitmap of wanted documents, at most.
-BITMAP = 1 << 20
+BITMAP = 1 << 18
 #: Neighbours before it in a list that a posting is first paired with.
 NEAR = 4
 #: Texts that one verifying run compares with one pivot.
