@@ -5,10 +5,12 @@ weight from all documents.  A distributed randomised SVD of the items' TF-IDF ro
 (A^T A applied to a thin random basis, block by block, then orthonormalised) gives
 the latent space; a basis of the items keeps the inner product with each item,
 where one of the corpus would drop the rare words that mark a passage.  Windows of
-each document are projected; where a window's cosine with an item and the share of
-the item that it holds are high enough, the longest common subsequence of words
-and a check of the item's last part (the answer) decide, so that passages with
-words changed, dropped or inserted are found too.
+each document are projected; where the share of an item that a window holds is high
+enough, the longest common subsequence of words and a check of the item's last part
+(the answer) decide, so that passages with words changed, dropped or inserted are
+found too.  Where the window's cosine with the item is low (the item's words are
+common ones, or few beside rarer words of other items), the subsequence must lie in
+a span not much longer than the item.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from mnemospark.llm._arrays import ALNUM, Words, slices
 SLOTS = 1 << 18
 RANK = 256
 WINDOW, STEP = 48, 24
-#: A window is a candidate for an item from this cosine in the latent space, and this share of the item's weight.
+#: A window is a candidate for an item from this share of the item's weight; below this cosine in the latent space, words in order count within SPAN times the item's length.
 LEAST_COSINE, LEAST_SHARE = 0.3, 0.3
+SPAN = 1.5
 #: Leaks: so much of the item's words in order; or less of them if the answer is there too.
 LEAST_LCS, LEAST_LCS_WITH_ANSWER, LEAST_ANSWER = 0.75, 0.6, 0.6
 #: Items of fewer words count only when found whole.
@@ -46,7 +49,7 @@ def _words(data: np.ndarray, offs: np.ndarray) -> Words:
 
 @dataclass
 class Index:
-    """place: of a slot, its row + 1 in weights and basis, or 0.  items: (id, word hashes, latent vector, squared weight)."""
+    """place: of a slot, its row + 1 in weights and basis, or 0.  items: (id, word hashes).  least: the least weight, squared, that holds an item once."""
 
     place: np.ndarray
     weights: np.ndarray
@@ -54,6 +57,7 @@ class Index:
     items: list[tuple[int, np.ndarray]]
     latent: np.ndarray
     norms: np.ndarray
+    least: float
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +130,7 @@ def index(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_c
     df = np.zeros(len(used) + 1)
     for p, c in counts:
         df[p] = c
-    weights = np.maximum(0, np.log((n + 1) / (df + 1))).astype(np.float32)
-    weights[weights < 1] = 0  # words of over a third of the documents
+    weights = (np.maximum(0, np.log((n + 1) / (df + 1))) + 1).astype(np.float32)  # 1 at least: no item is without weight
     weights[0] = 0
     width = min(rank + 8, len(own), len(used))
     basis = np.random.default_rng(seed).normal(size=(len(used) + 1, width)).astype(np.float32)
@@ -143,7 +146,9 @@ def index(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_c
         for r, w in enumerate(part):
             p = place[(w.view(np.uint64) & np.uint64(SLOTS - 1)).astype(np.int64)]
             raw[i + r] = (basis[p] * weights[p][:, None]).sum(axis=0)
-    return Index(place, weights, basis * weights[:, None], own, raw, np.maximum((raw**2).sum(axis=1), 1e-9))
+    norms = np.maximum((raw**2).sum(axis=1), 1e-9)
+    repeats = np.array([np.unique(w.view(np.uint64) & np.uint64(SLOTS - 1), return_counts=True)[1].max() for _, w in own])
+    return Index(place, weights, basis * weights[:, None], own, raw, norms, float((norms / repeats).min()))
 
 
 def lcs(item: np.ndarray, text: np.ndarray) -> int:
@@ -161,10 +166,30 @@ def lcs(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
+def shares(item: np.ndarray, text: np.ndarray) -> tuple[float, float]:
+    """Shares in order of an item and of its last third."""
+    answer = item[-max(1, len(item) // 3) :]
+    return lcs(item, text) / len(item), lcs(answer, text) / len(answer)
+
+
+def leaked(item: np.ndarray, share: float, said: float) -> bool:
+    return share >= (1 if len(item) < SHORT else LEAST_LCS) or len(item) >= SHORT and share >= LEAST_LCS_WITH_ANSWER and said >= LEAST_ANSWER
+
+
+def narrow_shares(item: np.ndarray, text: np.ndarray) -> tuple[float, float]:
+    """The best shares of an item over spans of the text of SPAN times its length."""
+    width, step = max(len(item), int(len(item) * SPAN)), max(1, len(item) // 8)
+    best = (0.0, 0.0)
+    for s in range(0, max(1, len(text) - width + step), step):
+        best = max(best, shares(item, text[s : s + width]), key=lambda x: (leaked(item, *x), x))
+        if best == (1, 1):
+            break
+    return best
+
+
 def leaks_of(ix: Index, words: Words, docs: int) -> list[tuple[int, int, float, float, float]]:
     """(document, place of the item, cosine, share in order, share of the answer) of the leaks of a slice."""
     p = ix.place[(words.hash & np.uint64(SLOTS - 1)).astype(np.int64)]
-    p[ix.weights[p] == 0] = 0
     hit = np.flatnonzero(p)
     mass = np.zeros(len(p) + 1)
     np.cumsum(ix.weights[p].astype(float) ** 2, out=mass[1:])
@@ -174,8 +199,8 @@ def leaks_of(ix: Index, words: Words, docs: int) -> list[tuple[int, int, float,
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
     start = words.first[doc] + nth * STEP
     end = np.minimum(start + WINDOW, words.first[doc + 1])
-    # By Cauchy-Schwarz a window with less weight can't hold the least share of any item (twice the room for repeated words).
-    full = mass[end] - mass[start] >= 0.5 * LEAST_SHARE**2 * ix.norms.min()
+    # Each word of a window adds its squared weight to the inner product as often as the item has it: with less weight no item is held (twice the room for the latent space).
+    full = mass[end] - mass[start] >= 0.5 * LEAST_SHARE * ix.least
     doc, start, end = doc[full], start[full], end[full]
     a, b = np.searchsorted(hit, start), np.searchsorted(hit, end)
     doc, start, end, a, b = (x[b > a] for x in (doc, start, end, a, b))
@@ -188,15 +213,15 @@ def leaks_of(ix: Index, words: Words, docs: int) -> list[tuple[int, int, float,
         x = np.add.reduceat(ix.basis[flat], first, axis=0)
         dots = x @ ix.latent.T
         cosine = dots / (np.linalg.norm(x, axis=1, keepdims=True) * np.sqrt(ix.norms) + 1e-9)
-        for r, t in zip(*np.nonzero((cosine >= LEAST_COSINE) & (dots >= LEAST_SHARE * ix.norms)), strict=True):
+        for r, t in zip(*np.nonzero(dots >= LEAST_SHARE * ix.norms), strict=True):
             d, item = int(doc[i + r]), ix.items[t][1]
             lo = max(words.first[d], start[i + r] - len(item))
             hi = min(words.first[d + 1], end[i + r] + len(item))
             text = words.hash[lo:hi].view(np.int64)
-            share = lcs(item, text) / len(item)
-            answer = item[-max(1, len(item) // 3) :]
-            said = lcs(answer, text) / len(answer)
-            if share >= (1 if len(item) < SHORT else LEAST_LCS) or len(item) >= SHORT and share >= LEAST_LCS_WITH_ANSWER and said >= LEAST_ANSWER:
+            share, said = shares(item, text)
+            if cosine[r, t] < LEAST_COSINE and leaked(item, share, said):
+                share, said = narrow_shares(item, text)
+            if leaked(item, share, said):
                 key = (d, int(t))
                 best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (float(share), float(said), float(cosine[r, t])))
     return [(d, t, c, share, said) for (d, t), (share, said, c) in sorted(best.items())]

@@ -197,6 +197,21 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 4, 100])
+def test_decontamination_of_common_items(spark, n):
+    """One document that holds an item, and an item held by 60 % of the documents beside rarer words of other items."""
+    rng = random.Random(n)
+    vocab = [f"term{i}" for i in range(3000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [text(30) for _ in range(60)]
+    rare = [x for item in items[1:] for x in item]
+    held = {i for i in range(n) if i % 5 < 3}
+    texts = [rng.sample(rare, 60) + items[0] * (i in held) + rng.sample(rare, 60) for i in range(n)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = decontaminate.find_leaks(documents(spark, [" ".join(x) for x in texts]), bench).collect()
+    assert {(r.doc_id, r.item_id, r.lcs_share) for r in got} == {(i, 0, 1.0) for i in held}
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://b.example.com/x?q=1", "<p>same</p>"), (2, "https://a.example.com:8080/", "<p>same</p>"), (3, "not a url", None), (4, None, ""), (5, "http://b.example.com/x?q=1", "é" * 1000), (6, "http://c.example.org", "<p>same</p>")]
     archive = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
