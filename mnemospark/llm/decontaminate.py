@@ -5,7 +5,7 @@ weight from all documents.  A distributed randomised SVD of the items' TF-IDF ro
 (A^T A applied to a thin random basis, block by block, then orthonormalised) gives
 the latent space; a basis of the items keeps the inner product with each item,
 where one of the corpus would drop the rare words that mark a passage.  Windows of
-each document are projected; where the share of an item that a window holds is high
+each document, of lengths that follow the items', are projected; where the share of an item that a window holds is high
 enough, the longest common subsequence of words and a check of the item's last part
 (the answer) decide, so that passages with words changed, dropped or inserted are
 found too.  Where the window's cosine with the item is low (the item's words are
@@ -29,6 +29,8 @@ from mnemospark.llm._arrays import ALNUM, Words, slices
 SLOTS = 1 << 18
 RANK = 256
 WINDOW, STEP = 48, 24
+#: Items of more words than this take windows and steps of twice the length, from twice as many again twice that, and so on.
+LONGEST = 60
 #: A window is a candidate for an item from this share of the item's weight; below this cosine in the latent space, words in order count within SPAN times the item's length.
 LEAST_COSINE, LEAST_SHARE = 0.3, 0.3
 SPAN = 1.5
@@ -49,7 +51,7 @@ def _words(data: np.ndarray, offs: np.ndarray) -> Words:
 
 @dataclass
 class Index:
-    """place: of a slot, its row + 1 in weights and basis, or 0.  items: (id, word hashes).  least: the least weight, squared, that holds an item once."""
+    """place: of a slot, its row + 1 in weights and basis, or 0.  items: (id, word hashes).  lengths: for windows of WINDOW << c words, their items' places and the least squared weight that holds one of them once."""
 
     place: np.ndarray
     weights: np.ndarray
@@ -57,7 +59,7 @@ class Index:
     items: list[tuple[int, np.ndarray]]
     latent: np.ndarray
     norms: np.ndarray
-    least: float
+    lengths: list[tuple[np.ndarray, float]]
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +150,11 @@ def index(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_c
             raw[i + r] = (basis[p] * weights[p][:, None]).sum(axis=0)
     norms = np.maximum((raw**2).sum(axis=1), 1e-9)
     repeats = np.array([np.unique(w.view(np.uint64) & np.uint64(SLOTS - 1), return_counts=True)[1].max() for _, w in own])
-    return Index(place, weights, basis * weights[:, None], own, raw, norms, float((norms / repeats).min()))
+    size = np.array([len(w) for _, w in own])
+    level = np.maximum(0, np.ceil(np.log2(size / LONGEST))).astype(int)
+    groups = [np.flatnonzero(level == c) for c in range(level.max() + 1)]
+    lengths = [(g, float((norms[g] / repeats[g]).min(initial=np.inf))) for g in groups]
+    return Index(place, weights, basis * weights[:, None], own, raw, norms, lengths)
 
 
 def lcs(item: np.ndarray, text: np.ndarray) -> int:
@@ -194,36 +200,60 @@ def leaks_of(ix: Index, words: Words, docs: int) -> list[tuple[int, int, float,
     mass = np.zeros(len(p) + 1)
     np.cumsum(ix.weights[p].astype(float) ** 2, out=mass[1:])
     n = np.diff(words.first)
-    count = np.maximum(1, -(-(n - WINDOW) // STEP) + 1) * (n > 0)
-    doc = np.repeat(np.arange(docs), count)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    start = words.first[doc] + nth * STEP
-    end = np.minimum(start + WINDOW, words.first[doc + 1])
-    # Each word of a window adds its squared weight to the inner product as often as the item has it: with less weight no item is held (twice the room for the latent space).
-    full = mass[end] - mass[start] >= 0.5 * LEAST_SHARE * ix.least
-    doc, start, end = doc[full], start[full], end[full]
-    a, b = np.searchsorted(hit, start), np.searchsorted(hit, end)
-    doc, start, end, a, b = (x[b > a] for x in (doc, start, end, a, b))
+    grids = []  # for each length: documents, starts, ends of its steps, whether the document's last, and the windows (their first steps) that can hold an item
+    need = np.zeros(int((-(-n // STEP)).sum()), bool)
+    for c, (_, least) in enumerate(ix.lengths):
+        count = -(-n // (STEP << c))
+        doc = np.repeat(np.arange(docs), count)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        start = words.first[doc] + nth * (STEP << c)
+        end = np.minimum(start + (WINDOW << c), words.first[doc + 1])
+        last = nth == count[doc] - 1
+        # Each word of a window adds its squared weight to the inner product as often as the item has it: with less weight no item is held (twice the room for the latent space).
+        full = np.flatnonzero(((nth == 0) | ~last) & (mass[end] - mass[start] >= 0.5 * LEAST_SHARE * least))
+        grids.append((doc, start, end, last, nth, full))
+        before = np.cumsum(-(-n // STEP)) - -(-n // STEP)
+        cover = np.zeros(len(need) + 1, np.int64)
+        np.add.at(cover, before[doc[full]] + (nth[full] << c), 1)
+        np.add.at(cover, before[doc[full]] + -(-(end[full] - words.first[doc[full]]) // STEP), -1)
+        need |= np.cumsum(cover[:-1]) > 0
+    # Latent vectors of the steps of STEP words; longer windows add those of shorter ones.
+    sums = np.zeros((len(need), ix.basis.shape[1]), np.float32)
+    if len(need):
+        _, start, _, _, _, _ = grids[0]
+        end = np.minimum(start + STEP, words.first[grids[0][0] + 1])
+        a, b = np.searchsorted(hit, start), np.searchsorted(hit, end)
+        used = np.flatnonzero(need & (b > a))
+        for i in range(0, len(used), 2048):
+            at = used[i : i + 2048]
+            size = b[at] - a[at]
+            first = np.cumsum(size) - size
+            flat = p[hit[np.arange(size.sum()) + np.repeat(a[at] - first, size)]]
+            sums[at] = np.add.reduceat(ix.basis[flat], first, axis=0)
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for i in range(0, len(doc), 2048):
-        a2, b2 = a[i : i + 2048], b[i : i + 2048]
-        size = b2 - a2
-        first = np.cumsum(size) - size
-        flat = p[hit[np.arange(size.sum()) + np.repeat(a2 - first, size)]]
-        x = np.add.reduceat(ix.basis[flat], first, axis=0)
-        dots = x @ ix.latent.T
-        cosine = dots / (np.linalg.norm(x, axis=1, keepdims=True) * np.sqrt(ix.norms) + 1e-9)
-        for r, t in zip(*np.nonzero(dots >= LEAST_SHARE * ix.norms), strict=True):
-            d, item = int(doc[i + r]), ix.items[t][1]
-            lo = max(words.first[d], start[i + r] - len(item))
-            hi = min(words.first[d + 1], end[i + r] + len(item))
-            text = words.hash[lo:hi].view(np.int64)
-            share, said = shares(item, text)
-            if cosine[r, t] < LEAST_COSINE and leaked(item, share, said):
-                share, said = narrow_shares(item, text)
-            if leaked(item, share, said):
-                key = (d, int(t))
-                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (float(share), float(said), float(cosine[r, t])))
+    for c, (group, _) in enumerate(ix.lengths):
+        doc, start, end, last, nth, full = grids[c]
+        if c and len(sums):
+            sums = np.add.reduceat(sums, np.flatnonzero(grids[c - 1][4] % 2 == 0), axis=0)
+        latent, norms = ix.latent[group], ix.norms[group]
+        for i in range(0, len(full) if len(group) else 0, 2048):
+            at = full[i : i + 2048]
+            x = sums[at]
+            two = ~last[at]
+            x[two] += sums[at[two] + 1]
+            dots = x @ latent.T
+            cosine = dots / (np.linalg.norm(x, axis=1, keepdims=True) * np.sqrt(norms) + 1e-9)
+            for r, g in zip(*np.nonzero(dots >= LEAST_SHARE * norms), strict=True):
+                t = int(group[g])
+                d, item = int(doc[at[r]]), ix.items[t][1]
+                lo = max(words.first[d], start[at[r]] - len(item))
+                hi = min(words.first[d + 1], end[at[r]] + len(item))
+                text = words.hash[lo:hi].view(np.int64)
+                share, said = shares(item, text)
+                if cosine[r, g] < LEAST_COSINE and leaked(item, share, said):
+                    share, said = narrow_shares(item, text)
+                if leaked(item, share, said):
+                    best[d, t] = max(best.get((d, t), (0.0, 0.0, 0.0)), (float(share), float(said), float(cosine[r, g])))
     return [(d, t, c, share, said) for (d, t), (share, said, c) in sorted(best.items())]
 
 

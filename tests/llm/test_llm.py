@@ -212,6 +212,22 @@ def test_decontamination_of_common_items(spark, n):
     assert {(r.doc_id, r.item_id, r.lcs_share) for r in got} == {(i, 0, 1.0) for i in held}
 
 
+def test_decontamination_of_long_items(spark):
+    """Items of 30 to 2000 words, whole and with a fifth of the words changed, at the start, within and at the end of a document."""
+    rng = random.Random(6)
+    vocab = [f"term{i}" for i in range(9000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [text(n) for n in (30, 61, 121, 200, 250, 300, 400, 500, 2000)]
+    texts, want = [text(700) for _ in range(20)], set()
+    for i, item in enumerate(items):
+        for changed, before, after in ((0, 0, 0), (0, 333, 40), (5, 0, 500), (5, 217, 0), (5, 90, 90)):
+            w = [rng.choice(vocab) if changed and k % changed == 2 else x for k, x in enumerate(item)]
+            want.add((len(texts), i))
+            texts.append(text(before) + w + text(after))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(documents(spark, [" ".join(x) for x in texts]), bench).collect()} == want
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://b.example.com/x?q=1", "<p>same</p>"), (2, "https://a.example.com:8080/", "<p>same</p>"), (3, "not a url", None), (4, None, ""), (5, "http://b.example.com/x?q=1", "é" * 1000), (6, "http://c.example.org", "<p>same</p>")]
     archive = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
