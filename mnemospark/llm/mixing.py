@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Operator 3, DataFrame functions only.  Each source's rows, in a reproducible
-order, form blocks of ``block_rows``.  Weights are a_s / P with sum P over the
+order and repeated epoch after epoch, form blocks of ``block_rows`` that run across
+the epochs, so that none but the mixture's last is short.  Weights are a_s / P with sum P over the
 period P; block k of source s is released at floor(k P / a_s) and due at
 ceil((k + 1) P / a_s), and earliest deadline first over the released blocks fills
 one block slot after the other.  By the Pfair theorem every block meets its
@@ -76,7 +77,7 @@ def template(spark: SparkSession, shares: Mapping) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Mapping | None = None, id_col: str = "doc_id", source_col: str = "source", ties: list[str] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, temper: float = TEMPER) -> DataFrame:
-    """docs with ``block``, ``epoch``, ``slot`` (place of the block in the mixture) and ``position`` (place of the row).
+    """docs with ``block`` (number of the source's block, counted on over its epochs), ``epoch``, ``slot`` (place of the block in the mixture) and ``position`` (place of the row).
 
     ``weights`` maps every source present to its target; None takes the rows'
     shares to the power ``temper``.  A null source is a source of its own.  An
@@ -95,24 +96,26 @@ def mix(docs: DataFrame, weights: Mapping | None = None, id_col: str = "doc_id",
     shares = period_shares(weights, period)
     period = sum(shares.values())
     tpl = template(spark, shares)
-    sizes = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(s).cast("string").alias("source"), F.lit(-(-n // block_rows)).cast("long").alias("blocks")) for s, n in sorted(counts.items(), key=str)])).alias("x")).select("x.*")
-    both = tpl.alias("t").join(sizes.alias("z"), F.col("t.source").eqNullSafe(F.col("z.source"))).select("t.*", "z.blocks")
+    sizes = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(s).cast("string").alias("source"), F.lit(-(-n // block_rows)).cast("long").alias("blocks"), F.lit(n).cast("long").alias("rows")) for s, n in sorted(counts.items(), key=str)])).alias("x")).select("x.*")
+    both = tpl.alias("t").join(sizes.alias("z"), F.col("t.source").eqNullSafe(F.col("z.source"))).select("t.*", "z.blocks", "z.rows")
     # The slot of a source's last first-time block; the mixture ends when the last of these has run.
     last = (F.col("blocks") - 1) % F.col("share") == F.col("k")
-    end = both.where(last).select(F.max(F.floor((F.col("blocks") - 1) / F.col("share")) * period + F.col("place")).alias("e")).first()["e"] + 1
+    slot = F.floor((F.col("blocks") - 1) / F.col("share")) * period + F.col("place")
+    end = both.where(last).select(F.max(slot).alias("e")).first()["e"] + 1
     both = both.withColumn("slots", F.floor((F.lit(end) - 1 - F.col("place")) / period) + 1)  # periods in which this entry runs
-    per_source = both.groupBy("source", "blocks").agg(F.max("share").alias("share"), F.sum("slots").alias("total"))
+    per_source = both.groupBy("source", "rows").agg(F.max("share").alias("share"), F.sum("slots").alias("total"), F.max(last & (slot == end - 1)).alias("ends"))
+    # All blocks are full but the very last, which ends with its source's rows.
+    per_source = per_source.withColumn("used", F.when(F.col("ends"), F.col("rows")).otherwise(F.col("total") * block_rows))
     place = tpl.select(F.col("source").alias("s2"), "k", "place")
 
     rows = numbered(docs, F.col(id_col), [F.col(c) for c in ties or []], "__row", by=F.col(source_col).cast("string"))
-    rows = rows.withColumn("block", F.floor(F.col("__row") / block_rows).cast("long"))
     r = rows.alias("r").join(F.broadcast(per_source).alias("p"), F.col(f"r.`{source_col}`").cast("string").eqNullSafe(F.col("p.source")))
-    r = r.select("r.*", F.col("p.blocks").alias("__blocks"), F.col("p.share").alias("__share"), F.floor((F.col("p.total") - 1 - F.col("r.block")) / F.col("p.blocks")).alias("__last"))
+    r = r.select("r.*", F.col("p.rows").alias("__rows"), F.col("p.share").alias("__share"), F.floor((F.col("p.used") - 1 - F.col("r.__row")) / F.col("p.rows")).alias("__last"))
     r = r.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last").cast("long"))))
-    r = r.withColumn("__n", F.col("epoch") * F.col("__blocks") + F.col("block")).withColumn("__k", F.pmod("__n", "__share"))
+    r = r.withColumn("__n", F.col("epoch") * F.col("__rows") + F.col("__row")).withColumn("block", F.floor(F.col("__n") / block_rows).cast("long")).withColumn("__k", F.pmod("block", "__share"))
     r = r.alias("r").join(F.broadcast(place).alias("p"), F.col(f"r.`{source_col}`").cast("string").eqNullSafe(F.col("p.s2")) & (F.col("r.__k") == F.col("p.k")))
-    r = r.withColumn("slot", (F.floor(F.col("r.__n") / F.col("r.__share")) * period + F.col("p.place")).cast("long"))
-    r = r.withColumn("position", F.col("slot") * block_rows + F.col("__row") % block_rows)
+    r = r.withColumn("slot", (F.floor(F.col("r.block") / F.col("r.__share")) * period + F.col("p.place")).cast("long"))
+    r = r.withColumn("position", F.col("slot") * block_rows + F.col("__n") % block_rows)
     return r.select(*[F.col(f"r.`{c}`") for c in docs.columns], "block", "epoch", "slot", "position")
 
 

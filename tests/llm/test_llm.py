@@ -133,6 +133,23 @@ def test_mixing_deviates_by_less_than_a_block(spark):
     assert mixing.mix(rows.limit(0)).count() == 0
 
 
+def test_mixing_meets_targets_in_rows(spark):
+    """Sources of 65, 10 and 1 rows beside a hot one: only the very last block is short."""
+    sizes = {"hot": 1003, "b": 65, "c": 10, None: 1}
+    weights = {"hot": 0.4, "b": 0.3, "c": 0.2, None: 0.1}
+    rows = [(s, k) for s, n in sizes.items() for k in range(n)]
+    out = mixing.mix(spark.createDataFrame([(i, s) for i, (s, _) in enumerate(rows)], "doc_id long, source string"), weights, block_rows=64, period=10).collect()
+    assert {r.doc_id for r in out} == set(range(len(rows)))
+    assert len({(r.doc_id, r.epoch) for r in out}) == len(out) and sorted(r.position for r in out) == list(range(len(out)))
+    for s, n in sizes.items():
+        own = sorted((r for r in out if r.source == s), key=lambda r: r.position)
+        assert abs(len(own) - weights[s] * len(out)) < 64
+        # every row comes once before any comes again
+        assert [r.epoch for r in own] == [i // n for i in range(len(own))] and [r.block for r in own] == [i // 64 for i in range(len(own))]
+    one = mixing.mix(spark.createDataFrame([(i, "a") for i in range(65)], "doc_id long, source string")).collect()
+    assert sorted(r.position for r in one) == list(range(65))
+
+
 def test_sharding(spark):
     rows = spark.createDataFrame([(i % 50 if i % 7 else None, f"t{i}" if i % 5 else None) for i in range(403)], "doc_id long, text string")
     out = sharding.shard(rows, 10).collect()
