@@ -10,29 +10,35 @@ sets of distinct n-word shingles (ASCII lower case).
 2. Documents with equal sets are one class, classes with equal prefix and size
    one group.  Only groups have postings (shingle, group), for the first
    n - ceil(t n) + 1 shingles.
-3. Each posting is first paired with the NEAR ones before it in its list, in
-   order of size, and each class with the NEAR ones before it in its group.
-   These linear many pairs are verified on whole texts, with the partners of
-   one document also held against each other; links give components.
-4. Then pairs of groups that share a posting are joined unless all their members
-   are in one component already, expanded to members of different components,
-   and verified.  Every pair that passes the size and position bounds is so
-   either verified or connected: no link is lost, and a group of near copies
-   costs a number of pairs in proportion to its size.
+3. In ROUNDS rounds each posting is compared with the NEAR ones before it in its
+   list, in an order of size classes and then by a hash that differs from list to
+   list and round to round, and each class likewise within its group.  Of those
+   partners that the sets' parity maps allow, the most alike and the one of least
+   id are verified on whole texts; links give components, whose members need no
+   more comparing.  This costs a number of pairs in proportion to the postings.
+4. Then, in each list that holds several components, the groups outside its
+   largest one are joined with all others, unless all their members are in one
+   component already, expanded to members of different components, and verified.
+   Every pair that passes the size, position and parity bounds is so either
+   verified or connected: no link is lost, and what a group of near copies has
+   in one component isn't paired.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.llm._arrays import Words, shingles, slices
-from mnemospark.llm._shared import stored
+from mnemospark.llm._shared import Scratch, stored
 from mnemospark.llm.components import components
 
 #: Entries of the table of heavy shingles, at most.
@@ -45,8 +51,11 @@ MAP_WORDS = 16
 WIDE = 64 * MAP_WORDS
 #: 64-bit words of the bitmap of wanted documents, at most.
 BITMAP = 1 << 18
-#: Neighbours before it in a list that a posting is first paired with.
-NEAR = 4
+#: Neighbours before it in a list that a posting is compared with in each round.
+NEAR = 8
+ROUNDS = 2
+#: Lists of more postings than this are split for the rounds, at random.
+SPLIT = 1 << 14
 #: Texts that one verifying run compares with one pivot.
 FAN = 64
 
@@ -130,12 +139,8 @@ def _describe(size: int, percent: int, heavy: np.ndarray, rank: np.ndarray, pref
     return run
 
 
-def _verify(size: int, percent: int, across: bool):
-    """Rows (a, salt, id, text), sorted so that in each (a, salt) the rows of a come first: links within each run.
-
-    A text is compared with a or, if ``across``, with the members of each component
-    that its run has so far until one links.
-    """
+def _verify(size: int, percent: int):
+    """Rows (a, salt, id, text), sorted so that in each (a, salt) the rows of a come first: its members that link with a."""
 
     def linked(p: np.ndarray, s: np.ndarray) -> bool:
         if 100 * min(len(p), len(s)) < percent * max(len(p), len(s)):
@@ -144,33 +149,31 @@ def _verify(size: int, percent: int, across: bool):
         return 100 * both >= percent * (len(p) + len(s) - both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts = None, []
+        key, pivots = None, []
         for b in batches:
             a, salt, ids = (b.column(c).to_pylist() for c in ("a", "salt", "id"))
             left, right = [], []
             for i, _, data, offs in slices(b.column("text")):
                 for k, s in enumerate(shingles(Words(data, offs), size), start=i):
                     if (a[k], salt[k]) != key:
-                        key, parts = (a[k], salt[k]), []
-                    mine, others = [(ids[k], s)], []
-                    for part in parts:
-                        hit = next((other for other, p in part if other == ids[k] or (across or other == a[k]) and linked(p, s)), None)
-                        if hit is None:
-                            others.append(part)
-                        else:
-                            mine += part
-                            left.append(hit)
-                            right.append(ids[k])
-                    parts = [*others, mine]
+                        key, pivots = (a[k], salt[k]), []
+                    if ids[k] == a[k]:
+                        pivots.append(s)
+                    elif any(linked(p, s) for p in pivots):
+                        left.append(a[k])
+                        right.append(ids[k])
             yield pa.RecordBatch.from_pydict({"u": pa.array(left, pa.int64()), "v": pa.array(right, pa.int64())})
 
     return run
 
 
+def _differ(map1, map2):
+    return sum(F.bit_count(map1[i].bitwiseXOR(map2[i])) for i in range(MAP_WORDS))
+
+
 def _may_link(n1, map1, n2, map2, percent: int):
     """Parity maps differ in no more bits than the sets may in shingles: a bound that no link breaks."""
-    differ = sum(F.bit_count(map1[i].bitwiseXOR(map2[i])) for i in range(MAP_WORDS))
-    return (100 + percent) * differ <= (100 - percent) * (n1 + n2)
+    return (100 + percent) * _differ(map1, map2) <= (100 - percent) * (n1 + n2)
 
 
 def _may_link_wide(n1, wide1, n2, wide2, percent: int):
@@ -184,37 +187,48 @@ def _may_link_wide(n1, wide1, n2, wide2, percent: int):
     return F.coalesce((100 + percent) * differ <= (100 - percent) * (n1 + n2), F.lit(True))
 
 
-def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose id is in ids, and some others: a filter by a bitmap of hashed ids, of bounded size whatever their number, so that texts nobody asks for aren't shuffled."""
+def _bitmap(ids: DataFrame) -> tuple[np.ndarray, Column]:
+    """A bitmap of hashed ids (column id), of bounded size whatever their number, and the place in it of an id."""
     place = F.pmod(F.xxhash64("id"), F.lit(64 * BITMAP))
     words = ids.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
     held = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bitmap = np.zeros(BITMAP, np.uint64)
     bitmap[held.column("w").to_numpy()] = held.column("b").to_numpy().view(np.uint64)
+    return bitmap, place
+
+
+def _held(docs: DataFrame, bitmap: np.ndarray, place: Column, wanted: bool = True) -> DataFrame:
+    """The rows whose id the bitmap has (all ids that it was made of, and some others), or those that it hasn't."""
     schema = docs.schema
+    at_name = f"at-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column("__at").to_numpy(zero_copy_only=False)
-            keep = bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
-            yield b.select(schema.names).filter(pa.array(keep.astype(bool)))
+            at = b.column(at_name).to_numpy(zero_copy_only=False)
+            has = (bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            yield b.select(schema.names).filter(pa.array(has == wanted))
 
-    return docs.where("id IS NOT NULL").withColumn("__at", place).mapInArrow(run, schema)
+    return docs.withColumn(at_name, place).mapInArrow(run, schema)
 
 
-def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """Links that connect those of the distinct pairs (a, b) that link.  Pivots with many partners are split into runs of about FAN."""
-    a, b = (classes.select(F.col("rep").alias(x), F.struct("n", "map", "wide").alias(f"of_{x}")) for x in ("a", "b"))
-    pairs = pairs.join(a, "a").join(b, "b").where(_may_link(F.col("of_a.n"), F.col("of_a.map"), F.col("of_b.n"), F.col("of_b.map"), percent))
-    pairs = pairs.where(_may_link_wide(F.col("of_a.n"), F.col("of_a.wide"), F.col("of_b.n"), F.col("of_b.wide"), percent))
-    pairs = stored(pairs.select("a", "b").distinct(), f"{name}-pairs")
+def _links(scratch: Scratch, docs: DataFrame, pairs: DataFrame, wide: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b, long) that link.  Pivots with many partners are split into runs of about FAN."""
+    # Only pairs of two long sets look up the wide maps.
+    x, y = (wide.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in ("a", "b"))
+    far = pairs.where("long").join(x, "a").join(y, "b").where(_may_link_wide(F.col("n_a"), F.col("wide_a"), F.col("n_b"), F.col("wide_b"), percent))
+    pairs = scratch.stored(pairs.where("NOT long").select("a", "b").union(far.select("a", "b")), "pairs")
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("runs"))
     members = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("salt"), F.col("b").alias("id"))
-    pivots = members.select("a", "salt", F.col("a").alias("id")).distinct()
+    pivots = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("salt"), F.col("a").alias("id"))
     needs = members.union(pivots)
-    rows = _wanted(docs, needs.select("id").distinct()).join(needs, "id").select("a", "salt", "id", "text")
+    rows = _held(docs.where("id IS NOT NULL"), *_bitmap(needs.select("id"))).join(needs, "id").select("a", "salt", "id", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("id") != F.col("a"), "id")
-    return rows.mapInArrow(_verify(size, percent, name == "near"), "u long, v long").distinct()
+    return scratch.stored(rows.mapInArrow(_verify(size, percent), "u long, v long").distinct(), "links")
+
+
+def _labelled(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """classes with the component that each belongs to so far."""
+    return classes.join(labels, classes["rep"] == labels["node"], "left").select(*classes.columns, F.coalesce("component", "rep").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,51 +239,73 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     than ``size`` words is one shingle; rows with one id are one document and
     linked; a row without id has no component; other columns are ignored.
     """
-    every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    with Scratch(docs.sparkSession, "jaccard") as scratch:
+        return stored(_near_duplicates(scratch, docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), size, percent), "components")
+
+
+def _near_duplicates(scratch: Scratch, every: DataFrame, size: int, percent: int) -> DataFrame:
     heavy, rank = heavy_shingles(every, size)
-    facts = stored(every.mapInArrow(_describe(size, percent, heavy, rank, False), "id long, n long, head binary, whole binary, map array<long>, wide array<long>"), "facts")
+    facts = scratch.stored(every.mapInArrow(_describe(size, percent, heavy, rank, False), "id long, n long, head binary, whole binary, map array<long>, wide array<long>"), "facts")
     used = facts.where("id IS NOT NULL AND n > 0")
-    classes = stored(used.groupBy("n", "head", "whole").agg(F.min("id").alias("rep"), F.first("map").alias("map"), F.first("wide").alias("wide")).withColumn("gid", F.min("rep").over(Window.partitionBy("n", "head"))), "classes")
+    classes = used.groupBy("n", "head", "whole").agg(F.min("id").alias("rep"), F.first("map").alias("map"), F.first("wide").alias("wide"))
+    classes = scratch.stored(classes.withColumn("gid", F.min("rep").over(Window.partitionBy("n", "head"))).withColumn("cut", F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")), "classes")
     groups = classes.where("rep = gid").select("gid", "head").distinct()
 
-    # Postings of one document for each group, with the place of the shingle in the order.
+    # Postings of one document for each group, with the place of the shingle in the order: those of lists with several groups.
     lists = every.where("id IS NOT NULL").mapInArrow(_describe(size, percent, heavy, rank, True), "id long, n long, head binary, prefix array<long>")
     lists = lists.join(groups, (F.col("id") == F.col("gid")) & (lists["head"] == groups["head"])).select("gid", "n", "prefix")
     postings = lists.select("gid", "n", F.posexplode("prefix").alias("i", "h"))
+    shared = postings.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("held > 1")
+    shared = scratch.stored(shared.join(classes.where("rep = gid").select("gid", "map", "cut"), "gid"), "postings")
+
     def fits(n1, i1, n2, i2):
         """Sizes allow a link, and so does the number of shingles from the first common one on."""
         total = n1 + n2
         return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * F.least(n1 - i1, n2 - i2) >= percent * total)
 
-    # Postings of a list in order of size, each with those of the few before it that fit.
-    by_list = Window.partitionBy("h").orderBy("n", "gid")
-    shared = postings.withColumn("before", F.collect_list(F.struct("gid", "n", "i")).over(by_list.rowsBetween(-NEAR, -1))).withColumn("after", F.lead("gid").over(by_list))
-    shared = shared.where((F.size("before") > 0) | F.col("after").isNotNull())
-    before = F.transform(F.filter("before", lambda p: (p["gid"] != F.col("gid")) & fits(F.col("n"), F.col("i"), p["n"], p["i"])), lambda p: p["gid"])
-    shared = stored(shared.select("h", "gid", "n", "i", before.alias("before")), "postings")
-    near = shared.select(F.explode("before").alias("x"), F.col("gid").alias("y"))
-    kin = classes.withColumn("before", F.collect_list("rep").over(Window.partitionBy("n", "head").orderBy("rep").rowsBetween(-NEAR, -1)))
-    near = near.union(kin.select(F.explode("before").alias("x"), F.col("rep").alias("y")))
-    near = near.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = stored(_links(every, near, classes, size, percent, "near"), "links")
-    labels = components(links)
-    labelled = stored(classes.join(labels, classes["rep"] == labels["node"], "left").select("gid", "rep", "n", "map", F.coalesce("component", "rep").alias("label")), "labels")
-
-    # What is left: groups sharing a posting whose members are not all connected.
-    spread = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.when(F.count(F.lit(1)) == 1, F.min("map")).alias("map"))
-    open_lists = shared.select("h", "gid", "n", "i").join(spread, "gid")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.gid") < F.col("y.gid")))
-    same = (F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo"))
+    def near(rows: DataFrame, node: str, list_of: list[str], nth: int) -> DataFrame:
+        """(node, others): for each row those of the NEAR rows before it in its list, split if long, that may link and aren't in one component with it."""
+        order = F.xxhash64(node, *list_of, F.lit(nth))
+        split = F.pmod(F.xxhash64(node, F.lit(~nth)), F.ceil(F.col("held") / SPLIT)).alias("split")
+        w = Window.partitionBy(*list_of, "cut", "split").orderBy(order, node).rowsBetween(-NEAR, -1)
+        before = rows.withColumn("split", split).withColumn("before", F.collect_list(F.struct(F.col(node).alias("id"), "n", "i", "map", "label")).over(w))
+        may = F.filter("before", lambda p: (p["id"] != F.col(node)) & (p["label"] != F.col("label")) & fits(F.col("n"), F.col("i"), p["n"], p["i"]) & _may_link(F.col("n"), F.col("map"), p["n"], p["map"], percent))
+        may = F.transform(may, lambda p: F.struct(_differ(F.col("map"), p["map"]).alias("differ"), p["id"].alias("id"), ((F.col("n") > WIDE) & (p["n"] > WIDE)).alias("long")))
+        return before.select(F.col(node).alias("b"), F.explode(may).alias("x")).select("b", "x.*")
+
+    wide = classes.where(F.col("n") > WIDE).select("rep", "n", "wide")
+    links, labels = [], None
+    for nth in range(ROUNDS):
+        labelled = classes.withColumn("label", F.col("rep")) if labels is None else _labelled(classes, labels)
+        of_group = labelled.where("rep = gid").select("gid", "label")
+        pairs = near(shared.join(of_group, "gid"), "gid", ["h"], nth)
+        kin = labelled.withColumn("i", F.lit(0)).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("n", "head"))).where("held > 1")
+        pairs = pairs.union(near(kin, "rep", ["n", "head"], nth))
+        best = pairs.groupBy("b").agg(F.min(F.struct("differ", "id", "long")).alias("x"), F.min(F.struct("id", "differ", "long")).alias("y"))
+        best = best.select("b", F.explode(F.array(F.struct("x.id", "x.long"), F.struct("y.id", "y.long"))).alias("x"))
+        best = best.select(F.least("b", "x.id").alias("a"), F.greatest("b", "x.id").alias("b"), "x.long").distinct()
+        links.append(_links(scratch, every, best, wide, size, percent))
+        labels = components(reduce(DataFrame.union, links))
+    # What is left: lists whose groups are not all connected.
+    labelled = scratch.stored(_labelled(classes, labels).select("gid", "rep", "n", "map", "label"), "labels")
+    spread = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count(F.lit(1)) == 1).alias("alone"))
+    rows = shared.select("h", "gid", "n", "i", "map").join(spread, "gid").withColumn("own", F.when(F.col("lo") == F.col("hi"), F.col("lo")))
+    major = rows.groupBy("h", "own").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.when(F.col("own").isNotNull(), F.struct("c", "own")))["own"].alias("major"), F.count(F.lit(1)).alias("parts"), F.max(F.col("own").isNull()).alias("mixed"))
+    rows = rows.join(major.where("parts > 1 OR mixed"), "h").withColumn("main", F.coalesce(F.col("own") == F.col("major"), F.lit(False)))
+    x, y = rows.where("NOT main").alias("x"), rows.alias("y")
+    ordered = F.col("y.main") | (F.col("x.gid") < F.col("y.gid"))
+    same = F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False))
     # A group of one class is its class: what its parity map excludes needs no expansion.
-    may = F.coalesce(_may_link(F.col("x.n"), F.col("x.map"), F.col("y.n"), F.col("y.map"), percent), F.lit(True))
-    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & may & ordered & ~same & fits(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i")))
-    rest = rest.select(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2")).distinct()
+    may = ~(F.col("x.alone") & F.col("y.alone")) | _may_link(F.col("x.n"), F.col("x.map"), F.col("y.n"), F.col("y.map"), percent)
+    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.gid") != F.col("y.gid")) & ordered & ~same & fits(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i")) & may)
+    rest = scratch.stored(rest.select(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2"), (F.col("x.alone") & F.col("y.alone")).alias("alone"), ((F.col("x.n") > WIDE) & (F.col("y.n") > WIDE)).alias("long")).distinct(), "rest")
     inside = spread.where("lo != hi").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
-    m1, m2 = (labelled.select(F.col("gid").alias(g), F.col("rep").alias(r), F.col("label").alias(lab)) for g, r, lab in (("g1", "r1", "l1"), ("g2", "r2", "l2")))
-    rest = rest.union(inside).join(m1, "g1").join(m2, "g2").where("l1 != l2 AND r1 != r2")
-    rest = rest.select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
-    more = stored(_links(every, rest, classes, size, percent, "rest"), "links")
+    m1, m2 = (labelled.select(F.col("gid").alias(f"g{k}"), F.col("rep").alias(f"r{k}"), F.col("label").alias(f"l{k}"), F.col("n").alias(f"n{k}"), F.col("map").alias(f"map{k}")) for k in (1, 2))
+    expanded = rest.where("NOT alone").select("g1", "g2").union(inside).join(m1, "g1")
+    expanded = expanded.join(m2, (expanded["g2"] == m2["g2"]) & (F.col("l1") != F.col("l2")) & ((expanded["g1"] != expanded["g2"]) | (F.col("r1") < F.col("r2"))) & _may_link(F.col("n1"), F.col("map1"), F.col("n2"), F.col("map2"), percent))
+    rest = rest.where("alone").select(F.col("g1").alias("r1"), F.col("g2").alias("r2"), "long").union(expanded.select("r1", "r2", (F.col("n1") > WIDE) & (F.col("n2") > WIDE)))
+    rest = rest.select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b"), "long").distinct()
+    more = _links(scratch, every, rest, wide, size, percent)
 
     own = used.join(classes.select("n", "head", "whole", "rep"), ["n", "head", "whole"]).select("id", "rep", "n")
     # An id with several texts connects their classes.
@@ -282,11 +318,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def representatives(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group of near duplicates the row of least id; rows without id stay; of rows with one id, one stays."""
-    found = near_duplicates(docs, size, percent, id_col, text_col)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    first = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return first.union(docs.where(F.col(id_col).isNull()))
+    """Of each group of near duplicates the row of least id; rows without id stay; of rows with one id, the one of least text and other columns.
+
+    Rows whose id isn't in a bitmap of the ids that go, or come more than once, stay
+    as they are and aren't shuffled.
+    """
+    name = f"id-{uuid.uuid4().hex}"
+    found = near_duplicates(docs, size, percent, id_col, text_col).where("doc_id IS NOT NULL")
+    touched = found.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col("doc_id") == F.col("component_id")).alias("keep"), F.count(F.lit(1)).alias("c")).where("c > 1 OR NOT keep")
+    touched = stored(touched, "touched")
+    bitmap, _ = _bitmap(touched)
+    place = F.coalesce(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(64 * BITMAP)), F.lit(0))
+    asked = _held(docs.where(F.col(id_col).isNotNull()), bitmap, place).withColumn(name, F.col(id_col).cast("long"))
+    asked = asked.join(touched, F.col(name) == touched["id"], "left").where("keep IS NULL OR keep")
+    first = Window.partitionBy(name).orderBy(*[F.col(c) for c in (text_col, *(x for x in docs.columns if x not in (id_col, text_col)))])
+    once = asked.where("c IS NULL OR c = 1").select(*docs.columns)
+    several = asked.where("c > 1").withColumn(name, F.row_number().over(first)).where(F.col(name) == 1).select(*docs.columns)
+    sure = _held(docs.where(F.col(id_col).isNotNull()), bitmap, place, wanted=False)
+    return sure.union(once).union(several).union(docs.where(F.col(id_col).isNull()))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -74,10 +74,28 @@ def test_jaccard_wide_maps_lose_no_link(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == brute_classes(texts, 4, 85)
 
 
+def test_jaccard_of_a_large_group(spark):
+    """700 copies of a text with a few words changed: few pairs are held against each other, and no link is lost."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(700):
+        w = list(base)
+        for k in rng.sample(range(120), rng.choice((0, 1, 1, 2, 3, 4, 6))):
+            w[k] = f"z{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    got = jaccard.near_duplicates(documents(spark, texts), 4, 85)
+    want = brute_classes(texts, 4, 85)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == want and len({c for _, _, c in want}) > 100
+
+
 def test_representatives(spark):
     rows = documents(spark, ["a b c d e f", "a b c d e f", None, "z"], [5, 3, 4, None])
     got = jaccard.representatives(rows)
     assert sorted((r.doc_id is None, r.doc_id) for r in got.collect()) == [(False, 3), (False, 4), (True, None)] and got.columns == rows.columns
+    several = documents(spark, ["b x", "a x", None, "c x", "a x"], [1, 1, 1, 2, None])
+    assert sorted(map(str, jaccard.representatives(several).collect())) == sorted(map(str, jaccard.representatives(several.repartition(3)).collect()))
+    assert {(r.doc_id, r.text) for r in jaccard.representatives(several).collect()} == {(1, None), (2, "c x"), (None, "a x")}
 
 
 def test_components(spark):
