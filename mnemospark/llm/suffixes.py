@@ -197,10 +197,16 @@ def repeated_windows(t: np.ndarray, starts: np.ndarray, ends: np.ndarray, where:
 
 
 def _agreement(group: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Longest common prefix of each row of bytes with any other of its group, from its neighbours in sorted order."""
+    """Longest common prefix of each row of bytes (padded with NULs) with any other of its group, from its neighbours in sorted order.
+
+    Rows that differ in trailing NULs only come in order of size: so no shorter one
+    stands between two that agree further.  The last byte of a key is never NUL, as
+    numpy's strings ignore trailing NULs.
+    """
     n, width = rows.shape
-    key = np.concatenate([group.astype(">u4").view(np.uint8).reshape(n, 4), rows], axis=1)
-    o = np.argsort(np.ascontiguousarray(key).view(f"S{width + 4}").ravel(), kind="stable")
+    number = lambda x, kind: x.astype(kind).view(np.uint8).reshape(n, -1)
+    key = np.concatenate([number(group, ">u4"), rows, number(sizes, ">u4"), np.ones((n, 1), np.uint8)], axis=1)
+    o = np.argsort(np.ascontiguousarray(key).view(f"S{key.shape[1]}").ravel(), kind="stable")
     differ = rows[o[1:]] != rows[o[:-1]]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
     common = np.minimum(common, np.minimum(sizes[o[1:]], sizes[o[:-1]])) * (group[o[1:]] == group[o[:-1]])
