@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -19,8 +20,9 @@ from mnemospark.llm._spans import Span, scan
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")
-#: The vocabulary, in tiktoken's format; every executor needs it at this path.
+#: The vocabulary, in tiktoken's format; the driver reads it and broadcasts its bytes, MOST_VOCABULARY at most.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+MOST_VOCABULARY = 16 << 20
 #: Runs with fewer characters a token than this are random.
 MOST_CHARS_A_TOKEN = 2.2
 LEAST_LENGTH = 20
@@ -33,17 +35,19 @@ RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST_LENGTH)
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I)
 UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.I)
 NUMBER = re.compile(r"[0-9+/_=-]+\Z")
-NAMES = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[/_=+-]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*\Z")
+#: Each part can be read in one way only, and none is given back: time is linear in the run.
+NAMES = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+)(?:[/_=+-]++(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+))*+\Z")
+#: Verdicts on runs of so many characters at most are kept, CACHED of them.
+CACHED_LENGTH, CACHED = 256, 1 << 15
 #: A candidate mixes at least two of these.
 CLASSES = (re.compile(r"[0-9]"), re.compile(r"[a-z]"), re.compile(r"(?!^)[A-Z]"))
 
 
-@lru_cache(maxsize=4)
-def _encoder(path: str):
+@lru_cache(maxsize=2)
+def _encoder(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("public", pat_str=r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+", mergeable_ranks=ranks, special_tokens={})
 
 
@@ -52,14 +56,28 @@ def known(run: str) -> bool:
     return bool(NUMBER.match(run) or NAMES.match(run) or DIGEST.match(run) or UUID.match(run))
 
 
-@lru_cache(maxsize=1 << 16)
-def is_random(run: str, path: str = VOCABULARY, most: float = MOST_CHARS_A_TOKEN) -> bool:
-    if known(run) or sum(bool(c.search(run)) for c in CLASSES) < 2:
-        return False
-    return len(run) < most * len(_encoder(path).encode_ordinary(run))
+def read_vocabulary(path: str = VOCABULARY) -> bytes:
+    with open(path, "rb") as f:
+        raw = f.read(MOST_VOCABULARY + 1)
+    if len(raw) > MOST_VOCABULARY:
+        raise ValueError(f"{path} has more than {MOST_VOCABULARY} bytes")
+    return raw
+
+
+def randomness(vocabulary: bytes, most: float = MOST_CHARS_A_TOKEN) -> Callable[[str], bool]:
+    """Whether a run of key characters is a random string."""
+    encoder = _encoder(vocabulary)
 
+    def test(run: str) -> bool:
+        if known(run) or sum(bool(c.search(run)) for c in CLASSES) < 2:
+            return False
+        return len(run) < most * len(encoder.encode_ordinary(run))
 
-def find(raw: bytes, path: str = VOCABULARY, most: float = MOST_CHARS_A_TOKEN) -> tuple[list[Span], list[Span]]:
+    short = lru_cache(maxsize=CACHED)(test)
+    return lambda run: short(run) if len(run) <= CACHED_LENGTH else test(run)
+
+
+def find(raw: bytes, is_random: Callable[[str], bool]) -> tuple[list[Span], list[Span]]:
     """Base spans and added spans of a text, in bytes."""
     base: list[Span] = []
     low = raw.lower()
@@ -68,7 +86,7 @@ def find(raw: bytes, path: str = VOCABULARY, most: float = MOST_CHARS_A_TOKEN) -
     if b"AKIA" in raw:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(raw) if m.end() - m.start() >= 16]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(raw)]
-    added = [(m.start(), 3, m.end()) for m in RUN.finditer(raw) if is_random(m.group().decode(), path, most)]
+    added = [(m.start(), 3, m.end()) for m in RUN.finditer(raw) if is_random(m.group().decode())]
     return base, added
 
 
@@ -76,9 +94,16 @@ def secrets(docs: DataFrame, vocabulary: str = VOCABULARY, most_chars_a_token: f
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for each row.
 
     A null text counts as empty and has no spans; a null id is passed on; repeated
-    rows give repeated results; other columns are ignored.
+    rows give repeated results; other columns are ignored.  Names are matched in
+    ASCII letters of either case.
     """
-    return scan(docs, lambda: lambda raw: find(raw, vocabulary, most_chars_a_token), KINDS, BASE, id_col, text_col)
+    words = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))  # MOST_VOCABULARY bytes at most
+
+    def finder():
+        is_random = randomness(words.value, most_chars_a_token)
+        return lambda raw: find(raw, is_random)
+
+    return scan(docs, finder, KINDS, BASE, id_col, text_col)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
