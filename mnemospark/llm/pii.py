@@ -32,7 +32,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-USERINFO = re.compile(r"://[A-Za-z0-9._~%!$&'()*+,;=-]+:[^\s@/]+@[A-Za-z0-9.-]+")
+USERINFO = re.compile(r"://[A-Za-z0-9._~%!$&'()*+,;=-]+:[^\x20\x09-\x0D@/]+@[A-Za-z0-9.-]+")
 HIDDEN = re.compile(r"(?: at | ?[(\[]at[)\]] ?)[A-Za-z0-9-]+(?:(?: dot | ?[(\[]dot[)\]] ?)[A-Za-z0-9-]+)+", re.I)
 IBAN = re.compile(r"[^A-Za-z0-9]{1,8}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 SSN = re.compile(r"[^0-9]{1,24}?((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9])")
@@ -101,7 +101,7 @@ def find(raw: bytes, anchors: ahocorasick.Automaton) -> tuple[list[Span], list[S
             lo = at - (at > 0 and s[at - 1] == " " and s[at] != " ")
             if m := HIDDEN.match(s, lo):
                 left = lo
-                while left > 0 and s[left - 1] in LOCAL and lo - left < 64:
+                while left > 0 and s[left - 1] in LOCAL:
                     left -= 1
                 if left < lo:
                     added.append((left, 5, m.end()))
