@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.llm._arrays import Words, shingles, slices
+from mnemospark.llm._bitmaps import bitmap, held
 from mnemospark.llm._shared import Scratch, stored
 from mnemospark.llm.components import components
 
@@ -47,10 +48,10 @@ HEAVY = 1 << 16
 HEAVY_SHARE = 1 / 2000
 #: 64-bit words of a set's parity map: bit k says whether an odd number of its shingles hash to k.
 MAP_WORDS = 16
+#: Words of the map folded for postings.
+FOLDED = 2
 #: Sets of more shingles than this also have a wide map, of a bit or so for each shingle: the small one tells them nothing.
 WIDE = 64 * MAP_WORDS
-#: 64-bit words of the bitmap of wanted documents, at most.
-BITMAP = 1 << 18
 #: Neighbours before it in a list that a posting is compared with in each round.
 NEAR = 8
 ROUNDS = 2
@@ -167,13 +168,18 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _differ(map1, map2):
-    return sum(F.bit_count(map1[i].bitwiseXOR(map2[i])) for i in range(MAP_WORDS))
+def _differ(map1, map2, words: int = MAP_WORDS):
+    return sum(F.bit_count(map1[i].bitwiseXOR(map2[i])) for i in range(words))
 
 
-def _may_link(n1, map1, n2, map2, percent: int):
+def _folded(of: str) -> Column:
+    """A parity map folded to FOLDED words: the same bound, if a weaker one, in rows of a few bytes."""
+    return F.array(*[reduce(Column.bitwiseXOR, [F.col(of)[k] for k in range(i, MAP_WORDS, FOLDED)]) for i in range(FOLDED)])
+
+
+def _may_link(n1, map1, n2, map2, percent: int, words: int = MAP_WORDS):
     """Parity maps differ in no more bits than the sets may in shingles: a bound that no link breaks."""
-    return (100 + percent) * _differ(map1, map2) <= (100 - percent) * (n1 + n2)
+    return (100 + percent) * _differ(map1, map2, words) <= (100 - percent) * (n1 + n2)
 
 
 def _may_link_wide(n1, wide1, n2, wide2, percent: int):
@@ -187,41 +193,20 @@ def _may_link_wide(n1, wide1, n2, wide2, percent: int):
     return F.coalesce((100 + percent) * differ <= (100 - percent) * (n1 + n2), F.lit(True))
 
 
-def _bitmap(ids: DataFrame) -> tuple[np.ndarray, Column]:
-    """A bitmap of hashed ids (column id), of bounded size whatever their number, and the place in it of an id."""
-    place = F.pmod(F.xxhash64("id"), F.lit(64 * BITMAP))
-    words = ids.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
-    held = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bitmap = np.zeros(BITMAP, np.uint64)
-    bitmap[held.column("w").to_numpy()] = held.column("b").to_numpy().view(np.uint64)
-    return bitmap, place
-
-
-def _held(docs: DataFrame, bitmap: np.ndarray, place: Column, wanted: bool = True) -> DataFrame:
-    """The rows whose id the bitmap has (all ids that it was made of, and some others), or those that it hasn't."""
-    schema = docs.schema
-    at_name = f"at-{uuid.uuid4().hex}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column(at_name).to_numpy(zero_copy_only=False)
-            has = (bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            yield b.select(schema.names).filter(pa.array(has == wanted))
-
-    return docs.withColumn(at_name, place).mapInArrow(run, schema)
-
-
-def _links(scratch: Scratch, docs: DataFrame, pairs: DataFrame, wide: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(scratch: Scratch, docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b, long) that link.  Pivots with many partners are split into runs of about FAN."""
+    x, y = (classes.select(F.col("rep").alias(c), F.struct("n", "map").alias(f"of_{c}")) for c in ("a", "b"))
+    pairs = pairs.join(x, "a").join(y, "b").where(_may_link(F.col("of_a.n"), F.col("of_a.map"), F.col("of_b.n"), F.col("of_b.map"), percent)).select("a", "b", "long")
     # Only pairs of two long sets look up the wide maps.
-    x, y = (wide.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in ("a", "b"))
-    far = pairs.where("long").join(x, "a").join(y, "b").where(_may_link_wide(F.col("n_a"), F.col("wide_a"), F.col("n_b"), F.col("wide_b"), percent))
-    pairs = scratch.stored(pairs.where("NOT long").select("a", "b").union(far.select("a", "b")), "pairs")
+    x, y = (classes.where(F.col("n") > WIDE).select(F.col("rep").alias(c), F.struct("n", "wide").alias(f"of_{c}")) for c in ("a", "b"))
+    pairs = scratch.stored(pairs, "pairs")
+    far = pairs.where("long").join(x, "a").join(y, "b").where(_may_link_wide(F.col("of_a.n"), F.col("of_a.wide"), F.col("of_b.n"), F.col("of_b.wide"), percent))
+    pairs = pairs.where("NOT long").select("a", "b").union(far.select("a", "b"))
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("runs"))
     members = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("salt"), F.col("b").alias("id"))
     pivots = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("salt"), F.col("a").alias("id"))
     needs = members.union(pivots)
-    rows = _held(docs.where("id IS NOT NULL"), *_bitmap(needs.select("id"))).join(needs, "id").select("a", "salt", "id", "text")
+    rows = held(docs.where("id IS NOT NULL"), bitmap(needs, F.col("id")), F.col("id")).join(needs, "id").select("a", "salt", "id", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("id") != F.col("a"), "id")
     return scratch.stored(rows.mapInArrow(_verify(size, percent), "u long, v long").distinct(), "links")
 
@@ -248,15 +233,16 @@ def _near_duplicates(scratch: Scratch, every: DataFrame, size: int, percent: int
     facts = scratch.stored(every.mapInArrow(_describe(size, percent, heavy, rank, False), "id long, n long, head binary, whole binary, map array<long>, wide array<long>"), "facts")
     used = facts.where("id IS NOT NULL AND n > 0")
     classes = used.groupBy("n", "head", "whole").agg(F.min("id").alias("rep"), F.first("map").alias("map"), F.first("wide").alias("wide"))
-    classes = scratch.stored(classes.withColumn("gid", F.min("rep").over(Window.partitionBy("n", "head"))).withColumn("cut", F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")), "classes")
+    group = Window.partitionBy("n", "head")
+    classes = scratch.stored(classes.withColumn("gid", F.min("rep").over(group)).withColumn("entries", F.count(F.lit(1)).over(group)).withColumn("small", _folded("map")).withColumn("cut", F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")), "classes")
     groups = classes.where("rep = gid").select("gid", "head").distinct()
 
     # Postings of one document for each group, with the place of the shingle in the order: those of lists with several groups.
     lists = every.where("id IS NOT NULL").mapInArrow(_describe(size, percent, heavy, rank, True), "id long, n long, head binary, prefix array<long>")
-    lists = lists.join(groups, (F.col("id") == F.col("gid")) & (lists["head"] == groups["head"])).select("gid", "n", "prefix")
-    postings = lists.select("gid", "n", F.posexplode("prefix").alias("i", "h"))
-    shared = postings.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("held > 1")
-    shared = scratch.stored(shared.join(classes.where("rep = gid").select("gid", "map", "cut"), "gid"), "postings")
+    lists = lists.join(groups, (F.col("id") == F.col("gid")) & (lists["head"] == groups["head"])).select("gid", "prefix")
+    postings = lists.select("gid", F.posexplode("prefix").alias("i", "h"))
+    shared = postings.withColumn("entries", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("entries > 1")
+    shared = scratch.stored(shared.join(classes.where("rep = gid").select("gid", "n", "small", "cut"), "gid"), "postings")
 
     def fits(n1, i1, n2, i2):
         """Sizes allow a link, and so does the number of shingles from the first common one on."""
@@ -264,48 +250,47 @@ def _near_duplicates(scratch: Scratch, every: DataFrame, size: int, percent: int
         return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * F.least(n1 - i1, n2 - i2) >= percent * total)
 
     def near(rows: DataFrame, node: str, list_of: list[str], nth: int) -> DataFrame:
-        """(node, others): for each row those of the NEAR rows before it in its list, split if long, that may link and aren't in one component with it."""
+        """(b, id, differ, long): of each row the NEAR rows before it in its list, split if long, that may link and aren't in one component with it."""
         order = F.xxhash64(node, *list_of, F.lit(nth))
-        split = F.pmod(F.xxhash64(node, F.lit(~nth)), F.ceil(F.col("held") / SPLIT)).alias("split")
+        split = F.pmod(F.xxhash64(node, F.lit(~nth)), F.ceil(F.col("entries") / SPLIT)).alias("split")
         w = Window.partitionBy(*list_of, "cut", "split").orderBy(order, node).rowsBetween(-NEAR, -1)
-        before = rows.withColumn("split", split).withColumn("before", F.collect_list(F.struct(F.col(node).alias("id"), "n", "i", "map", "label")).over(w))
-        may = F.filter("before", lambda p: (p["id"] != F.col(node)) & (p["label"] != F.col("label")) & fits(F.col("n"), F.col("i"), p["n"], p["i"]) & _may_link(F.col("n"), F.col("map"), p["n"], p["map"], percent))
-        may = F.transform(may, lambda p: F.struct(_differ(F.col("map"), p["map"]).alias("differ"), p["id"].alias("id"), ((F.col("n") > WIDE) & (p["n"] > WIDE)).alias("long")))
+        before = rows.withColumn("split", split).withColumn("before", F.collect_list(F.struct(F.col(node).alias("id"), "n", "i", "small", "label")).over(w))
+        may = F.filter("before", lambda p: (p["id"] != F.col(node)) & (p["label"] != F.col("label")) & fits(F.col("n"), F.col("i"), p["n"], p["i"]) & _may_link(F.col("n"), F.col("small"), p["n"], p["small"], percent, FOLDED))
+        may = F.transform(may, lambda p: F.struct(_differ(F.col("small"), p["small"], FOLDED).alias("differ"), p["id"].alias("id"), ((F.col("n") > WIDE) & (p["n"] > WIDE)).alias("long")))
         return before.select(F.col(node).alias("b"), F.explode(may).alias("x")).select("b", "x.*")
 
-    wide = classes.where(F.col("n") > WIDE).select("rep", "n", "wide")
     links, labels = [], None
+    several = classes.where("entries > 1").select("gid", "rep", "n", "head", "small", "cut", "entries", F.lit(0).alias("i"))
     for nth in range(ROUNDS):
-        labelled = classes.withColumn("label", F.col("rep")) if labels is None else _labelled(classes, labels)
-        of_group = labelled.where("rep = gid").select("gid", "label")
-        pairs = near(shared.join(of_group, "gid"), "gid", ["h"], nth)
-        kin = labelled.withColumn("i", F.lit(0)).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("n", "head"))).where("held > 1")
+        labelled = classes.select("gid", "rep", F.col("rep").alias("label")) if labels is None else _labelled(classes.select("gid", "rep"), labels)
+        pairs = near(shared.join(labelled.where("rep = gid").select("gid", "label"), "gid"), "gid", ["h"], nth)
+        kin = several.join(labelled.select("rep", "label"), "rep")
         pairs = pairs.union(near(kin, "rep", ["n", "head"], nth))
         best = pairs.groupBy("b").agg(F.min(F.struct("differ", "id", "long")).alias("x"), F.min(F.struct("id", "differ", "long")).alias("y"))
         best = best.select("b", F.explode(F.array(F.struct("x.id", "x.long"), F.struct("y.id", "y.long"))).alias("x"))
         best = best.select(F.least("b", "x.id").alias("a"), F.greatest("b", "x.id").alias("b"), "x.long").distinct()
-        links.append(_links(scratch, every, best, wide, size, percent))
+        links.append(_links(scratch, every, best, classes, size, percent))
         labels = components(reduce(DataFrame.union, links))
     # What is left: lists whose groups are not all connected.
-    labelled = scratch.stored(_labelled(classes, labels).select("gid", "rep", "n", "map", "label"), "labels")
+    labelled = scratch.stored(_labelled(classes.select("gid", "rep", "n", "small"), labels), "labels")
     spread = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count(F.lit(1)) == 1).alias("alone"))
-    rows = shared.select("h", "gid", "n", "i", "map").join(spread, "gid").withColumn("own", F.when(F.col("lo") == F.col("hi"), F.col("lo")))
+    rows = shared.select("h", "gid", "n", "i", "small").join(spread, "gid").withColumn("own", F.when(F.col("lo") == F.col("hi"), F.col("lo")))
     major = rows.groupBy("h", "own").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.when(F.col("own").isNotNull(), F.struct("c", "own")))["own"].alias("major"), F.count(F.lit(1)).alias("parts"), F.max(F.col("own").isNull()).alias("mixed"))
     rows = rows.join(major.where("parts > 1 OR mixed"), "h").withColumn("main", F.coalesce(F.col("own") == F.col("major"), F.lit(False)))
     x, y = rows.where("NOT main").alias("x"), rows.alias("y")
     ordered = F.col("y.main") | (F.col("x.gid") < F.col("y.gid"))
     same = F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False))
     # A group of one class is its class: what its parity map excludes needs no expansion.
-    may = ~(F.col("x.alone") & F.col("y.alone")) | _may_link(F.col("x.n"), F.col("x.map"), F.col("y.n"), F.col("y.map"), percent)
+    may = ~(F.col("x.alone") & F.col("y.alone")) | _may_link(F.col("x.n"), F.col("x.small"), F.col("y.n"), F.col("y.small"), percent, FOLDED)
     rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.gid") != F.col("y.gid")) & ordered & ~same & fits(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i")) & may)
     rest = scratch.stored(rest.select(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2"), (F.col("x.alone") & F.col("y.alone")).alias("alone"), ((F.col("x.n") > WIDE) & (F.col("y.n") > WIDE)).alias("long")).distinct(), "rest")
     inside = spread.where("lo != hi").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
-    m1, m2 = (labelled.select(F.col("gid").alias(f"g{k}"), F.col("rep").alias(f"r{k}"), F.col("label").alias(f"l{k}"), F.col("n").alias(f"n{k}"), F.col("map").alias(f"map{k}")) for k in (1, 2))
+    m1, m2 = (labelled.select(F.col("gid").alias(f"g{k}"), F.col("rep").alias(f"r{k}"), F.col("label").alias(f"l{k}"), F.col("n").alias(f"n{k}"), F.col("small").alias(f"small{k}")) for k in (1, 2))
     expanded = rest.where("NOT alone").select("g1", "g2").union(inside).join(m1, "g1")
-    expanded = expanded.join(m2, (expanded["g2"] == m2["g2"]) & (F.col("l1") != F.col("l2")) & ((expanded["g1"] != expanded["g2"]) | (F.col("r1") < F.col("r2"))) & _may_link(F.col("n1"), F.col("map1"), F.col("n2"), F.col("map2"), percent))
+    expanded = expanded.join(m2, (expanded["g2"] == m2["g2"]) & (F.col("l1") != F.col("l2")) & ((expanded["g1"] != expanded["g2"]) | (F.col("r1") < F.col("r2"))) & _may_link(F.col("n1"), F.col("small1"), F.col("n2"), F.col("small2"), percent, FOLDED))
     rest = rest.where("alone").select(F.col("g1").alias("r1"), F.col("g2").alias("r2"), "long").union(expanded.select("r1", "r2", (F.col("n1") > WIDE) & (F.col("n2") > WIDE)))
     rest = rest.select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b"), "long").distinct()
-    more = _links(scratch, every, rest, wide, size, percent)
+    more = _links(scratch, every, rest, classes, size, percent)
 
     own = used.join(classes.select("n", "head", "whole", "rep"), ["n", "head", "whole"]).select("id", "rep", "n")
     # An id with several texts connects their classes.
@@ -327,14 +312,13 @@ def representatives(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     found = near_duplicates(docs, size, percent, id_col, text_col).where("doc_id IS NOT NULL")
     touched = found.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col("doc_id") == F.col("component_id")).alias("keep"), F.count(F.lit(1)).alias("c")).where("c > 1 OR NOT keep")
     touched = stored(touched, "touched")
-    bitmap, _ = _bitmap(touched)
-    place = F.coalesce(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(64 * BITMAP)), F.lit(0))
-    asked = _held(docs.where(F.col(id_col).isNotNull()), bitmap, place).withColumn(name, F.col(id_col).cast("long"))
+    bits, key = bitmap(touched, F.col("id")), F.col(id_col).cast("long")
+    asked = held(docs.where(F.col(id_col).isNotNull()), bits, key).withColumn(name, key)
     asked = asked.join(touched, F.col(name) == touched["id"], "left").where("keep IS NULL OR keep")
     first = Window.partitionBy(name).orderBy(*[F.col(c) for c in (text_col, *(x for x in docs.columns if x not in (id_col, text_col)))])
     once = asked.where("c IS NULL OR c = 1").select(*docs.columns)
     several = asked.where("c > 1").withColumn(name, F.row_number().over(first)).where(F.col(name) == 1).select(*docs.columns)
-    sure = _held(docs.where(F.col(id_col).isNotNull()), bitmap, place, wanted=False)
+    sure = held(docs.where(F.col(id_col).isNotNull()), bits, key, wanted=False)
     return sure.union(once).union(several).union(docs.where(F.col(id_col).isNull()))
 
 
