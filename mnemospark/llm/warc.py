@@ -18,8 +18,8 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
-from functools import lru_cache
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -27,6 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.llm._bitmaps import bitmap, held
 from mnemospark.llm._shared import scratch, stored
 
 #: Index lines in a block.
@@ -34,6 +35,10 @@ LINES = 1000
 #: An archive is closed beyond so many bytes.
 ARCHIVE_BYTES = 256 << 20
 LEVEL = 4
+#: Files that a reading task keeps open.
+HANDLES = 64
+#: Tasks that read an archive back, at most.
+READERS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "key string, page_id long, archive string, offset long, length long"
 DIRECTORY = "part int, first_key string, last_key string, file string, offset long, length long, lines long"
@@ -60,9 +65,9 @@ def surt(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + quote((u.path or "/") + (f"?{u.query}" if u.query else ""), safe="/:?=&%")
 
 
-def member(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record as a gzip member.  A revisit keeps the HTTP header, whose Content-Length is that of the full payload."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def member(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, size: int) -> bytes:
+    """One record as a gzip member.  A revisit keeps the HTTP header only, whose Content-Length is the full payload's size."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}"]
     if page_id is not None:
@@ -122,14 +127,28 @@ class _Writer:
             self.out = None
 
 
-@lru_cache(maxsize=64)
-def _opened(folder: str, name: str):
-    fs, path = _fs(folder)
-    return fs.open_input_file(f"{path}/{name}")
+class _Reader:
+    """Range reads of a folder's files; HANDLES of them stay open at most, and none after ``close``."""
 
+    def __init__(self, folder: str):
+        self.fs, self.folder = _fs(folder)
+        self.files: dict = {}
+
+    def range(self, name: str, offset: int, length: int) -> bytes:
+        f = self.files.pop(name, None) or self.fs.open_input_file(f"{self.folder}/{name}")
+        self.files[name] = f
+        if len(self.files) > HANDLES:
+            self.files.pop(next(iter(self.files))).close()
+        return f.read_at(length, offset)
 
-def _range(folder: str, name: str, offset: int, length: int) -> bytes:
-    return _opened(folder, name).read_at(length, offset)
+    def lines(self, name: str, offset: int, length: int) -> list[list]:
+        """Of an index block."""
+        return [json.loads(x) for x in zlib.decompress(self.range(name, offset, length)).decode().split("\n")]
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+        self.files.clear()
 
 
 def _archive(folder: str):
@@ -137,10 +156,10 @@ def _archive(folder: str):
         out = _Writer(folder, "warc.gz")
         for b in batches:
             rows: dict[str, list] = {k: [] for k in ("key", "page_id", "archive", "offset", "length")}
-            cols = [b.column(c) for c in ("page_id", "url", "raw", "digest", "refers_to")]
+            cols = [b.column(c) for c in ("page_id", "url", "raw", "size", "digest", "refers_to")]
             for i in range(b.num_rows):
-                page, url, raw, digest, to = (c[i].as_py() for c in cols)
-                place = out.write(member(page, url, raw, base64.b32encode(bytes.fromhex(digest)).decode(), to))
+                page, url, raw, size, digest, to = (c[i].as_py() for c in cols)
+                place = out.write(member(page, url, raw, base64.b32encode(bytes.fromhex(digest)).decode(), to, size))
                 for k, v in zip(rows, (surt(url), page, *place), strict=True):
                     rows[k].append(v)
                 if out.at > ARCHIVE_BYTES:
@@ -188,10 +207,21 @@ def write(pages: DataFrame, folder: str | None = None) -> Archive:
     """
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("raw")).withColumn("digest", F.sha1("raw"))
-    best = rows.groupBy("digest").agg(F.max("page_id").alias("best"))
-    rows = rows.join(best, "digest").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("best")), F.col("best")))
-    manifest = stored(rows.select("page_id", "url", "raw", "digest", "refers_to").mapInArrow(_archive(folder), MANIFEST), "manifest")
+    raw = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.sha1(raw).alias("digest"), F.octet_length(raw).cast("long").alias("size"), raw.alias("raw"))
+    nobody = F.lit(None).cast("long").alias("refers_to")
+    several = stored(rows.groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "best"), "digests")
+    bits = bitmap(several, F.col("digest"))
+    # Payloads that surely come once are responses where they are.  Of the others the revisits need no payload, and responses are
+    # looked up by page and digest, so that equal payloads don't meet in one task.
+    once = held(rows, bits, F.col("digest"), wanted=False).select("page_id", "url", "digest", "size", "raw", nobody)
+    rest = held(rows.drop("raw"), bits, F.col("digest")).join(several, "digest", "left")
+    rest = stored(rest.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("best")), F.col("best"))).select("page_id", "url", "digest", "size", "refers_to"), "captures")
+    revisits = rest.where("refers_to IS NOT NULL").select("page_id", "url", "digest", "size", F.lit(b"").alias("raw"), "refers_to")
+    own = rest.where("refers_to IS NULL").select(F.col("page_id").alias("own"), F.col("digest").alias("of")).distinct()
+    responses = held(rows, bits, F.col("digest")).join(own, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("of")), "left_semi")
+    rows = once.unionByName(revisits).unionByName(responses.withColumn("refers_to", nobody))
+    manifest = stored(rows.select("page_id", "url", "raw", "size", "digest", "refers_to").mapInArrow(_archive(folder), MANIFEST), "manifest")
     directory = manifest.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "archive", "offset").mapInArrow(_blocks(folder), DIRECTORY)
     return Archive(folder, stored(directory, "directory"))
 
@@ -201,19 +231,20 @@ def read(archive: Archive, payloads: bool = True) -> DataFrame:
     folder = archive.folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for file, offset, length in zip(*(b.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
-                lines = [json.loads(x) for x in zlib.decompress(_range(folder, file, offset, length)).decode().split("\n")]
-                for i in range(0, len(lines), 200):
-                    found = [parse(_range(folder, *x[2:])) for x in lines[i : i + 200]]
-                    if not payloads:
-                        for x in found:
-                            x["payload"] = None
-                    yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]))
-
-    # One row is a block of LINES records: dealt out by block, or few tasks would do the reading.
+        with closing(_Reader(folder)) as reader:
+            for b in batches:
+                for file, offset, length in zip(*(b.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
+                    lines = reader.lines(file, offset, length)
+                    for i in range(0, len(lines), 200):
+                        found = [parse(reader.range(*x[2:])) for x in lines[i : i + 200]]
+                        if not payloads:
+                            for x in found:
+                                x["payload"] = None
+                        yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]))
+
+    # One row is a block of LINES records.  A stated number of partitions isn't coalesced, as the rows' few bytes would suggest.
     blocks = archive.directory.select("file", "offset", "length")
-    return blocks.repartition("file", "offset").mapInArrow(run, RECORD)
+    return blocks.repartition(max(1, min(blocks.count(), READERS)), "file", "offset").mapInArrow(run, RECORD)
 
 
 def lookup(spark: SparkSession, archive: Archive, url: str) -> list[dict]:
@@ -222,18 +253,30 @@ def lookup(spark: SparkSession, archive: Archive, url: str) -> list[dict]:
     parts = archive.directory.groupBy("part").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).where((F.col("lo") <= key) & (F.col("hi") >= key))
     own = [r["part"] for r in parts.collect()]  # the range partitions that the key falls in
     found = []
-    for part in sorted(own):
-        blocks = archive.directory.where(F.col("part") == part).orderBy("file", "offset").select("first_key", "last_key", "file", "offset", "length").collect()
-        i = bisect.bisect_left([b["last_key"] for b in blocks], key)
-        while i < len(blocks) and blocks[i]["first_key"] <= key:
-            lines = [json.loads(x) for x in zlib.decompress(_range(archive.folder, *blocks[i][2:])).decode().split("\n")]
-            keys = [x[0] for x in lines]
-            for x in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-                found.append(parse(_range(archive.folder, *x[2:])))
-            i += 1
+    with closing(_Reader(archive.folder)) as reader:
+        for part in sorted(own):
+            blocks = archive.directory.where(F.col("part") == part).orderBy("file", "offset").select("first_key", "last_key", "file", "offset", "length").collect()
+            i = bisect.bisect_left([b["last_key"] for b in blocks], key)
+            while i < len(blocks) and blocks[i]["first_key"] <= key:
+                lines = reader.lines(*blocks[i][2:])
+                keys = [x[0] for x in lines]
+                found += [parse(reader.range(*x[2:])) for x in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]]
+                i += 1
     return found
 
 
+#: DuckDB's answer to op8.  A SHA-1 in hex is 160 bits, that is 32 base32 characters.
+SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+b AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS best, array_to_string(list_transform(range(1, 41), lambda i: format('{:04b}', strpos('0123456789abcdef', substr(x, i, 1)) - 1)), '') AS bits FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, 5 * i + j + 1, 1) AS INT) * (16 // CAST(pow(2, j) AS INT))))::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM b
+"""
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return read(write(pages), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
