@@ -3,8 +3,10 @@
 Operator 10.  score = sigmoid(b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) where
 x_i says whether a term of hash slot i occurs.  The pairwise part finds pairs, such
 as an insult with a group mention, that a sum of weights misses.  Fitted on a
-bounded sample of labelled rows (SAMPLE_ROWS); slots that the sample doesn't link
-with the label (|z| below LEAST_Z) have no weight.  Terms are runs of letters,
+bounded sample of labelled rows (SAMPLE_ROWS).  Slots have weights if the sample
+links them with the label, alone (|z| from LEAST_Z) or in a pair whose four cells
+(both, one, the other, none) aren't additive (|z| from LEAST_PAIR_Z): so terms that
+are harmless alone are kept for the pairs that they form.  Terms are runs of letters,
 digits and non-ASCII characters, so marks around a word hide nothing.
 """
 
@@ -26,6 +28,10 @@ SAMPLE_ROWS = 8000
 SLOTS = 1 << 20
 RANK = 8
 LEAST_Z = 4.0
+#: Pairs are looked for among the slots of most documents, so many; pairs of rarer ones meet too seldom in the sample to show.
+PAIR_TERMS = 2048
+LEAST_PAIR_Z = 8.0
+MOST_PAIRED = 256
 #: The most linked slots get weights, so many at most.
 MOST_TERMS = 4096
 THRESHOLD = 0.7
@@ -65,6 +71,39 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "label": b.column("label"), "slots": pa.array(found, pa.binary())})
 
 
+def paired(doc: np.ndarray, slot: np.ndarray, y: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Slots of pairs that tell more of the label than the sum of both, from distinct (document, slot) pairs; MOST_PAIRED at most."""
+    n = len(y)
+    terms = np.argsort(-df, kind="stable")[:PAIR_TERMS]
+    terms = np.sort(terms[(df[terms] >= 8) & (df[terms] <= n - 8)])
+    if len(terms) < 2:
+        return terms[:0]
+    at = np.full(SLOTS, -1, np.int32)
+    at[terms] = np.arange(len(terms))
+    x = np.zeros((n, len(terms)), np.float32)
+    own = at[slot]
+    x[doc[own >= 0], own[own >= 0]] = 1
+    toxic = x[y > 0]
+    both, hits = x.T @ x, toxic.T @ toxic
+    total, toxic_total = np.diag(both).copy(), np.diag(hits).copy()
+    p = y.mean()
+    contrast, noise = np.zeros_like(both), np.zeros_like(both)
+    for sign, cell, found in (
+        (1, both, hits),
+        (-1, total[:, None] - both, toxic_total[:, None] - hits),
+        (-1, total[None, :] - both, toxic_total[None, :] - hits),
+        (1, n - total[:, None] - total[None, :] + both, len(toxic) - toxic_total[:, None] - toxic_total[None, :] + hits),
+    ):
+        # Rates are drawn to the mean by four documents' worth of it.
+        contrast += sign * (found + 4 * p) / (cell + 4)
+        noise += p * (1 - p) / (cell + 4)
+    z = np.abs(contrast) / np.sqrt(noise)
+    np.fill_diagonal(z, 0)
+    best = z.max(axis=1)
+    order = np.argsort(-best, kind="stable")[:MOST_PAIRED]
+    return terms[order[best[order] >= LEAST_PAIR_Z]]
+
+
 def train(rows: list[tuple[int, int, bytes]], steps: int = 300, seed: int = 1) -> Model:
     """From (doc_id, label, slots), in any order.  Without rows of both labels, every score is 0.01."""
     none = Model(np.zeros(SLOTS, np.int16), np.zeros(1), np.zeros((1, RANK)), float(np.log(0.01 / 0.99)))
@@ -79,7 +118,8 @@ def train(rows: list[tuple[int, int, bytes]], steps: int = 300, seed: int = 1) -
     # How far a slot's share of toxic documents lies off the mean, in standard errors of a smoothed share.
     z = (hits - df * p) / np.sqrt((df + 4) * p * (1 - p))
     strong = np.flatnonzero((np.abs(z) >= LEAST_Z) & (df >= 3))
-    strong = np.sort(strong[np.argsort(-np.abs(z[strong]), kind="stable")[:MOST_TERMS]])
+    strong = strong[np.argsort(-np.abs(z[strong]), kind="stable")[:MOST_TERMS]]
+    strong = np.union1d(strong, paired(doc, slot, y, df))
     index = np.zeros(SLOTS, np.int16)
     index[strong] = np.arange(1, len(strong) + 1)
     term = index[slot].astype(np.int64)
