@@ -1,6 +1,6 @@
 """Quality rules: counts of each text, and a calibrated logistic regression on hashed n-grams.
 
-Operator 9.  Features are the shares of hashed words and of hashed byte 4-grams;
+Operator 9.  Features are the shares of hashed words and of hashed 4-grams of code points;
 the model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS), a fifth
 of which calibrates its output to a probability (Platt scaling).  Scoring reads
 each text once, in Arrow batches, and holds the probability against a fixed
@@ -22,7 +22,7 @@ from mnemospark.llm._labelled import sample
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 2000
-#: Slots for words, and as many for byte n-grams.
+#: Slots for words, and as many for character n-grams.
 SLOTS = 1 << 15
 GRAM = 4
 #: Probability of good quality from which a document is kept.
@@ -32,14 +32,15 @@ SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """Slot of the byte n-gram at each position but the last GRAM - 1."""
-    d = data.astype(np.uint32)
-    n = max(0, len(d) - GRAM + 1)
-    g = np.zeros(n, dtype=np.uint32)
-    for i in range(GRAM):
-        g |= d[i : i + n] << np.uint32(8 * i)
-    return ((g * np.uint32(2654435761)) >> np.uint32(12)) & np.uint32(SLOTS - 1)
+def _grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the n-grams of GRAM code points of each document, and first[d]..first[d+1] those of document d."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    bounds = np.append(lead, len(data))
+    first = np.searchsorted(lead, offs)
+    n = np.maximum(np.diff(first) - GRAM + 1, 0)
+    own = np.append(0, np.cumsum(n))
+    i = np.arange(own[-1]) + np.repeat(first[:-1] - own[:-1], n)
+    return RollingHash(data).ranges(bounds[i], bounds[i + GRAM]) & np.uint64(SLOTS - 1), own
 
 
 @dataclass
@@ -62,11 +63,10 @@ def _shares(total: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray
 def raw_scores(model: Model, data: np.ndarray, offs: np.ndarray, words: Words) -> np.ndarray:
     w = np.zeros(len(words) + 1)
     np.cumsum(model.words[words.hash & np.uint64(SLOTS - 1)], out=w[1:])
-    g = _grams(data)
-    c = np.zeros(len(data) + 1)
-    np.cumsum(model.grams[g], out=c[1 : len(g) + 1])
-    last = np.maximum(offs[1:] - GRAM + 1, offs[:-1])
-    return SCALE * (_shares(w, words.first[:-1], words.first[1:]) + _shares(c, offs[:-1], last))
+    g, first = _grams(data, offs)
+    c = np.zeros(len(g) + 1)
+    np.cumsum(model.grams[g], out=c[1:])
+    return SCALE * (_shares(w, words.first[:-1], words.first[1:]) + _shares(c, first[:-1], first[1:]))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,9 +74,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {"doc_id": b.column("doc_id").to_pylist(), "label": b.column("label").to_pylist(), "slots": [], "values": []}
         for _, _, data, offs in slices(b.column("text")):
             words = Words(data, offs, lower=False)
+            grams, first = _grams(data, offs)
             for d in range(len(offs) - 1):
                 w = words.hash[words.first[d] : words.first[d + 1]] & np.uint64(SLOTS - 1)
-                g = _grams(data[offs[d] : offs[d + 1]])
+                g = grams[first[d] : first[d + 1]]
                 slots, values = [], []
                 for x, base in ((w, 0), (g, SLOTS)):
                     if len(x):

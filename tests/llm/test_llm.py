@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,6 +326,21 @@ def test_warc_round_trip(spark):
     assert sorted(r["page_id"] for r in warc.lookup(spark, archive, "http://b.example.com/x?q=1")) == [1, 5] and warc.lookup(spark, archive, "http://none.example.com/") == []
 
 
+def test_warc_equals_sql(spark, sf_dir):
+    duck = duckdb.connect()
+    found = duck.execute(warc.SQL.replace("FROM pages", f"FROM '{sf_dir}/pages.parquet'")).fetchall()
+    got = warc.op8(spark, sf_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(repr, found)) == sorted(repr(tuple(r)) for r in got) and found
+
+
+def test_warc_of_repeated_rows(spark):
+    """Null ids beside others, alone with their payload, and rows that repeat."""
+    rows = [(None, "u", "a"), (None, "u", "b"), (None, "v", "b"), (3, "w", "a"), (3, "w", "a"), (2, "x", "a"), (4, None, None)]
+    out = warc.read(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    want = [(None, "revisit", 3), (None, "response", None), (None, "response", None), (3, "response", None), (3, "response", None), (2, "revisit", 3), (4, "response", None)]
+    assert sorted(map(repr, ((r.page_id, r.record_type, r.refers_to) for r in out))) == sorted(map(repr, want))
+
+
 def brute_quality(t):
     w = [(m.start(), m[0]) for m in WORDS.finditer(t or "")]
     words = [x for _, x in w]
@@ -348,6 +364,42 @@ def test_quality_counts(spark):
     assert all(not (r.base_failed and r.kept) for r in got)
 
 
+def test_quality_model(spark):
+    """Held-out accuracy and calibration, with words and with characters of either kind of text telling."""
+    rng = random.Random(12)
+    good, bad = ([f"{stem}{i}" for i in range(200)] for stem in ("wörd", "ßpam"))
+    texts, labels = [], []
+    for i in range(700):
+        share = rng.random()  # of good words: the odds that a reader calls the text good
+        texts.append(" ".join(rng.choice(good if rng.random() < share else bad) for _ in range(80)))
+        labels.append((i, int(rng.random() < share), 0, share))
+    docs = documents(spark, texts)
+    marks = spark.createDataFrame([x[:3] for x in labels], "doc_id long, quality int, toxic int").where(toxicity.learn_rows())
+    got = {r.doc_id: r for r in quality.judge(docs, quality.fit(docs, marks)).where(~toxicity.learn_rows()).collect()}
+    clear = [r.kept == (labels[i][3] > 0.5) for i, r in got.items() if abs(labels[i][3] - 0.5) > 0.2]
+    assert len(clear) > 80 and sum(clear) / len(clear) > 0.85
+    # Probabilities mean what they say: on average, and in either half.
+    for half in (lambda p: True, lambda p: p < 0.5, lambda p: p >= 0.5):
+        own = [(r.probability, labels[i][3]) for i, r in got.items() if half(r.probability)]
+        assert abs(sum(p for p, _ in own) - sum(q for _, q in own)) / len(own) < 0.15
+
+
+def test_toxicity_of_pairs(spark):
+    """The label is one word or another but not both: either alone tells nothing."""
+    rng = random.Random(13)
+    vocab = [f"v{i}" for i in range(200)]
+    texts, labels = [], []
+    for i in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join([rng.choice(vocab) for _ in range(25)] + ["alpha"] * a + ["beta"] * b))
+        labels.append((i, 1, int(a != b)))
+    docs = documents(spark, texts)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), keep=toxicity.learn_rows())
+    held = {r.doc_id: r.predicted for r in toxicity.score(docs, model).where(~toxicity.learn_rows()).collect()}
+    right = [p == labels[i][2] for i, p in held.items()]
+    assert len(right) > 300 and sum(right) / len(right) > 0.95
+
+
 def test_models_on_held_out_rows(spark):
     """Toxic: an insult together with a group; either alone is not."""
     rng = random.Random(8)
