@@ -274,14 +274,15 @@ def _near_duplicates(scratch: Scratch, every: DataFrame, size: int, percent: int
     # What is left: lists whose groups are not all connected.
     labelled = scratch.stored(_labelled(classes.select("gid", "rep", "n", "small"), labels), "labels")
     spread = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count(F.lit(1)) == 1).alias("alone"))
-    rows = shared.select("h", "gid", "n", "i", "small").join(spread, "gid").withColumn("own", F.when(F.col("lo") == F.col("hi"), F.col("lo")))
+    rows = shared.select("h", "gid", "n", "i").join(spread, "gid").withColumn("own", F.when(F.col("lo") == F.col("hi"), F.col("lo")))
     major = rows.groupBy("h", "own").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.when(F.col("own").isNotNull(), F.struct("c", "own")))["own"].alias("major"), F.count(F.lit(1)).alias("parts"), F.max(F.col("own").isNull()).alias("mixed"))
     rows = rows.join(major.where("parts > 1 OR mixed"), "h").withColumn("main", F.coalesce(F.col("own") == F.col("major"), F.lit(False)))
+    rows = rows.join(classes.where("rep = gid").select("gid", "map"), "gid")
     x, y = rows.where("NOT main").alias("x"), rows.alias("y")
     ordered = F.col("y.main") | (F.col("x.gid") < F.col("y.gid"))
     same = F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False))
     # A group of one class is its class: what its parity map excludes needs no expansion.
-    may = ~(F.col("x.alone") & F.col("y.alone")) | _may_link(F.col("x.n"), F.col("x.small"), F.col("y.n"), F.col("y.small"), percent, FOLDED)
+    may = ~(F.col("x.alone") & F.col("y.alone")) | _may_link(F.col("x.n"), F.col("x.map"), F.col("y.n"), F.col("y.map"), percent)
     rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.gid") != F.col("y.gid")) & ordered & ~same & fits(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i")) & may)
     rest = scratch.stored(rest.select(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2"), (F.col("x.alone") & F.col("y.alone")).alias("alone"), ((F.col("x.n") > WIDE) & (F.col("y.n") > WIDE)).alias("long")).distinct(), "rest")
     inside = spread.where("lo != hi").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
