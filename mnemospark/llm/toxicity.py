@@ -29,7 +29,7 @@ SLOTS = 1 << 20
 RANK = 8
 LEAST_Z = 4.0
 #: Pairs are looked for among the slots of most documents, so many; pairs of rarer ones meet too seldom in the sample to show.
-PAIR_TERMS = 2048
+PAIR_TERMS = 1024
 LEAST_PAIR_Z = 8.0
 MOST_PAIRED = 256
 #: The most linked slots get weights, so many at most.
@@ -80,11 +80,16 @@ def paired(doc: np.ndarray, slot: np.ndarray, y: np.ndarray, df: np.ndarray) ->
         return terms[:0]
     at = np.full(SLOTS, -1, np.int32)
     at[terms] = np.arange(len(terms))
-    x = np.zeros((n, len(terms)), np.float32)
     own = at[slot]
-    x[doc[own >= 0], own[own >= 0]] = 1
-    toxic = x[y > 0]
-    both, hits = x.T @ x, toxic.T @ toxic
+    doc, own = doc[own >= 0], own[own >= 0]
+    both, hits = np.zeros((2, len(terms), len(terms)), np.float32)
+    for i in range(0, n, 1000):  # of documents in order
+        a, b = np.searchsorted(doc, (i, i + 1000))
+        x = np.zeros((min(1000, n - i), len(terms)), np.float32)
+        x[doc[a:b] - i, own[a:b]] = 1
+        both += x.T @ x
+        x = x[y[i : i + 1000] > 0]
+        hits += x.T @ x
     total, toxic_total = np.diag(both).copy(), np.diag(hits).copy()
     p = y.mean()
     contrast, noise = np.zeros_like(both), np.zeros_like(both)
@@ -92,7 +97,7 @@ def paired(doc: np.ndarray, slot: np.ndarray, y: np.ndarray, df: np.ndarray) ->
         (1, both, hits),
         (-1, total[:, None] - both, toxic_total[:, None] - hits),
         (-1, total[None, :] - both, toxic_total[None, :] - hits),
-        (1, n - total[:, None] - total[None, :] + both, len(toxic) - toxic_total[:, None] - toxic_total[None, :] + hits),
+        (1, n - total[:, None] - total[None, :] + both, (y > 0).sum() - toxic_total[:, None] - toxic_total[None, :] + hits),
     ):
         # Rates are drawn to the mean by four documents' worth of it.
         contrast += sign * (found + 4 * p) / (cell + 4)
@@ -104,7 +109,7 @@ def paired(doc: np.ndarray, slot: np.ndarray, y: np.ndarray, df: np.ndarray) ->
     return terms[order[best[order] >= LEAST_PAIR_Z]]
 
 
-def train(rows: list[tuple[int, int, bytes]], steps: int = 300, seed: int = 1) -> Model:
+def train(rows: list[tuple[int, int, bytes]], steps: int = 150, seed: int = 1) -> Model:
     """From (doc_id, label, slots), in any order.  Without rows of both labels, every score is 0.01."""
     none = Model(np.zeros(SLOTS, np.int16), np.zeros(1), np.zeros((1, RANK)), float(np.log(0.01 / 0.99)))
     if len({r[1] for r in rows}) < 2:
@@ -112,7 +117,7 @@ def train(rows: list[tuple[int, int, bytes]], steps: int = 300, seed: int = 1) -
     rows = sorted(rows)
     y = np.array([r[1] for r in rows], dtype=float)
     each = [np.frombuffer(r[2], np.int32) for r in rows]
-    doc, slot = np.repeat(np.arange(len(rows)), [len(x) for x in each]), np.concatenate(each)
+    doc, slot = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in each]), np.concatenate(each)
     df, hits = np.bincount(slot, minlength=SLOTS), np.bincount(slot, y[doc], SLOTS)
     p = y.mean()
     # How far a slot's share of toxic documents lies off the mean, in standard errors of a smoothed share.
@@ -122,30 +127,28 @@ def train(rows: list[tuple[int, int, bytes]], steps: int = 300, seed: int = 1) -
     strong = np.union1d(strong, paired(doc, slot, y, df))
     index = np.zeros(SLOTS, np.int16)
     index[strong] = np.arange(1, len(strong) + 1)
-    term = index[slot].astype(np.int64)
-    doc, term = doc[term > 0], term[term > 0]
-    pair = np.unique(doc * (len(strong) + 1) + term)
-    doc, term = pair // (len(strong) + 1), pair % (len(strong) + 1)
     n, k = len(rows), len(strong) + 1
-    v0 = np.random.default_rng(seed).normal(0, 0.05, (k, RANK))
-    model = Model(index, np.zeros(k), v0, float(np.log(p / (1 - p))))
-    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (model.weights, model.factors)]
-    bias_m = bias_v = 0.0
+    x = np.zeros((n, k), np.uint8)  # SAMPLE_ROWS x (MOST_TERMS + MOST_PAIRED) bytes at most
+    x[doc, index[slot]] = 1
+    x[:, 0] = 0
+    del doc, slot, each, rows
+    w, v, bias = np.zeros(k, np.float32), np.random.default_rng(seed).normal(0, 0.05, (k, RANK)).astype(np.float32), np.array([np.log(p / (1 - p))])
+    moments = [(np.zeros_like(g), np.zeros_like(g)) for g in (w, v, bias)]
     for t in range(1, steps + 1):
-        err = (1 / (1 + np.exp(-np.clip(model.logits(doc, term, n), -30, 30))) - y) / n
-        v = model.factors[term]
-        sums = np.stack([np.bincount(doc, v[:, f], n) for f in range(RANK)], axis=1)
-        gw = np.bincount(term, err[doc], k) + 1e-5 * model.weights
-        pull = err[doc][:, None] * (sums[doc] - v)
-        gv = np.stack([np.bincount(term, pull[:, f], k) for f in range(RANK)], axis=1) + 1e-4 * model.factors
-        for x, g, mv in ((model.weights, gw, moments[0]), (model.factors, gv, moments[1])):
-            mv[0] += 0.1 * (g - mv[0])
-            mv[1] += 0.001 * (g * g - mv[1])
-            x -= 0.05 * (mv[0] / (1 - 0.9**t)) / (np.sqrt(mv[1] / (1 - 0.999**t)) + 1e-8)
-        g = err.sum()
-        bias_m += 0.1 * (g - bias_m)
-        bias_v += 0.001 * (g * g - bias_v)
-        model.bias -= 0.05 * (bias_m / (1 - 0.9**t)) / (np.sqrt(bias_v / (1 - 0.999**t)) + 1e-8)
+        both, pull, miss = np.concatenate([w[:, None], v, v * v], axis=1), np.zeros((k, RANK + 1), np.float32), 0.0
+        for i in range(0, n, 1000):
+            own = x[i : i + 1000].astype(np.float32)
+            found = own @ both
+            sums = found[:, 1 : RANK + 1]
+            z = bias[0] + found[:, 0] + 0.5 * (sums**2 - found[:, RANK + 1 :]).sum(axis=1)
+            err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i : i + 1000]) / n).astype(np.float32)
+            pull += own.T @ np.concatenate([err[:, None], err[:, None] * sums], axis=1)
+            miss += float(err.sum())
+        for value, g, (m, u) in ((w, pull[:, 0] + 1e-5 * w, moments[0]), (v, pull[:, 1:] - pull[:, :1] * v + 1e-4 * v, moments[1]), (bias, np.array([miss]), moments[2])):
+            m += 0.1 * (g - m)
+            u += 0.001 * (g * g - u)
+            value -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(u / (1 - 0.999**t)) + 1e-8)
+    model = Model(index, w.astype(float), v.astype(float), float(bias[0]))
     model.weights[0] = 0
     model.factors[0] = 0
     return model
