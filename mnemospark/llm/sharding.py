@@ -1,7 +1,7 @@
 """Reproducible shuffle into shards: a Feistel permutation of global row numbers.
 
 Operator 4, DataFrame functions only.  A row's global number is its rank by
-(hash of id, id, text); the permutation p of 0..N-1 gives shard ``p mod S`` and
+(hash of id and text, id, text); the permutation p of 0..N-1 gives shard ``p mod S`` and
 slot ``p div S``, so shard counts differ by one at most, slots have no gaps, and
 any row's place, or the row number at any place, is computed from N and the seed.
 
@@ -13,6 +13,7 @@ its cycle, which is back inside after a steps at the latest.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from mnemospark.llm.rows import numbered
 
 ROUNDS = 6
-#: Walks longer than this have a chance below 2**-160 once more than 32 cells a side exist; fewer cells can't need more.
+#: Steps that every walk is given at once; the few longer ones, of a chance below 2**-160 once more than 32 cells a side exist, walk on.
 LONGEST_WALK = 32
 
 
@@ -46,7 +47,8 @@ def feistel(x: Column, n: int, seed: int = 0) -> Column:
     out = once(x.cast("long"))
     if a * b > n:
         out = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), out, lambda v, _: F.when(v < n, v).otherwise(once(v)))
-        out = F.when(out < n, out).otherwise(F.raise_error(F.lit("cycle walk too long")).cast("long"))
+        # Cells outside are fewer than a: a walk that long ends.  Nearly no row gets here.
+        out = F.when(out < n, out).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(a)), out, lambda v, _: F.when(v < n, v).otherwise(once(v))))
     return out
 
 
@@ -59,9 +61,10 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7, id_col: str = "doc_i
     """
     docs = docs.drop("shard", "slot")
     n = docs.select(F.count(F.lit(1))).first()[0]
-    rows = numbered(docs, F.col(id_col), [F.col(text_col)], "__row")
-    p = rows.withColumn("__p", feistel(F.col("__row"), n, seed))
-    return p.withColumn("shard", F.pmod("__p", F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col("__p") / shards).cast("long")).drop("__row", "__p")
+    row, place = (f"{x}-{uuid.uuid4().hex}" for x in ("row", "place"))
+    rows = numbered(docs, F.col(id_col), [F.col(text_col)], row)
+    p = rows.withColumn(place, feistel(F.col(row), n, seed))
+    return p.withColumn("shard", F.pmod(F.col(place), F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col(place) / shards).cast("long")).drop(row, place)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -183,7 +183,7 @@ def test_nulls_and_long_texts(spark):
 def test_mixing_deviates_by_less_than_a_block(spark):
     rows = spark.createDataFrame([(i, "a" if i % 3 else ("b" if i % 2 else None), i) for i in range(1500)], "doc_id long, source string, slot long")
     weights = {"a": 0.2, "b": 0.5, None: 0.3}
-    out = mixing.mix(rows, weights, block_rows=8, period=100).collect()
+    out = mixing.mix(rows, weights, block_rows=8).collect()
     assert {(r.doc_id, r.source) for r in out} == {(r.doc_id, r.source) for r in rows.collect()}
     slots = sorted({(r.slot, r.source) for r in out}, key=lambda x: x[0])
     assert [s for s, _ in slots] == list(range(len(slots)))
@@ -194,12 +194,45 @@ def test_mixing_deviates_by_less_than_a_block(spark):
     assert mixing.mix(rows.limit(0)).count() == 0
 
 
+def brute_edf(shares, slots):
+    names = sorted(shares, key=lambda s: (s is None, str(s)))
+    unit, done, out = sum(shares.values()), dict.fromkeys(names, 0), []
+    for t in range(slots):
+        _, _, best = min((-(-(done[s] + 1) * unit // shares[s]), i, s) for i, s in enumerate(names) if done[s] * unit // shares[s] <= t)
+        out.append((best, done[best], t))
+        done[best] += 1
+    return out
+
+
+def test_schedule_equals_brute_force(spark):
+    """Spans made at once equal one slot after the other; weights are true ones, also small ones."""
+    rng = random.Random(2)
+    for weights in ({"a": 1 / 3, "b": 1 / 7, "c": 1 / 100_000, "d": 1 - 1 / 3 - 1 / 7 - 1 / 100_000}, {f"s{i}": rng.random() ** 4 + 1e-6 for i in range(40)}, {"a": 0.4, "b": 0.4} | {f"t{i}": 0.001 for i in range(200)}, {None: 5.0}):
+        slots = 20_000 if len(weights) == 4 else 1500
+        shares = mixing.quotas(weights)
+        got = sorted(map(tuple, mixing.schedule(spark, shares, slots, span=5000 if len(weights) == 4 else 37).collect()), key=lambda x: x[2])
+        assert got == brute_edf(shares, slots)
+        seen, total = dict.fromkeys(weights, 0), sum(weights.values())
+        for s, _, t in got:
+            seen[s] += 1
+            assert abs(seen[s] - (t + 1) * weights[s] / total) < 1
+        assert all(abs(n - slots * weights[s] / total) < 1 for s, n in seen.items())
+
+
+def test_mixing_of_many_sources(spark):
+    """2000 sources beside one of a third of the rows: each comes at its weight, and nothing is lost."""
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id"))).alias("source"))
+    out = mixing.mix(rows, block_rows=1, temper=1.0)
+    assert out.select("doc_id").distinct().count() == 3000 and out.count() < 6100
+    assert abs(out.where("source = 'hot'").count() / out.count() - 1 / 3) < 0.001
+
+
 def test_mixing_meets_targets_in_rows(spark):
     """Sources of 65, 10 and 1 rows beside a hot one: only the very last block is short."""
     sizes = {"hot": 1003, "b": 65, "c": 10, None: 1}
     weights = {"hot": 0.4, "b": 0.3, "c": 0.2, None: 0.1}
     rows = [(s, k) for s, n in sizes.items() for k in range(n)]
-    out = mixing.mix(spark.createDataFrame([(i, s) for i, (s, _) in enumerate(rows)], "doc_id long, source string"), weights, block_rows=64, period=10).collect()
+    out = mixing.mix(spark.createDataFrame([(i, s) for i, (s, _) in enumerate(rows)], "doc_id long, source string"), weights, block_rows=64).collect()
     assert {r.doc_id for r in out} == set(range(len(rows)))
     assert len({(r.doc_id, r.epoch) for r in out}) == len(out) and sorted(r.position for r in out) == list(range(len(out)))
     for s, n in sizes.items():
