@@ -56,12 +56,18 @@ def lookup(table: Mapping[str, float], key: Column, default: float = 0.0) -> Col
     return out.otherwise(F.lit(default))
 
 
+#: As many words as the bonus for length counts (0.15 x 200).
+MOST_WORDS = 30
+NAME = r"(?<![A-Za-z0-9_])[A-Z][a-z]++(?![A-Za-z0-9_])"
+
+
 def salience(counted: Column, matched: Column, content: Column, category: Column, store: Column, tags: Column) -> Column:
     """A prior for how much a row matters: its length, tell-tale words, kind, names and tags."""
-    n = F.size(T.words(counted))
+    n = T.words_up_to(counted, MOST_WORDS)
     low = F.lower(matched)
     bonus = lambda p, v: F.when(low.rlike(p), v).otherwise(0.0)
-    names = F.regexp_count(F.coalesce(content, F.lit("")), F.lit(T.ascii_edges(r"\b[A-Z][a-z]+\b")))
+    # Two names earn all that names can.
+    names = F.when(content.rlike(f"(?s){NAME}.*?{NAME}"), 2).when(content.rlike(NAME), 1).otherwise(0)
     total = 0.3 + F.least(n / 200, F.lit(0.15)) + bonus(DECISION, 0.15) + bonus(LESSON, 0.12) + bonus(GOAL, 0.12)
     total = total + lookup(CATEGORY_BONUS, category) + lookup(STORE_BONUS, store) + F.least(names / 20, F.lit(0.08)) + F.least(F.size(tags) * 0.02, F.lit(0.08))
     return clamp01(total)

@@ -17,7 +17,7 @@ def ascii_edges(pattern: str) -> str:
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\r\f"))
 
 
 def folded(c: Column) -> Column:
@@ -34,6 +34,12 @@ def one_line(c: Column) -> Column:
     return trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE + "+", " "))
 
 
+def words_up_to(c: Column, most: int) -> Column:
+    """The number of words of a text, or ``most`` + 1 if it has more: what comes after them isn't split."""
+    t = trim(c)
+    return F.when(t == "", 0).otherwise(F.size(F.split(t, SPACE + "+", most + 1)))
+
+
 def words(c: Column) -> Column:
     """The words of a text between white space."""
     return F.filter(F.split(trim(c), SPACE + "+"), lambda w: w != "")
@@ -91,10 +97,15 @@ def lexical_score(query: str, content: Column) -> Column:
 
 def hash_text(c: Column) -> Column:
     """The form under which texts count as equal: line ends, blanks and empty lines are evened out."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n", "\n")
-    c = F.regexp_replace(c, "[ \t]+", " ")
-    c = F.regexp_replace(F.regexp_replace(c, "\n ", "\n"), " \n", "\n")
-    return trim(F.regexp_replace(c, "\n{3,}", "\n\n"))
+    c = F.replace(F.coalesce(c, F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    c = F.when(F.contains(c, F.lit("\n")), F.regexp_replace(c, "[ \t]*\n[ \t]*", "\n")).otherwise(c)
+    c = F.regexp_replace(c, "[ \t]{2,}|\t", " ")
+    return trim(F.when(F.contains(c, F.lit("\n\n\n")), F.regexp_replace(c, "\n{3,}", "\n\n")).otherwise(c))
+
+
+def token_pattern(token: str) -> str:
+    """Where a token (of a-z and 0-9) stands in lower-case text as a whole run."""
+    return f"(?<![a-z0-9]){re.escape(token)}(?![a-z0-9])"
 
 
 def message_hash(role: Column, content: Column) -> Column:

@@ -39,7 +39,7 @@ def candidates(memories: DataFrame, vectors: DataFrame, vector: Sequence[float],
     from mnemospark.operators.search import nearest, tiered_text
 
     ids = memories.select("memory_id")
-    near = nearest(vectors.join(ids, "memory_id", "left_semi").select("memory_id", "embedding"), list(vector), per_search).select("memory_id", F.col("score").alias("vector_score"), F.lit(0.0).alias("text_hint"))
+    near = nearest(vectors.select("memory_id", "embedding"), list(vector), per_search, among=ids).select("memory_id", F.col("score").alias("vector_score"), F.lit(0.0).alias("text_hint"))
     out = near.unionByName(tiered_text(memories, query, per_search).select("memory_id", F.lit(0.0).alias("vector_score"), F.col("hint").alias("text_hint")))
     span = parse_range(query, now_ms)
     if span:

@@ -23,10 +23,15 @@ BLOCK_BYTES = 64 << 20
 K1, B = 1.2, 0.75
 
 
-def nearest(rows: DataFrame, vector: list[float], k: int, id_col: str = "memory_id", vector_col: str = "embedding") -> DataFrame:
-    """(all columns but the vector, score): the k rows of highest cosine with one vector; filters on rows stay below the scoring."""
+def nearest(rows: DataFrame, vector: list[float], k: int, id_col: str = "memory_id", vector_col: str = "embedding", among: DataFrame | None = None) -> DataFrame:
+    """(all columns but the vector, score): the k rows of highest cosine with one vector; filters on rows stay below the scoring.
+
+    ``among`` has the ids that may be found: scores, not vectors, are shuffled to meet them.
+    """
     q = F.array(*[F.lit(float(x)) for x in vector])
     scored = rows.withColumn("score", F.round(V.cosine(F.col(vector_col), q), 6)).drop(vector_col)
+    if among is not None:
+        scored = scored.join(among.select(id_col), id_col, "left_semi")
     return top(scored, k, F.desc("score"), F.asc(id_col))
 
 
@@ -65,10 +70,6 @@ def _by_blocks(queries: DataFrame, rows: DataFrame, found: Callable, id_col: str
     return reduce(DataFrame.unionAll, parts)
 
 
-def _equals(value: str) -> Callable:
-    return lambda x: F.when(x == value, True)
-
-
 _EMPTY = "a long, b long, score double"
 
 
@@ -113,10 +114,10 @@ def bm25(docs: DataFrame, query: str, k: int, id_col: str = "memory_id", text_co
     one small aggregate and no postings are shuffled.
     """
     terms = sorted(set(T.query_tokens(query)))
-    tokens = docs.select(id_col, T.tokens(F.col(text_col)).alias("t"))
     if not terms:
-        return tokens.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    tf = tokens.select(id_col, F.size("t").alias("len"), *[F.size(F.array_compact(F.transform("t", _equals(q)))).alias(f"tf{i}") for i, q in enumerate(terms)])
+        return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    low = docs.select(id_col, F.lower(F.coalesce(text_col, F.lit(""))).alias("t"))
+    tf = low.select(id_col, F.regexp_count("t", F.lit("[a-z0-9]{2,}")).alias("len"), *[F.when(F.contains("t", F.lit(q)), F.regexp_count("t", F.lit(T.token_pattern(q)))).otherwise(0).alias(f"tf{i}") for i, q in enumerate(terms)])
     stats = tf.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     hits = tf.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))]))
     score = F.lit(0.0)
@@ -132,8 +133,8 @@ def tiered_text(docs: DataFrame, query: str, k: int, id_col: str = "memory_id")
     terms = T.query_tokens(query)
 
     def has(c: str):
-        t = T.tokens(F.col(c))
-        return reduce(lambda a, b: a & b, [F.array_contains(t, q) for q in terms], F.lit(bool(terms)))
+        low = F.lower(F.col(c))
+        return reduce(lambda a, b: a & b, [F.contains(low, F.lit(q)) & low.rlike(T.token_pattern(q)) for q in terms], F.lit(bool(terms)))
 
     hint = F.when(has("title"), 1.0).when(has("content"), 0.75)
     return top(docs.select(id_col, hint.alias("hint"), "last_accessed_ms").where("hint IS NOT NULL"), k, F.desc("hint"), F.desc("last_accessed_ms"), F.asc(id_col)).select(id_col, "hint")

@@ -222,10 +222,10 @@ def d30(spark, d):
     return last.groupBy("user_id").agg(F.count_if(F.col("result_count") >= 3).alias("covered"), F.count_if(F.col("result_count") < 2).alias("gaps"))
 
 
-@query("d31_dispatch_gap", sql("SELECT user_id, count(*) FILTER (event_type = 'view') AS received, count(*) FILTER (event_type = 'view') >= 3 AND count(*) FILTER (event_type = 'signup') = 0 AS stalled FROM requests WHERE event_id % 10 < 4 GROUP BY user_id"))
+@query("d31_dispatch_gap", sql("SELECT user_id, count(*) FILTER (event_type = 'view') AS received, count(*) FILTER (event_type = 'view') >= 3 AND count(*) FILTER (event_type = 'signup') = 0 AS stalled FROM requests GROUP BY user_id"))
 def d31(spark, d):
     got = F.count_if(F.col("event_type") == "view")
-    return t.requests(spark, d).where("event_id % 10 < 4").groupBy("user_id").agg(got.alias("received"), ((got >= 3) & (F.count_if(F.col("event_type") == "signup") == 0)).alias("stalled"))
+    return t.requests(spark, d).groupBy("user_id").agg(got.alias("received"), ((got >= 3) & (F.count_if(F.col("event_type") == "signup") == 0)).alias("stalled"))
 
 
 @query("d32_signal_log", sql("SELECT user_id, string_agg(memory_id || ':' || round(strength, 2), ',' ORDER BY strength DESC, memory_id) AS signals FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY strength DESC, memory_id) AS n FROM memories) WHERE n <= 30 GROUP BY user_id"))

@@ -310,12 +310,12 @@ def h4_3(spark, d):
     return docs(spark, d).select("memory_id", J.number(F.col("metadata"), "observationCount").alias("seen"), J.number(F.col("metadata"), "lastObserved").alias("last"))
 
 
-@query("h4_payload_rows", sql("SELECT event_id, i AS place, k + i AS value FROM event_rows, range(0, 3) r(i) WHERE event_id % 2 = 0"))
+@query("h4_payload_rows", sql("SELECT event_id, i AS place, k + i AS value FROM event_rows, range(0, 3) r(i)"))
 def h4_6(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
     items = F.to_json(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(i.cast("long").alias("place"), (k + i).alias("value"))))
     raw = F.when(F.col("event_id") % 4 == 0, items).otherwise(F.concat(F.lit('{"memories":'), items, F.lit("}")))
-    return t.table(spark, d, "events").where("event_id % 2 = 0").select("event_id", F.explode(J.payload_rows(raw, "struct<place:bigint,value:bigint>")).alias("x")).select("event_id", "x.place", "x.value")
+    return t.table(spark, d, "events").select("event_id", F.explode(J.payload_rows(raw, "struct<place:bigint,value:bigint>")).alias("x")).select("event_id", "x.place", "x.value")
 
 
 @query("h4_relation_map", sql("SELECT edge_id, CASE relation WHEN 'supports' THEN 'supports' WHEN 'contradicts' THEN 'conflicts_with' WHEN 'derives_from' THEN 'depends_on' WHEN 'co_occurred' THEN 'occurs_with' WHEN 'generalizes' THEN 'supports' WHEN 'precedes' THEN 'leads_to' END AS graph_relation FROM associations"))

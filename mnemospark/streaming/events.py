@@ -37,8 +37,8 @@ def daily_counts(events: DataFrame, ts: str = "ts", late: str = "1 hour") -> Dat
     return events.withWatermark(ts, late).groupBy("user_id", F.window(ts, "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("day"), "n")
 
 
-def rate_limited(events: DataFrame, limit: int = 60, window_ms: int = MINUTE_MS, idle_ms: int = 60 * MINUTE_MS) -> DataFrame:
-    """(event_id, user_id, ts_ms, nth, allowed): windows open at a user's first event after the last one closed.  State: two numbers a user, gone after idle_ms."""
+def rate_limited(events: DataFrame, limit: int = 60, window_ms: int = MINUTE_MS, idle_ms: int = 60 * MINUTE_MS, late: str = "5 minutes") -> DataFrame:
+    """(event_id, user_id, ts_ms, nth, allowed): windows open at a user's first event after the last one closed.  Events later than the watermark take no part.  State: two numbers a user, gone when the watermark is idle_ms past the user's last event."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -53,11 +53,12 @@ def rate_limited(events: DataFrame, limit: int = 60, window_ms: int = MINUTE_MS,
             n += 1
             nth.append(n)
         state.update((int(start), int(n)))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(int(rows["ts_ms"].iloc[-1]), state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "ts_ms": rows["ts_ms"], "nth": nth, "allowed": [x <= limit for x in nth]})
 
-    rows = events.select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
-    return rows.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, ts_ms long, nth long, allowed boolean", "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    ts = F.col("ts").cast("timestamp")
+    rows = events.select("event_id", "user_id", ts.alias("ts"), F.unix_millis(ts).alias("ts_ms")).withWatermark("ts", late)
+    return rows.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, ts_ms long, nth long, allowed boolean", "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stalled(events: DataFrame, received: str, done: str, pending: int = 3, wait_ms: int = 10 * MINUTE_MS, quiet_ms: int = 60 * MINUTE_MS) -> DataFrame:
@@ -82,6 +83,12 @@ def stalled(events: DataFrame, received: str, done: str, pending: int = 3, wait_
     return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts_ms long, pending long", "since long, n long, told long", "append", GroupStateTimeout.NoTimeout)
 
 
-def written(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Run over all that is there, then end; what is written is exactly once."""
-    stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def written(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", seconds: int | None = None) -> bool:
+    """Run over all that is there, then end; what is written is exactly once.  Stops after ``seconds`` and says whether it had ended."""
+    query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if seconds is None:
+        query.awaitTermination()
+        return True
+    ended = bool(query.awaitTermination(seconds))
+    query.stop()
+    return ended

@@ -14,7 +14,7 @@ def folder(spark, tmp_path, sf_dir):
 
 def test_rate_limit_equals_batch(spark, tmp_path, sf_dir):
     rows, path = folder(spark, tmp_path, sf_dir)
-    E.written(E.rate_limited(E.read_events(spark, path), 3, 6 * 3_600_000), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert E.written(E.rate_limited(E.read_events(spark, path), 3, 6 * 3_600_000), str(tmp_path / "out"), str(tmp_path / "ck"), seconds=120)
     got = {(r.event_id, r.nth, r.allowed) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = lifecycle.fixed_window_limit(rows.select("event_id", "user_id", F.unix_millis("ts").alias("ts")), 3, 6 * 3_600_000)
     assert got == {(r.event_id, r.nth, r.allowed) for r in batch.collect()} and got
@@ -22,7 +22,7 @@ def test_rate_limit_equals_batch(spark, tmp_path, sf_dir):
 
 def test_dedupe_and_stalled(spark, tmp_path, sf_dir):
     rows, path = folder(spark, tmp_path, sf_dir)
-    E.written(E.deduplicated(E.read_events(spark, path), ["user_id", "event_type"], band="30 days"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert E.written(E.deduplicated(E.read_events(spark, path), ["user_id", "event_type"], band="30 days"), str(tmp_path / "out"), str(tmp_path / "ck"), seconds=120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == rows.select("user_id", "event_type").distinct().count()
-    E.written(E.stalled(E.read_events(spark, path), "view", "signup"), str(tmp_path / "out2"), str(tmp_path / "ck2"))
+    assert E.written(E.stalled(E.read_events(spark, path), "view", "signup"), str(tmp_path / "out2"), str(tmp_path / "ck2"), seconds=120)
     assert all(r.pending > 3 for r in spark.read.parquet(str(tmp_path / "out2")).collect())
