@@ -62,3 +62,70 @@ def payload_rows(c: Column, schema: str, keys: tuple[str, ...] = ("memories",))
     arrays = [F.from_json(F.when(F.startswith(F.ltrim(c), F.lit("[")), c), f"array<{schema}>")]
     arrays += [F.from_json(F.get_json_object(c, f"$.{k}"), f"array<{schema}>") for k in keys]
     return F.coalesce(*arrays)
+
+
+#: Fields that hold a text, and those that lead to one, in the order in which they are asked.
+TEXT_FIELDS = ("text", "content", "outputText", "inputText", "prompt", "completion", "responseText", "message", "delta")
+NESTED_FIELDS = ("message", "messages", "parts", "content", "input", "output", "response", "result", "data", "choices", "delta")
+
+
+def _text_of(value: object, depth: int = 0) -> str:
+    if depth > 4 or value is None:
+        return ""
+    if isinstance(value, str):
+        return value.strip()
+    if isinstance(value, list):
+        return "\n".join(filter(None, (_text_of(x, depth + 1) for x in value))).strip()
+    if isinstance(value, dict):
+        direct = next((v.strip() for v in map(value.get, TEXT_FIELDS) if isinstance(v, str) and v.strip()), "")
+        return direct or next(filter(None, (_text_of(value.get(k), depth + 1) for k in NESTED_FIELDS)), "")
+    return ""
+
+
+@F.pandas_udf(StringType())
+def nested_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The text of an event of unknown shape: the first of its text fields, down to four levels; texts of a list are joined by lines."""
+
+    def one(raw: str | None) -> str:
+        try:
+            return _text_of(json.loads(raw or "null"))
+        except ValueError:
+            return ""
+
+    for s in batches:
+        yield s.map(one, na_action=None)
+
+
+def model_text(c: Column) -> Column:
+    """The text of a model's answer: the texts of its candidates' parts, or a candidate's output_text, else the answer's own text."""
+    answer = F.from_json(c, "candidates array<struct<content:struct<parts:array<struct<text:string>>>,output_text:string>>, text string")
+    filled = lambda xs: F.filter(xs, lambda x: F.coalesce(x != "", F.lit(False)))
+    none = F.array().cast("array<string>")
+
+    def of(candidate: Column) -> Column:
+        parts = filled(F.transform(candidate["content"]["parts"], lambda p: p["text"]))
+        return F.when(F.size(F.coalesce(parts, none)) > 0, parts).when(candidate["output_text"].isNotNull(), F.array(candidate["output_text"])).otherwise(none)
+
+    texts = F.trim(F.array_join(F.flatten(F.transform(answer["candidates"], of)), "\n"))
+    return F.when(F.coalesce(texts != "", F.lit(False)), texts).otherwise(F.trim(F.coalesce(answer["text"], F.lit(""))))
+
+
+def conflict(metadata: Column, pair: Column, summary: Column, updated_ms: Column) -> Column:
+    """The record of a conflict; what its metadata lacks or holds in another type comes from the group."""
+    typed = lambda name, pattern: F.when(metadata.rlike(rf'"{name}"\s*:\s*{pattern}'), F.get_json_object(metadata, f"$.{name}"))
+    status = typed("status", '"')
+    return F.struct(
+        F.coalesce(typed("pairKey", '"'), pair).alias("pair_key"),
+        F.when(status.isin("unresolved", "dismissed", "resolved", "scoped"), status).otherwise("unresolved").alias("status"),
+        typed("score", "-?[0-9]").cast("double").alias("score"),
+        F.coalesce(typed("explanation", '"'), summary).alias("explanation"),
+        F.coalesce(typed("detectedAt", "-?[0-9]").cast("long"), updated_ms).alias("detected_ms"),
+    )
+
+
+def merged_steps(old: Column, new: Column, most: int = 12) -> Column:
+    """Steps (action, command) of both, of equal ones the first, numbered from 1; ``most`` at most."""
+    every = F.concat(old, new)
+    keys = F.transform(every, lambda s: F.concat_ws("::", F.lower(s["action"]), F.lower(F.coalesce(s["command"], F.lit("")))))
+    first = F.filter(F.arrays_zip(every.alias("s"), F.transform(keys, lambda k, i: F.array_position(keys, k) == i + 1).alias("f")), lambda x: x["f"])
+    return F.slice(F.transform(first, lambda x, i: F.struct((i + 1).alias("order"), x["s"]["action"].alias("action"), x["s"]["command"].alias("command"))), 1, most)

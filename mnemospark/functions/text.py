@@ -207,6 +207,10 @@ INTENTS = (
 )
 
 
+#: The heading of a briefing; a name of one word may follow "Memory".
+BRIEFING = r"(?m)^## Memory( [A-Z][a-z]+)? (— )?(Context|Wake) Briefing"
+
+
 def redacted(c: Column) -> Column:
     """Labelled secrets, card numbers, passwords after e-mail addresses and access keys replaced by [REDACTED]."""
     c = F.regexp_replace(F.coalesce(c, F.lit("")), ascii_edges(SECRET), "$1$2[REDACTED]")
@@ -247,6 +251,16 @@ def skill_name(c: Column, fallback: str = "skill-gap-1") -> Column:
     return F.when(s == "", fallback).otherwise(s)
 
 
+def wake_summary(c: Column) -> Column:
+    """The last session's summary; of one that repeats a briefing, what follows the first heading that is known."""
+    c = trim(c)
+    out = c
+    for mark in ("Open goals:", "## Recent conversation", "Recent conversation:"):
+        at = F.locate(mark, c)
+        out = F.when(at > 0, trim(F.substring(c, at, F.length(c)))).otherwise(out)
+    return F.when(c.rlike(BRIEFING), out).otherwise(c)
+
+
 def pair_key(a: Column, b: Column) -> Column:
     a, b = a.cast("string"), b.cast("string")
     return F.concat_ws("::", F.least(a, b), F.greatest(a, b))

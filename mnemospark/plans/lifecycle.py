@@ -112,11 +112,6 @@ def j9(spark, d):
     return rows.groupBy("user_id", F.session_window("at", "15 minutes").alias("w")).agg(F.min("ts").alias("start_ms"), F.max("ts").alias("last_ms"), F.count(F.lit(1)).alias("messages")).drop("w")
 
 
-@query("j10_rate_limit")
-def j10(spark, d):
-    return lifecycle.fixed_window_limit(t.requests(spark, d), limit=3, window_ms=6 * HOUR_MS).select("event_id", "window_start", "nth", "allowed")
-
-
 @query("j11_daily_quota", sql("SELECT event_id, strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id, ts // 86400000 ORDER BY ts, event_id) <= 2 AS allowed FROM requests"))
 def j11(spark, d):
     return lifecycle.daily_quota(t.requests(spark, d), 2).select("event_id", "day", "allowed")
