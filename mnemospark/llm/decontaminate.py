@@ -15,8 +15,10 @@ a span not much longer than the item.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,6 +40,9 @@ SPAN = 1.5
 LEAST_LCS, LEAST_LCS_WITH_ANSWER, LEAST_ANSWER = 0.75, 0.6, 0.6
 #: Items of fewer words count only when found whole.
 SHORT = 8
+#: Words of the benchmark in one index, about: larger benchmarks are searched in parts, each with an index of its own.  An index
+#: has at most as many rows of RANK floats as its part has different words and items.
+PART_WORDS = 1 << 18
 _BLOCK = 4096
 
 
@@ -119,7 +124,7 @@ def _applied(items: DataFrame, place: np.ndarray, weights: np.ndarray, basis: np
 
 
 def index(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", rank: int = RANK, seed: int = 5) -> Index | None:
-    """The latent index of the benchmark; None if it has no words.  Its size is bounded by SLOTS x RANK and the benchmark itself."""
+    """The latent index of a benchmark, or of a part of one; None if it has no words.  Its size is bounded by SLOTS x RANK and the items."""
     items = _lowered(benchmark, id_col, text_col).where("id IS NOT NULL").mapInArrow(_item_words, "id long, words array<long>")
     own = sorted((r[0], np.array(r[1], dtype=np.int64)) for r in items.collect() if r[1])
     if not own:
@@ -157,6 +162,16 @@ def index(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_c
     return Index(place, weights, basis * weights[:, None], own, raw, norms, lengths)
 
 
+def indexes(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> Iterator[Index]:
+    """Indexes of the parts of a benchmark, so that none outgrows what a task and the driver can hold."""
+    words = _lowered(benchmark, "item_id", "text").mapInArrow(_item_words, "id long, words array<long>").agg(F.sum(F.size("words"))).first()[0] or 0
+    parts = max(1, -(-words // part_words))
+    for i in range(parts):
+        ix = index(docs, benchmark.where(F.pmod(F.xxhash64(F.col("item_id").cast("long")), F.lit(parts)) == i))
+        if ix is not None:
+            yield ix
+
+
 def lcs(item: np.ndarray, text: np.ndarray) -> int:
     """Length of the longest common subsequence, bit-parallel over the item."""
     at: dict[int, int] = {}
@@ -264,38 +279,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     with null ids are searched too; repeated rows give repeated results; without
     items the result is empty.
     """
-    ix = index(docs, benchmark)
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
-    if ix is None:
-        return docs.sparkSession.createDataFrame([], schema)
+    found = []
+    for ix in indexes(docs, benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(ix)  # of PART_WORDS words
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, data, offs in slices(b.column("text")):
-                found = leaks_of(ix, _words(data, offs), j - i)
-                ids = b.column("id")
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[i + f[0]].as_py() for f in found], pa.int64()), "item_id": pa.array([ix.items[f[1]][0] for f in found], pa.int64())} | {c: pa.array([f[k] for f in found], pa.float64()) for k, c in ((2, "cosine"), (3, "lcs_share"), (4, "answer_share"))})
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ix = shared.value
+            for b in batches:
+                for i, j, data, offs in slices(b.column("text")):
+                    leaks = leaks_of(ix, _words(data, offs), j - i)
+                    ids = b.column("id")
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[i + f[0]].as_py() for f in leaks], pa.int64()), "item_id": pa.array([ix.items[f[1]][0] for f in leaks], pa.int64())} | {c: pa.array([f[k] for f in leaks], pa.float64()) for k, c in ((2, "cosine"), (3, "lcs_share"), (4, "answer_share"))})
 
-    return _lowered(docs, "doc_id", "text").mapInArrow(run, schema)
+        found.append(_lowered(docs, "doc_id", "text").mapInArrow(run, schema))
+    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark item; rows and columns are otherwise untouched, and nothing is shuffled."""
-    ix = index(docs, benchmark)
-    if ix is None:
-        return docs
-    columns = docs.columns
-    low = "__lowered"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = np.zeros(b.num_rows, bool)
-            for i, j, data, offs in slices(b.column(low)):
-                for f in leaks_of(ix, _words(data, offs), j - i):
-                    held[i + f[0]] = True
-            yield b.select(columns).filter(pa.array(~held))
-
-    return docs.withColumn(low, F.lower("text")).mapInArrow(run, docs.schema)
+    columns, schema, low = docs.columns, docs.schema, f"lowered-{uuid.uuid4().hex}"
+    kept = docs
+    for ix in indexes(docs, benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(ix)  # of PART_WORDS words
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                held = np.zeros(b.num_rows, bool)
+                for i, j, data, offs in slices(b.column(low)):
+                    for f in leaks_of(shared.value, _words(data, offs), j - i):
+                        held[i + f[0]] = True
+                yield b.select(columns).filter(pa.array(~held))
+
+        kept = kept.withColumn(low, F.lower("text")).mapInArrow(run, schema)
+    return kept
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -332,6 +332,18 @@ def test_decontamination_of_common_items(spark, n):
     assert {(r.doc_id, r.item_id, r.lcs_share) for r in got} == {(i, 0, 1.0) for i in held}
 
 
+def test_decontamination_in_parts(spark, monkeypatch):
+    """A benchmark beyond one index is searched in parts, with nothing lost."""
+    rng = random.Random(9)
+    items = [[f"t{rng.randrange(900)}" for _ in range(30)] for _ in range(12)]
+    texts = [" ".join(x + items[i % 12] + x) for i in range(24) for x in [[f"u{rng.randrange(900)}" for _ in range(40)]]] + ["plain text of no item"]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate.indexes, "__defaults__", (100,))
+    docs = documents(spark, texts)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == {(i, i % 12) for i in range(24)}
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [24]
+
+
 def test_decontamination_of_long_items(spark):
     """Items of 30 to 2000 words, whole and with a fifth of the words changed, at the start, within and at the end of a document."""
     rng = random.Random(6)
