@@ -10,6 +10,7 @@ sets of distinct n-word shingles (ASCII lower case).
 2. Documents with equal sets are one class, classes with equal prefix and size
    one group.  Only groups have postings (shingle, group), for the first
    n - ceil(t n) + 1 shingles.
+   Postings of short lists that the bounds below exclude are dropped.
 3. In ROUNDS rounds each posting is compared with the NEAR ones before it in its
    list, in an order of size classes and then by a hash that differs from list to
    list and round to round, and each class likewise within its group.  Of those
@@ -45,11 +46,13 @@ from mnemospark.llm.components import components
 #: Entries of the table of heavy shingles, at most.
 HEAVY = 1 << 16
 #: A shingle is heavy if more than this share of the documents has it.
-HEAVY_SHARE = 1 / 2000
+HEAVY_SHARE = 1 / 20000
 #: 64-bit words of a set's parity map: bit k says whether an odd number of its shingles hash to k.
 MAP_WORDS = 16
 #: Words of the map folded for postings.
-FOLDED = 2
+FOLDED = 4
+#: Lists of so many postings at most are settled at once: a posting that can't link with any other of its list is dropped.
+FEW = 8
 #: Sets of more shingles than this also have a wide map, of a bit or so for each shingle: the small one tells them nothing.
 WIDE = 64 * MAP_WORDS
 #: Neighbours before it in a list that a posting is compared with in each round.
@@ -242,13 +245,20 @@ def _near_duplicates(scratch: Scratch, every: DataFrame, size: int, percent: int
     lists = lists.join(groups, (F.col("id") == F.col("gid")) & (lists["head"] == groups["head"])).select("gid", "prefix")
     postings = lists.select("gid", F.posexplode("prefix").alias("i", "h"))
     shared = postings.withColumn("entries", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("entries > 1")
-    shared = scratch.stored(shared.join(classes.where("rep = gid").select("gid", "n", "small", "cut"), "gid"), "postings")
+    shared = shared.join(classes.where("rep = gid").select("gid", "n", "small", "cut", (F.col("entries") == 1).alias("alone")), "gid")
 
     def fits(n1, i1, n2, i2):
         """Sizes allow a link, and so does the number of shingles from the first common one on."""
         total = n1 + n2
         return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * F.least(n1 - i1, n2 - i2) >= percent * total)
 
+    # Most lists hold a few documents that share a shingle by chance.
+    few = shared.where(F.col("entries") <= FEW).groupBy("h").agg(F.collect_list(F.struct("gid", "i", "entries", "n", "small", "cut", "alone")).alias("x"))
+    # A group's map is that of one class: it says nothing of a group's other classes.
+    may = lambda p, q: (p["gid"] != q["gid"]) & fits(p["n"], p["i"], q["n"], q["i"]) & (~(p["alone"] & q["alone"]) | _may_link(p["n"], p["small"], q["n"], q["small"], percent, FOLDED))
+    few = few.select("h", F.explode(F.filter("x", lambda p: F.exists("x", lambda q: may(p, q)))).alias("x")).select("h", "x.*")
+    shared = scratch.stored(few.unionByName(shared.where(F.col("entries") > FEW)).drop("alone"), "postings")
+
     def near(rows: DataFrame, node: str, list_of: list[str], nth: int) -> DataFrame:
         """(b, id, differ, long): of each row the NEAR rows before it in its list, split if long, that may link and aren't in one component with it."""
         order = F.xxhash64(node, *list_of, F.lit(nth))
