@@ -45,7 +45,8 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", benchmark), ("mixing", mixture), ("sharding", shards)]
 
-#: Classifier, joins by hash order and permutations are beyond SQL: tests hold the stages against brute-force versions.
+#: Classifier, joins by hash order and permutations are beyond SQL: the operators' tests hold near duplicates and the schedule against
+#: brute force, decontamination and toxicity against planted cases, shards against their law.
 ORACLE_SQL = None
 
 
