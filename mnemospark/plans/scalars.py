@@ -220,7 +220,12 @@ def h1_scanned(spark, d):
     return docs(spark, d).select("memory_id", scanned(F.col("content")).alias("threat"))
 
 
-@query("h2_phrase_ranges")
+_NOW8 = "TIMESTAMP '2024-01-09'"
+
+
+@query("h2_phrase_ranges", sql(f"""SELECT phrase, count(*) AS n FROM (SELECT make_timestamp(created_ms * 1000) AS instant FROM memories) JOIN (VALUES ('yesterday', {_NOW8} - INTERVAL 1 DAY, {_NOW8}),
+    ('last week', date_trunc('week', {_NOW8}) - INTERVAL 7 DAY, date_trunc('week', {_NOW8})), ('two weeks ago', date_trunc('week', {_NOW8}) - INTERVAL 14 DAY, date_trunc('week', {_NOW8}) - INTERVAL 7 DAY),
+    ('in January', TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01'), ('2024-01-03', TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-04'), ('on Tuesday', {_NOW8}, {_NOW8} + INTERVAL 1 DAY)) p(phrase, a, b) ON instant >= a AND instant < b GROUP BY phrase"""))
 def h2_1(spark, d):
     """Memories of the instants that phrases name: the phrases are scalars of the request, so they are parsed once."""
     phrases = ("yesterday", "last week", "two weeks ago", "in January", "2024-01-03", "on Tuesday")

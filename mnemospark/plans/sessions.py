@@ -268,3 +268,34 @@ def k13(spark, d):
 def k18(spark, d):
     s = F.round(S.linear_decay(F.col("strength"), X.age_days(NOW_MS, F.col("created_ms")), F.col("access_count"), F.col("valence"), F.col("arousal")), 6)
     return t.memories(spark, d).select("memory_id", s.alias("strength"), "archived").withColumn("archived", F.col("archived") | (F.col("strength") < 0.1))
+
+
+@query("h4_entity_payload", sql("SELECT event_id, 'n' || (k + i) AS label, CASE i WHEN 0 THEN 'person' END AS kind FROM event_rows, range(0, 2) r(i)"))
+def h4_5(spark, d):
+    k = F.get_json_object("props", "$.k").cast("long")
+    item = lambda i, kind: F.struct(F.concat(F.lit("n"), (k + i).cast("string")).alias("label"), kind.cast("string").alias("kind"))
+    raw = F.concat(F.lit('{"relations":[],"entities":'), F.to_json(F.array(item(0, F.lit("person")), item(1, F.lit(None)))), F.lit("}"))
+    rows = t.table(spark, d, "events").select("event_id", F.explode(J.payload_rows(raw, "struct<label:string,kind:string>", ("entities",))).alias("x"))
+    return rows.select("event_id", "x.label", "x.kind")
+
+
+@query("h4_list_payloads", sql("SELECT event_id, k AS value FROM event_rows WHERE event_id % 4 <> 3"))
+def h4_7(spark, d):
+    """Arrays under any of three keys; an answer with another key has no rows."""
+    k, i = F.get_json_object("props", "$.k"), F.col("event_id") % 4
+    key = F.when(i == 0, "traces").when(i == 1, "ideas").when(i == 2, "procedures").otherwise("others")
+    raw = F.concat(F.lit('{"'), key, F.lit('":[{"value":'), k, F.lit("}]}"))
+    rows = t.table(spark, d, "events").select("event_id", F.explode(J.payload_rows(raw, "struct<value:bigint>", ("traces", "ideas", "procedures"))).alias("x"))
+    return rows.select("event_id", "x.value")
+
+
+@query("l4_session_describe", sql("SELECT session_key, count(*) AS messages, count(*) FILTER (role = 'user') AS asked, min(ts) AS first_ms, max(ts) AS last_ms, CAST(sum(ceil(length(content) / 4.0)) AS BIGINT) AS tokens, count(DISTINCT channel) AS channels FROM messages GROUP BY session_key"))
+def l4(spark, d):
+    return t.messages(spark, d).groupBy("session_key").agg(
+        F.count(F.lit(1)).alias("messages"), F.count_if(F.col("role") == "user").alias("asked"), F.min("ts").alias("first_ms"), F.max("ts").alias("last_ms"), F.sum(T.token_estimate(F.col("content"))).alias("tokens"), F.count_distinct("channel").alias("channels")
+    )
+
+
+@query("l15_session_lookup", sql("SELECT message_id, role, ts FROM (SELECT message_id, role, ts, row_number() OVER (PARTITION BY session_key ORDER BY ts DESC, message_id DESC) AS n FROM messages WHERE role <> 'system') WHERE n <= 3"))
+def l15(spark, d):
+    return top_per(t.messages(spark, d).where("role <> 'system'"), ["session_key"], 3, F.desc("ts"), F.desc("message_id")).select("message_id", "role", "ts")

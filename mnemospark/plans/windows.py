@@ -38,7 +38,10 @@ def e5(spark, d):
     return W.within_budget(t.summaries(spark, d), ["session_key"], 400, order="ts").select("summary_id", "used")
 
 
-@query("e6_greedy_budget")
+@query("e6_greedy_budget", sql("""WITH RECURSIVE items AS (SELECT session_key, summary_id, tokens, row_number() OVER (PARTITION BY session_key ORDER BY ts DESC, summary_id DESC) AS n FROM summaries WHERE tokens <= 400),
+    run AS (SELECT DISTINCT session_key, 0::BIGINT AS n, 400::BIGINT AS spare, NULL::BIGINT AS kept FROM items UNION ALL
+    SELECT i.session_key, i.n, CASE WHEN i.tokens <= r.spare THEN r.spare - i.tokens ELSE r.spare END, CASE WHEN i.tokens <= r.spare THEN i.summary_id END FROM run r JOIN items i ON i.session_key = r.session_key AND i.n = r.n + 1)
+    SELECT session_key, kept AS summary_id FROM run WHERE kept IS NOT NULL"""))
 def e6(spark, d):
     return W.greedy_budget(t.summaries(spark, d), ["session_key"], 400, order="ts")
 
