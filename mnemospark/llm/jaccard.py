@@ -57,7 +57,7 @@ FEW = 8
 WIDE = 64 * MAP_WORDS
 #: Neighbours before it in a list that a posting is compared with in each round.
 NEAR = 8
-ROUNDS = 2
+ROUNDS = 1
 #: Lists of more postings than this are split for the rounds, at random.
 SPLIT = 1 << 14
 #: Texts that one verifying run compares with one pivot.
@@ -84,7 +84,7 @@ def _counts(size: int, share: float):
                 sets += found
                 docs += len(found)
                 held += sum(map(len, found))
-                if held > 4_000_000:
+                if held > 2_000_000:
                     yield local()
                     sets, held, docs = [], 0, 0
         if sets:
