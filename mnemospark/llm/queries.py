@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import decontaminate, jaccard, mixing, pii, quality, secrets, sharding, suffixes, toxicity, warc
+from mnemospark.llm import decontaminate, divergence, jaccard, middle, mixing, pii, quality, secrets, sharding, spots, suffixes, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_warc": warc.op8,
         "op9_quality": quality.op9,
         "op10_toxicity": toxicity.op10,
+        "op11_divergence": divergence.op11,
+        "op12_middle": middle.op12,
+        "op13_spotsigs": spots.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": warc.SQL}
+    return {"op8_warc": warc.SQL, "op11_divergence": divergence.SQL, "op12_middle": middle.SQL}
