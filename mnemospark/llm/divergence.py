@@ -14,8 +14,10 @@ mends the terms that g and o share, from a join on the term.
 
 from __future__ import annotations
 
-import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,13 +29,46 @@ MIN_DOCS = 10
 TOP_TERMS = 10
 MOST_TERMS = 2**31 - 1
 #: A term that no text has: keeps a language without any kept term from being an error.
-NO_TERM = " "
-
-
-def terms(text: Column) -> Column:
-    """Runs of ASCII letters and non-ASCII characters; only A-Z are lower-cased."""
-    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(lower, F.lit(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+NO_TERM = "\x00"
+#: Bytes to themselves, A-Z to a-z, and all other ASCII to spaces.
+_FOLD = bytes(c if c > 127 else c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
+#: Sums that a task holds before it hands them on.
+HELD = 1 << 21
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as their terms, one space between two: runs of ASCII letters and non-ASCII characters, only A-Z lower-cased."""
+    for b in batches:
+        texts = [b" ".join((x.as_py() or b"").translate(_FOLD).split()) for x in b.column("raw")]
+        yield pa.RecordBatch.from_arrays([b.column("lang_no"), b.column("source"), pa.array(texts, pa.binary()).cast(pa.string())], names=["lang_no", "source", "text"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, idx, n): sums of a task's sparse vectors, handed on at HELD keys."""
+    langs, sources, keys, sums = {}, {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def out() -> pa.RecordBatch:
+        names = pa.array(list(langs), pa.string()), pa.array(list(sources), pa.string())
+        pair = keys >> 31
+        return pa.RecordBatch.from_arrays([names[0].take(pa.array(pair >> 16)), names[1].take(pa.array(pair & 0xFFFF)), pa.array((keys & 0x7FFFFFFF).astype(np.int32)), pa.array(sums)], names=["lang", "source", "idx", "n"])
+
+    for b in batches:
+        for i in range(0, b.num_rows, 4096):
+            c = b.slice(i, 4096)
+            x = [c.column("lang").to_pylist(), c.column("source").to_pylist()]
+            if len(sources) + len(set(x[1])) > 0xFFFF or len(langs) + len(set(x[0])) > 0x7FFF:
+                yield out()
+                langs, sources, keys, sums = {}, {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            pair = np.array([(langs.setdefault(p, len(langs)) << 16) + sources.setdefault(q, len(sources)) for p, q in zip(*x, strict=True)], np.int64)
+            own = np.repeat(pair, np.asarray(c.column("indices").value_lengths()))
+            new = (own << 31) | c.column("indices").flatten().to_numpy()
+            keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([sums, c.column("values").flatten().to_numpy().astype(np.int64)]), len(keys)).astype(np.int64)
+            if len(keys) > HELD:
+                yield out()
+                keys, sums = keys[:0], sums[:0]
+    if len(keys):
+        yield out()
 
 
 def _weight(n: Column, total: Column, v: Column) -> Column:
@@ -62,20 +97,21 @@ def counts(docs: DataFrame, work: Scratch, min_docs: int = MIN_DOCS) -> tuple[Da
         return groups.withColumn("v", F.lit(0).cast("long")), empty.drop("term"), empty.select("lang", "idx", "term")
     numbers = spark.createDataFrame(list(enumerate(langs)), "lang_no int, lang string")
     path = f"{work.path}/terms"
-    own.join(F.broadcast(numbers), "lang").select("lang_no", "source", terms(F.col("text")).alias("terms")).write.partitionBy("lang_no").parquet(path)
-    words = spark.read.schema("source string, terms array<string>, lang_no int").parquet(path)
+    own = own.join(F.broadcast(numbers), "lang").select("lang_no", "source", F.col("text").cast("binary").alias("raw"))
+    own.mapInArrow(_folded, "lang_no int, source string, text string").write.partitionBy("lang_no").parquet(path)
+    words = spark.read.schema("source string, text string, lang_no int").parquet(path)
     pad = spark.range(min_docs).select(F.array(F.lit(NO_TERM)).alias("terms"))
     vectorizer = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MOST_TERMS)
     vectors = vocabulary = sizes = None
     for no, lang in enumerate(langs):
-        texts = words.where(F.col("lang_no") == no)
+        texts = words.where((F.col("lang_no") == no) & (F.col("text") != "")).select("source", F.split("text", " ").alias("terms"))
         model = vectorizer.fit(texts.select("terms").union(pad))
         model.write().save(f"{work.path}/model-{no}")
         known = spark.read.parquet(f"{work.path}/model-{no}/data").select(F.lit(lang).alias("lang"), F.posexplode("vocabulary").alias("idx", "term")).where(F.col("term") != NO_TERM)
         found = model.transform(texts).select(F.lit(lang).alias("lang"), "source", F.unwrap_udt("vector").alias("vector"))
         size = known.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
         vectors, vocabulary, sizes = (new if old is None else old.union(new) for old, new in ((vectors, found), (vocabulary, known), (sizes, size)))
-    cells = vectors.select("lang", "source", F.explode(F.arrays_zip("vector.indices", "vector.values")).alias("x")).select("lang", "source", F.col("x.indices").alias("idx"), F.col("x.values").cast("long").alias("n"))
+    cells = vectors.select("lang", "source", F.col("vector.indices").alias("indices"), F.col("vector.values").alias("values")).mapInArrow(_summed, "lang string, source string, idx int, n long")
     sums = work.stored(cells.groupBy("lang", "source", "idx").agg(F.sum("n").alias("n")), "sums")
     groups = groups.join(F.broadcast(sizes), "lang", "left").withColumn("v", F.coalesce("v", F.lit(0).cast("long")))  # a row for each language
     return groups, sums, work.stored(vocabulary, "vocabulary")
