@@ -33,7 +33,7 @@ NO_TERM = "\x00"
 #: Bytes to themselves, A-Z to a-z, and all other ASCII to spaces.
 _FOLD = bytes(c if c > 127 else c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
 #: Sums that a task holds before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,22 +44,21 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, idx, n): sums of a task's sparse vectors, handed on at HELD keys."""
-    langs, sources, keys, sums = {}, {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """(lang_no, source, idx, n): sums of a task's sparse vectors, handed on at HELD keys."""
+    sources, keys, sums = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def out() -> pa.RecordBatch:
-        names = pa.array(list(langs), pa.string()), pa.array(list(sources), pa.string())
         pair = keys >> 31
-        return pa.RecordBatch.from_arrays([names[0].take(pa.array(pair >> 16)), names[1].take(pa.array(pair & 0xFFFF)), pa.array((keys & 0x7FFFFFFF).astype(np.int32)), pa.array(sums)], names=["lang", "source", "idx", "n"])
+        return pa.RecordBatch.from_arrays([pa.array((pair >> 16).astype(np.int32)), pa.array(list(sources), pa.string()).take(pa.array(pair & 0xFFFF)), pa.array((keys & 0x7FFFFFFF).astype(np.int32)), pa.array(sums)], names=["lang_no", "source", "idx", "n"])
 
     for b in batches:
-        for i in range(0, b.num_rows, 4096):
-            c = b.slice(i, 4096)
-            x = [c.column("lang").to_pylist(), c.column("source").to_pylist()]
-            if len(sources) + len(set(x[1])) > 0xFFFF or len(langs) + len(set(x[0])) > 0x7FFF:
+        for i in range(0, b.num_rows, 2048):
+            c = b.slice(i, 2048)
+            own = c.column("source").to_pylist()
+            if len(sources) + len(set(own)) > 0xFFFF:
                 yield out()
-                langs, sources, keys, sums = {}, {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
-            pair = np.array([(langs.setdefault(p, len(langs)) << 16) + sources.setdefault(q, len(sources)) for p, q in zip(*x, strict=True)], np.int64)
+                sources, keys, sums = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            pair = (c.column("lang_no").to_numpy().astype(np.int64) << 16) + np.array([sources.setdefault(x, len(sources)) for x in own], np.int64)
             own = np.repeat(pair, np.asarray(c.column("indices").value_lengths()))
             new = (own << 31) | c.column("indices").flatten().to_numpy()
             keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
@@ -108,11 +107,12 @@ def counts(docs: DataFrame, work: Scratch, min_docs: int = MIN_DOCS) -> tuple[Da
         model = vectorizer.fit(texts.select("terms").union(pad))
         model.write().save(f"{work.path}/model-{no}")
         known = spark.read.parquet(f"{work.path}/model-{no}/data").select(F.lit(lang).alias("lang"), F.posexplode("vocabulary").alias("idx", "term")).where(F.col("term") != NO_TERM)
-        found = model.transform(texts).select(F.lit(lang).alias("lang"), "source", F.unwrap_udt("vector").alias("vector"))
+        found = model.transform(texts).select(F.lit(no).alias("lang_no"), "source", F.unwrap_udt("vector").alias("vector"))
         size = known.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
         vectors, vocabulary, sizes = (new if old is None else old.union(new) for old, new in ((vectors, found), (vocabulary, known), (sizes, size)))
-    cells = vectors.select("lang", "source", F.col("vector.indices").alias("indices"), F.col("vector.values").alias("values")).mapInArrow(_summed, "lang string, source string, idx int, n long")
-    sums = work.stored(cells.groupBy("lang", "source", "idx").agg(F.sum("n").alias("n")), "sums")
+    cells = vectors.select("lang_no", "source", F.col("vector.indices").alias("indices"), F.col("vector.values").alias("values")).mapInArrow(_summed, "lang_no int, source string, idx int, n long")
+    sums = cells.groupBy("lang_no", "source", "idx").agg(F.sum("n").alias("n")).join(F.broadcast(numbers), "lang_no")
+    sums = work.stored(sums.select("lang", "source", "idx", "n"), "sums")
     groups = groups.join(F.broadcast(sizes), "lang", "left").withColumn("v", F.coalesce("v", F.lit(0).cast("long")))  # a row for each language
     return groups, sums, work.stored(vocabulary, "vocabulary")
 
