@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, written to the folder that spark.checkpoint.dir names: lineage is cut and lost executors don't matter.  Where it is unset: a local folder if Spark runs in this process alone, an error on a cluster, whose executors wouldn't see it."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = context.getConf().get("spark.checkpoint.dir")
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="mnemospark-"))
+    return df.checkpoint()
+
+
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows: a heap in each task and one merge, no full sort."""
     return df.orderBy(*order).limit(n)

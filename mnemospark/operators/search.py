@@ -1,25 +1,22 @@
 """Search: exact vector neighbours, similarity bands, lexical scores and BM25.
 
-Vectors of a query set are compared with all rows a block of queries at a time:
-each block is at most BLOCK_BYTES, so what goes to the executors is bounded, and
-each task keeps the best k of its own rows before anything is shuffled.
+Vectors of a query set are compared with all rows by pairs of blocks (``vectorjoin``);
+each task keeps the best k of its own block before anything is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
 from mnemospark.functions import vectors as V
+from mnemospark.operators import vectorjoin
 from mnemospark.operators.common import top, top_per
 
-BLOCK_BYTES = 64 << 20
 K1, B = 1.2, 0.75
 
 
@@ -35,75 +32,18 @@ def nearest(rows: DataFrame, vector: list[float], k: int, id_col: str = "memory_
     return top(scored, k, F.desc("score"), F.asc(id_col))
 
 
-def _units(b: pa.RecordBatch, col: str, dim: int) -> np.ndarray:
-    x = b.column(col).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(n == 0, 1, n)
-
-
-def _by_blocks(queries: DataFrame, rows: DataFrame, found: Callable, id_col: str, vector_col: str, group_col: str | None) -> DataFrame | None:
-    """Union over blocks of queries of rows (a, b, score) that ``found`` picks of each matrix of cosines."""
-    cols = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), (F.col(group_col) if group_col else F.lit(0)).cast("long").alias("g")]
-    q, r = (d.select(*cols).where("id IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)") for d in (queries, rows))
-    n, dim = q.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    if not n:
-        return None
-    q, r = (d.where(F.size("v") == dim) for d in (q, r))
-    blocks = -(-n * dim * 8 // BLOCK_BYTES)
-    parts = []
-    for i in range(blocks):
-        block = q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).orderBy("id").toArrow()
-        ids, groups = block.column("id").to_numpy(), block.column("g").to_numpy()
-        x = np.stack(block.column("v").to_numpy()) if len(ids) else np.zeros((0, dim))
-        length = np.linalg.norm(x, axis=1, keepdims=True)
-        x = x / np.where(length == 0, 1, length)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, groups=groups, x=x) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                y, other, g = _units(b, "v", dim), b.column("id").to_numpy(), b.column("g").to_numpy()
-                for j in range(0, len(ids), 1024):
-                    s = np.round(x[j : j + 1024] @ y.T, 6) + 0.0
-                    at, to = found(s, ids[j : j + 1024], other, groups[j : j + 1024], g)
-                    yield pa.RecordBatch.from_pydict({"a": ids[j + at], "b": other[to], "score": s[at, to]})
-
-        parts.append(r.mapInArrow(run, "a long, b long, score double"))
-    return reduce(DataFrame.unionAll, parts)
-
-
-_EMPTY = "a long, b long, score double"
-
-
 def neighbours(queries: DataFrame, rows: DataFrame, k: int, least: float = -1.0, id_col: str = "memory_id", vector_col: str = "embedding", same: str | None = None) -> DataFrame:
-    """(a, b, score): for each query row a its k nearest rows b other than itself, of cosine ``least`` or more, in the same group if ``same`` names a column."""
-
-    def found(s, ids, other, g1, g2):
-        ok = (s >= least) & (ids[:, None] != other[None, :])
-        if same:
-            ok &= g1[:, None] == g2[None, :]
-        s = np.where(ok, s, -np.inf)
-        if s.shape[1] > k:  # all that tie with the k-th stay; the window decides between them
-            kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            ok &= s >= kth[:, None]
-        return np.nonzero(ok)
-
-    pairs = _by_blocks(queries, rows, found, id_col, vector_col, same)
-    if pairs is None:
-        return queries.sparkSession.createDataFrame([], _EMPTY)
+    """(a, b, score): for each query row a its k nearest rows b other than itself, of cosine ``least`` or more, in the same group if ``same`` names a column.
+
+    Vectors meet those of their own length.  A task keeps the k best of each query, ties by id.
+    """
+    pairs = vectorjoin.joined(queries, rows, lambda s, a, b: np.nonzero(vectorjoin.best(s, (s >= least) & (a[:, None] != b[None, :]), k)), least, id_col, vector_col, same)
     return top_per(pairs, ["a"], k, F.desc("score"), F.asc("b"))
 
 
 def similar_pairs(queries: DataFrame, rows: DataFrame, low: float, high: float = 1.0, id_col: str = "memory_id", vector_col: str = "embedding", same: str | None = None) -> DataFrame:
     """(a, b, score) with a < b, each pair of a query and a row with a cosine in [low, high] once: only these leave the tasks."""
-
-    def found(s, ids, other, g1, g2):
-        ok = (s >= low) & (s <= high) & (ids[:, None] != other[None, :])
-        if same:
-            ok &= g1[:, None] == g2[None, :]
-        return np.nonzero(ok)
-
-    pairs = _by_blocks(queries, rows, found, id_col, vector_col, same)
-    if pairs is None:
-        return queries.sparkSession.createDataFrame([], _EMPTY)
+    pairs = vectorjoin.joined(queries, rows, lambda s, a, b: np.nonzero((s >= low) & (s <= high) & (a[:, None] != b[None, :])), low, id_col, vector_col, same, symmetric=queries is rows)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct()
 
 

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import aggregates, filters, joins, lifecycle, recall, scalars, scans, sessions, windows  # noqa: F401
+from mnemospark.plans import aggregates, filters, jobs, joins, lifecycle, recall, scalars, scans, sessions, windows  # noqa: F401
 from mnemospark.plans.recall import flagship  # noqa: F401

@@ -1,11 +1,12 @@
 """Facts about operators that SQL can't express, against small models."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import clustering, compaction, content, dedupe, lifecycle, replay, search, visibility
+from mnemospark.operators import clustering, compaction, content, contradictions, dedupe, greedy, lifecycle, replay, search, vectorjoin, visibility
 from mnemospark.operators import windows as W
 from mnemospark.sources import files
 
@@ -120,3 +121,101 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "memory_id long, embedding array<double>")
     assert search.neighbours(none, none, 3).count() == 0 and search.similar_pairs(none, none, 0.5).count() == 0
     assert search.bm25(spark.createDataFrame([], "memory_id long, content string"), "a word", 3).count() == 0
+
+
+def near_rows(rng, n, dim):
+    """Vectors of a few clusters, a third equal, some null, zero or of another length."""
+    centres = [[rng.gauss(0, 1) for _ in range(dim)] for _ in range(12)]
+    rows = []
+    for i in range(n):
+        c = centres[rng.randrange(12)]
+        v = centres[0] if i % 3 == 0 else [x + rng.gauss(0, 0.25) for x in c]
+        rows.append((i, i % 2, None if i % 97 == 5 else [0.0] * dim if i % 89 == 3 else v[: dim // 2] if i % 83 == 7 else v))
+    return rows
+
+
+def cosines(rows):
+    def unit(v):
+        n = math.sqrt(sum(x * x for x in v))
+        return [x / (n or 1) for x in v]
+
+    units = [(i, g, unit(v)) for i, g, v in rows if v]
+    for i, g, v in units:
+        for j, h, w in units:
+            if i != j and g == h and len(v) == len(w):
+                yield i, j, round(sum(a * b for a, b in zip(v, w, strict=True)), 6) + 0.0
+
+
+def test_vector_joins_of_blocks(spark, monkeypatch):
+    """Several blocks and pivots, pruned pairs, other lengths apart, ties by id."""
+    rows = near_rows(random.Random(2), 420, 8)
+    df = spark.createDataFrame(rows, "memory_id long, g long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(vectorjoin, "BLOCK_BYTES", 40 * 64)
+    monkeypatch.setattr(vectorjoin, "PIVOTS", 24)
+    every = list(cosines(rows))
+    got = {(r.a, r.b): r.score for r in search.similar_pairs(df, df, 0.9, 0.995, same="g").collect()}
+    sure = {(i, j) for i, j, s in every if i < j and 0.900001 <= s <= 0.994999}
+    maybe = {(i, j) for i, j, s in every if i < j and 0.899999 <= s <= 0.995001}
+    assert sure <= set(got) <= maybe and len(sure) > 500
+    # All ties with the equal third: ids decide, and no more than k a query leave a task.
+    best = {}
+    for i, j, s in sorted(every, key=lambda x: (x[0], -x[2], x[1])):
+        best.setdefault(i, []).append((j, s))
+    near = {}
+    for r in search.neighbours(df, df, 4, same="g").orderBy("a", F.desc("score"), "b").collect():
+        near.setdefault(r.a, []).append((r.b, r.score))
+    assert near.keys() == best.keys() and all([s for _, s in near[i]] == pytest.approx([s for _, s in best[i][:4]], abs=2e-6) for i in best)
+    assert [j for j, _ in near[0]] == [j for j, _ in best[0][:4]]
+
+
+def greedy_model(wants, least, most, marks_all):
+    lists, order = {}, {}
+    for seed, pos, member, place, counts in wants:
+        lists.setdefault(seed, []).append((place, member, counts))
+        order[seed] = (pos, seed)
+    gone, passed, out = set(), set(), set()
+    for seed in sorted(lists, key=order.get):
+        if seed in passed:
+            continue
+        look = [(p, m, c) for p, m, c in sorted(lists[seed]) if m not in gone][:most]
+        own = [(p, m) for p, m, c in look if c]
+        ok = len(own) >= least and len(look) >= least
+        if ok:
+            out |= {(seed, m) for _, m in own}
+            gone |= {m for _, m in own}
+            passed |= {m for _, m in own}
+        if marks_all:
+            passed |= {m for _, m, _ in look}
+    return out
+
+
+@pytest.mark.parametrize(("least", "most", "marks_all"), [(1, None, False), (3, None, False), (2, 3, True), (3, 4, True)])
+def test_greedy_rounds(spark, least, most, marks_all):
+    rng = random.Random(least)
+    wants = []
+    for seed in range(60):
+        members = {seed, *rng.sample(range(70), rng.randrange(7)), *([0] if rng.random() < 0.3 else [])}
+        pos = rng.randrange(40)
+        wants += [(seed, pos, m, 0 if m == seed else rng.randrange(1, 50), rng.random() < 0.8) for m in members]
+    df = spark.createDataFrame(wants, "seed long, pos long, member long, place long, counts boolean")
+    got = {(r.seed, r.member) for r in greedy.greedy_sets(df, least, most, marks_all).collect()}
+    assert got == greedy_model(wants, least, most, marks_all) and got
+    assert greedy.greedy_sets(df.limit(0), least).count() == 0
+
+
+def test_contradiction_scan_ends(spark):
+    """The scan ends after three failed answers or when the day's number is told; a settled pair comes back after its cooldown; other ensembles don't repeat a conflict."""
+    unit = [[1.0, 0.2 * i] for i in range(8)]
+    m = spark.createDataFrame([(i, i // 100, False, f"t{i}", f"text {i}", unit[i % 100]) for i in [*range(8), *range(100, 108), *range(200, 204)]], "memory_id long, user_id long, archived boolean, title string, content string, embedding array<double>")
+    ens = [(e, i, 10 + i) for e, u in ((1, 0), (2, 1), (3, 2), (4, 2)) for i in (range(8) if u == 0 else range(100, 108) if u == 1 else range(200, 204))]
+    members = spark.createDataFrame(ens, "ensemble_id long, memory_id long, joined_ms long")
+    changed = spark.createDataFrame([(1, 0, 50), (2, 1, 50), (3, 2, 50), (4, 2, 60)], "ensemble_id long, user_id long, updated_ms long")
+    now = 100 * contradictions.DAY_MS
+    conflicts = spark.createDataFrame([(2, '{"pairKey":"200::201","status":"unresolved"}', 0), (2, '{"pairKey":"200::202","status":"resolved","resolvedAt":%d}' % (now - 1), 0), (2, '{"pairKey":"200::203","status":"resolved"}', 0), (2, "no json", 0)], "user_id long, metadata string, updated_ms long")
+    fired = spark.createDataFrame([(1, 1)], "user_id long, fired long")
+    answer = F.when(F.col("user_id") == 0, F.lit(None)).when(F.col("user_id") == 1, F.lit('[{"score":0.7,"explanation":"x","conflictType":"factual"}]')).otherwise(F.lit('{"score":0.9,"conflictType":7}'))
+    got = contradictions.scan(m, members, changed, conflicts, fired, lambda p: p.withColumn("answer", answer), 0, now, budget=10, low=0.0, high=1.0).orderBy("user_id", "nth").collect()
+    told = {u: [(r.nth, r.outcome) for r in got if r.user_id == u] for u in (0, 1, 2)}
+    assert told[0] == [(1, "failed"), (2, "failed"), (3, "failed")] and told[1] == [(1, "trace"), (2, "trace")]
+    assert told[2] == [(1, "conflict"), (2, "conflict"), (3, "conflict")] and [r.pair_key for r in got if r.user_id == 2] == ["200::203", "201::202", "201::203"]
+    assert {r.context.split("\n")[0] for r in got if r.user_id == 1} == {"**Contradiction detected** (factual, score: 0.70)"}
