@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemospark.operators import contradictions, ensembles
+from mnemospark.operators import assistant, cleanup, contradictions, ensembles
 from mnemospark.operators import gates as G
 from mnemospark.operators.clustering import mean_vectors
 from mnemospark.plans.filters import _lit
+from mnemospark.plans.joins import _HASH_TEXT
 from mnemospark.plans.oracle import sql
 from mnemospark.plans.scans import _COSINE
 from mnemospark.registry import query
 from mnemospark.sources import tables as t
-from mnemospark.sources.tables import DAY_MS, EPOCH_MS, NOW_MS
+from mnemospark.sources.tables import DAY_MS, EPOCH_MS, HOUR_MS, MINUTE_MS, NOW_MS
 
 _MEAN = "list_transform(range(1, 65), lambda i: list_avg(list_transform({0}, lambda e: e[i])))"
 _V = """v AS MATERIALIZED (SELECT m.memory_id, m.user_id, m.archived, m.created_ms, m.last_accessed_ms, m.strength, m.kb_id, m.store, e.embedding, e.ensemble_id AS label FROM memories m JOIN vectors e USING (memory_id))"""
@@ -185,3 +186,69 @@ def c21(spark, d):
     i = F.col("memory_id")
     targets = rows.where((i % 4 == 1) | (i % 4 == 2)).select("memory_id", F.when(i % 2 == 0, "en").alias("channel"))
     return contradictions.probe(rows, targets, _conflicts(spark, d), _fired(spark, d), _answers, NOW_MS, low=_LOW, high=_HIGH, bypass=_BYPASS)
+
+
+@query("j16_repeated_turns", sql(f"""WITH RECURSIVE turns AS MATERIALIZED (SELECT message_id, user_id AS k, ts, sha1(trim(content, {_BLANKS})) AS full_hash, 'p' || sha1(substring(trim(content, {_BLANKS}), 1, 200)) AS prefix_hash, row_number() OVER (PARTITION BY user_id ORDER BY ts, message_id) AS step FROM (SELECT * REPLACE (substring(content, 1, 1) AS content) FROM messages) WHERE role = 'assistant'),
+    go AS (SELECT DISTINCT k, 0::BIGINT AS step, []::STRUCT(h VARCHAR, t BIGINT)[] AS cache, NULL::BIGINT AS message_id, NULL::BIGINT AS ts, false AS repeated FROM turns
+        UNION ALL SELECT k, step, list_concat(list_filter(known, lambda x: NOT list_contains(added, x.h)), list_transform(added, lambda h: {{'h': h, 't': ts}}))[-500:], message_id, ts, len(added) = 1 FROM (
+            SELECT *, CASE WHEN list_contains(list_transform(known, lambda x: x.h), full_hash) THEN [full_hash] WHEN list_contains(list_transform(known, lambda x: x.h), prefix_hash) THEN [prefix_hash] ELSE [full_hash, prefix_hash] END AS added FROM (
+                SELECT t.*, list_filter(g.cache, lambda x: t.ts - x.t <= {2 * HOUR_MS}) AS known FROM go g JOIN turns t ON t.k = g.k AND t.step = g.step + 1)))
+    SELECT message_id, k AS session_key, ts, repeated FROM go WHERE message_id IS NOT NULL"""))
+def j16(spark, d):
+    """A user's turns as one session, with short texts, which repeat."""
+    turns = t.messages(spark, d).where("role = 'assistant'").select("message_id", F.col("user_id").alias("session_key"), F.substring("content", 1, 1).alias("content"), "ts")
+    return assistant.repeated_turns(turns)
+
+
+@query("j17_stalled_captures", sql(f"""WITH RECURSIVE r AS (SELECT user_id AS k, ts, event_type = 'purchase' AS done FROM requests WHERE event_type IN ('view', 'purchase')),
+    s AS (SELECT *, sum(done::INT) OVER (PARTITION BY k ORDER BY ts, done DESC ROWS UNBOUNDED PRECEDING) AS stretch FROM r), n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k, stretch, done ORDER BY ts) AS nth FROM s),
+    spans AS (SELECT k, stretch, min(ts) AS since, max(ts) AS until, min(ts) FILTER (NOT done AND nth = 4) AS filled FROM n GROUP BY k, stretch),
+    e AS (SELECT k, stretch, greatest(filled, since + {10 * MINUTE_MS + 1}) AS first, filled, coalesce(lead(since) OVER (PARTITION BY k ORDER BY stretch), max(until) OVER (PARTITION BY k) + {DAY_MS}) AS last FROM spans),
+    f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY stretch) AS step FROM e WHERE filled IS NOT NULL AND first < last),
+    go AS (SELECT DISTINCT k, 0::BIGINT AS step, NULL::BIGINT AS told, NULL::BIGINT AS stretch, NULL::BIGINT AS start, 0::BIGINT AS times FROM f
+        UNION ALL SELECT k, step, CASE WHEN times > 0 THEN start + (times - 1) * {HOUR_MS + 1} ELSE told END, stretch, start, times FROM (SELECT *, CASE WHEN start < last THEN (last - 1 - start) // {HOUR_MS + 1} + 1 ELSE 0 END AS times FROM (
+            SELECT f.k, f.step, g.told, f.stretch, f.last, greatest(f.first, coalesce(g.told + {HOUR_MS + 1}, f.first)) AS start FROM go g JOIN f ON f.k = g.k AND f.step = g.step + 1))),
+    hits AS (SELECT k, stretch, start + unnest(range(times)) * {HOUR_MS + 1} AS ts FROM go WHERE times > 0)
+    SELECT hits.k AS session_key, hits.ts, count(*) AS pending FROM hits JOIN n ON n.k = hits.k AND n.stretch = hits.stretch AND NOT n.done AND n.ts <= hits.ts GROUP BY hits.k, hits.ts"""))
+def j17(spark, d):
+    return assistant.stalls(t.requests(spark, d).select(F.col("user_id").alias("session_key"), "event_type", "ts"), "view", "purchase")
+
+
+def _polluted(spark, d):
+    """Messages of which some begin with recalled context: with a prompt behind it, without an end, with nothing behind it, or with a prompt that others repeat."""
+    m = t.messages(spark, d)
+    kind, c = F.col("message_id") % 6, F.col("content")
+    text = F.when(kind == 0, F.concat(F.lit("<recalled_context><user><recalled_context>old</recalled_context></user></recalled_context> "), c)).when(kind == 1, F.concat(F.lit("<recalled_context>"), c)).when(kind == 2, F.concat(F.lit(" <recalled_context>"), c, F.lit("</recalled_context>")))
+    text = text.when(kind == 3, F.lit("<recalled_context>x</recalled_context>Go on")).when(F.col("session_key") % 3 == 0, F.lit("go on")).otherwise(c)
+    none = F.lit(None)
+    return m.select("message_id", "user_id", "role", F.col("channel"), (F.col("session_key") % 5).alias("session_key"), none.cast("string").alias("turn_id"), none.cast("long").alias("turn_index"), text.alias("content"), "ts", F.lit("m").alias("metadata"), "embedded")
+
+
+_CLEANED = f"""WITH raw AS (SELECT message_id, user_id, role, channel, session_key % 5 AS s, ts, message_id % 6 AS kind, embedded,
+        CASE message_id % 6 WHEN 0 THEN '<recalled_context><user><recalled_context>old</recalled_context></user></recalled_context> ' || content WHEN 1 THEN '<recalled_context>' || content WHEN 2 THEN ' <recalled_context>' || content || '</recalled_context>' WHEN 3 THEN '<recalled_context>x</recalled_context>Go on' ELSE CASE WHEN session_key % 3 = 0 THEN 'go on' ELSE content END END AS text,
+        CASE message_id % 6 WHEN 0 THEN ltrim(content, {_BLANKS}) WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN 'Go on' ELSE CASE WHEN session_key % 3 = 0 THEN 'go on' ELSE content END END AS content FROM messages),
+    h AS (SELECT *, sha256(role || chr(10) || lower({_HASH_TEXT})) AS hash FROM (SELECT * REPLACE (substring(content, 1, 8000) AS content) FROM raw)),
+    c AS (SELECT *, row_number() OVER (PARTITION BY user_id, channel, s, hash ORDER BY ts DESC, message_id DESC) AS n FROM h WHERE role = 'user' AND kind < 4),
+    plan AS (SELECT message_id, user_id, CASE WHEN kind IN (1, 2) OR length(trim(content, {_BLANKS})) = 0 THEN 'delete' WHEN n > 1 OR EXISTS (SELECT 1 FROM h WHERE h.role = 'user' AND h.kind >= 4 AND h.user_id = c.user_id AND h.channel = c.channel AND h.s = c.s AND h.hash = c.hash) THEN 'merge-delete' ELSE 'patch' END AS action,
+        kind = 1 AS malformed, length(text)::INT AS original_chars, length(trim(content, {_BLANKS}))::INT AS cleaned_chars, content, hash FROM c)"""
+
+
+@query("j5_recalled_cleanup", sql(f"{_CLEANED} SELECT message_id, user_id, action, malformed, original_chars, cleaned_chars, CASE WHEN action = 'patch' THEN content END AS content, CASE WHEN action = 'patch' THEN hash END AS content_hash FROM plan"))
+def j5(spark, d):
+    return cleanup.cleanup_plan(_polluted(spark, d))
+
+
+@query("j5_cleanup_counters", sql(f"""{_CLEANED} SELECT user_id, count(*) AS candidates, count(*) FILTER (action = 'patch') AS would_patch, count(*) FILTER (action = 'patch') AS patched, count(*) FILTER (action = 'delete') AS would_delete, count(*) FILTER (action = 'delete') AS deleted,
+    count(*) FILTER (action = 'merge-delete') AS would_merge_delete, count(*) FILTER (action = 'merge-delete') AS merged_deleted, count(*) FILTER (malformed) AS malformed FROM plan GROUP BY user_id"""))
+def j5_counters(spark, d):
+    return cleanup.counters(cleanup.cleanup_plan(_polluted(spark, d)))
+
+
+@query("j5_cleaned_table", sql(f"""{_CLEANED} SELECT h.message_id, h.channel, CASE WHEN p.action = 'patch' THEN p.content ELSE h.text END AS content, CASE WHEN p.action = 'patch' THEN 'm; recalled_context_cleanup:$NOW' ELSE 'm' END AS metadata, p.action IS DISTINCT FROM 'patch' AND h.embedded AS embedded
+    FROM h LEFT JOIN plan p USING (message_id) WHERE p.action IS NULL OR p.action = 'patch'"""))
+def j5_table(spark, d):
+    """The stored table after the clean-up, rewritten partition by partition."""
+    path = cleanup.scratch_folder(spark, "messages")
+    _polluted(spark, d).repartition("channel").write.partitionBy("channel").parquet(path)
+    cleanup.apply_plan(spark, path, cleanup.cleanup_plan(spark.read.parquet(path)), "channel", NOW_MS)
+    return spark.read.parquet(path).select("message_id", "channel", "content", "metadata", "embedded")

@@ -1,4 +1,4 @@
-"""Streams of events and messages: dedupe, sessions, rate limits, stalled captures.
+"""Streams of events and messages: dedupe, sessions, rate limits (see ``assistant`` for repeated turns and stalled captures).
 
 Each takes a streaming DataFrame and returns one; state has a bound: a watermark,
 a time to live, or a constant per key.  ``now`` is the events' own time.
@@ -61,28 +61,6 @@ def rate_limited(events: DataFrame, limit: int = 60, window_ms: int = MINUTE_MS,
     return rows.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, ts_ms long, nth long, allowed boolean", "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stalled(events: DataFrame, received: str, done: str, pending: int = 3, wait_ms: int = 10 * MINUTE_MS, quiet_ms: int = 60 * MINUTE_MS) -> DataFrame:
-    """(user_id, ts_ms, pending): users with more than ``pending`` received and not done for over wait_ms; told once in quiet_ms.  State: three numbers a user."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, n, told = state.get if state.exists else (-1, 0, -1)
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["ts_ms", "event_id"])
-        for t, kind in zip(rows["ts_ms"].tolist(), rows["event_type"].tolist(), strict=True):
-            if kind == done:
-                since, n = -1, 0
-            elif kind == received:
-                since, n = (t if n == 0 else since), n + 1
-            if n > pending and t - since > wait_ms and (told < 0 or t - told >= quiet_ms):
-                out.append((key[0], t, n))
-                told = t
-        state.update((int(since), int(n), int(told)))
-        yield pd.DataFrame(out, columns=["user_id", "ts_ms", "pending"])
-
-    rows = events.where(F.col("event_type").isin(received, done)).select("event_id", "user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
-    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts_ms long, pending long", "since long, n long, told long", "append", GroupStateTimeout.NoTimeout)
-
-
 def written(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", seconds: int | None = None) -> bool:
     """Run over all that is there, then end; what is written is exactly once.  Stops after ``seconds`` and says whether it had ended."""
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
