@@ -9,7 +9,7 @@ terms of the vocabulary have one and the same summand and are counted, not liste
 
 where p0 and q0 are the weights of a term without occurrence, alone(g, o) sums
 f(p, q0) - f(p0, q0) over the terms of g, from a histogram of their counts, and both
-mends the terms that g and o share, from a join on the term.
+mends the terms that g and o share, whose rows meet sorted by term.
 """
 
 from __future__ import annotations
@@ -73,15 +73,74 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _weight(n: Column, total: Column, v: Column) -> Column:
     """1 + floor(SCALE (n + 2) / (total + 2 v)), exact also where SCALE n needs more than 64 bits."""
     wide = lambda c: c.cast("decimal(19,0)")
-    return (1 + F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * wide(n + 2), wide(total + 2 * v))).cast("long")
+    exact = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * wide(n + 2), wide(total + 2 * v))
+    return 1 + F.when(n < 2**33, F.call_function("div", F.lit(SCALE) * (n + 2), total + 2 * v)).otherwise(exact).cast("long")
 
 
-def _part(p: Column, q: Column) -> Column:
+def _part(p, q):
+    """f(p, q) of columns."""
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
+def _mended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang_no, a, b, value): for each pair of groups a < b the sum, over the terms that both have, of what their own sums say wrongly.
+
+    Rows come sorted by term.  Pairs of a term's rows are taken at one distance after another; at most
+    HELD sums of pairs are held.
+    """
+    names, kept, held = ["lang_no", "a", "b", "value"], [], 0
+    rest: list[np.ndarray] | None = None
+
+    def f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return (p - q) ** 2 // (p + q)
+
+    def compact() -> list[np.ndarray]:
+        cols = [np.concatenate(c) for c in zip(*kept, strict=True)]
+        order = np.lexsort((cols[2], cols[1], cols[0]))
+        cols = [c[order] for c in cols]
+        first = np.flatnonzero(np.append(True, (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)))
+        return [*(c[first] for c in cols[:3]), np.add.reduceat(cols[3], first)]
+
+    def batch(cols: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int32)), *map(pa.array, cols[1:])], names=names)
+
+    def pairs(lang: np.ndarray, idx: np.ndarray, gid: np.ndarray, p: np.ndarray, p0: np.ndarray) -> Iterator[pa.RecordBatch]:
+        nonlocal kept, held
+        at, d = np.arange(len(lang)), 1
+        while True:
+            at = at[at + d < len(lang)]
+            at = at[(lang[at] == lang[at + d]) & (idx[at] == idx[at + d])]
+            if not len(at):
+                return
+            i, j = at, at + d
+            value = f(p[i], p[j]) - f(p[i], p0[j]) - f(p0[i], p[j]) + f(p0[i], p0[j])
+            kept.append([lang[i], np.minimum(gid[i], gid[j]), np.maximum(gid[i], gid[j]), value])
+            held += len(at)
+            if held > HELD:
+                kept = [compact()]
+                held = len(kept[0][0])
+                if held > HELD // 2:
+                    yield batch(kept[0])
+                    kept, held = [], 0
+            d += 1
+
+    for b in batches:
+        cols = [b.column(c).to_numpy().astype(np.int64) for c in ("lang_no", "idx", "gid", "p", "p0")]
+        cols = cols if rest is None else [np.concatenate(c) for c in zip(rest, cols, strict=True)]
+        if len(cols[0]):
+            # The last term may go on in the next batch.
+            open_ = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            cut = len(open_) - int(open_.sum())
+            yield from pairs(*(c[:cut] for c in cols))
+            rest = [c[cut:] for c in cols]
+    if rest is not None:
+        yield from pairs(*rest)
+    if kept:
+        yield batch(compact())
+
+
 def counts(docs: DataFrame, work: Scratch, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lang, source, docs, v) of each group, (lang, source, idx, n) of its kept terms, and (lang, idx, term).
+    """(gid, lang_no, lang, source, v) of each group, (lang_no, gid, idx, n) of its kept terms, and (lang_no, idx, term).
 
     One fit for each language, whose texts are read from a table that is partitioned by
     language.  A fit brings the language's vocabulary to the driver and its transformation
@@ -89,12 +148,13 @@ def counts(docs: DataFrame, work: Scratch, min_docs: int = MIN_DOCS) -> tuple[Da
     """
     spark = docs.sparkSession
     own = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    groups = work.stored(own.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs")), "groups")
+    groups = work.stored(own.select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id()), "groups")
     langs = sorted(r.lang for r in groups.select("lang").distinct().toLocalIterator())
     if not langs:
-        empty = spark.createDataFrame([], "lang string, source string, idx int, n long, term string")
-        return groups.withColumn("v", F.lit(0).cast("long")), empty.drop("term"), empty.select("lang", "idx", "term")
+        none = spark.createDataFrame([], "lang_no int, gid long, idx int, n long, term string")
+        return groups.withColumn("lang_no", F.lit(0)).withColumn("v", F.lit(0).cast("long")), none.select("lang_no", "gid", "idx", "n"), none.select("lang_no", "idx", "term")
     numbers = spark.createDataFrame(list(enumerate(langs)), "lang_no int, lang string")
+    groups = groups.join(F.broadcast(numbers), "lang")
     path = f"{work.path}/terms"
     own = own.join(F.broadcast(numbers), "lang").select("lang_no", "source", F.col("text").cast("binary").alias("raw"))
     own.mapInArrow(_folded, "lang_no int, source string, text string").write.partitionBy("lang_no").parquet(path)
@@ -102,18 +162,18 @@ def counts(docs: DataFrame, work: Scratch, min_docs: int = MIN_DOCS) -> tuple[Da
     pad = spark.range(min_docs).select(F.array(F.lit(NO_TERM)).alias("terms"))
     vectorizer = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MOST_TERMS)
     vectors = vocabulary = sizes = None
-    for no, lang in enumerate(langs):
+    for no in range(len(langs)):
         texts = words.where((F.col("lang_no") == no) & (F.col("text") != "")).select("source", F.split("text", " ").alias("terms"))
         model = vectorizer.fit(texts.select("terms").union(pad))
         model.write().save(f"{work.path}/model-{no}")
-        known = spark.read.parquet(f"{work.path}/model-{no}/data").select(F.lit(lang).alias("lang"), F.posexplode("vocabulary").alias("idx", "term")).where(F.col("term") != NO_TERM)
+        known = spark.read.parquet(f"{work.path}/model-{no}/data").select(F.lit(no).alias("lang_no"), F.posexplode("vocabulary").alias("idx", "term")).where(F.col("term") != NO_TERM)
         found = model.transform(texts).select(F.lit(no).alias("lang_no"), "source", F.unwrap_udt("vector").alias("vector"))
-        size = known.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
+        size = known.groupBy("lang_no").agg(F.count(F.lit(1)).alias("v"))
         vectors, vocabulary, sizes = (new if old is None else old.union(new) for old, new in ((vectors, found), (vocabulary, known), (sizes, size)))
     cells = vectors.select("lang_no", "source", F.col("vector.indices").alias("indices"), F.col("vector.values").alias("values")).mapInArrow(_summed, "lang_no int, source string, idx int, n long")
-    sums = cells.groupBy("lang_no", "source", "idx").agg(F.sum("n").alias("n")).join(F.broadcast(numbers), "lang_no")
-    sums = work.stored(sums.select("lang", "source", "idx", "n"), "sums")
-    groups = groups.join(F.broadcast(sizes), "lang", "left").withColumn("v", F.coalesce("v", F.lit(0).cast("long")))  # a row for each language
+    sums = cells.groupBy("lang_no", "source", "idx").agg(F.sum("n").alias("n")).join(groups.select("lang_no", "source", "gid"), ["lang_no", "source"])
+    sums = work.stored(sums.select("lang_no", "gid", "idx", "n"), "sums")
+    groups = groups.join(F.broadcast(sizes), "lang_no", "left").withColumn("v", F.coalesce("v", F.lit(0).cast("long")))  # a row for each language
     return groups, sums, work.stored(vocabulary, "vocabulary")
 
 
@@ -133,42 +193,42 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
 def _audit(docs: DataFrame, work: Scratch, min_docs: int, top: int) -> DataFrame:
     groups, sums, vocabulary = counts(docs, work, min_docs)
     none = F.lit(0).cast("long")
-    totals = sums.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = groups.join(totals, ["lang", "source"], "left").withColumn("total", F.coalesce("total", none))
+    totals = sums.groupBy("gid").agg(F.sum("n").alias("total"))
+    groups = groups.join(totals, "gid", "left").withColumn("total", F.coalesce("total", none))
     # With v = 0 there is no term to weigh; 1 stands in for the divisor.
     groups = work.stored(groups.withColumn("p0", F.when(F.col("v") > 0, _weight(none, F.col("total"), F.col("v"))).otherwise(1)), "weights")
-    own = sums.join(groups.select("lang", "source", "total", "v", "p0"), ["lang", "source"])
-    own = work.stored(own.select("lang", "source", "idx", "n", "p0", _weight(F.col("n"), F.col("total"), F.col("v")).alias("p")), "own")
+    own = sums.join(groups.select("gid", "total", "v", "p0"), "gid")
+    own = work.stored(own.select("lang_no", "gid", "idx", "p0", _weight(F.col("n"), F.col("total"), F.col("v")).alias("p")), "own")
 
     # pairs of sources
-    g, o = groups.alias("g"), groups.alias("o")
-    others = g.join(o, (F.col("g.lang") == F.col("o.lang")) & (F.col("g.source") != F.col("o.source")))
-    base = others.select("g.lang", "g.source", F.col("o.source").alias("item"), (F.col("g.v") * _part(F.col("g.p0"), F.col("o.p0"))).alias("value"))
-    bars = own.groupBy("lang", "source", "p0", "p").agg(F.count(F.lit(1)).alias("k")).alias("g")
-    alone = bars.join(o, (F.col("g.lang") == F.col("o.lang")) & (F.col("g.source") != F.col("o.source")))
-    alone = alone.select("g.lang", "g.source", F.col("o.source").alias("item"), (F.col("k") * (_part(F.col("g.p"), F.col("o.p0")) - _part(F.col("g.p0"), F.col("o.p0")))).alias("value"))
-    x, y = own.alias("x"), own.alias("y")
-    both = x.join(y, (F.col("x.lang") == F.col("y.lang")) & (F.col("x.idx") == F.col("y.idx")) & (F.col("x.source") < F.col("y.source")))
-    mend = _part(F.col("x.p"), F.col("y.p")) - _part(F.col("x.p"), F.col("y.p0")) - _part(F.col("x.p0"), F.col("y.p")) + _part(F.col("x.p0"), F.col("y.p0"))
-    both = work.stored(both.select("x.lang", F.col("x.source").alias("a"), F.col("y.source").alias("b"), mend.alias("value")).groupBy("lang", "a", "b").agg(F.sum("value").alias("value")), "both")
+    g, o = groups.select("lang_no", "gid", "v", "p0").alias("g"), groups.select("lang_no", "gid", "p0").alias("o")
+    others = (F.col("g.lang_no") == F.col("o.lang_no")) & (F.col("g.gid") != F.col("o.gid"))
+    base = g.join(o, others).select("g.gid", F.col("o.gid").alias("other"), (F.col("g.v") * _part(F.col("g.p0"), F.col("o.p0"))).alias("value"))
+    bars = own.groupBy("lang_no", "gid", "p0", "p").agg(F.count(F.lit(1)).alias("k")).alias("g")
+    alone = bars.join(o, others).select("g.gid", F.col("o.gid").alias("other"), (F.col("k") * (_part(F.col("g.p"), F.col("o.p0")) - _part(F.col("g.p0"), F.col("o.p0")))).alias("value"))
+    alone = work.stored(alone.groupBy("gid", "other").agg(F.sum("value").alias("value")), "alone")
+    both = own.repartition("lang_no", "idx").sortWithinPartitions("lang_no", "idx").mapInArrow(_mended, "lang_no int, a long, b long, value long")
+    both = work.stored(both.groupBy("a", "b").agg(F.sum("value").alias("value")), "both")
 
     def turned(d: DataFrame, a: str, b: str) -> DataFrame:
-        return d.select("lang", F.col(a).alias("source"), F.col(b).alias("item"), "value")
+        return d.select(F.col(a).alias("gid"), F.col(b).alias("other"), "value")
 
-    pairs = base.union(alone).union(turned(alone, "item", "source")).union(turned(both, "a", "b")).union(turned(both, "b", "a"))
-    pairs = pairs.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    pairs = base.union(alone).union(turned(alone, "other", "gid")).union(turned(both, "a", "b")).union(turned(both, "b", "a"))
+    pairs = pairs.groupBy("gid", "other").agg(F.sum("value").alias("value"))
+    names = groups.select("gid", "lang", "source")
+    pairs = pairs.join(groups.select(F.col("gid").alias("other"), F.col("source").alias("item")), "other").select("gid", "item", "value")
 
     # terms that a source has more of than its language
-    langs = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v"))
-    whole = sums.groupBy("lang", "idx").agg(F.sum("n").alias("n")).join(langs, "lang").select("lang", "idx", _weight(F.col("n"), F.col("total"), F.col("v")).alias("q"))
-    apart = own.join(whole, ["lang", "idx"]).where("p > q").select("lang", "source", "idx", _part(F.col("p"), F.col("q")).alias("value"))
-    apart = apart.join(vocabulary, ["lang", "idx"]).select("lang", "source", F.col("term").alias("item"), "value")
+    langs = groups.groupBy("lang_no").agg(F.sum("total").alias("total"), F.max("v").alias("v"))
+    whole = sums.groupBy("lang_no", "idx").agg(F.sum("n").alias("n")).join(langs, "lang_no").select("lang_no", "idx", _weight(F.col("n"), F.col("total"), F.col("v")).alias("q"))
+    whole = whole.join(vocabulary, ["lang_no", "idx"])
+    apart = own.join(whole, ["lang_no", "idx"]).where("p > q").select("gid", F.col("term").alias("item"), _part(F.col("p"), F.col("q")).alias("value"))
 
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    order = Window.partitionBy("gid").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(order))
     apart = apart.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     out = pairs.withColumn("part", F.lit("pair")).unionByName(apart.withColumn("part", F.lit("term")))
-    return out.select("lang", "source", "part", "item", "value", "rank")
+    return out.join(names, "gid").select("lang", "source", "part", "item", "value", "rank")
 
 
 def op11(spark, sf_dir: str) -> DataFrame:

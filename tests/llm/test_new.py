@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,29 @@ def test_divergence_weighs_large_counts(spark):
     assert row.p == 1 + 10**9 * (big + 2) // (7 * 10**12 + 20)
 
 
+@pytest.mark.parametrize("held", [3, 40, 10**6])
+def test_divergence_mends_pairs(held, monkeypatch):
+    """Sums of pairs over batches that cut terms, handed on early or not."""
+    monkeypatch.setattr(divergence, "HELD", held)
+    rng = random.Random(6)
+    p0 = {g: rng.randrange(1, 50) for g in range(9)}
+    rows = [(lang, idx, g, rng.randrange(1, 10**9), p0[g]) for lang in (0, 1) for idx in range(30) for g in rng.sample(range(9), rng.randrange(1, 9))]
+    batches = [pa.RecordBatch.from_pydict(dict(zip(("lang_no", "idx", "gid", "p", "p0"), map(list, zip(*rows[i : i + 7], strict=True)), strict=True))) for i in range(0, len(rows), 7)]
+    got, want = {}, {}
+    for b in divergence._mended(iter(batches)):
+        for r in b.to_pylist():
+            got[r["lang_no"], r["a"], r["b"]] = got.get((r["lang_no"], r["a"], r["b"]), 0) + r["value"]
+
+    def f(p, q):
+        return (p - q) ** 2 // (p + q)
+
+    for lang, idx, g, p, p_none in rows:
+        for lang2, idx2, o, q, q_none in rows:
+            if (lang, idx) == (lang2, idx2) and g < o:
+                want[lang, g, o] = want.get((lang, g, o), 0) + f(p, q) - f(p, q_none) - f(p_none, q) + f(p_none, q_none)
+    assert got == want
+
+
 @pytest.mark.parametrize("unit", ["char", "word", "line"])
 def test_skip_list(unit):
     rng = random.Random(3)
