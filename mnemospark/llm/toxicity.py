@@ -3,10 +3,11 @@
 Operator 10.  score = sigmoid(b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) where
 x_i says whether a term of hash slot i occurs.  The pairwise part finds pairs, such
 as an insult with a group mention, that a sum of weights misses.  Fitted on a
-bounded sample of labelled rows (SAMPLE_ROWS).  Slots have weights if the sample
+bounded sample of labelled rows (SAMPLE_ROWS), in one task.  Slots have weights if the sample
 links them with the label, alone (|z| from LEAST_Z) or in a pair whose four cells
 (both, one, the other, none) aren't additive (|z| from LEAST_PAIR_Z): so terms that
-are harmless alone are kept for the pairs that they form.  Terms are runs of letters,
+are harmless alone are kept for the pairs that they form.  Both tests look at the pair
+alone: how many other terms there are changes nothing.  Terms are runs of letters,
 digits and non-ASCII characters, so marks around a word hide nothing.
 """
 
@@ -28,12 +29,10 @@ SAMPLE_ROWS = 8000
 SLOTS = 1 << 20
 RANK = 8
 LEAST_Z = 4.0
-#: Pairs are looked for among the slots of most documents, so many; pairs of rarer ones meet too seldom in the sample to show.
-PAIR_TERMS = 1024
 LEAST_PAIR_Z = 8.0
-MOST_PAIRED = 256
-#: The most linked slots get weights, so many at most.
-MOST_TERMS = 4096
+#: Terms that can form such pairs: in a 64th of the rows at least, or in so many rows of label 1 as a pair must share to show.
+COMMON = 64
+BLOCK = 512
 THRESHOLD = 0.7
 
 
@@ -71,79 +70,106 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "label": b.column("label"), "slots": pa.array(found, pa.binary())})
 
 
-def paired(doc: np.ndarray, slot: np.ndarray, y: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Slots of pairs that tell more of the label than the sum of both, from distinct (document, slot) pairs; MOST_PAIRED at most."""
-    n = len(y)
-    terms = np.argsort(-df, kind="stable")[:PAIR_TERMS]
-    terms = np.sort(terms[(df[terms] >= 8) & (df[terms] <= n - 8)])
-    if len(terms) < 2:
-        return terms[:0]
+def fewest(p: float) -> int:
+    """In how many rows of label 1 a pair must occur to reach LEAST_PAIR_Z, when p of all rows have it and neither term alone ever does."""
+    m = 1
+    while ((m + 4 * p) / (m + 4) + p) / np.sqrt(p * (1 - p) / (m + 4)) < LEAST_PAIR_Z:
+        m += 1
+    return m
+
+
+def paired(doc: np.ndarray, slot: np.ndarray, y: np.ndarray, df: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Slots of pairs that tell more of the label than the sum of both, from distinct (document, slot) pairs.
+
+    All pairs of the terms that can form one are looked at, a block of terms against another.
+    """
+    n, p = len(y), y.mean()
+    terms = np.flatnonzero(((df * COMMON >= n) | (hits >= fewest(p))) & (df >= 8) & (df <= n - 8))
     at = np.full(SLOTS, -1, np.int32)
     at[terms] = np.arange(len(terms))
-    own = at[slot]
-    doc, own = doc[own >= 0], own[own >= 0]
-    both, hits = np.zeros((2, len(terms), len(terms)), np.float32)
-    for i in range(0, n, 1000):  # of documents in order
-        a, b = np.searchsorted(doc, (i, i + 1000))
-        x = np.zeros((min(1000, n - i), len(terms)), np.float32)
-        x[doc[a:b] - i, own[a:b]] = 1
-        both += x.T @ x
-        x = x[y[i : i + 1000] > 0]
-        hits += x.T @ x
-    total, toxic_total = np.diag(both).copy(), np.diag(hits).copy()
-    p = y.mean()
-    contrast, noise = np.zeros_like(both), np.zeros_like(both)
-    for sign, cell, found in (
-        (1, both, hits),
-        (-1, total[:, None] - both, toxic_total[:, None] - hits),
-        (-1, total[None, :] - both, toxic_total[None, :] - hits),
-        (1, n - total[:, None] - total[None, :] + both, (y > 0).sum() - toxic_total[:, None] - toxic_total[None, :] + hits),
-    ):
-        # Rates are drawn to the mean by four documents' worth of it.
-        contrast += sign * (found + 4 * p) / (cell + 4)
-        noise += p * (1 - p) / (cell + 4)
-    z = np.abs(contrast) / np.sqrt(noise)
-    np.fill_diagonal(z, 0)
-    best = z.max(axis=1)
-    order = np.argsort(-best, kind="stable")[:MOST_PAIRED]
-    return terms[order[best[order] >= LEAST_PAIR_Z]]
+    mine = np.flatnonzero(at[slot] >= 0)
+    mine = mine[np.argsort(at[slot[mine]], kind="stable")]
+    own, doc = at[slot[mine]], doc[mine]
+    first = np.searchsorted(own, np.arange(0, len(terms) + BLOCK, BLOCK))
+    toxic = np.flatnonzero(y > 0)
+    best = np.zeros(len(terms))
+
+    def block(i: int) -> np.ndarray:
+        x = np.zeros((n, min(BLOCK, len(terms) - i * BLOCK)), np.float32)
+        x[doc[first[i] : first[i + 1]], own[first[i] : first[i + 1]] - i * BLOCK] = 1
+        return x
+
+    for i in range(len(first) - 1):
+        a = block(i)
+        a_toxic, a_all, a_hits = a[toxic], a.sum(axis=0)[:, None], a[toxic].sum(axis=0)[:, None]
+        for j in range(i, len(first) - 1):
+            b = a if i == j else block(j)
+            b_toxic, b_all, b_hits = b[toxic], b.sum(axis=0)[None, :], b[toxic].sum(axis=0)[None, :]
+            both, found = a.T @ b, a_toxic.T @ b_toxic
+            contrast, noise = np.zeros_like(both), np.zeros_like(both)
+            for sign, cell, label in ((1, both, found), (-1, a_all - both, a_hits - found), (-1, b_all - both, b_hits - found), (1, n - a_all - b_all + both, len(toxic) - a_hits - b_hits + found)):
+                # Rates are drawn to the mean by four documents' worth of it.
+                contrast += sign * (label + 4 * p) / (cell + 4)
+                noise += p * (1 - p) / (cell + 4)
+            z = np.abs(contrast) / np.sqrt(noise)
+            if i == j:
+                np.fill_diagonal(z, 0)
+            rows, cols = best[i * BLOCK : i * BLOCK + z.shape[0]], best[j * BLOCK : j * BLOCK + z.shape[1]]
+            np.maximum(rows, z.max(axis=1), out=rows)
+            np.maximum(cols, z.max(axis=0), out=cols)
+    return terms[best >= LEAST_PAIR_Z]
+
+
+def _nothing() -> Model:
+    return Model(np.zeros(SLOTS, np.int32), np.zeros(1), np.zeros((1, RANK)), float(np.log(0.01 / 0.99)))
 
 
 def train(rows: list[tuple[int, int, bytes]], steps: int = 150, seed: int = 1) -> Model:
     """From (doc_id, label, slots), in any order.  Without rows of both labels, every score is 0.01."""
-    none = Model(np.zeros(SLOTS, np.int16), np.zeros(1), np.zeros((1, RANK)), float(np.log(0.01 / 0.99)))
     if len({r[1] for r in rows}) < 2:
-        return none
+        return _nothing()
     rows = sorted(rows)
-    y = np.array([r[1] for r in rows], dtype=float)
+    y = np.array([r[1] for r in rows], dtype=np.float32)
     each = [np.frombuffer(r[2], np.int32) for r in rows]
     doc, slot = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in each]), np.concatenate(each)
     df, hits = np.bincount(slot, minlength=SLOTS), np.bincount(slot, y[doc], SLOTS)
-    p = y.mean()
+    p = float(y.mean())
     # How far a slot's share of toxic documents lies off the mean, in standard errors of a smoothed share.
     z = (hits - df * p) / np.sqrt((df + 4) * p * (1 - p))
-    strong = np.flatnonzero((np.abs(z) >= LEAST_Z) & (df >= 3))
-    strong = strong[np.argsort(-np.abs(z[strong]), kind="stable")[:MOST_TERMS]]
-    strong = np.union1d(strong, paired(doc, slot, y, df))
-    index = np.zeros(SLOTS, np.int16)
+    strong = np.union1d(np.flatnonzero((np.abs(z) >= LEAST_Z) & (df >= 3)), paired(doc, slot, y, df, hits))
+    index = np.zeros(SLOTS, np.int32)
     index[strong] = np.arange(1, len(strong) + 1)
     n, k = len(rows), len(strong) + 1
-    x = np.zeros((n, k), np.uint8)  # SAMPLE_ROWS x (MOST_TERMS + MOST_PAIRED) bytes at most
-    x[doc, index[slot]] = 1
-    x[:, 0] = 0
-    del doc, slot, each, rows
+    term = index[slot]
+    doc, term = doc[term > 0], term[term > 0]
+    del slot, each, rows
+    # (first row, rows, row and term of each cell, cells in order of term, where a term begins, the terms) of some rows at a time
+    parts = []
+    cuts = np.searchsorted(doc, np.arange(0, n + 500, 500))
+    for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        order = np.argsort(term[s:e], kind="stable").astype(np.int32)
+        begin = np.flatnonzero(np.append(True, np.diff(term[s:e][order]) != 0)) if e > s else np.zeros(0, np.int64)
+        parts.append((i * 500, min(500, n - i * 500), doc[s:e] - i * 500, term[s:e], order, begin, term[s:e][order][begin]))
+    del doc, term
     w, v, bias = np.zeros(k, np.float32), np.random.default_rng(seed).normal(0, 0.05, (k, RANK)).astype(np.float32), np.array([np.log(p / (1 - p))])
     moments = [(np.zeros_like(g), np.zeros_like(g)) for g in (w, v, bias)]
     for t in range(1, steps + 1):
-        both, pull, miss = np.concatenate([w[:, None], v, v * v], axis=1), np.zeros((k, RANK + 1), np.float32), 0.0
-        for i in range(0, n, 1000):
-            own = x[i : i + 1000].astype(np.float32)
-            found = own @ both
-            sums = found[:, 1 : RANK + 1]
-            z = bias[0] + found[:, 0] + 0.5 * (sums**2 - found[:, RANK + 1 :]).sum(axis=1)
-            err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i : i + 1000]) / n).astype(np.float32)
-            pull += own.T @ np.concatenate([err[:, None], err[:, None] * sums], axis=1)
+        pull, miss = np.zeros((k, RANK + 1), np.float32), 0.0
+        for at, size, own, terms, order, begin, names in parts:
+            if not size:
+                continue
+            first = np.searchsorted(own, np.arange(size + 1))
+            mine = np.concatenate([w[terms, None], v[terms], np.square(v[terms]).sum(axis=1, keepdims=True)], axis=1)
+            sums = np.zeros((size, RANK + 2), np.float32)
+            full = np.flatnonzero(np.diff(first))
+            if len(full):
+                sums[full] = np.add.reduceat(mine, first[:-1][full], axis=0)
+            z = bias[0] + sums[:, 0] + 0.5 * (np.square(sums[:, 1:-1]).sum(axis=1) - sums[:, -1])
+            err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at : at + size]) / n).astype(np.float32)
             miss += float(err.sum())
+            if len(begin):
+                cell = np.concatenate([err[:, None], err[:, None] * sums[:, 1:-1]], axis=1)[own[order]]
+                pull[names] += np.add.reduceat(cell, begin, axis=0)
         for value, g, (m, u) in ((w, pull[:, 0] + 1e-5 * w, moments[0]), (v, pull[:, 1:] - pull[:, :1] * v + 1e-4 * v, moments[1]), (bias, np.array([miss]), moments[2])):
             m += 0.1 * (g - m)
             u += 0.001 * (g * g - u)
@@ -154,10 +180,25 @@ def train(rows: list[tuple[int, int, bytes]], steps: int = 150, seed: int = 1) -
     return model
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows as rows: the bias under slot -1, and the kept slots."""
+    rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    model = train(rows)
+    slots = np.flatnonzero(model.index)
+    values = np.concatenate([model.weights[model.index[slots], None], model.factors[model.index[slots]]], axis=1)
+    yield pa.RecordBatch.from_pydict({"slot": pa.array([-1, *slots.tolist()], pa.int32()), "numbers": pa.array([np.array([model.bias]).tobytes(), *(x.tobytes() for x in values)], pa.binary())})
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, keep=None) -> Model:
-    """A model of ``labels.toxic``, from a bounded sample of labelled documents."""
-    found = sample(docs, labels, "toxic", rows, keep).mapInArrow(_features, "doc_id long, label int, slots binary").collect()
-    return train([tuple(r) for r in found])
+    """A model of ``labels.toxic``, from a bounded sample of labelled documents, which meet in one task; the driver gets the model's rows."""
+    found = sample(docs, labels, "toxic", rows, keep).mapInArrow(_features, "doc_id long, label int, slots binary").repartition(1).mapInArrow(_trained, "slot int, numbers binary").collect()
+    if not found:
+        return _nothing()
+    found = sorted(found)
+    numbers = np.array([np.frombuffer(r.numbers, float) for r in found[1:]]).reshape(-1, RANK + 1)
+    model = Model(np.zeros(SLOTS, np.int32), np.append(0.0, numbers[:, 0]), np.concatenate([np.zeros((1, RANK)), numbers[:, 1:]]), float(np.frombuffer(found[0].numbers, float)[0]))
+    model.index[[r.slot for r in found[1:]]] = np.arange(1, len(found))
+    return model
 
 
 def _scores(model: Model, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:

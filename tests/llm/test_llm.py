@@ -5,10 +5,12 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.llm import decontaminate, jaccard, mixing, pii, quality, secrets, sharding, suffixes, toxicity, warc
+from mnemospark.llm._labelled import sample
 from mnemospark.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -445,6 +447,30 @@ def test_toxicity_of_pairs(spark):
     assert len(right) > 300 and sum(right) / len(right) > 0.95
 
 
+@pytest.mark.parametrize("others", [100, 1500, 5000])
+def test_toxicity_of_a_pair_among_many_terms(others):
+    """Two harmless terms, each in a tenth of the rows: with both a row is toxic, with one never, with neither at the base rate, however many commoner terms there are."""
+    rng = np.random.default_rng(others)
+    n = 3000
+    a, b = rng.random(n) < 0.1, rng.random(n) < 0.1
+    y = np.where(a & b, 1, np.where(a | b, 0, rng.random(n) < 0.06)).astype(int)
+    rows = []
+    for i in range(n):
+        common = 10 + np.flatnonzero(rng.random(others) < 0.2)
+        rows.append((i, int(y[i]), np.sort(np.concatenate([np.flatnonzero([a[i], b[i]]), common])).astype(np.int32).tobytes()))
+    model = toxicity.train(rows, steps=60)
+    assert model.index[0] and model.index[1]
+    both, one, none = (model.logits(np.zeros(len(t), np.int64), model.index[np.array(t, np.int64)].astype(np.int64), 1)[0] for t in ([0, 1], [0], []))
+    assert both > 0.85 and one < -1 and none < -1, (both, one, none)
+
+
+def test_samples_have_one_row_an_id(spark):
+    docs = documents(spark, ["b", "a", "a", None, "z"], [1, 1, 1, 2, 3])
+    marks = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (2, 1, 1), (4, 1, 1), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    got = sorted((r.doc_id, r.text, r.label) for r in sample(docs, marks, "toxic", 10).collect())
+    assert [(i, x) for i, _, x in got] == [(1, 1), (2, 1)] and got[0][1] in ("a", "b") and got[1][1] is None
+
+
 def test_models_on_held_out_rows(spark):
     """Toxic: an insult together with a group; either alone is not."""
     rng = random.Random(8)
