@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemospark.operators import assistant, cleanup, contradictions, ensembles
+from mnemospark.operators import assistant, cleanup, contradictions, ensembles, procedures
 from mnemospark.operators import gates as G
 from mnemospark.operators.clustering import mean_vectors
 from mnemospark.plans.filters import _lit
@@ -252,3 +252,44 @@ def j5_table(spark, d):
     _polluted(spark, d).repartition("channel").write.partitionBy("channel").parquet(path)
     cleanup.apply_plan(spark, path, cleanup.cleanup_plan(spark.read.parquet(path)), "channel", NOW_MS)
     return spark.read.parquet(path).select("message_id", "channel", "content", "metadata", "embedded")
+
+
+def _pattern_answers(spark, d):
+    """A model's stored answers: of each user the memories of two places in 45 as patterns, the first of which are procedures that exist."""
+    m = t.memories(spark, d).where("memory_id % 45 IN (13, 14, 31)")
+    i = F.col("memory_id")
+    step = lambda n, action, command: F.struct(n.cast("double").alias("order"), action.alias("action"), command.cast("string").alias("command"))
+    steps = F.array(step(F.lit(2), F.concat(F.lit("do "), (i % 4).cast("string")), F.lit("run it")), step(F.lit(1), F.lit(" look "), F.lit(None)), step(F.lit(3), F.lit("LOOK"), F.lit("")), step(F.lit(4), F.lit(" "), F.lit("no")))
+    one = F.struct(
+        i.alias("id"), F.when(i % 2 == 0, F.concat("title", F.lit(" more"))).otherwise(F.col("title")).alias("title"), F.col("content").alias("content"), F.array((i % 2).cast("double"), F.lit(0.0), F.lit(900.0)).alias("sourceMemoryIndices"),
+        t.pick(("workflow", "problem_solving", "else"), i).alias("patternType"), (i % 7).cast("double").alias("observationCount"), F.array(F.lit(" when "), F.concat(F.lit("t"), (i % 3).cast("string"))).alias("triggerConditions"), steps.alias("steps"), F.array(F.lit(""), F.lit("slow")).alias("pitfalls"), F.when(i % 4 == 1, " see ").alias("verification"),
+    )
+    every = F.to_json(F.array_sort(F.collect_list(one)))  # a few of each user
+    return m.groupBy("user_id").agg(F.when(F.col("user_id") % 2 == 0, F.concat(F.lit('{"patterns":'), every, F.lit("}"))).otherwise(every).alias("answer"))
+
+
+_LONG = "list_filter(regexp_split_to_array(lower(trim({0}, " + _BLANKS + ")), '[ \\t\\n\\r\\f]+'), lambda w: length(w) > 3)"
+_PATTERNS = f"""shown AS (SELECT * FROM (SELECT user_id, memory_id, row_number() OVER (PARTITION BY user_id ORDER BY created_ms DESC, memory_id) - 1 AS i FROM memories WHERE created_ms >= {EPOCH_MS} AND NOT archived AND store NOT IN ('prospective', 'procedural')) WHERE i < 60),
+    f0 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY memory_id) - 1 AS place FROM (SELECT user_id, memory_id, CASE WHEN memory_id % 2 = 0 THEN title || ' more' ELSE title END AS title, content, memory_id % 7 AS seen FROM memories WHERE memory_id % 45 IN (13, 14, 31))),
+    f AS MATERIALIZED (SELECT f0.*, [a.memory_id, b.memory_id] AS sources FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place) AS n FROM f0 WHERE seen >= 2) f0 JOIN shown a ON a.user_id = f0.user_id AND a.i = f0.memory_id % 2 JOIN shown b ON b.user_id = f0.user_id AND b.i = 0 WHERE n <= 5),
+    known AS MATERIALIZED (SELECT *, list_distinct({_LONG.format("title")}) AS kt, {_LONG.format("content")} AS ks FROM memories WHERE store = 'procedural' AND NOT archived),
+    x AS (SELECT *, list_distinct({_LONG.format("title")}) AS ft, {_LONG.format("content")} AS fs FROM f),
+    p AS (SELECT x.user_id, x.place, min(k.memory_id) AS hit FROM x JOIN known k ON k.user_id = x.user_id WHERE len(ft) > 0 AND len(kt) > 0 AND (len(list_intersect(ft, kt)) / (len(ft) + len(kt) - len(list_intersect(ft, kt)))::DOUBLE > 0.8
+        OR len(fs) > 0 AND len(ks) > 0 AND len(list_filter(fs, lambda w: list_contains(ks, w))) / greatest(len(fs), len(ks))::DOUBLE > 0.6) GROUP BY x.user_id, x.place),
+    c AS (SELECT f.*, p.hit, CASE WHEN memory_id % 3 = 1 THEN 'problem_solving' ELSE 'workflow' END AS kind, greatest(seen, 2)::BIGINT AS observations, CASE WHEN seen >= 5 THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence, CASE WHEN memory_id % 4 = 1 THEN 'see' ELSE '' END AS checked FROM f LEFT JOIN p USING (user_id, place)),
+    g AS (SELECT *, ['organic', 'auto-extracted', 'pattern:' || kind, 'source:' || sources[1], 'source:' || sources[2]] AS tags FROM c)"""
+_META = """'{"skillFormat":true,"triggerConditions":["when","t' || (memory_id % 3) || '"],"steps":[{"order":1,"action":"look"},{"order":2,"action":"do ' || (memory_id % 4) || '","command":"run it"}],"pitfalls":["slow"],"verification":"' || checked || '","patternType":"' || kind || '","observationCount":' || """
+
+
+@query("i13_procedures", sql(f"""WITH {_PATTERNS},
+    r AS (SELECT g.*, row_number() OVER (PARTITION BY hit ORDER BY place) AS nth, row_number() OVER (PARTITION BY hit ORDER BY place DESC) AS last, k.title AS old_title, k.confidence AS old_confidence, k.strength, k.access_count, k.tags AS old_tags, CAST(json_extract(k.metadata, '$.observationCount') AS BIGINT) + seen AS total FROM g JOIN known k ON k.memory_id = hit),
+    s AS (SELECT hit, count(*) AS turns, max(confidence) AS confidence, list(tags ORDER BY nth) AS tags, max(greatest(access_count + 0, total) + 0) AS any_total, list(total ORDER BY nth) AS totals FROM r GROUP BY hit)
+    SELECT user_id, place, CASE WHEN hit IS NULL THEN NULL ELSE hit END AS memory_id, 'create' AS action, substring(title, 1, 200) AS title, content, {_META} observations || ',"lastObserved":$NOW}}' AS metadata, confidence, 0.8::DOUBLE AS strength, 0::BIGINT AS access_count, array_to_string(list_sort(list_distinct(tags)), ',') AS tags FROM g WHERE hit IS NULL
+    UNION ALL SELECT r.user_id, place, r.hit, 'reinforce', CASE kind WHEN 'workflow' THEN substring(title, 1, 200) ELSE old_title END,
+        concat_ws(chr(10) || chr(10), trim(content, {_BLANKS}), 'Trigger conditions:' || chr(10) || '- when' || chr(10) || '- t' || (memory_id % 3), 'Steps:' || chr(10) || '1. look' || chr(10) || '2. do ' || (memory_id % 4) || ' (run it)', 'Pitfalls:' || chr(10) || '- slow', CASE WHEN checked <> '' THEN 'Verification:' || chr(10) || checked END),
+        {_META} greatest(total, observations) || ',"lastObserved":$NOW}}', greatest(old_confidence, s.confidence), round(least(1, strength + 0.1::DOUBLE * turns), 6), list_reduce(list_prepend(access_count::BIGINT, totals), lambda a, b: greatest(a + 1, b)), array_to_string(list_sort(list_distinct(flatten(list_prepend(old_tags, s.tags)))), ',') FROM r JOIN s ON s.hit = r.hit WHERE last = 1"""))
+def i13(spark, d):
+    m = t.memories(spark, d)
+    found = procedures.patterns(_pattern_answers(spark, d), procedures.shown(m, EPOCH_MS), taken=5)
+    out = procedures.upserted(found, m.where("store = 'procedural' AND NOT archived"), NOW_MS)
+    return out.withColumn("tags", F.array_join(F.array_sort(F.array_distinct("tags")), ","))
