@@ -94,15 +94,15 @@ def oldest_chunk(rows: DataFrame, by: list[str], limit: int, tail: int = 8, kind
     return r.where(F.col("__before") < limit).drop("__is", "__first", "__broken", "__before", "fresh")
 
 
-def dropped_sections(sections: DataFrame, by: list[str], most: int, drop_order: list[str]) -> DataFrame:
-    """Sections of each key after dropping whole labels, lowest priority first and last section first, until all fit."""
+def dropped_sections(sections: DataFrame, by: list[str], most: int | str, drop_order: list[str]) -> DataFrame:
+    """Sections of each key after dropping whole labels, lowest priority first and last section first, until all fit ``most`` (a number, or the column that has it)."""
     rank = F.coalesce(*[F.when(F.col("label") == x, i) for i, x in enumerate(drop_order)])
     s = sections.withColumn("__rank", rank)
     total = F.sum("size").over(Window.partitionBy(*by))
     w = Window.partitionBy(*by).orderBy(F.col("__rank").asc_nulls_last(), F.desc("ordinal"))
     gone = F.coalesce(F.sum(F.when(F.col("__rank").isNotNull(), F.col("size")).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     s = s.withColumn("__excess", total - gone)
-    return s.where(F.col("__rank").isNull() | (F.col("__excess") <= most)).drop("__rank", "__excess")
+    return s.where(F.col("__rank").isNull() | (F.col("__excess") <= (F.col(most) if isinstance(most, str) else most))).drop("__rank", "__excess")
 
 
 def trimmed_oldest(rows: DataFrame, by: list[str], most: int, size: str = "chars", order: str = "ordinal") -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mnemospark.operators import assistant, cleanup, contradictions, ensembles, procedures
+from mnemospark.functions import text as T
+from mnemospark.operators import assistant, cleanup, context, contradictions, ensembles, procedures
 from mnemospark.operators import gates as G
 from mnemospark.operators.clustering import mean_vectors
+from mnemospark.operators.common import top_per
 from mnemospark.plans.filters import _lit
 from mnemospark.plans.joins import _HASH_TEXT
 from mnemospark.plans.oracle import sql
+from mnemospark.plans.scalars import _INTENT, TRIM
 from mnemospark.plans.scans import _COSINE
 from mnemospark.registry import query
 from mnemospark.sources import tables as t
@@ -293,3 +297,67 @@ def i13(spark, d):
     found = procedures.patterns(_pattern_answers(spark, d), procedures.shown(m, EPOCH_MS), taken=5)
     out = procedures.upserted(found, m.where("store = 'procedural' AND NOT archived"), NOW_MS)
     return out.withColumn("tags", F.array_join(F.array_sort(F.array_distinct("tags")), ","))
+
+
+def _clean_sql(text: str, most: int | None = None) -> str:
+    """SQL of a sanitised text, as one line of ``most`` letters if given."""
+    lines = f"[regexp_replace(regexp_replace(regexp_replace(y, {_lit(T.INJECTED_BLOCK)}, '', 'g'), {_lit(T.INJECTED_MARK)}, '', 'g'), '[ \\t\\r\\f]+$', '') for y in string_split({text}, chr(10))]"
+    clean = TRIM.format(f"substring(array_to_string(list_filter({lines}, lambda y: NOT regexp_matches(regexp_replace(y, '^[ \\t\\r\\f]+', ''), {_lit(T.INJECTED_LINE)}) AND trim(y, {_BLANKS}) <> ''), chr(10)), 1, 2000)")
+    return clean if most is None else _line_sql(clean, most)
+
+
+def _line_sql(text: str, most: int) -> str:
+    one = TRIM.format(f"regexp_replace({text}, '[ \\t\\n\\r\\f]+', ' ', 'g')")
+    return f"(SELECT CASE WHEN length(o) <= {most} THEN o ELSE regexp_replace(substring(o, 1, {most - 1}), ' +$', '') || '…' END FROM (SELECT {one} AS o))"
+
+
+def _prompts(spark, d):
+    """Users' messages as prompts; some say what an intent needs, some sessions are scheduled, and models differ."""
+    m = t.messages(spark, d).where("role = 'user'")
+    i, s = F.col("message_id"), F.col("session_key")
+    say = t.pick(("how to run", "recall the plan", "build it now", "what did you say?", "do"), i)
+    return m.select(i.alias("prompt_id"), "session_key", "user_id", F.when(i % 4 < 3, say).otherwise(F.col("content")).alias("prompt"), (F.col("turn_index") == 0).alias("first"), (s % 13 == 0).alias("cron"), ((s % 5 + 1) * 3000).alias("effective_tokens"), F.lit(0.1).alias("share"))
+
+
+_SHOWN = ("memory_id", "user_id", "store", "category", "title", "content", "strength", "kb_id")
+_MEMORY_SQL = f"""'--- Memory [' || memory_id || '] ---' || chr(10) || 'Type: ' || store || '/' || category || CASE WHEN strength >= 0.85 THEN ' [HIGH CONFIDENCE]' WHEN strength >= 0.5 THEN '' ELSE ' [low confidence]' END || chr(10) || 'Title: ' || {_clean_sql("title", 120)}
+    || CASE WHEN {_clean_sql("content")} <> '' THEN chr(10) || 'Content: ' || substring({_clean_sql("content")}, 1, 600) ELSE '' END || chr(10) || '--- End Memory ---'"""
+_PAST = f"(intent = 'recall' OR {' OR '.join(f'regexp_matches(asked, {_lit(x)})' for x in (G.ASKS_EVIDENCE, G.NAMES_PERSON, G.NAMES_DAY, G.ISO_DAY))})"
+
+
+@query("l18_context", sql(f"""WITH p AS MATERIALIZED (SELECT *, {_INTENT.replace("q ", "asked ").replace("(q,", "(asked,")} AS intent FROM (SELECT *, trim(prompt, {_BLANKS}) AS asked FROM (SELECT message_id AS prompt_id, session_key, user_id, turn_index, ts, CASE WHEN message_id % 4 < 3 THEN (['how to run', 'recall the plan', 'build it now', 'what did you say?', 'do'])[message_id % 5 + 1] ELSE content END AS prompt,
+        turn_index = 0 AS first, session_key % 13 = 0 AS cron, CAST(floor((session_key % 5 + 1) * 3000 * 0.1) AS BIGINT) * 4 AS budget FROM messages WHERE role = 'user'))),
+    blocks AS MATERIALIZED (SELECT user_id, memory_id, store, strength, category, {_MEMORY_SQL} AS block FROM memories WHERE NOT archived AND (strength >= 0.9 OR store = 'procedural')),
+    hit AS (SELECT user_id, string_agg(block, chr(10) ORDER BY n) AS memories FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY strength DESC, memory_id) AS n FROM blocks WHERE strength >= 0.9 AND user_id % 3 <> 0) WHERE n <= 2 GROUP BY user_id),
+    able AS (SELECT user_id, string_agg(block, chr(10) ORDER BY n) AS skills FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY strength DESC, memory_id) AS n FROM blocks WHERE store = 'procedural') WHERE n <= 3 GROUP BY user_id),
+    idea AS (SELECT user_id, string_agg('--- Memory [idea:' || memory_id || '] ---' || chr(10) || 'Title: ' || {_clean_sql("title", 120)} || chr(10) || 'Content: ' || {_clean_sql("content", 2000)} || chr(10) || 'Source: Based on ' || CASE WHEN access_count > 0 THEN access_count::VARCHAR ELSE 'multiple' END || ' connected memories' || chr(10) || '--- End Memory ---', chr(10) ORDER BY n) AS ideas
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY memory_id) AS n FROM memories WHERE category = 'goal' AND confidence > 0.5) WHERE n <= 3 GROUP BY user_id),
+    old AS MATERIALIZED (SELECT p.prompt_id, m.role, m.content, m.ts, row_number() OVER (PARTITION BY p.prompt_id ORDER BY m.ts DESC, m.message_id) AS n, m.role = 'assistant' AS theirs, row_number() OVER (PARTITION BY p.prompt_id, m.role ORDER BY m.ts DESC, m.message_id) AS k FROM p JOIN messages m ON m.session_key = p.session_key AND m.ts < p.ts),
+    lines AS (SELECT prompt_id, string_agg('- [' || role || '] ' || {_clean_sql("content", 220)} || ' (' || strftime(make_timestamp(ts * 1000), '%Y-%m-%d %H:%M') || ')', chr(10) ORDER BY n) AS lines FROM old WHERE n <= 2 GROUP BY prompt_id),
+    lasts AS (SELECT prompt_id, {_clean_sql("content", 180)} AS last FROM old WHERE theirs AND k = 1),
+    woken AS (SELECT session_key, {_clean_sql("content", 240)} AS briefing FROM messages WHERE turn_index = 1),
+    e AS (SELECT p.*, memories, CASE WHEN NOT cron AND {_PAST} THEN lines END AS lines, CASE WHEN NOT cron AND {_PAST} AND (memories IS NULL OR lines IS NULL) THEN last END AS last FROM p LEFT JOIN hit USING (user_id) LEFT JOIN lines USING (prompt_id) LEFT JOIN lasts USING (prompt_id) WHERE length(asked) >= 5),
+    parts AS (SELECT prompt_id, 0 AS ordinal, 'Preamble' AS label, 'Memory is on.' AS text FROM p WHERE NOT cron UNION ALL SELECT prompt_id, 1, 'Preamble', 'Tools: recall, search.' FROM p WHERE NOT cron AND first UNION ALL SELECT prompt_id, 2, 'Preamble', briefing FROM p JOIN woken USING (session_key) WHERE NOT cron AND first
+        UNION ALL SELECT prompt_id, 3, 'Memory Discovery', '--- Memory Discovery ---' || chr(10) || 'While you were away, your memory discovered:' || chr(10) || chr(10) || ideas || chr(10) || chr(10) || '(Respond naturally -- reference this if relevant to the conversation)' || chr(10) || '--- End Discovery ---' FROM p JOIN idea USING (user_id) WHERE NOT cron
+        UNION ALL SELECT prompt_id, 4, 'Relevant Recall', concat_ws(chr(10), '## Relevant Memory Evidence' || chr(10) || 'Question: ' || {_line_sql("asked", 180)} || chr(10), memories || chr(10), 'Recent message evidence:' || chr(10) || lines || chr(10), CASE WHEN last <> '' THEN 'Recent context: ' || last || chr(10) END, 'Search messages for exact wording and memories for broader lookup.') FROM e WHERE memories IS NOT NULL OR lines IS NOT NULL OR last IS NOT NULL
+        UNION ALL SELECT prompt_id, 5, 'Relevant Skills', '## Relevant Skills' || chr(10) || 'Prompt: ' || {_line_sql("asked", 180)} || chr(10) || skills || chr(10) || chr(10) || 'Apply these skills if they fit the current task.' FROM p JOIN able USING (user_id) WHERE length(asked) >= 5 AND intent IN ('command', 'workflow')),
+    r AS (SELECT parts.*, budget, CASE label WHEN 'Relevant Skills' THEN 0 WHEN 'Memory Discovery' THEN 1 WHEN 'Preamble' THEN 2 ELSE 3 END AS rank FROM parts JOIN p USING (prompt_id) WHERE text <> ''),
+    x AS (SELECT *, sum(length(text)) OVER (PARTITION BY prompt_id) - coalesce(sum(length(text)) OVER (PARTITION BY prompt_id ORDER BY rank, ordinal DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS excess FROM r),
+    g AS (SELECT prompt_id, string_agg(label, '|' ORDER BY ordinal) AS labels, trim(string_agg(text, chr(10) || chr(10) ORDER BY ordinal), {_BLANKS}) AS text FROM x WHERE excess <= budget GROUP BY prompt_id)
+    SELECT prompt_id, budget, length(coalesce(text, ''))::INT AS chars, coalesce(labels, '') AS labels, coalesce(text, '') AS text FROM p LEFT JOIN g USING (prompt_id)"""))
+def l18(spark, d):
+    m, msgs, p = t.memories(spark, d), t.messages(spark, d), _prompts(spark, d)
+    best = [F.desc("strength"), F.asc("memory_id")]
+
+    def ranked(rows, n):
+        first = top_per(rows.select(*_SHOWN), ["user_id"], n, *best).withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*best)))
+        return p.select("prompt_id", "user_id").join(first, "user_id").withColumnRenamed("strength", "score").withColumn("continuity", F.col("user_id") % 3)
+
+    active = m.where("NOT archived")
+    hits = ranked(active.where("strength >= 0.9"), 5).withColumn("kb_id", F.lit(None).cast("string"))
+    ideas = m.where("category = 'goal'").select("user_id", F.col("memory_id").alias("rank"), F.col("memory_id").alias("idea_id"), "title", F.col("content").alias("summary"), "confidence", F.col("access_count").alias("sources"))
+    old = msgs.select(F.col("message_id").alias("other_id"), "session_key", "role", "content", "ts")
+    now = msgs.where("role = 'user'").select(F.col("message_id").alias("prompt_id"), "session_key", F.col("ts").alias("now"))
+    before = now.join(old, "session_key").where("ts < now").withColumn("rank", F.row_number().over(Window.partitionBy("prompt_id").orderBy(F.desc("ts"), F.asc("other_id"))))
+    briefings = msgs.where("turn_index = 1").select("session_key", F.col("content").alias("briefing"))
+    return context.built(p, "Memory is on.", "Tools: recall, search.", briefings, ideas, hits, before, before.where("role = 'assistant'"), ranked(active.where("store = 'procedural'"), 3))
