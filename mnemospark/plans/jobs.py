@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
-from mnemospark.operators import assistant, cleanup, context, contradictions, ensembles, procedures
+from mnemospark.operators import assistant, cleanup, context, contradictions, ensembles, procedures, replay, tuning
 from mnemospark.operators import gates as G
 from mnemospark.operators.clustering import mean_vectors
 from mnemospark.operators.common import top_per
@@ -361,3 +361,52 @@ def l18(spark, d):
     before = now.join(old, "session_key").where("ts < now").withColumn("rank", F.row_number().over(Window.partitionBy("prompt_id").orderBy(F.desc("ts"), F.asc("other_id"))))
     briefings = msgs.where("turn_index = 1").select("session_key", F.col("content").alias("briefing"))
     return context.built(p, "Memory is on.", "Tools: recall, search.", briefings, ideas, hits, before, before.where("role = 'assistant'"), ranked(active.where("store = 'procedural'"), 3))
+
+
+_BASE_WEIGHTS = [0.22, 0.2, 0.12, 0.03, 0.13, 0.08, 0.12, 0.1]
+
+
+def _policies(spark, d):
+    """A policy for each user: some stored, locked or tuned of late."""
+    u = t.recall_log(spark, d).select("user_id").distinct()
+    i = F.col("user_id")
+    return u.select("user_id", F.array(*[F.lit(w) for w in _BASE_WEIGHTS]).alias("weights"), (1 + i % 4).alias("generation"), (i % 2 == 0).alias("stored"), (i % 11 == 3).alias("locked"), F.when(i % 7 == 2, F.lit(NOW_MS - 3_600_000)).when(i % 7 == 4, F.lit(NOW_MS - 2 * DAY_MS)).alias("tuned_ms"))
+
+
+def _signals(spark, d):
+    logs = t.recall_log(spark, d)
+    k = F.element_at("top_ids", 1)
+    cand = logs.select("log_id", "user_id", F.explode(F.array_distinct(F.concat("top_ids", F.array((k + 7) % 100, (k + 11) % 100)))).alias("memory_id"))
+    i = F.col("memory_id")
+    signals = F.array(F.col("confidence"), F.col("strength"), F.col("arousal"), F.col("access_count") / 25.0, F.col("salience"), (i % 3) / 2.0, (i % 5) / 4.0, F.when(F.col("kb_id").isNotNull(), 1.0).otherwise(0.0))
+    return cand.join(t.memories(spark, d).select("memory_id", signals.alias("signals")), "memory_id")
+
+
+_HASHED = "CAST('0x' || substr(sha256({0}), {1}, 8) AS BIGINT)"
+
+
+@query("i10_policy_tuning", sql(f"""WITH RECURSIVE u AS (SELECT DISTINCT user_id FROM recall_log), pol AS (SELECT user_id, {_BASE_WEIGHTS}::DOUBLE[] AS weights, 1 + user_id % 4 AS generation, user_id % 2 = 0 AS stored, user_id % 11 = 3 AS locked, CASE WHEN user_id % 7 = 2 THEN $NOW - 3600000 WHEN user_id % 7 = 4 THEN $NOW - {2 * DAY_MS} END AS tuned_ms FROM u),
+    c AS (SELECT *, user_id || ':' || generation || ':' || candidate || ':' AS seed FROM (SELECT *, unnest(range(0, 5)) AS candidate FROM pol WHERE NOT locked)),
+    dr AS (SELECT *, list_transform({list(tuning.KEYS)}, lambda k: {_HASHED.format("seed || k", 1)}) AS drawn, list_transform({list(tuning.KEYS)}, lambda k: {_HASHED.format("seed || k", 9)} % 2 = 1) AS ups, 2 + {_HASHED.format("seed || 'moved'", 1)} % 2 AS moved FROM c),
+    mv AS (SELECT *, CASE WHEN candidate = 0 THEN weights ELSE list_transform(range(1, 9), lambda i: CASE WHEN drawn[i] <= list_sort(drawn)[moved] THEN greatest(0.02, least(0.5, weights[i] * CASE WHEN ups[i] THEN 1.15 ELSE 0.85 END)) ELSE weights[i] END) END::DOUBLE[] AS v FROM dr),
+    wf AS (SELECT user_id, candidate, 0 AS step, v, list_transform(range(1, 9), lambda i: false) AS held, 1.0::DOUBLE AS rest FROM mv WHERE candidate > 0
+        UNION ALL SELECT user_id, candidate, step + 1, CASE WHEN k > 0 THEN list_transform(range(1, 9), lambda i: CASE WHEN i = k THEN bound ELSE v[i] END) ELSE list_transform(range(1, 9), lambda i: CASE WHEN held[i] THEN v[i] ELSE share[i] END) END, list_transform(range(1, 9), lambda i: held[i] OR i = k), CASE WHEN k > 0 THEN rest - bound ELSE rest END FROM (
+            SELECT *, CASE WHEN share[k] < 0.02 THEN 0.02 ELSE 0.5 END::DOUBLE AS bound FROM (SELECT *, coalesce(list_position(list_transform(range(1, 9), lambda i: NOT held[i] AND (share[i] < 0.02 OR share[i] > 0.5)), true), 0) AS k FROM (
+                SELECT *, list_transform(own, lambda x: x / list_sum(own) * rest) AS share FROM (SELECT *, list_transform(range(1, 9), lambda i: CASE WHEN held[i] THEN 0 ELSE greatest(v[i], 0) END) AS own FROM wf WHERE step <= 8)))) ),
+    fin AS (SELECT user_id, candidate, list_transform(v, lambda x: greatest(0.02, least(0.5, x))) AS v FROM wf WHERE step = 9),
+    var AS MATERIALIZED (SELECT user_id, candidate, weights AS w FROM mv WHERE candidate = 0 UNION ALL SELECT user_id, candidate, list_transform(range(1, 9), lambda i: CASE WHEN i = 1 THEN greatest(0.02, least(0.5, v[1] + 1 - list_sum(v))) ELSE v[i] END) FROM fin),
+    lg AS (SELECT log_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_ms DESC, log_id DESC) AS n FROM recall_log) WHERE n <= 50),
+    rel AS (SELECT l.log_id, list(DISTINCT a.memory_id) AS relevant FROM recall_log l JOIN activity a ON l.user_id = a.user_id AND a.ts BETWEEN l.created_ms AND l.created_ms + {10 * DAY_MS} GROUP BY l.log_id),
+    hit AS (SELECT log_id, memory_id, [confidence, strength, arousal, access_count / 25.0::DOUBLE, salience, memory_id % 3 / 2.0::DOUBLE, memory_id % 5 / 4.0::DOUBLE, CASE WHEN kb_id IS NOT NULL THEN 1 ELSE 0 END]::DOUBLE[] AS s
+        FROM (SELECT log_id, unnest(list_distinct(top_ids || [(top_ids[1] + 7) % 100, (top_ids[1] + 11) % 100])) AS memory_id FROM recall_log) JOIN memories USING (memory_id)),
+    sc AS (SELECT log_id, lg.user_id, v.candidate, memory_id, round(list_dot_product(s, w), 6) AS score FROM hit JOIN lg USING (log_id) JOIN var v ON v.user_id = lg.user_id),
+    rk AS (SELECT log_id, user_id, candidate, list(memory_id) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY log_id, candidate ORDER BY score DESC, memory_id) AS n FROM sc) WHERE n <= 3 GROUP BY ALL),
+    ev AS (SELECT user_id, candidate, count(*) AS evaluated, round(avg(round((round(x / len(shown)::DOUBLE, 6) + round(x / len(relevant)::DOUBLE, 6)) / 2, 6)), 6) AS score FROM (SELECT *, len(list_intersect(shown, relevant)) AS x FROM rk JOIN rel USING (log_id)) GROUP BY user_id, candidate),
+    st AS (SELECT pol.*, b.score AS base, b.evaluated, (SELECT max(score) FROM ev WHERE ev.user_id = pol.user_id AND candidate > 0) AS best, (SELECT arg_min(candidate, (-score, candidate)) FROM ev WHERE ev.user_id = pol.user_id AND candidate > 0) AS first FROM pol LEFT JOIN ev b ON b.user_id = pol.user_id AND b.candidate = 0),
+    dec AS (SELECT *, CASE WHEN locked THEN 'locked' WHEN evaluated IS NULL THEN 'no samples' WHEN coalesce($NOW - tuned_ms < {DAY_MS}, false) THEN 'interval' END AS skipped, CASE WHEN best > base AND best > CASE WHEN base <= 0 THEN 0.05 ELSE base * 1.05 END THEN first END AS won FROM st)
+    SELECT d.user_id, v.candidate::INT AS candidate, CASE WHEN v.candidate = 0 THEN generation WHEN stored THEN generation + 1 ELSE 1 END AS generation, CASE WHEN v.candidate = 0 AND won IS NULL OR v.candidate = won THEN 'active' ELSE 'rejected' END AS status, ev.score, d.evaluated, list_transform(w, lambda x: round(x, 6)) AS weights FROM dec d JOIN var v USING (user_id) JOIN ev ON ev.user_id = d.user_id AND ev.candidate = v.candidate WHERE skipped IS NULL
+    UNION ALL SELECT user_id, NULL, generation, skipped, NULL, 0, list_transform(weights, lambda x: round(x, 6)) FROM dec WHERE skipped IS NOT NULL"""))
+def i10(spark, d):
+    logs = t.recall_log(spark, d)
+    out = tuning.tuned(_policies(spark, d), logs, _signals(spark, d), replay.samples(logs, t.activity(spark, d), 10 * DAY_MS), NOW_MS)
+    return out.withColumn("weights", F.transform("weights", lambda x: F.round(x, 6)))
