@@ -265,18 +265,3 @@ def h3_11(spark, d):
     cand = logs.select("log_id", F.explode(F.array_distinct(F.concat("top_ids", F.array((k + 7) % 100, (k + 11) % 100)))).alias("memory_id"))
     cand = cand.join(t.memories(spark, d).select("memory_id", "strength", F.col("salience").alias("freshness")), "memory_id")
     return replay.policy_scores(cand, _samples(spark, d), _POLICIES)
-
-
-def tuned_policy(candidates, relevant, weights: dict | None = None, seed: int = 1):
-    """The best of the weights and four seeded variations of two or three of them, by replay, if it is better by over a twentieth."""
-    import random
-
-    rng = random.Random(seed)
-    base = S.bounded_weights(weights or S.WEIGHTS)
-    policies = {"baseline": base}
-    for i in range(4):
-        keys = rng.sample(sorted(base), rng.choice((2, 3)))
-        policies[f"variant{i}"] = S.bounded_weights({k: v * (rng.choice((0.85, 1.15)) if k in keys else 1) for k, v in base.items()})
-    scores = {r["policy"]: r["composite"] for r in replay.policy_scores(candidates, relevant, policies).collect()}  # five rows
-    best = max(policies, key=lambda p: (scores.get(p, 0.0), p == "baseline"))
-    return policies[best] if S.promoted(scores.get("baseline", 0.0), scores.get(best, 0.0)) else base

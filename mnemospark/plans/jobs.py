@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
-from mnemospark.operators import assistant, cleanup, context, contradictions, ensembles, procedures, replay, tuning
+from mnemospark.operators import assistant, cleanup, context, contradictions, enrich, ensembles, procedures, replay, tuning
 from mnemospark.operators import gates as G
 from mnemospark.operators.clustering import mean_vectors
 from mnemospark.operators.common import top_per
@@ -410,3 +410,60 @@ def i10(spark, d):
     logs = t.recall_log(spark, d)
     out = tuning.tuned(_policies(spark, d), logs, _signals(spark, d), replay.samples(logs, t.activity(spark, d), 10 * DAY_MS), NOW_MS)
     return out.withColumn("weights", F.transform("weights", lambda x: F.round(x, 6)))
+
+
+def _graph_answers(spark, d):
+    """A model's stored answers for two memories of three: entities from title, number and channel, relations between them, a hint; some in a code fence, some broken."""
+    m = t.memories(spark, d).where("memory_id % 3 != 0")
+    i = F.col("memory_id")
+    word = F.split("title", " ")[0]
+    ent = lambda label, kind: F.struct(label.alias("label"), kind.cast("string").alias("type"), F.concat(F.lit(" about "), i.cast("string")).alias("description"))
+    node = F.concat(F.lit("Node "), (i % 7).cast("string"))
+    entities = F.array(ent(F.concat(F.lit(" "), word), t.pick(("person", "tool", "planet"), i)), ent(node, F.lit(None)), ent(F.col("channel"), F.lit("channel")), ent(F.lit("  "), F.lit("goal")), ent(F.upper(node), F.lit("project")), ent(F.lit("sixth"), F.lit("goal")))
+    rel = lambda a, b, kind, w, note: F.struct(a.alias("from"), b.alias("to"), kind.alias("type"), w.cast("double").alias("weight"), note.cast("string").alias("note"))
+    rels = F.array(rel(F.lower(node), F.col("channel"), t.pick(("uses", "depends_on", "likes"), i), (i % 13) / 10.0, F.when(i % 4 == 0, F.concat(F.lit("n"), i.cast("string")))), rel(F.col("channel"), F.lit("nobody"), F.lit("owns"), F.lit(None), F.lit("")), rel(F.col("channel"), node, F.lit("leads_to"), F.lit(None), F.lit(None)))
+    text = F.to_json(F.struct(entities.alias("entities"), F.when(i % 10 < 8, rels).alias("relations"), F.when(i % 2 == 0, F.substring(F.element_at(F.split("title", " "), -1), 1, 4)).alias("associationHint")))
+    return m.select("memory_id", F.when(i % 11 == 1, "broken {").when(i % 5 == 2, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).otherwise(text).alias("answer"))
+
+
+def _enriched(spark, d):
+    m = t.memories(spark, d).withColumn("graph_enriched", F.col("memory_id") % 8 == 1)
+    u = m.select("user_id").distinct()
+    nodes = u.where("user_id % 2 = 0").select("user_id", F.lit("concept:node-3").alias("node_key"), F.lit("The third").alias("label"), F.lit("concept").alias("node_type"), F.lit("old").alias("description"), F.array(F.lit(-1).cast("long")).alias("sources"))
+    relations = u.where("user_id % 3 = 0").select("user_id", F.lit("channel:en").alias("from_key"), F.lit("project:node-3").alias("to_key"), F.lit("leads_to").alias("relation"), F.lit(0.9).alias("weight"), F.lit("was").alias("note"), F.array(F.lit(-2).cast("long")).alias("evidence"), F.array(F.lit("old")).alias("channels"))
+    used = u.select("user_id", F.when(F.col("user_id") % 4 == 0, 1000 - 6).otherwise(0).alias("used"))
+    return enrich.enriched(m, _graph_answers(spark, d), nodes, relations, used)
+
+
+_SLUGGED = "coalesce(nullif(regexp_replace(regexp_replace(lower(trim({0}, " + _BLANKS + ")), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'untitled')"
+_ENRICHED = f"""WITH a AS (SELECT *, memory_id % 8 = 1 AS done, memory_id % 11 = 1 AS broken, string_split(title, ' ')[1] AS word, 'Node ' || memory_id % 7 AS node FROM memories WHERE memory_id % 3 <> 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY memory_id) AS nth FROM a WHERE NOT done), ask AS (SELECT * FROM n WHERE nth <= CASE WHEN user_id % 4 = 0 THEN 6 ELSE 1000 END), g AS MATERIALIZED (SELECT * FROM ask WHERE NOT broken),
+    f AS MATERIALIZED (SELECT *, kind || ':' || {_SLUGGED.format("label")} AS node_key FROM (SELECT user_id, memory_id, 0 AS place, trim(word, {_BLANKS}) AS label, (['person', 'tool', 'planet'])[memory_id % 3 + 1] AS kind FROM g UNION ALL SELECT user_id, memory_id, 1, node, 'concept' FROM g UNION ALL SELECT user_id, memory_id, 2, channel, 'channel' FROM g UNION ALL SELECT user_id, memory_id, 4, upper(node), 'project' FROM g) WHERE label <> '' AND kind <> 'planet'),
+    s AS MATERIALIZED (SELECT user_id, memory_id, channel, 0 AS place, 'project:node-' || memory_id % 7 AS from_key, 'channel:' || {_SLUGGED.format("channel")} AS to_key, (['uses', 'depends_on', 'likes'])[memory_id % 3 + 1] AS relation, memory_id % 13 / 10.0::DOUBLE AS weight, CASE WHEN memory_id % 4 = 0 THEN 'n' || memory_id END AS note FROM g WHERE memory_id % 10 < 8
+        UNION ALL SELECT user_id, memory_id, channel, 1, NULL, NULL, 'owns', 0.7, NULL FROM g WHERE memory_id % 10 < 8 UNION ALL SELECT user_id, memory_id, channel, 2, 'channel:' || {_SLUGGED.format("channel")}, 'project:node-' || memory_id % 7, 'leads_to', 0.7, NULL FROM g WHERE memory_id % 10 < 8)"""
+
+
+@query("i8_enriched_status", sql(f"{_ENRICHED} SELECT memory_id, CASE WHEN done THEN 'already_enriched' WHEN memory_id NOT IN (SELECT memory_id FROM ask) THEN 'daily_cap_reached' WHEN broken THEN 'parse_failed' ELSE 'enriched' END AS status FROM a"))
+def i8_status(spark, d):
+    return _enriched(spark, d).statuses
+
+
+@query("i8_enriched_nodes", sql(f"""{_ENRICHED} SELECT user_id, node_key, CASE WHEN stored THEN 'The third' ELSE label END AS label, CASE WHEN stored THEN 'concept' ELSE kind END AS node_type, CASE WHEN stored THEN 'old' ELSE 'about ' || first END AS description, array_to_string(CASE WHEN stored THEN list_prepend(-1, ids) ELSE ids END, ',') AS sources, NOT stored AS created
+    FROM (SELECT user_id, node_key, user_id % 2 = 0 AND node_key = 'concept:node-3' AS stored, arg_min(label, (memory_id, place)) AS label, arg_min(kind, (memory_id, place)) AS kind, min(memory_id) AS first, list_sort(list(DISTINCT memory_id)) AS ids FROM f GROUP BY user_id, node_key)"""))
+def i8_nodes(spark, d):
+    return _enriched(spark, d).nodes.withColumn("sources", F.array_join(F.transform("sources", lambda x: x.cast("string")), ","))
+
+
+@query("i8_enriched_relations", sql(f"""{_ENRICHED} SELECT user_id, from_key, to_key, relation, greatest(w, CASE WHEN stored THEN 0.9 ELSE 0 END)::DOUBLE AS weight, coalesce(note, CASE WHEN stored THEN 'was' END, '') AS note, array_to_string(CASE WHEN stored THEN list_prepend(-2, ids) ELSE ids END, ',') AS evidence, array_to_string(list_sort(CASE WHEN stored THEN list_append(ch, 'old') ELSE ch END), ',') AS channels, NOT stored AS created
+    FROM (SELECT user_id, from_key, to_key, relation, user_id % 3 = 0 AND from_key = 'channel:en' AND to_key = 'project:node-3' AND relation = 'leads_to' AS stored, max(greatest(0.1, least(1, weight))) AS w, arg_max(note, (memory_id, place)) FILTER (note IS NOT NULL) AS note, list_sort(list(DISTINCT memory_id)) AS ids, list(DISTINCT channel) AS ch FROM s WHERE from_key IS NOT NULL AND relation <> 'likes' GROUP BY ALL)"""))
+def i8_relations(spark, d):
+    out = _enriched(spark, d).relations
+    return out.withColumn("evidence", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ",")).withColumn("channels", F.array_join("channels", ","))
+
+
+@query("i8_enriched_associations", sql(f"""{_ENRICHED}, h AS (SELECT user_id, memory_id, lower(trim(substring(string_split(title, ' ')[-1], 1, 4), {_BLANKS})) AS hint FROM g WHERE memory_id % 2 = 0), m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_ms DESC, memory_id DESC) AS n FROM memories WHERE NOT archived),
+    t AS (SELECT h.memory_id, m.memory_id AS to_id, row_number() OVER (PARTITION BY h.memory_id ORDER BY m.created_ms DESC, m.memory_id DESC) AS k FROM h JOIN m ON m.user_id = h.user_id AND m.n <= 100 AND m.memory_id <> h.memory_id AND (contains(lower(m.title), hint) OR contains(lower(m.content), hint)) WHERE hint <> ''),
+    l AS (SELECT memory_id, arg_min(relation, place) AS relation, arg_min(weight, place) AS weight FROM s WHERE relation <> 'likes' GROUP BY memory_id)
+    SELECT t.memory_id AS from_id, to_id, CASE coalesce(relation, 'occurs_with') WHEN 'depends_on' THEN 'derives_from' WHEN 'occurs_with' THEN 'co_occurred' WHEN 'leads_to' THEN 'precedes' ELSE 'supports' END AS relation, greatest(0.1, least(1, coalesce(weight, 0.75)))::DOUBLE AS weight FROM t LEFT JOIN l USING (memory_id) WHERE k = 1"""))
+def i8_associations(spark, d):
+    return _enriched(spark, d).associations
