@@ -9,6 +9,8 @@ worker whatever the batch size.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -64,6 +66,13 @@ class RollingHash:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+def give_back() -> None:
+    """Hands memory that arrays have left back to the system: Spark keeps a task's Python process for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n+1 offsets of a string or binary column; nulls become empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm._arrays import Words, shingles, slices
+from mnemospark.llm._arrays import Words, give_back, shingles, slices
 from mnemospark.llm._bitmaps import bitmap, held
 from mnemospark.llm._shared import Scratch, stored
 from mnemospark.llm.components import components
@@ -89,6 +89,8 @@ def _counts(size: int, share: float):
                     sets, held, docs = [], 0, 0
         if sets:
             yield local()
+        sets = []
+        give_back()
 
     return run
 
@@ -139,6 +141,8 @@ def _describe(size: int, percent: int, heavy: np.ndarray, rank: np.ndarray, pref
                     yield pa.RecordBatch.from_pydict({"id": ids, "n": pa.array(n, pa.int64()), "head": head, "prefix": pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))})
                 else:
                     yield pa.RecordBatch.from_pydict({"id": ids, "n": pa.array(n, pa.int64()), "head": head, "whole": pa.array(sets, pa.binary()), "map": pa.array(maps, pa.list_(pa.int64())), "wide": pa.array(wide, pa.list_(pa.int64()))})
+        n = sets = heads = lists = maps = wide = None
+        give_back()
 
     return run
 
@@ -167,6 +171,8 @@ def _verify(size: int, percent: int):
                         left.append(a[k])
                         right.append(ids[k])
             yield pa.RecordBatch.from_pydict({"u": pa.array(left, pa.int64()), "v": pa.array(right, pa.int64())})
+        pivots = None
+        give_back()
 
     return run
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm._arrays import ALNUM, Words, slices
+from mnemospark.llm._arrays import ALNUM, Words, give_back, slices
 from mnemospark.llm._labelled import sample
 
 #: Labelled rows that the model is fitted on, at most.
@@ -182,8 +182,8 @@ def train(rows: list[tuple[int, int, bytes]], steps: int = 150, seed: int = 1) -
 
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The model of all rows as rows: the bias under slot -1, and the kept slots."""
-    rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
-    model = train(rows)
+    model = train([tuple(r.values()) for b in batches for r in b.to_pylist()])
+    give_back()
     slots = np.flatnonzero(model.index)
     values = np.concatenate([model.weights[model.index[slots], None], model.factors[model.index[slots]]], axis=1)
     yield pa.RecordBatch.from_pydict({"slot": pa.array([-1, *slots.tolist()], pa.int32()), "numbers": pa.array([np.array([model.bias]).tobytes(), *(x.tobytes() for x in values)], pa.binary())})
@@ -235,6 +235,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             for i, j, s in _scores(model, b.column("text")):
                 keep[i:j] = s < threshold
             yield b.filter(pa.array(keep))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
