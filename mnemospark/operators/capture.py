@@ -21,20 +21,26 @@ def captured(memories: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:
     ``blocked``; of the others those whose text an active memory of the same user,
     store, category and channel has are merged into the one of least id
     (``merged``, under its id, with raised strength and confidence and all tags), and
-    of equal new texts the first is ``inserted`` and the rest are merged into it.
+    of equal new texts the first is ``inserted`` and the rest are merged into it.  Tags
+    are stored as given, and trimmed, lower-cased and made distinct where rows merge.
     """
     shown = new.withColumn("threat", F.coalesce(scanned(F.col("title")), scanned(F.col("content"))))
     key = T.memory_hash(F.col("store"), F.col("category"), F.col("content"))
     place = ["user_id", F.coalesce("channel", F.lit("")).alias("at"), F.col("channel").isNull().alias("nowhere"), key.alias("hash")]
     kept = shown.where("threat IS NULL").select("memory_id", "channel", "tags", *place)
     by = ["user_id", "at", "nowhere", "hash"]
-    tags = F.array_distinct(F.filter(F.transform(F.flatten(F.collect_set("tags")), lambda x: T.folded(x)), lambda x: x != ""))
-    incoming = kept.groupBy(*by).agg(F.min("memory_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("channel").alias("channel"), tags.alias("new_tags"))
+    incoming = kept.groupBy(*by).agg(F.min("memory_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("channel").alias("channel"), F.min_by("tags", "memory_id").alias("given"))
+    # Distinct tags of equal texts, in order of their first use: no group gathers its rows.
+    words = kept.select("memory_id", *by, F.posexplode("tags").alias("i", "tag")).withColumn("tag", T.folded(F.col("tag"))).where("tag != ''")
+    words = words.groupBy(*by, "tag").agg(F.min(F.struct("memory_id", "i")).alias("at_first"))
+    words = words.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("at_first", "tag"))), lambda x: x["tag"]).alias("new_tags"))
+    incoming = incoming.join(words, by, "left")
     active = memories.where("NOT archived").select("memory_id", "strength", "confidence", F.col("tags").alias("old_tags"), *place)
     old = active.join(incoming.select(*by), by, "left_semi").groupBy(*by).agg(F.min(F.struct("memory_id", "strength", "confidence", "old_tags")).alias("old"))
     m = incoming.join(old, by, "left")
     merged = F.col("old").isNotNull()
-    lowered = F.filter(F.transform(F.coalesce("old.old_tags", F.array().cast("array<string>")), lambda x: T.folded(x)), lambda x: x != "")
+    none = F.array().cast("array<string>")
+    lowered = F.filter(F.transform(F.coalesce("old.old_tags", none), lambda x: T.folded(x)), lambda x: x != "")
     written = m.select(
         F.when(merged, F.col("old.memory_id")).otherwise(F.col("first")).alias("memory_id"),
         "user_id",
@@ -42,7 +48,7 @@ def captured(memories: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:
         F.greatest(F.coalesce("old.strength", F.lit(0.0)), F.lit(NEW["strength"])).alias("strength"),
         F.greatest(F.coalesce("old.confidence", F.lit(0.0)), F.lit(NEW["confidence"])).alias("confidence"),
         F.lit(now_ms).cast("long").alias("last_accessed_ms"),
-        F.array_sort(F.array_union(lowered, F.col("new_tags"))).alias("tags"),
+        F.when(merged | (F.col("n") > 1), F.array_distinct(F.concat(lowered, F.coalesce("new_tags", none)))).otherwise(F.col("given")).alias("tags"),
         F.when(merged, "merged").otherwise("inserted").alias("action"),
     )
     nothing = F.lit(None)

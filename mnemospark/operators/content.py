@@ -48,7 +48,7 @@ def stripped(c: Column) -> Column:
     return F.when(has, without_context(F.when(has, c))).otherwise(F.struct(c.alias("content"), F.lit(False).alias("malformed"), F.lit(0).cast("long").alias("dropped")))
 
 
-def _sections(text: str | None) -> list[dict]:
+def split_sections(text: str | None) -> list[dict]:
     out: list[dict] = []
     open_tags: list[str] = []
 
@@ -77,7 +77,7 @@ def _sections(text: str | None) -> list[dict]:
 def sections(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The sections of a text by tag, neighbours of one kind joined."""
     for s in batches:
-        yield s.map(_sections, na_action=None)
+        yield s.map(split_sections, na_action=None)
 
 
 def _section_body(text: str, headings: str) -> str:

@@ -78,6 +78,18 @@ def merged_relations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("from_id", "to_id", "relation").agg(w.alias("weight"), F.array_sort(F.collect_set("evidence")).alias("evidence"))
 
 
+def merged_chain(rows: DataFrame) -> DataFrame:
+    """One row for each (depth, node_type, label, relation) of a chain: greatest confidence, all evidence (an array of ids), distinct before it is gathered."""
+    by = ["depth", "node_type", "label", "relation"]
+    best = rows.groupBy(*by).agg(F.max("confidence").alias("confidence"))
+    ids = rows.select(*by, F.explode("evidence").alias("id")).distinct().groupBy(*by).agg(F.array_sort(F.collect_list("id")).alias("evidence"))
+    same = None
+    for c in by:
+        one = F.col(f"b.{c}").eqNullSafe(F.col(f"i.{c}"))
+        same = one if same is None else same & one
+    return best.alias("b").join(ids.alias("i"), same, "left").select("b.*", F.coalesce("i.evidence", F.array().cast(dict(ids.dtypes)["evidence"])).alias("evidence"))
+
+
 def merged_nodes(rows: DataFrame) -> DataFrame:
     """One node for each (user, canonical key of kind and label), with the rows it comes from."""
     key = slug(F.col("label"), F.col("kind"))

@@ -117,3 +117,27 @@ def boosted_traces(traces: DataFrame, new: DataFrame, now_ms: int, step: float =
     m = old.join(added, "key", "full")
     value = F.when(F.col("old").isNull(), F.col("new")).when(F.col("new").isNull(), F.col("old")).otherwise(F.least(F.lit(most), F.col("old") + step))
     return m.select("key", F.round(value, 6).alias("confidence"), F.col("old").isNull().alias("is_new"))
+
+
+def idea_status(ideas: DataFrame, now_ms: int, to: str = "to") -> DataFrame:
+    """ideas (.., status, notified_ms, emailed_ms, read_ms, dismissed_ms, starred_ms, updated_ms) after each moves to the status in ``to``; null keeps it as it is.
+
+    ``starred`` only sets when it was starred.  A step forward fills in the steps before it where they
+    are missing, a step back clears those after it, and pending_notification clears all but the star.
+    """
+    now, none = F.lit(now_ms).cast("long"), F.lit(None).cast("long")
+    step = F.col(to)
+    moves = step.isNotNull() & (step != "starred")
+    seen = moves & (step != "pending_notification")
+    first = lambda c: F.coalesce(c, now)
+    return ideas.withColumns(
+        {
+            "status": F.when(moves, step).otherwise(F.col("status")),
+            "notified_ms": F.when(seen, first(F.col("notified_ms"))).when(moves, none).otherwise(F.col("notified_ms")),
+            "emailed_ms": F.when(step == "pending_notification", none).otherwise(F.col("emailed_ms")),
+            "read_ms": F.when(step == "read", now).when(step == "dismissed", first(F.col("read_ms"))).when(moves, none).otherwise(F.col("read_ms")),
+            "dismissed_ms": F.when(step == "dismissed", now).when(moves, none).otherwise(F.col("dismissed_ms")),
+            "starred_ms": F.when(step == "starred", now).otherwise(F.col("starred_ms")),
+            "updated_ms": F.when(step.isNotNull(), now).otherwise(F.col("updated_ms")),
+        }
+    )

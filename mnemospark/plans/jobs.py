@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from mnemospark.functions import tables
 from mnemospark.functions import text as T
-from mnemospark.operators import assistant, cleanup, context, contradictions, enrich, ensembles, procedures, replay, tuning
+from mnemospark.operators import assistant, cleanup, context, contradictions, enrich, ensembles, lifecycle, procedures, replay, tuning
 from mnemospark.operators import gates as G
 from mnemospark.operators.clustering import mean_vectors
 from mnemospark.operators.common import top_per
@@ -16,6 +17,7 @@ from mnemospark.plans.oracle import sql
 from mnemospark.plans.scalars import _INTENT, TRIM
 from mnemospark.plans.scans import _COSINE
 from mnemospark.registry import query
+from mnemospark.sources import files
 from mnemospark.sources import tables as t
 from mnemospark.sources.tables import DAY_MS, EPOCH_MS, HOUR_MS, MINUTE_MS, NOW_MS
 
@@ -467,3 +469,54 @@ def i8_relations(spark, d):
     SELECT t.memory_id AS from_id, to_id, CASE coalesce(relation, 'occurs_with') WHEN 'depends_on' THEN 'derives_from' WHEN 'occurs_with' THEN 'co_occurred' WHEN 'leads_to' THEN 'precedes' ELSE 'supports' END AS relation, greatest(0.1, least(1, coalesce(weight, 0.75)))::DOUBLE AS weight FROM t LEFT JOIN l USING (memory_id) WHERE k = 1"""))
 def i8_associations(spark, d):
     return _enriched(spark, d).associations
+
+
+@query("a19_transcript_ends", sql("""WITH l AS (SELECT session_key % 20 AS f, message_id, role, content, row_number() OVER (PARTITION BY session_key % 20 ORDER BY session_key, turn_index) AS pos, message_id % 7 = 3 AS bad, session_key % 4 = 0 AND turn_index = 2 AS queued, session_key FROM messages),
+    g AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY pos DESC) AS back FROM l WHERE NOT bad),
+    e AS (SELECT f, arg_min('queued ' || message_id, pos) FILTER (queued) AS q, arg_min(CASE WHEN message_id % 3 = 1 THEN content || chr(10) || 'tool' ELSE content END, pos) FILTER (role = 'user' AND NOT queued) AS u, arg_min(content, pos) FILTER (role = 'assistant' AND NOT queued) AS a, arg_max(content, pos) FILTER (role = 'assistant' AND NOT queued AND back <= 50) AS last, arg_min('s' || session_key, pos) FILTER (role = 'assistant' OR queued) AS s, arg_min('s' || session_key, pos) FILTER (queued) AS qs, count(*) AS lines FROM g GROUP BY f)
+    SELECT f::INT AS transcript, CASE WHEN q IS NULL THEN s ELSE qs END AS session_id, coalesce(q, u) AS user_text, CASE WHEN q IS NOT NULL THEN 'queue-operation' WHEN u IS NOT NULL THEN 'user-message' END AS user_source, a AS assistant_text, last AS last_answer, CASE WHEN coalesce(q, u) IS NOT NULL AND a IS NOT NULL THEN 'complete' WHEN coalesce(q, u) IS NOT NULL THEN 'abandoned-before-assistant' ELSE 'missing' END AS status, lines, (SELECT count(*) FROM l WHERE l.f = e.f AND bad) AS malformed FROM e"""))
+def a19(spark, d):
+    """Conversations as twenty transcripts on disk, some lines of which are broken or queued prompts."""
+    i, s, c = F.col("message_id"), F.col("session_key"), F.col("content")
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    session = F.concat(F.lit("s"), s.cast("string"))
+    plain = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.lit("user").alias("role"), c.alias("content")).alias("message")))
+    parts = F.concat(F.lit('{"role":"user","content":['), F.to_json(part("text", c)), F.lit(',{"type":"tool_result","content":"tool"}]}'))
+    answer = F.to_json(F.struct(F.lit("assistant").alias("role"), F.array(part("text", c), part("tool_use", F.lit("no"))).alias("content"), session.alias("sessionId")))
+    queued = F.to_json(F.struct(F.lit("queue-operation").alias("type"), F.lit("enqueue").alias("operation"), F.concat(F.lit("queued "), i.cast("string")).alias("content"), session.alias("session_id")))
+    line = F.when(i % 7 == 3, "not json {").when((s % 4 == 0) & (F.col("turn_index") == 2), queued).when(F.col("role") == "assistant", answer).when(i % 3 == 1, parts).otherwise(plain)
+    path = cleanup.scratch_folder(spark, "transcripts")
+    rows = t.messages(spark, d).groupBy((s % 20).alias("f")).agg(F.array_sort(F.collect_list(F.struct("session_key", "turn_index", line.alias("value")))).alias("x"))
+    rows.select("f", F.array_join(F.transform("x", lambda x: x["value"]), "\n").alias("value")).repartition("f").write.partitionBy("f").text(path)
+    ends = files.transcript_ends(files.read_transcripts(spark, path))
+    return ends.select(F.regexp_extract("file", "/f=([0-9]+)/", 1).cast("int").alias("transcript"), *ends.columns[1:])
+
+
+@query("l13_sections", sql(f"""SELECT memory_id, place, kind, text FROM (SELECT memory_id, unnest([0, 1, 2, 3]) AS place, unnest(['user', 'body', 'assistant', 'recalled']) AS kind, unnest([{_line_sql("title", 999)}, 'then', {_line_sql("content", 99999999)}, 'old']) AS text FROM memories) WHERE text <> ''"""))
+def l13(spark, d):
+    """The table function in SQL, over texts with four sections."""
+    tables.register(spark)
+    m = t.memories(spark, d).select("memory_id", F.concat(F.lit("<user>"), "title", F.lit("</user> then <assistant>"), "content", F.lit("</assistant><recalled_context> old </recalled_context>")).alias("content"))
+    return spark.sql("SELECT memory_id, s.place, s.kind, s.text FROM {m}, LATERAL sections(content) s", m=m)
+
+
+@query("l13_extraction_windows", sql("""WITH RECURSIVE m AS MATERIALIZED (SELECT message_id, user_id, ts, length(content) AS chars, row_number() OVER (PARTITION BY user_id ORDER BY ts, message_id) AS step FROM messages),
+    go AS (SELECT user_id, step, message_id, ts, chars, 1 AS n, chars AS size, 0 AS no FROM m WHERE step = 1
+        UNION ALL SELECT user_id, step, message_id, ts, chars, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN chars ELSE size + chars END, CASE WHEN cut THEN no + 1 ELSE no END FROM (SELECT m.*, g.n, g.size, g.no, m.ts - g.ts > 900000 OR g.n >= 4 OR g.size + m.chars > 4000 AS cut FROM go g JOIN m ON m.user_id = g.user_id AND m.step = g.step + 1))
+    SELECT message_id, no::BIGINT AS window_no, chars FROM go"""))
+def l13_windows(spark, d):
+    tables.register(spark)
+    m = t.messages(spark, d).select("message_id", "user_id", "ts", "content")
+    return spark.sql("SELECT * FROM extraction_windows(TABLE({m}) PARTITION BY user_id ORDER BY (ts, message_id), 900000, 4, 4000)", m=m)
+
+
+_IDEAS = f"""SELECT trace_id, (['pending_notification', 'notified', 'read', 'dismissed'])[trace_id % 4 + 1] AS status, CASE WHEN trace_id % 4 >= 1 THEN created_ms END AS notified_ms, CASE WHEN trace_id % 4 >= 1 THEN created_ms + 1 END AS emailed_ms, CASE WHEN trace_id % 8 >= 2 THEN created_ms + 2 END AS read_ms, CASE WHEN trace_id % 4 = 3 THEN created_ms + 3 END AS dismissed_ms, NULL::BIGINT AS starred_ms, created_ms AS updated_ms,
+    (['pending_notification', 'notified', 'read', 'dismissed', 'starred', NULL])[trace_id % 6 + 1] AS moved FROM traces"""
+
+
+@query("k15_idea_status", sql(f"""SELECT trace_id, CASE WHEN moved IS NULL OR moved = 'starred' THEN status ELSE moved END AS status, CASE WHEN moved IS NULL OR moved = 'starred' THEN notified_ms WHEN moved = 'pending_notification' THEN NULL ELSE coalesce(notified_ms, $NOW) END AS notified_ms, CASE WHEN moved = 'pending_notification' THEN NULL ELSE emailed_ms END AS emailed_ms,
+    CASE WHEN moved IS NULL OR moved = 'starred' THEN read_ms WHEN moved = 'read' THEN $NOW WHEN moved = 'dismissed' THEN coalesce(read_ms, $NOW) END AS read_ms, CASE WHEN moved IS NULL OR moved = 'starred' THEN dismissed_ms WHEN moved = 'dismissed' THEN $NOW END AS dismissed_ms, CASE WHEN moved = 'starred' THEN $NOW END AS starred_ms, CASE WHEN moved IS NULL THEN updated_ms ELSE $NOW END AS updated_ms FROM ({_IDEAS})"""))
+def k15(spark, d):
+    i, at = F.col("trace_id"), F.col("created_ms")
+    ideas = t.traces(spark, d).select("trace_id", t.pick(("pending_notification", "notified", "read", "dismissed"), i).alias("status"), F.when(i % 4 >= 1, at).alias("notified_ms"), F.when(i % 4 >= 1, at + 1).alias("emailed_ms"), F.when(i % 8 >= 2, at + 2).alias("read_ms"), F.when(i % 4 == 3, at + 3).alias("dismissed_ms"), F.lit(None).cast("long").alias("starred_ms"), at.alias("updated_ms"), F.nullif(t.pick(("pending_notification", "notified", "read", "dismissed", "starred", "-"), i), F.lit("-")).alias("to"))
+    return lifecycle.idea_status(ideas, NOW_MS).drop("to")

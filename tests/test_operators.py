@@ -108,9 +108,21 @@ def test_content(spark):
 
 def test_transcripts_and_exports(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.jsonl").write_text('{"role":"user","content":"q","ts":1}\nnot json\n{"role":"assistant","content":"r","ts":2}\n')
-    ends = files.transcript_ends(files.read_transcripts(spark, str(tmp_path / "in"))).first()
-    assert (ends.first_user, ends.last_answer, ends.lines) == ("q", "r", 2)
+    texts = {
+        "a": '{"role":"user","content":"q","sessionId":"s1"}\nnot json\n\n{"role":"assistant","content":"r"}\n',
+        "b": '{"type":"user","message":{"content":[{"text":"one"},{"content":"two"},"three"]}}\n{"type":"queue-operation","operation":"enqueue","content":" queued ","session_id":"s2"}\n{"session_id":"s0"}',
+        "c": '{"role":"user","content":"<command-name>x"}\n{"message":{"role":"assistant","content":[{"type":"tool_use","text":"no"},{"type":"text","text":" yes "},{"text":"and"}]}}\n' + '{"role":"user","content":"more"}\n' * 49 + "5\n",
+        "d": "nothing\n{}\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / "in" / f"{name}.jsonl").write_text(text)
+    ends = {r.file[-7]: tuple(r)[1:] for r in files.transcript_ends(files.read_transcripts(spark, str(tmp_path / "in"))).collect()}
+    assert ends == {
+        "a": ("s1", "q", "user-message", "r", "r", "complete", 2, 1),
+        "b": ("s2", "queued", "queue-operation", None, None, "abandoned-before-assistant", 3, 0),
+        "c": (None, "<command-name>x", "user-string-cmd", "yes \nand", None, "complete", 52, 0),
+        "d": (None, None, None, None, None, "missing", 1, 1),
+    }
     chunks = spark.createDataFrame([("a/lookup/x.md", 5, "t"), ("a/lookup/x.md", 1, "s"), ("MEMORY.md", 1, "m")], "path string, start_line long, content string")
     files.export_chunks(chunks, str(tmp_path / "out"))
     back = spark.read.json(str(tmp_path / "out"))
