@@ -471,7 +471,7 @@ def i8_associations(spark, d):
     return _enriched(spark, d).associations
 
 
-@query("a19_transcript_ends", sql("""WITH l AS (SELECT session_key % 20 AS f, message_id, role, content, row_number() OVER (PARTITION BY session_key % 20 ORDER BY session_key, turn_index) AS pos, message_id % 7 = 3 AS bad, session_key % 4 = 0 AND turn_index = 2 AS queued, session_key FROM messages),
+@query("a19_transcript_ends", sql("""WITH l AS (SELECT session_key % 20 AS f, message_id, role, content, row_number() OVER (PARTITION BY session_key % 20 ORDER BY session_key, turn_index, content, role) AS pos, message_id % 7 = 3 AS bad, session_key % 4 = 0 AND turn_index = 2 AS queued, session_key FROM messages),
     g AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY pos DESC) AS back FROM l WHERE NOT bad),
     e AS (SELECT f, arg_min('queued ' || message_id, pos) FILTER (queued) AS q, arg_min(CASE WHEN message_id % 3 = 1 THEN content || chr(10) || 'tool' ELSE content END, pos) FILTER (role = 'user' AND NOT queued) AS u, arg_min(content, pos) FILTER (role = 'assistant' AND NOT queued) AS a, arg_max(content, pos) FILTER (role = 'assistant' AND NOT queued AND back <= 50) AS last, arg_min('s' || session_key, pos) FILTER (role = 'assistant' OR queued) AS s, arg_min('s' || session_key, pos) FILTER (queued) AS qs, count(*) AS lines FROM g GROUP BY f)
     SELECT f::INT AS transcript, CASE WHEN q IS NULL THEN s ELSE qs END AS session_id, coalesce(q, u) AS user_text, CASE WHEN q IS NOT NULL THEN 'queue-operation' WHEN u IS NOT NULL THEN 'user-message' END AS user_source, a AS assistant_text, last AS last_answer, CASE WHEN coalesce(q, u) IS NOT NULL AND a IS NOT NULL THEN 'complete' WHEN coalesce(q, u) IS NOT NULL THEN 'abandoned-before-assistant' ELSE 'missing' END AS status, lines, (SELECT count(*) FROM l WHERE l.f = e.f AND bad) AS malformed FROM e"""))
@@ -480,13 +480,13 @@ def a19(spark, d):
     i, s, c = F.col("message_id"), F.col("session_key"), F.col("content")
     part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
     session = F.concat(F.lit("s"), s.cast("string"))
-    plain = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.lit("user").alias("role"), c.alias("content")).alias("message")))
-    parts = F.concat(F.lit('{"role":"user","content":['), F.to_json(part("text", c)), F.lit(',{"type":"tool_result","content":"tool"}]}'))
+    plain = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", c.alias("content")).alias("message")))
+    parts = F.concat(F.lit('{"role":"'), F.col("role"), F.lit('","content":['), F.to_json(part("text", c)), F.lit(',{"type":"tool_result","content":"tool"}]}'))
     answer = F.to_json(F.struct(F.lit("assistant").alias("role"), F.array(part("text", c), part("tool_use", F.lit("no"))).alias("content"), session.alias("sessionId")))
     queued = F.to_json(F.struct(F.lit("queue-operation").alias("type"), F.lit("enqueue").alias("operation"), F.concat(F.lit("queued "), i.cast("string")).alias("content"), session.alias("session_id")))
     line = F.when(i % 7 == 3, "not json {").when((s % 4 == 0) & (F.col("turn_index") == 2), queued).when(F.col("role") == "assistant", answer).when(i % 3 == 1, parts).otherwise(plain)
     path = cleanup.scratch_folder(spark, "transcripts")
-    rows = t.messages(spark, d).groupBy((s % 20).alias("f")).agg(F.array_sort(F.collect_list(F.struct("session_key", "turn_index", line.alias("value")))).alias("x"))
+    rows = t.messages(spark, d).groupBy((s % 20).alias("f")).agg(F.array_sort(F.collect_list(F.struct("session_key", "turn_index", "content", "role", line.alias("value")))).alias("x"))
     rows.select("f", F.array_join(F.transform("x", lambda x: x["value"]), "\n").alias("value")).repartition("f").write.partitionBy("f").text(path)
     ends = files.transcript_ends(files.read_transcripts(spark, path))
     return ends.select(F.regexp_extract("file", "/f=([0-9]+)/", 1).cast("int").alias("transcript"), *ends.columns[1:])
