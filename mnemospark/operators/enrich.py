@@ -38,10 +38,14 @@ def _key(c: Column) -> Column:
     return F.lower(T.trim(c))
 
 
+def plain_json(c: Column) -> Column:
+    """A model's answer without white space and a code fence around it."""
+    return T.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(T.trim(c), r"(?i)^```json\s*", ""), r"^```\s*", ""), r"\s*```$", ""))
+
+
 def extracted(answers: DataFrame) -> DataFrame:
     """answers (.., answer) with ``ok`` and ``x``: what the JSON in it (perhaps in a code fence) says; ok is false for empty answers and those that are no JSON object."""
-    plain = T.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(T.trim(F.col("answer")), r"(?i)^```json\s*", ""), r"^```\s*", ""), r"\s*```$", ""))
-    rows = answers.withColumn("__plain", plain)
+    rows = answers.withColumn("__plain", plain_json(F.col("answer")))
     ok = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("__plain")), F.lit("OBJECT")), F.lit(False))
     return rows.withColumn("ok", ok).withColumn("x", F.when(F.col("ok"), F.from_json("__plain", _SCHEMA))).drop("__plain")
 

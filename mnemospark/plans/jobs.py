@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import tables
 from mnemospark.functions import text as T
-from mnemospark.operators import assistant, cleanup, context, contradictions, enrich, ensembles, lifecycle, procedures, replay, tuning
+from mnemospark.operators import assistant, cleanup, context, contradictions, enrich, ensembles, lifecycle, procedures, reflection, replay, tuning
 from mnemospark.operators import gates as G
 from mnemospark.operators.clustering import mean_vectors
 from mnemospark.operators.common import top_per
@@ -520,3 +520,33 @@ def k15(spark, d):
     i, at = F.col("trace_id"), F.col("created_ms")
     ideas = t.traces(spark, d).select("trace_id", t.pick(("pending_notification", "notified", "read", "dismissed"), i).alias("status"), F.when(i % 4 >= 1, at).alias("notified_ms"), F.when(i % 4 >= 1, at + 1).alias("emailed_ms"), F.when(i % 8 >= 2, at + 2).alias("read_ms"), F.when(i % 4 == 3, at + 3).alias("dismissed_ms"), F.lit(None).cast("long").alias("starred_ms"), at.alias("updated_ms"), F.nullif(t.pick(("pending_notification", "notified", "read", "dismissed", "starred", "-"), i), F.lit("-")).alias("to"))
     return lifecycle.idea_status(ideas, NOW_MS).drop("to")
+
+
+#: The instant of the reflection: two hours of the first memories are out of its window of 72.
+_REFLECTS = EPOCH_MS + 74 * HOUR_MS
+
+
+def _reflection_answers(spark, d):
+    """A model's stored answers, from each user's first memory: lists with blanks, some without summary, in a fence, empty or broken."""
+    u = t.memories(spark, d).groupBy("user_id").agg(F.min_by(F.struct("title", "content", "memory_id"), "memory_id").alias("m"))
+    i = F.col("user_id")
+    text = F.to_json(F.struct(F.array(F.col("m.content"), F.lit(" "), F.lit("keep it")).alias("decisions"), F.array(F.concat(F.lit("learned "), i.cast("string"))).alias("lessons"), F.when(i % 2 == 0, F.array(F.col("m.title"), F.lit(None))).alias("openLoops"), F.when(i % 3 != 0, F.concat(F.lit(" about "), F.col("m.title"))).alias("summary"), F.when(i % 4 == 0, F.array(F.lit("tag"))).alias("tags")))
+    return u.select("user_id", F.when(i % 7 == 1, " ").when(i % 7 == 2, "[1]").when(i % 5 == 3, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).otherwise(text).alias("answer"))
+
+
+_REFLECTED = f"""WITH u AS (SELECT user_id, arg_min(title, memory_id) AS title, arg_min(content, memory_id) AS content, count(*) FILTER (NOT archived AND created_ms >= {EPOCH_MS} + 2 * {HOUR_MS}) AS read FROM memories GROUP BY user_id),
+    s AS (SELECT *, CASE WHEN read < 9 THEN 'too few memories' WHEN user_id % 7 = 1 THEN 'empty answer' WHEN user_id % 7 = 2 THEN 'no JSON' END AS skipped, ['reflection', 'distilled'] || CASE WHEN user_id % 4 = 0 THEN ['tag'] ELSE [] END AS tags FROM u), g AS (SELECT * FROM s WHERE skipped IS NULL),
+    rows AS (SELECT user_id, 0 AS place, 'episodic' AS store, 'decision' AS category, 'Decision: ' || substring(content, 1, 80) AS title, content, 0.85 AS strength, 0.8 AS confidence, 0.2 AS arousal, tags FROM g WHERE trim(content, {_BLANKS}) <> '' UNION ALL SELECT user_id, 2, 'episodic', 'decision', 'Decision: keep it', 'keep it', 0.85, 0.8, 0.2, tags FROM g
+        UNION ALL SELECT user_id, 0, 'semantic', 'lesson', 'Lesson: learned ' || user_id, 'learned ' || user_id, 0.85, 0.8, 0.2, tags FROM g UNION ALL SELECT user_id, 0, 'prospective', 'goal', 'Open loop: ' || title, title, 0.75, 0.7, 0.3, list_append(tags, 'open-loop') FROM g WHERE user_id % 2 = 0 AND trim(title, {_BLANKS}) <> ''
+        UNION ALL SELECT user_id, 0, 'episodic', 'conversation', 'Reflection summary: 2024-01-04', trim('about ' || title, {_BLANKS}), 0.8, 0.75, 0.2, tags FROM g WHERE user_id % 3 <> 0)"""
+
+
+@query("i12_reflection", sql(f"{_REFLECTED} SELECT user_id, place, store, category, title, content, strength::DOUBLE AS strength, confidence::DOUBLE AS confidence, arousal::DOUBLE AS arousal, array_to_string(tags, ',') AS tags FROM rows WHERE (user_id, store, category, title) NOT IN (SELECT (user_id, store, category, title) FROM memories WHERE NOT archived)"))
+def i12(spark, d):
+    rows = reflection.reflected(t.memories(spark, d), _reflection_answers(spark, d), _REFLECTS, 72, 9)[0]
+    return rows.withColumn("tags", F.array_join("tags", ","))
+
+
+@query("i12_reflection_runs", sql(f"{_REFLECTED} SELECT user_id, read, (SELECT count(*) FROM rows r WHERE r.user_id = s.user_id) AS written, skipped FROM s"))
+def i12_runs(spark, d):
+    return reflection.reflected(t.memories(spark, d), _reflection_answers(spark, d), _REFLECTS, 72, 9)[1]
