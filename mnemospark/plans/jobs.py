@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import tables
 from mnemospark.functions import text as T
-from mnemospark.operators import assistant, cleanup, context, contradictions, enrich, ensembles, lifecycle, procedures, reflection, replay, tuning
+from mnemospark.operators import assistant, cleanup, context, contradictions, discovery, enrich, ensembles, lifecycle, procedures, reflection, replay, tuning
 from mnemospark.operators import gates as G
 from mnemospark.operators.clustering import mean_vectors
 from mnemospark.operators.common import top_per
-from mnemospark.plans.filters import _lit
+from mnemospark.plans.filters import _IDEA, _lit
 from mnemospark.plans.joins import _HASH_TEXT
 from mnemospark.plans.oracle import sql
 from mnemospark.plans.scalars import _INTENT, TRIM
@@ -550,3 +550,29 @@ def i12(spark, d):
 @query("i12_reflection_runs", sql(f"{_REFLECTED} SELECT user_id, read, (SELECT count(*) FROM rows r WHERE r.user_id = s.user_id) AS written, skipped FROM s"))
 def i12_runs(spark, d):
     return reflection.reflected(t.memories(spark, d), _reflection_answers(spark, d), _REFLECTS, 72, 9)[1]
+
+
+def _idea_answers(spark, d):
+    """A model's stored answers: of each user every ninth memory as an idea, some of them short, doubtful, repeated or with foreign sources."""
+    i, u = F.col("memory_id"), F.col("user_id")
+    title = F.when(i % 4 == 0, F.concat(F.lit("The same idea of "), F.col("channel"))).when(i % 4 == 1, F.concat(F.lit("A same, idea of "), F.col("channel"))).when(i % 4 == 2, F.lit("!!!!!!!!!!!!")).otherwise(F.col("title"))
+    one = F.struct(i.alias("id"), title.alias("title"), F.col("content").alias("summary"), t.pick(("pattern", "connection", "else"), i).alias("ideaType"), F.col("confidence"), F.array(i.cast("string"), i.cast("string"), F.lit("5"), F.lit("x")).alias("sourceMemoryIds"), F.when(i % 2 == 0, F.array((u * 1000 + 1).cast("string"), F.lit("-1"))).alias("sourceEnsembleIds"))
+    every = F.to_json(F.array_sort(F.collect_list(one)))
+    m = t.memories(spark, d).where("memory_id % 9 = 0").groupBy("user_id").agg(every.alias("e"))
+    return m.select("user_id", t.pick(("aggressive", "conservative", "often"), u).alias("frequency"), F.when(u % 2 == 0, F.concat(F.lit('```json\n{"ideas":'), "e", F.lit("}\n```"))).otherwise(F.col("e")).alias("answer"))
+
+
+@query("i14_ideas", sql(f"""WITH c AS (SELECT user_id, memory_id, memory_id // 60 % 3 AS e FROM memories WHERE user_id % 5 <> 1 AND memory_id % 2 = 0), fi AS (SELECT user_id, memory_id FROM memories WHERE user_id % 4 = 1 AND memory_id % 9 < 3),
+    r AS (SELECT m.user_id, memory_id, row_number() OVER (PARTITION BY m.user_id ORDER BY memory_id) - 1 AS place, trim(CASE memory_id % 4 WHEN 0 THEN 'The same idea of ' || channel WHEN 1 THEN 'A same, idea of ' || channel WHEN 2 THEN '!!!!!!!!!!!!' ELSE title END, {_BLANKS}) AS title, trim(content, {_BLANKS}) AS summary, (['pattern', 'connection', 'insight'])[memory_id % 3 + 1] AS idea_type, confidence, (['aggressive', 'conservative', 'balanced'])[user_id % 3 + 1] AS f FROM memories m WHERE memory_id % 9 = 0 AND (user_id IN (SELECT user_id FROM c) OR user_id IN (SELECT user_id FROM fi))),
+    k AS (SELECT *, {_IDEA} AS key FROM r WHERE length(title) >= 10 AND length(summary) >= 30 AND confidence >= CASE f WHEN 'aggressive' THEN {discovery.FREQUENCIES["aggressive"][1]} WHEN 'conservative' THEN {discovery.FREQUENCIES["conservative"][1]} ELSE {discovery.FREQUENCIES["balanced"][1]} END),
+    o AS (SELECT * FROM k WHERE (user_id, key) NOT IN (SELECT (user_id, 'same idea of en') FROM memories WHERE user_id % 3 = 0)), q AS (SELECT *, row_number() OVER (PARTITION BY user_id, CASE WHEN key = '' THEN '#' || place ELSE key END ORDER BY place) AS n FROM o),
+    w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place) AS nth FROM q WHERE n = 1), v AS (SELECT user_id, memory_id FROM c UNION SELECT user_id, memory_id FROM fi),
+    x AS (SELECT w.*, concat_ws(',', CASE WHEN (user_id, memory_id) IN (SELECT (user_id, memory_id) FROM v) THEN memory_id::VARCHAR END, CASE WHEN memory_id <> 5 AND (user_id, 5) IN (SELECT (user_id, memory_id) FROM v) THEN '5' END) AS memory_ids, CASE WHEN memory_id % 2 = 0 AND (user_id, 1) IN (SELECT (user_id, e) FROM c) THEN (user_id * 1000 + 1)::VARCHAR END AS ensemble_ids FROM w WHERE nth <= CASE f WHEN 'aggressive' THEN {discovery.FREQUENCIES["aggressive"][0]} WHEN 'conservative' THEN {discovery.FREQUENCIES["conservative"][0]} ELSE {discovery.FREQUENCIES["balanced"][0]} END)
+    SELECT user_id, place::INT AS place, title, summary, idea_type, confidence, memory_ids, ensemble_ids FROM x WHERE memory_ids <> ''"""))
+def i14(spark, d):
+    m = t.memories(spark, d)
+    changed = m.where("user_id % 5 != 1 AND memory_id % 2 = 0").groupBy("user_id", (F.col("user_id") * 1000 + F.floor(F.col("memory_id") / 60) % 3).alias("ensemble_id")).agg(F.collect_list("memory_id").alias("members"))
+    findings = m.where("user_id % 4 = 1 AND memory_id % 9 < 3").select("user_id", "memory_id")
+    ideas = m.select("user_id").distinct().select("user_id", F.lit("same idea, of en!").alias("title"), F.when(F.col("user_id") % 3 == 0, NOW_MS - 1000).otherwise(NOW_MS - 2 * DAY_MS).alias("created_ms"))
+    out = discovery.discovered(_idea_answers(spark, d), changed, findings, ideas, NOW_MS)
+    return out.withColumn("memory_ids", F.array_join("memory_ids", ",")).withColumn("ensemble_ids", F.array_join("ensemble_ids", ","))
