@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import tables
 from mnemospark.functions import text as T
-from mnemospark.operators import assistant, cleanup, context, contradictions, discovery, enrich, ensembles, lifecycle, procedures, reflection, replay, tuning
+from mnemospark.operators import assistant, cleanup, context, contradictions, discovery, enrich, ensembles, lifecycle, procedures, pulse, reflection, replay, tuning
 from mnemospark.operators import gates as G
 from mnemospark.operators.clustering import mean_vectors
 from mnemospark.operators.common import top_per
@@ -576,3 +576,58 @@ def i14(spark, d):
     ideas = m.select("user_id").distinct().select("user_id", F.lit("same idea, of en!").alias("title"), F.when(F.col("user_id") % 3 == 0, NOW_MS - 1000).otherwise(NOW_MS - 2 * DAY_MS).alias("created_ms"))
     out = discovery.discovered(_idea_answers(spark, d), changed, findings, ideas, NOW_MS)
     return out.withColumn("memory_ids", F.array_join("memory_ids", ",")).withColumn("ensemble_ids", F.array_join("ensemble_ids", ","))
+
+
+def _pulses(spark, d):
+    """A pulse at each user's message of turn 2 or later; two users of ten are off."""
+    m = t.messages(spark, d)
+    p = m.where("role = 'user' AND turn_index >= 2").select(F.col("message_id").alias("pulse_id"), "user_id", "session_key", "ts", F.when(F.col("message_id") % 2 == 0, "recall").alias("intent"), F.col("channel"))
+    return pulse.admitted(p, m.select("user_id").distinct().where("user_id % 5 != 3"))
+
+
+def _predictions(pulses):
+    """A model's stored answer to each pulse."""
+    i = F.col("pulse_id")
+    one = F.struct(F.concat(F.lit("q"), i.cast("string")).alias("predictedQuery"), t.pick(("context", "other", "warning"), i).alias("traceType"), ((i % 15) / 10.0).alias("confidence"), (i % 100).cast("double").alias("ttlHours"), F.when(i % 3 == 0, "habit").otherwise("").alias("sourcePattern"))
+    text = F.to_json(F.array(one, F.struct(*[F.lit(None).cast("string").alias(c) for c in ("predictedQuery", "traceType")], *[F.lit(None).cast("double").alias(c) for c in ("confidence", "ttlHours")], F.lit(None).cast("string").alias("sourcePattern"))))
+    return pulses.select("pulse_id", F.when(i % 4 == 1, "nothing").when(i % 4 == 2, F.concat(F.lit('{"traces":'), text, F.lit("}"))).otherwise(text).alias("answer"))
+
+
+def _own_memories(spark, d):
+    return t.memories(spark, d).withColumn("user_id", F.col("user_id") % 10)
+
+
+_PULSES = f"""WITH RECURSIVE p0 AS (SELECT message_id AS pulse_id, user_id, session_key, ts, CASE WHEN message_id % 2 = 0 THEN 'recall' END AS intent, channel FROM messages WHERE role = 'user' AND turn_index >= 2), p1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, pulse_id) AS step FROM p0 WHERE user_id % 5 <> 3),
+    lim AS (SELECT user_id, step, pulse_id, ts AS last, 'ok' AS status FROM p1 WHERE step = 1 UNION ALL SELECT p1.user_id, p1.step, p1.pulse_id, CASE WHEN p1.ts - l.last >= 60000 THEN p1.ts ELSE l.last END, CASE WHEN p1.ts - l.last >= 60000 THEN 'ok' ELSE 'limited' END FROM lim l JOIN p1 ON p1.user_id = l.user_id AND p1.step = l.step + 1),
+    p AS MATERIALIZED (SELECT p0.*, coalesce(lim.status, 'disabled') AS status FROM p0 LEFT JOIN lim USING (pulse_id)), ok AS MATERIALIZED (SELECT * FROM p WHERE status = 'ok'),
+    said AS (SELECT ok.pulse_id, m.*, row_number() OVER (PARTITION BY ok.pulse_id ORDER BY m.ts DESC, m.message_id DESC) AS n, row_number() OVER (PARTITION BY ok.pulse_id, m.role ORDER BY m.ts DESC, m.message_id DESC) AS k FROM ok JOIN messages m ON m.session_key = ok.session_key AND m.ts <= ok.ts),
+    summed AS (SELECT pulse_id, string_agg(role || ': ' || CASE WHEN length(content) > 300 THEN substring(content, 1, 300) || '...' ELSE content END, chr(10) ORDER BY ts, message_id) AS summary FROM said WHERE n <= 20 GROUP BY pulse_id),
+    topic AS (SELECT pulse_id, list_distinct(list_filter(regexp_split_to_array(lower(string_agg(substring(content, 1, 200), ' ' ORDER BY ts, message_id)), '[ \\t\\n\\r\\f]+'), lambda w: length(w) > 3)) AS words FROM said WHERE role = 'user' AND k <= 3 GROUP BY pulse_id),
+    near AS (SELECT * FROM (SELECT ok.pulse_id, words, m.*, row_number() OVER (PARTITION BY ok.pulse_id ORDER BY m.created_ms DESC, m.memory_id DESC) AS n FROM ok JOIN topic USING (pulse_id) JOIN memories m ON m.user_id % 10 = ok.user_id AND NOT m.archived AND m.created_ms BETWEEN ok.ts - {7 * DAY_MS} AND ok.ts WHERE len(words) > 0) WHERE n <= 100),
+    hit AS (SELECT *, row_number() OVER (PARTITION BY pulse_id ORDER BY created_ms DESC, memory_id DESC) AS k FROM near WHERE len(list_filter(words, lambda w: contains(lower(title || ' ' || content), w))) > 0),
+    f AS (SELECT pulse_id, list(memory_id ORDER BY k) FILTER (k <= 15) AS ids, flatten(list(tags[1:2] ORDER BY k) FILTER (k <= 5)) AS tags FROM hit GROUP BY pulse_id)"""
+
+
+@query("i18_pulses", sql(f"""{_PULSES} SELECT p.pulse_id, p.user_id, status, CASE WHEN status = 'ok' THEN coalesce(summary, '') END AS summary, CASE WHEN status = 'ok' THEN coalesce(array_to_string(ids, ','), '') END AS memory_ids, CASE WHEN status = 'ok' THEN coalesce(array_to_string(list_sort(list_distinct(tags)), ','), '') END AS topics
+    FROM p LEFT JOIN summed USING (pulse_id) LEFT JOIN f USING (pulse_id)"""))
+def i18(spark, d):
+    p = _pulses(spark, d)
+    found = pulse.related(p.where("status = 'ok'"), t.messages(spark, d), _own_memories(spark, d))
+    ids = F.array_join(F.transform("memory_ids", lambda x: x.cast("string")), ",")
+    return p.select("pulse_id", "user_id", "status").join(found.select("pulse_id", "summary", ids.alias("memory_ids"), F.array_join(F.array_sort("topics"), ",").alias("topics")), "pulse_id", "left")
+
+
+@query("i18_pulse_traces", sql(f"""{_PULSES}, a AS (SELECT *, unnest([0, 1]) AS place FROM ok WHERE pulse_id % 4 <> 1)
+    SELECT a.pulse_id, a.user_id, place, CASE place WHEN 0 THEN 'q' || a.pulse_id ELSE '' END AS predicted_query, '' AS predicted_context, CASE WHEN place = 1 THEN 'query' ELSE (['context', 'query', 'warning'])[a.pulse_id % 3 + 1] END AS trace_type, CASE place WHEN 0 THEN least(1, a.pulse_id % 15 / 10.0::DOUBLE) ELSE 0.5 END::DOUBLE AS confidence,
+        a.ts + CASE place WHEN 0 THEN greatest(1, least(72, a.pulse_id % 100)) ELSE 24 END * {HOUR_MS} AS expires_ms, 'conversation_pulse:' || channel || CASE WHEN intent IS NOT NULL THEN ' [recall]' ELSE '' END || ': ' || CASE WHEN place = 0 AND a.pulse_id % 3 = 0 THEN 'habit' ELSE 'unknown' END AS pattern, coalesce(array_to_string(ids, ','), '') AS memory_ids FROM a LEFT JOIN f USING (pulse_id)"""))
+def i18_traces(spark, d):
+    p = _pulses(spark, d).where("status = 'ok'")
+    found = pulse.related(p, t.messages(spark, d), _own_memories(spark, d))
+    return pulse.predicted(p, _predictions(p), found).withColumn("memory_ids", F.array_join(F.transform("memory_ids", lambda x: x.cast("string")), ","))
+
+
+@query("i18_warm_memories", sql(f"{_PULSES}, w AS (SELECT user_id, arg_max(ids[1:10], (ts, pulse_id)) AS ids, max(ts) AS ts FROM ok JOIN f USING (pulse_id) GROUP BY user_id) SELECT user_id, array_to_string(ids, ',') AS memory_ids, ts + {30 * MINUTE_MS} AS expires_ms FROM w"))
+def i18_warm(spark, d):
+    p = _pulses(spark, d).where("status = 'ok'")
+    out = pulse.warmed(p, pulse.related(p, t.messages(spark, d), _own_memories(spark, d)))
+    return out.withColumn("memory_ids", F.array_join(F.transform("memory_ids", lambda x: x.cast("string")), ","))
