@@ -99,8 +99,10 @@ def heavy_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the heaviest shingles and the rank of each, rarest first."""
     n = docs.select(F.count(F.lit(1))).first()[0]
     found = docs.select("text").mapInArrow(_counts(size, HEAVY_SHARE), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    rows = found.where(F.col("c") >= max(3, HEAVY_SHARE * n)).orderBy(F.desc("c"), "h").limit(HEAVY).collect()
-    h, c = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64), np.array([r[1] for r in rows], dtype=np.int64)
+    rows = found.where(F.col("c") >= max(3, HEAVY_SHARE * n)).orderBy(F.desc("c"), "h").limit(HEAVY).toArrow()
+    h, c = rows.column("h").to_numpy().view(np.uint64), rows.column("c").to_numpy()
+    del rows
+    give_back()
     by_hash = np.argsort(h)
     rank = np.empty(len(h), np.int64)
     rank[np.lexsort((h, c))] = np.arange(len(h))

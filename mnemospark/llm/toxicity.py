@@ -198,6 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, keep=None)
     numbers = np.array([np.frombuffer(r.numbers, float) for r in found[1:]]).reshape(-1, RANK + 1)
     model = Model(np.zeros(SLOTS, np.int32), np.append(0.0, numbers[:, 0]), np.concatenate([np.zeros((1, RANK)), numbers[:, 1:]]), float(np.frombuffer(found[0].numbers, float)[0]))
     model.index[[r.slot for r in found[1:]]] = np.arange(1, len(found))
+    del found, numbers
+    give_back()
     return model
 
 
