@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,7 +66,8 @@ def salience(counted: Column, matched: Column, content: Column, category: Column
     """A prior for how much a row matters: its length, tell-tale words, kind, names and tags."""
     n = T.words_up_to(counted, MOST_WORDS)
     low = F.lower(matched)
-    bonus = lambda p, v: F.when(low.rlike(p), v).otherwise(0.0)
+    # The words are plain texts: looking for each in turn is cheaper than one pattern of all.
+    bonus = lambda p, v: F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in p.split("|")]), v).otherwise(0.0)
     # Two names earn all that names can.
     names = F.when(content.rlike(f"(?s){NAME}.*?{NAME}"), 2).when(content.rlike(NAME), 1).otherwise(0)
     total = 0.3 + F.least(n / 200, F.lit(0.15)) + bonus(DECISION, 0.15) + bonus(LESSON, 0.12) + bonus(GOAL, 0.12)
