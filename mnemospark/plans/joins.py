@@ -125,7 +125,9 @@ def c14(spark, d):
     return dedupe.repeats_of_previous(_repeated(spark, d)).select("message_id", "repeat")
 
 
-@query("c14_kept_after_band")
+@query("c14_kept_after_band", sql(f"""WITH RECURSIVE r AS MATERIALIZED (SELECT user_id, role, content, message_id, ts, row_number() OVER (PARTITION BY user_id, role, content ORDER BY ts, message_id) AS step FROM ({_REPEATED})),
+    go AS (SELECT *, ts AS last, true AS kept FROM r WHERE step = 1 UNION ALL SELECT r.*, CASE WHEN r.ts - g.last > 5000 THEN r.ts ELSE g.last END, r.ts - g.last > 5000 FROM go g JOIN r ON r.user_id = g.user_id AND r.role = g.role AND r.content = g.content AND r.step = g.step + 1)
+    SELECT message_id, ts FROM go WHERE kept""", recursive=True))
 def c14_kept(spark, d):
     return dedupe.near_time_kept(_repeated(spark, d).drop("expires_at", "embedded", "extracted_at"), ["user_id", "role", "content"]).select("message_id", "ts")
 

@@ -10,7 +10,7 @@ from mnemospark.functions import text as T
 from mnemospark.functions import timeexpr as X
 from mnemospark.operators import content as C
 from mnemospark.operators.gates import scanned
-from mnemospark.plans.filters import TRIM
+from mnemospark.plans.filters import _THREAT, TRIM
 from mnemospark.plans.oracle import sql
 from mnemospark.registry import query
 from mnemospark.sources import tables as t
@@ -110,7 +110,8 @@ def h1_13(spark, d):
     return docs(spark, d).select("memory_id", T.snippet(F.col("content")).alias("snippet"), T.cut(F.col("content")).alias("cut"))
 
 
-@query("h1_sentence_cut")
+@query("h1_sentence_cut", sql("""SELECT memory_id, CASE WHEN length(content) <= 600 THEN content WHEN length(p) > length(e) THEN p WHEN e <> '' THEN e ELSE substring(content, 1, 600) END AS text FROM (SELECT *, coalesce(list_max(list_transform(list_filter(range(1, 601), lambda i: contains('.!?', substring(h, i, 1)) AND (i = length(h) OR contains(' ' || chr(9) || chr(10) || chr(12) || chr(13), substring(h, i + 1, 1)))), lambda i: i)), 0) AS fin,
+    coalesce(list_max(list_filter(range(1, 600), lambda i: substring(h, i + 1, 2) = chr(10) || chr(10))), 0) AS gap, substring(h, 1, fin) AS e, substring(h, 1, gap) AS p FROM (SELECT *, substring(content, 1, 601) AS h FROM memories))"""))
 def h1_14(spark, d):
     return docs(spark, d).select("memory_id", T.sentence_cut(F.col("content"), 600).alias("text"))
 
@@ -215,7 +216,7 @@ def h1_33(spark, d):
     return docs(spark, d).select("memory_id", F.concat_ws("\n\n", F.concat(F.lit("Goal: "), "category"), F.when(F.col("scope").isNotNull(), F.concat(F.lit("Scope: "), "scope")), F.concat(F.lit("Steps: "), "store")).alias("text"))
 
 
-@query("h1_scanned")
+@query("h1_scanned", sql(f"SELECT memory_id, {_THREAT.replace('(x,', '(content,')} AS threat FROM memories"))
 def h1_scanned(spark, d):
     return docs(spark, d).select("memory_id", scanned(F.col("content")).alias("threat"))
 

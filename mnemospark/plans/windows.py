@@ -24,7 +24,11 @@ def e2(spark, d):
     return W.gap_sessions(t.messages(spark, d), ["user_id", "channel"]).select("message_id", "session_no")
 
 
-@query("e2_extraction_windows")
+@query("e2_extraction_windows", sql("""WITH RECURSIVE m AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= 900000 THEN 0 ELSE 1 END AS new FROM messages WHERE extracted_at IS NULL WINDOW w AS (PARTITION BY user_id, channel, session_key ORDER BY ts, message_id)),
+    s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id, channel, session_key ORDER BY ts, message_id) AS BIGINT) AS session_no FROM m), r AS MATERIALIZED (SELECT user_id, channel, session_key, session_no, length(content) AS chars, row_number() OVER (PARTITION BY user_id, channel, session_key, session_no ORDER BY ts, message_id) AS step FROM s),
+    go AS (SELECT *, 1 AS n, chars AS size, 0::BIGINT AS part_no FROM r WHERE step = 1 UNION ALL SELECT user_id, channel, session_key, session_no, chars, step, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN chars ELSE size + chars END, CASE WHEN cut THEN part_no + 1 ELSE part_no END
+        FROM (SELECT r.*, g.n, g.size, g.part_no, g.n >= 4 OR g.size + r.chars > 4000 AS cut FROM go g JOIN r ON r.user_id = g.user_id AND r.channel = g.channel AND r.session_key = g.session_key AND r.session_no = g.session_no AND r.step = g.step + 1))
+    SELECT user_id, channel, session_key, session_no, part_no, count(*) AS messages, CAST(sum(chars) AS BIGINT) AS chars FROM go GROUP BY ALL""", recursive=True))
 def e2_windows(spark, d):
     rows = W.extraction_windows(t.messages(spark, d).where("extracted_at IS NULL"), most=4, chars=4000)
     return rows.groupBy("user_id", "channel", "session_key", "session_no", "part_no").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("content")).alias("chars"))
