@@ -24,7 +24,11 @@ def i1(spark, d):
     return graph.dependency_chain(t.relations(spark, d), spark.range(1).select(F.lit("part:900").alias("node_id")), 4)
 
 
-@query("i2_leader_clusters")
+@query("i2_leader_clusters", sql("""WITH RECURSIVE r AS MATERIALIZED (SELECT ensemble_id AS k, memory_id AS id, embedding AS v, sqrt(list_dot_product(embedding, embedding)) AS norm, row_number() OVER (PARTITION BY ensemble_id ORDER BY memory_id) AS step FROM vectors),
+    go AS (SELECT k, step, id, 0::BIGINT AS cluster, [v] AS sums FROM r WHERE step = 1
+        UNION ALL SELECT k, step, id, CASE WHEN hit THEN best - 1 ELSE len(sums) END, CASE WHEN hit THEN list_transform(range(1, len(sums) + 1), lambda i: CASE WHEN i = best THEN list_transform(range(1, len(v) + 1), lambda j: sums[i][j] + v[j]) ELSE sums[i] END) ELSE list_append(sums, v) END
+            FROM (SELECT *, list_max(near) > 0.2 AS hit, list_position(near, list_max(near)) AS best FROM (SELECT r.*, g.sums, list_transform(g.sums, lambda s: round(list_dot_product(s, r.v) / (sqrt(list_dot_product(s, s)) * r.norm), 9)) AS near FROM go g JOIN r ON r.k = g.k AND r.step = g.step + 1)))
+    SELECT k AS ensemble_id, id AS memory_id, cluster, n FROM (SELECT *, count(*) OVER (PARTITION BY k, cluster) AS n FROM go) WHERE n >= 3""", recursive=True))
 def i2(spark, d):
     rows = t.vectors(spark, d)
     return clustering.leaders(rows, "ensemble_id", 0.2)
