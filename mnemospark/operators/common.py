@@ -52,3 +52,19 @@ def upsert(old: DataFrame, changes: DataFrame, key: str, columns: list[str]) ->
 
 def count_if(c: Column) -> Column:
     return F.count_if(c)
+
+
+def with_runs(rows: DataFrame, keys: list[str], gap: int, ts: str, bucket: int = 3_600_000) -> DataFrame:
+    """rows with ``__run``: a key's rows in parts between which more than ``gap`` passes, so that nothing that lasts ``gap`` carries over.
+
+    Parts are cut between buckets of time: only the first and last instants of each (key, bucket) are
+    looked at in order, so a key with a third of the rows isn't one task.
+    """
+    at = F.floor(F.col(ts) / max(bucket, gap))
+    marked = rows.withColumn("__bucket", at)
+    edges = marked.groupBy("__bucket", *keys).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
+    by = Window.partitionBy(*keys).orderBy("__bucket")
+    opens = F.coalesce(F.col("__lo") - F.lag("__hi").over(by) > gap, F.lit(True)).cast("int")
+    edges = edges.withColumn("__run", F.sum(opens).over(by)).select("__bucket", *keys, "__run")
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "__bucket")]
+    return marked.alias("l").join(edges.alias("r"), on).select("l.*", "r.__run").drop("__bucket")

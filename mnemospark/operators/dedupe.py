@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
-from mnemospark.operators.common import best_per
+from mnemospark.operators.common import best_per, with_runs
 
 
 def merged_memories(rows: DataFrame, least_strength: float = 0.8, least_confidence: float = 0.9) -> DataFrame:
@@ -68,17 +68,7 @@ def near_time_kept(messages: DataFrame, keys: list[str], band_ms: int = 5000, ts
     one running state is held, so a hot key needs no memory.  A key of a third of
     the rows is cut where a gap is longer than the band, since nothing carries over it.
     """
-    w = Window.partitionBy("__day", *keys).orderBy(ts, id_col)
-    bucket = F.floor(F.col(ts) / 3_600_000)
-    rows = messages.withColumn("__day", bucket)
-    # Islands of the band: found within hours; hours whose first row is near the previous hour's last are joined to it.
-    edges = rows.groupBy("__day", *keys).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
-    by = Window.partitionBy(*keys).orderBy("__day")
-    joined = F.coalesce(F.col("__lo") - F.lag("__hi").over(by) > band_ms, F.lit(True)).cast("int")
-    edges = edges.withColumn("__run", F.sum(joined).over(by)).select("__day", *keys, "__run")
-    del w
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "__day")]
-    rows = rows.alias("l").join(edges.alias("r"), on).select("l.*", "r.__run").drop("__day")
+    rows = with_runs(messages, keys, band_ms, ts)
     rows = rows.repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", ts, id_col)
     schema = messages.schema
 

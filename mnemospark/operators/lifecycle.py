@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import scoring as S
 from mnemospark.functions.timeexpr import age_days, day_key
+from mnemospark.operators.common import with_runs
 from mnemospark.operators.gates import stale_workflow
 from mnemospark.sources.tables import DAY_MS, MINUTE_MS
 
@@ -62,24 +63,25 @@ def daily_quota(rows: DataFrame, cap: int, ts: str = "ts", id_col: str = "event_
 def fixed_window_limit(rows: DataFrame, limit: int = 60, window_ms: int = MINUTE_MS, inclusive: bool = False, ts: str = "ts", id_col: str = "event_id") -> DataFrame:
     """rows with ``window_ms``, ``nth`` and ``allowed``: windows open at a user's first request after the last one closed.
 
-    A window's start depends on all before it, so each user's rows run in order
-    with constant state.  ``inclusive``: a request exactly at the end is in the next window.
+    A window's start depends on all before it, so a user's rows run in order with
+    constant state; they are cut where more than a window passes without any, as the next one then opens a
+    window anyhow.  ``inclusive``: a request exactly at the end is in the next window.
     """
-    rows = rows.repartition("user_id").sortWithinPartitions("user_id", ts, id_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    rows = with_runs(rows, ["user_id"], window_ms, ts).repartition("user_id", "__run").sortWithinPartitions("user_id", "__run", ts, id_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, start, n = None, 0, 0
+        part, start, n = None, 0, 0
         for pdf in batches:
             starts, nth = [], []
-            for u, t in zip(pdf["user_id"], pdf[ts], strict=True):
+            for u, r, t in zip(pdf["user_id"], pdf["__run"], pdf[ts], strict=True):
                 late = t - start >= window_ms if inclusive else t - start > window_ms
-                if u != user or late:
-                    user, start, n = u, t, 0
+                if (u, r) != part or late:
+                    part, start, n = (u, r), t, 0
                 n += 1
                 starts.append(start)
                 nth.append(n)
-            yield pdf.assign(window_start=starts, nth=nth, allowed=[x <= limit for x in nth])
+            yield pdf.drop(columns="__run").assign(window_start=starts, nth=nth, allowed=[x <= limit for x in nth])
 
     return rows.mapInPandas(run, f"{fields}, window_start long, nth long, allowed boolean")
 
