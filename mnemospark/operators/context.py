@@ -18,6 +18,13 @@ DROPPED = ("Relevant Skills", "Memory Discovery", "Preamble", "Relevant Recall")
 #: Shown memories, messages, ideas and skills; least confidence of an idea; letters of a briefing, a title, a memory, an idea, a message, a prompt.
 HITS, MATCHES, IDEAS, SKILLS, SURE = 2, 2, 3, 3, 0.5
 BRIEFING, TITLE, CONTENT, SUMMARY, LINE, ASKED = 240, 120, 600, 2000, 220, 180
+#: What blocks and sections are made of.
+BLOCK_HEAD, BLOCK_END = "--- Memory [", "--- End Memory ---"
+IDEAS_HEAD = "--- Memory Discovery ---\nWhile you were away, your memory discovered:\n\n"
+IDEAS_END = "\n\n(Respond naturally -- reference this if relevant to the conversation)\n--- End Discovery ---"
+EVIDENCE_HEAD, EVIDENCE_LINES, EVIDENCE_LAST = "## Relevant Memory Evidence\nQuestion: ", "Recent message evidence:\n", "Recent context: "
+SKILLS_HEAD, SKILLS_END = "## Relevant Skills\n", "\n\nApply these skills if they fit the current task."
+EVIDENCE_END = "Search messages for exact wording and memories for broader lookup."
 
 
 def _clean(c: Column, most: int) -> Column:
@@ -25,7 +32,7 @@ def _clean(c: Column, most: int) -> Column:
 
 
 def _block(name: Column, *lines: Column) -> Column:
-    return F.concat_ws("\n", F.concat(F.lit("--- Memory ["), name, F.lit("] ---")), *lines, F.lit("--- End Memory ---"))
+    return F.concat_ws("\n", F.concat(F.lit(BLOCK_HEAD), name, F.lit("] ---")), *lines, F.lit(BLOCK_END))
 
 
 def memory_block(id_: Column, store: Column, category: Column, title: Column, content: Column, score: Column) -> Column:
@@ -69,7 +76,7 @@ def built(prompts: DataFrame, preamble: str, tools: str, briefings: DataFrame, i
 
     idea = _block(F.concat(F.lit("idea:"), F.col("idea_id").cast("string")), F.concat(F.lit("Title: "), _clean(F.coalesce("title", F.lit("Untitled discovery")), TITLE)), F.concat(F.lit("Content: "), _clean(F.coalesce("summary", F.lit("")), SUMMARY)), F.concat(F.lit("Source: Based on "), F.when(F.col("sources") > 0, F.col("sources").cast("string")).otherwise("multiple"), F.lit(" connected memories")))
     told = _joined(ideas.where(F.col("confidence") > SURE), "user_id", "rank", idea, "ideas", IDEAS)
-    discovery = F.concat(F.lit("--- Memory Discovery ---\nWhile you were away, your memory discovered:\n\n"), F.array_join("ideas", "\n"), F.lit("\n\n(Respond naturally -- reference this if relevant to the conversation)\n--- End Discovery ---"))
+    discovery = F.concat(F.lit(IDEAS_HEAD), F.array_join("ideas", "\n"), F.lit(IDEAS_END))
     parts.append(section(shown.join(told, "user_id"), 3, "Memory Discovery", discovery))
 
     def blocks(rows: DataFrame, name: str, most: int) -> DataFrame:
@@ -87,16 +94,16 @@ def built(prompts: DataFrame, preamble: str, tools: str, briefings: DataFrame, i
     e = e.where(F.col("memories").isNotNull() | lines.isNotNull() | last.isNotNull())
     evidence = F.concat_ws(
         "\n",
-        F.concat(F.lit("## Relevant Memory Evidence\nQuestion: "), T.snippet(F.col("asked"), ASKED), F.lit("\n")),
+        F.concat(F.lit(EVIDENCE_HEAD), T.snippet(F.col("asked"), ASKED), F.lit("\n")),
         F.concat(F.array_join("memories", "\n"), F.lit("\n")),
-        F.concat(F.lit("Recent message evidence:\n"), F.array_join(lines, "\n"), F.lit("\n")),
-        F.when(last != "", F.concat(F.lit("Recent context: "), last, F.lit("\n"))),
-        F.lit("Search messages for exact wording and memories for broader lookup."),
+        F.concat(F.lit(EVIDENCE_LINES), F.array_join(lines, "\n"), F.lit("\n")),
+        F.when(last != "", F.concat(F.lit(EVIDENCE_LAST), last, F.lit("\n"))),
+        F.lit(EVIDENCE_END),
     )
     parts.append(section(e, 4, "Relevant Recall", evidence))
 
     able = p.where(long & F.col("intent").isin("command", "workflow")).join(blocks(skills.where("store = 'procedural'"), "skills", SKILLS), "prompt_id")
-    parts.append(section(able, 5, "Relevant Skills", F.concat(F.lit("## Relevant Skills\n"), head, F.lit("\n"), F.array_join("skills", "\n"), F.lit("\n\nApply these skills if they fit the current task."))))
+    parts.append(section(able, 5, "Relevant Skills", F.concat(F.lit(SKILLS_HEAD), head, F.lit("\n"), F.array_join("skills", "\n"), F.lit(SKILLS_END))))
 
     budget = S.injection_budget(F.col("effective_tokens"), F.col("share"))
     every = reduce(DataFrame.unionByName, parts).withColumn("size", F.length("text")).join(p.select("prompt_id", budget.cast("long").alias("budget")), "prompt_id")

@@ -23,7 +23,9 @@ LOW, HIGH, BYPASS = 0.70, 0.90, 0.55
 #: Scores from which a contradiction is told, and kept as a conflict.
 TRACE, CONFLICT = 0.6, 0.8
 PER_DAY, MOST_ERRORS, COOLDOWN_MS = 3, 3, 30 * DAY_MS
+#: Kinds of contradictions, and what their description is made of.
 TYPES = ("factual", "temporal", "opinion", "scope", "none")
+TOLD, EXPLAINED, ADVISED = "**Contradiction detected** (", "Explanation: ", "Suggested resolution: "
 
 Ask = Callable[[DataFrame], DataFrame]
 
@@ -64,9 +66,9 @@ def _context(a_title: Column, a_text: Column, b_title: Column, b_text: Column) -
     def line(name: str, title: Column, text: Column) -> Column:
         return F.concat(F.lit(f'Memory {name}: "'), title, F.lit('" — '), F.substring(text, 1, 150))
 
-    told = F.concat(F.lit("**Contradiction detected** ("), F.col("conflict_type"), F.lit(", score: "), F.format_string("%.2f", F.col("score")), F.lit(")"))
-    advice = F.when(F.col("resolution") != "", F.concat(F.lit("Suggested resolution: "), F.col("resolution")))
-    return F.concat_ws("\n", told, line("A", a_title, a_text), line("B", b_title, b_text), F.concat(F.lit("Explanation: "), F.col("explanation")), advice)
+    told = F.concat(F.lit(TOLD), F.col("conflict_type"), F.lit(", score: "), F.format_string("%.2f", F.col("score")), F.lit(")"))
+    advice = F.when(F.col("resolution") != "", F.concat(F.lit(ADVISED), F.col("resolution")))
+    return F.concat_ws("\n", told, line("A", a_title, a_text), line("B", b_title, b_text), F.concat(F.lit(EXPLAINED), F.col("explanation")), advice)
 
 
 def scan(memories: DataFrame, members: DataFrame, changed: DataFrame, conflicts: DataFrame, fired: DataFrame, ask: Ask, since_ms: int, now_ms: int, budget: int = 10, per_day: int = PER_DAY, low: float = LOW, high: float = HIGH, bypass: float = BYPASS) -> DataFrame:

@@ -15,6 +15,8 @@ from mnemospark.sources.tables import HOUR_MS
 
 #: What alike, drifted, new and kept clusters are, and how many neighbours are looked at.
 ALIKE, DRIFT, NEW, KEPT, NEAR, GROWTH = 0.85, 0.75, 5, 3, 20, 10
+#: How titles and texts of consolidated memories begin.
+EPISODIC, SEMANTIC, SOURCES = "Episodic cluster: ", "Semantic: ", "Source cluster summary ("
 
 
 def _with_centroid(members: DataFrame, key: str) -> DataFrame:
@@ -149,8 +151,8 @@ def consolidate(memories: DataFrame, now_ms: int, age_hours: float = 24, smalles
         F.lit("episodic").alias("level"),
         F.col("docs")[0]["member"].alias("source_id"),
         "user_id",
-        _short(F.concat(F.lit("Episodic cluster: "), F.array_join(F.transform("docs", lambda d: d["title"]), " | ")), 110).alias("title"),
-        F.concat(F.lit("Source cluster summary ("), F.col("n").cast("string"), F.lit(" memories):\n\n\n\n"), F.array_join(lines, "\n\n")).alias("content"),
+        _short(F.concat(F.lit(EPISODIC), F.array_join(F.transform("docs", lambda d: d["title"]), " | ")), 110).alias("title"),
+        F.concat(F.lit(SOURCES), F.col("n").cast("string"), F.lit(" memories):\n\n\n\n"), F.array_join(lines, "\n\n")).alias("content"),
         "embedding",
         _unit_range(0.45 + F.least(F.col("n"), F.lit(12)) * 0.05).alias("strength"),
         _unit_range(0.55 + F.least(F.col("n"), F.lit(20)) * 0.02).alias("confidence"),
@@ -174,6 +176,6 @@ def consolidate(memories: DataFrame, now_ms: int, age_hours: float = 24, smalles
     # A written one blocks all that are like it: it takes them, itself among them.
     won = greedy_sets(rivals.join(order, "seed").select("seed", "pos", "member", F.lit(0).alias("place"), F.lit(True).alias("counts")), 1).select("seed").distinct()
     semantic = strong.join(won, "seed", "left_semi").select(
-        F.lit("semantic").alias("level"), "source_id", "user_id", F.concat(F.lit("Semantic: "), F.col("title")).alias("title"), "content", "embedding", _unit_range(F.col("strength") * 0.95 + 0.05).alias("strength"), _unit_range(F.col("confidence") + 0.05).alias("confidence"), "valence", "arousal", "n", "tags", "sources", "seed"
+        F.lit("semantic").alias("level"), "source_id", "user_id", F.concat(F.lit(SEMANTIC), F.col("title")).alias("title"), "content", "embedding", _unit_range(F.col("strength") * 0.95 + 0.05).alias("strength"), _unit_range(F.col("confidence") + 0.05).alias("confidence"), "valence", "arousal", "n", "tags", "sources", "seed"
     )
     return episodic.unionByName(semantic).withColumnRenamed("seed", "seed_id")

@@ -13,7 +13,10 @@ from mnemospark.operators.common import best_per, top_per
 SHOWN, TAKEN, LEAST_SEEN, LEAST_SOURCES = 60, 1, 2, 2
 #: Shares of words in common over which a title or a content is the same.
 SAME_TITLE, SAME_CONTENT = 0.8, 0.6
+#: Kinds of patterns, tags of their own, heads of the sections of their text.
 KINDS = ("workflow", "problem_solving", "decision_chain")
+TAGS = ("organic", "auto-extracted")
+HEADS = ("Trigger conditions", "Steps", "Pitfalls", "Verification")
 _STEP = "struct<order:double,action:string,command:string>"
 _SCHEMA = f"struct<title:string,content:string,sourceMemoryIndices:array<double>,patternType:string,observationCount:double,triggerConditions:array<string>,steps:array<{_STEP}>,pitfalls:array<string>,verification:string>"
 
@@ -50,7 +53,7 @@ def patterns(answers: DataFrame, of: DataFrame, taken: int = TAKEN) -> DataFrame
     found = cells.join(of, (cells["user_id"] == of["user_id"]) & (cells["i"] == of["i"])).select(cells["user_id"], "place", F.struct("at", "memory_id").alias("s"))
     sources = found.groupBy("user_id", "place").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["memory_id"]).alias("sources"))  # of the few that are shown
     rows = rows.join(sources, ["user_id", "place"]).where(F.size("sources") >= LEAST_SOURCES)
-    tags = F.concat(F.array(F.lit("organic"), F.lit("auto-extracted"), F.concat(F.lit("pattern:"), kind)), F.transform("sources", lambda s: F.concat(F.lit("source:"), s.cast("string"))))
+    tags = F.concat(F.array(*[F.lit(x) for x in TAGS], F.concat(F.lit("pattern:"), kind)), F.transform("sources", lambda s: F.concat(F.lit("source:"), s.cast("string"))))
     confidence = F.when(F.col("seen") >= 5, 0.9).when(F.col("seen") >= 2, 0.7).otherwise(0.5)
     own = F.greatest(F.lit(1.0), F.col("seen"), F.size("sources").cast("double"))
     return rows.select(
@@ -98,7 +101,7 @@ def procedure_text(content: Column, triggers: Column, steps: Column, pitfalls: C
 
     dashed = lambda c: F.transform(c, lambda x: F.concat(F.lit("- "), x))
     numbered = F.transform(steps, lambda s: F.concat(s["order"].cast("string"), F.lit(". "), s["action"], F.coalesce(F.concat(F.lit(" ("), s["command"], F.lit(")")), F.lit(""))))
-    return F.concat_ws("\n\n", F.nullif(T.trim(content), F.lit("")), listed("Trigger conditions", dashed(triggers)), listed("Steps", numbered), listed("Pitfalls", dashed(pitfalls)), F.when(verification != "", F.concat(F.lit("Verification:\n"), verification)))
+    return F.concat_ws("\n\n", F.nullif(T.trim(content), F.lit("")), listed(HEADS[0], dashed(triggers)), listed(HEADS[1], numbered), listed(HEADS[2], dashed(pitfalls)), F.when(verification != "", F.concat(F.lit(f"{HEADS[3]}:\n"), verification)))
 
 
 def upserted(found: DataFrame, known: DataFrame, now_ms: int) -> DataFrame:

@@ -12,7 +12,7 @@ from mnemospark.sources.tables import HOUR_MS
 
 #: Hours looked back (0.5 to 72) and the fewest memories that are reflected on.
 WINDOW_HOURS, LEAST = 4.0, 3
-#: Of what an answer lists: field, store, category, title, strength, confidence, arousal and a tag of its own.
+#: Fixed values of what an answer lists: field, store, category, title, strength, confidence, arousal and a tag of its own.
 WRITTEN = (
     ("decisions", "episodic", "decision", "Decision: ", 0.85, 0.8, 0.2, None),
     ("lessons", "semantic", "lesson", "Lesson: ", 0.85, 0.8, 0.2, None),
