@@ -15,21 +15,33 @@ from mnemospark.llm._shared import stored
 
 SHARDS = 40
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents that go to a Python process at once: texts are long, and both sides hold a batch.
+BATCH_ROWS = 1000
+
+
+def _batches(spark: SparkSession) -> None:
+    """Smaller batches for the session, unless they are as small already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    spark.conf.set(name, min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the factorization machine scores 0.7 or more; the model learns from labels of two folds of three."""
+    _batches(spark)
     every, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return toxicity.clean(docs, toxicity.fit(every, labels, keep=toxicity.learn_rows()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id in each group of near duplicates (five-word shingles, similarity 0.8), and those without id."""
+    _batches(spark)
     return jaccard.representatives(docs, size=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage, also with words changed."""
+    _batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
