@@ -30,7 +30,9 @@ PAIRS = "a long, b long, score double"
 
 
 def _rows(df: DataFrame, id_col: str, vector_col: str, group_col: str | None) -> DataFrame:
-    cols = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), (F.col(group_col) if group_col else F.lit(0)).cast("long").alias("g")]
+    group = F.lit(0) if group_col is None else F.xxhash64(group_col) if dict(df.dtypes)[group_col] == "string" else F.col(group_col)
+    group = group if group_col is None else F.when(F.col(group_col).isNotNull(), group)
+    cols = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), group.cast("long").alias("g")]
     return df.select(*cols).where("id IS NOT NULL AND g IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)")
 
 

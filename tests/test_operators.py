@@ -180,6 +180,12 @@ def test_vector_joins_of_blocks(spark, monkeypatch):
     assert [j for j, _ in near[0]] == [j for j, _ in best[0][:4]]
 
 
+def test_vectors_of_named_groups(spark):
+    rows = spark.createDataFrame([(1, "u", [1.0, 0.0]), (2, "u", [1.0, 0.1]), (3, "v", [1.0, 0.0]), (4, None, [1.0, 0.0])], "memory_id long, g string, embedding array<double>")
+    assert [(r.a, r.b) for r in search.similar_pairs(rows, rows, 0.5, same="g").collect()] == [(1, 2)]
+    assert {(r.a, r.b) for r in search.neighbours(rows, rows, 3, same="g").collect()} == {(1, 2), (2, 1)}
+
+
 def greedy_model(wants, least, most, marks_all):
     lists, order = {}, {}
     for seed, pos, member, place, counts in wants:
