@@ -125,7 +125,14 @@ def conflict(metadata: Column, pair: Column, summary: Column, updated_ms: Column
 
 def merged_steps(old: Column, new: Column, most: int = 12) -> Column:
     """Steps (action, command) of both, of equal ones the first, numbered from 1; ``most`` at most."""
-    every = F.concat(old, new)
-    keys = F.transform(every, lambda s: F.concat_ws("::", F.lower(s["action"]), F.lower(F.coalesce(s["command"], F.lit("")))))
-    first = F.filter(F.arrays_zip(every.alias("s"), F.transform(keys, lambda k, i: F.array_position(keys, k) == i + 1).alias("f")), lambda x: x["f"])
-    return F.slice(F.transform(first, lambda x, i: F.struct((i + 1).alias("order"), x["s"]["action"].alias("action"), x["s"]["command"].alias("command"))), 1, most)
+    # Lambdas evaluate again, for each element, what they name from outside: so the steps are gone through once, with what was found so far at hand.
+    kind = "array<struct<order:int,action:string,command:string>>"
+    start = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast(kind).alias("steps"))
+
+    def add(found: Column, s: Column) -> Column:
+        key = F.concat_ws("::", F.lower(s["action"]), F.lower(F.coalesce(s["command"], F.lit(""))))
+        step = F.struct((F.size(found["steps"]) + 1).alias("order"), s["action"].alias("action"), s["command"].alias("command"))
+        grown = F.struct(F.concat(found["keys"], F.array(key)).alias("keys"), F.concat(found["steps"], F.array(step)).cast(kind).alias("steps"))
+        return F.when((F.size(found["steps"]) >= most) | F.array_contains(found["keys"], key), found).otherwise(grown)
+
+    return F.aggregate(F.concat(old, new), start, add, lambda found: found["steps"])

@@ -190,12 +190,12 @@ def h4_4(spark, d):
 
 @query("h4_merged_steps", sql("SELECT event_id, CAST(s AS INTEGER) AS place, CASE WHEN s = 1 THEN 'Run' ELSE 'step' || (s - 1) END AS action, CASE WHEN s > 1 THEN 'c' || (k % 3) END AS command FROM event_rows, range(1, 13) r(s) WHERE s <= 2 + k % 15"))
 def h4_8(spark, d):
-    k = F.get_json_object("props", "$.k").cast("long")
+    k = F.col("k")
     step = lambda a, c: F.struct(a.alias("action"), c.alias("command"))
     none, command = F.lit(None).cast("string"), F.concat(F.lit("c"), (k % 3).cast("string"))
     old = F.array(step(F.lit("Run"), none), step(F.lit("RUN"), F.lit("")))
     new = F.transform(F.sequence(F.lit(1).cast("long"), 1 + k % 15), lambda i: step(F.concat(F.lit("step"), i.cast("string")), command))
-    rows = t.table(spark, d, "events").select("event_id", F.explode(J.merged_steps(old, F.concat(new, new))).alias("x"))
+    rows = t._events(spark, d).select("event_id", "k").select("event_id", F.explode(J.merged_steps(old, F.concat(new, new))).alias("x"))
     return rows.select("event_id", F.col("x.order").alias("place"), "x.action", "x.command")
 
 
