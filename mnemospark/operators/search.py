@@ -37,14 +37,21 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int, least: float = -1.0,
 
     Vectors meet those of their own length.  A task keeps the k best of each query, ties by id.
     """
-    pairs = vectorjoin.joined(queries, rows, lambda s, a, b: np.nonzero(vectorjoin.best(s, (s >= least) & (a[:, None] != b[None, :]), k)), least, id_col, vector_col, same)
-    return top_per(pairs, ["a"], k, F.desc("score"), F.asc("b"))
+    pairs = vectorjoin.joined(queries, rows, lambda s, a, b: vectorjoin.nearest(s, a, b, k, least), least, id_col, vector_col, same)
+    return top_per(pairs.select("a", "b", "score"), ["a"], k, F.desc("score"), F.asc("b"))
 
 
 def similar_pairs(queries: DataFrame, rows: DataFrame, low: float, high: float = 1.0, id_col: str = "memory_id", vector_col: str = "embedding", same: str | None = None) -> DataFrame:
     """(a, b, score) with a < b, each pair of a query and a row with a cosine in [low, high] once: only these leave the tasks."""
-    pairs = vectorjoin.joined(queries, rows, lambda s, a, b: np.nonzero((s >= low) & (s <= high) & (a[:, None] != b[None, :])), low, id_col, vector_col, same, symmetric=queries is rows)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct()
+
+    def picked(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, to = np.nonzero((s >= low) & (s <= high))
+        other = a[at] != b[to]
+        return at[other], to[other]
+
+    pairs = vectorjoin.joined(queries, rows, picked, low, id_col, vector_col, same, symmetric=queries is rows)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+    return pairs if queries is rows and not vectorjoin.repeated(rows, id_col) else pairs.distinct()
 
 
 def bm25(docs: DataFrame, query: str, k: int, id_col: str = "memory_id", text_col: str = "content") -> DataFrame:

@@ -8,7 +8,7 @@ from mnemospark.functions import jsonx as J
 from mnemospark.functions import scoring as S
 from mnemospark.functions import text as T
 from mnemospark.functions import timeexpr as X
-from mnemospark.operators import capture, cleanup, graph, lifecycle, search
+from mnemospark.operators import capture, cleanup, contradictions, graph, lifecycle
 from mnemospark.operators import gates as G
 from mnemospark.operators.common import top_per
 from mnemospark.plans.filters import _THREAT, _lit
@@ -65,9 +65,8 @@ _FACTS = rf"""(len(na) > 0 AND len(nb) > 0 AND (len(list_filter(na, lambda x: NO
     FROM (SELECT v.memory_id AS a, q.memory_id AS b, {_COS} AS score FROM vectors v JOIN vectors q ON v.ensemble_id = q.ensemble_id AND v.memory_id < q.memory_id WHERE {_COS} >= 0.15) p JOIN memories x ON x.memory_id = p.a JOIN memories y ON y.memory_id = p.b)) WHERE score BETWEEN 0.25 AND 0.3 OR differ AND score >= 0.15"""))
 def b20(spark, d):
     v, m = t.vectors(spark, d), t.memories(spark, d)
-    pairs = search.similar_pairs(v, v, 0.15, 1.0, same="ensemble_id")
-    rows = pairs.join(m.select(F.col("memory_id").alias("a"), F.col("content").alias("x")), "a").join(m.select(F.col("memory_id").alias("b"), F.col("content").alias("y")), "b")
-    return rows.where(capture.worth_checking(F.col("score"), G.facts_differ(F.col("x"), F.col("y")), 0.25, 0.3, 0.15)).select("a", "b", "score")
+    known = G.fact_ids(m.join(v.select("memory_id"), "memory_id", "left_semi"), "memory_id", F.col("content"))
+    return contradictions.gated_pairs(v.join(known, "memory_id"), 0.25, 0.3, 0.15, "ensemble_id").select("a", "b", "score")
 
 
 @query("b22_channel_hits", sql("SELECT message_id, 'one' AS of FROM messages WHERE channel = 'ch1' UNION ALL SELECT message_id, 'all' FROM messages"))

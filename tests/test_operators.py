@@ -237,3 +237,32 @@ def test_contradiction_scan_ends(spark):
     assert told[0] == [(1, "failed"), (2, "failed"), (3, "failed")] and told[1] == [(1, "trace"), (2, "trace")]
     assert told[2] == [(1, "conflict"), (2, "conflict"), (3, "conflict")] and [r.pair_key for r in got if r.user_id == 2] == ["200::203", "201::202", "201::203"]
     assert {r.context.split("\n")[0] for r in got if r.user_id == 1} == {"**Contradiction detected** (factual, score: 0.70)"}
+
+
+def test_blocks_of_unlike_vectors_are_few(spark, monkeypatch):
+    """Where pivots exclude nothing, rows don't go to hundreds of blocks."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(1500)], "memory_id long, embedding array<double>")
+    monkeypatch.setattr(vectorjoin, "BLOCK_BYTES", 40_000)
+    calls = spark.sparkContext.accumulator(0)
+
+    def picked(s, a, b):
+        calls.add(1)
+        return (s >= 0.5).nonzero()
+
+    n = vectorjoin.joined(df, df, picked, 0.5, "memory_id", "embedding", None, symmetric=True).count()
+    assert n > 1500 and calls.value < 300
+
+
+def test_gated_pairs_are_those_of_their_texts(spark):
+    from mnemospark.operators import capture, gates
+
+    rng = random.Random(6)
+    texts = ["costs $5 now", "costs $6 now", "5 and 6", "6 and 5", "on 2024-01-02", "never", "plain", "", None, "not 7", "7"]
+    df = spark.createDataFrame([(i, i % 3, rng.choice(texts), [rng.gauss(0, 1) for _ in range(4)]) for i in range(120)], "memory_id long, g long, content string, embedding array<double>")
+    known = gates.fact_ids(df, "memory_id", F.col("content"))
+    got = sorted(tuple(r) for r in contradictions.gated_pairs(df.select("memory_id", "g", "embedding").join(known, "memory_id"), 0.6, 0.8, 0.1, "g").select("a", "b", "score").collect())
+    text = {p: df.select(F.col("memory_id").alias(p), F.col("content").alias(f"{p}_text")) for p in "ab"}
+    every = search.similar_pairs(df, df, 0.1, same="g").join(text["a"], "a").join(text["b"], "b")
+    want = every.where(capture.worth_checking(F.col("score"), gates.facts_differ(F.col("a_text"), F.col("b_text")), 0.6, 0.8, 0.1)).select("a", "b", "score")
+    assert got == sorted(tuple(r) for r in want.collect()) and len(got) > 100
