@@ -9,7 +9,7 @@ from mnemospark.functions import text as T
 from mnemospark.functions import vectors as V
 from mnemospark.operators.clustering import mean_vectors
 from mnemospark.operators.common import best_per, checkpoint
-from mnemospark.operators.greedy import greedy_sets
+from mnemospark.operators.greedy import keyed_sets, near_sets
 from mnemospark.operators.search import neighbours, similar_pairs
 from mnemospark.sources.tables import HOUR_MS
 
@@ -56,10 +56,10 @@ def ensemble_tick(memories: DataFrame, stored: DataFrame, alike: float = ALIKE,
     size = Window.partitionBy("seed")
     wants = wants.withColumn("n", F.count(F.lit(1)).over(size)).where(F.col("n") >= new)
     free = m.join(clustered.withColumn("held", F.lit(True)), ["user_id", "memory_id"], "left").where("held IS NULL").select(F.col("memory_id").alias("member"), (~F.col("archived")).alias("counts"))
-    order = seeds.select(F.col("memory_id").alias("seed"), (-F.col("created_ms")).alias("pos"))
+    order = seeds.select(F.col("memory_id").alias("seed"), (-F.col("created_ms")).alias("pos"), F.col("user_id").alias("key"))
     # In no ensemble, but archived: such members don't count and take no part.
-    wants = wants.join(free.where("counts"), "member").join(order, "seed").select("seed", "pos", "member", (-F.col("score")).alias("place"), "counts")
-    made = greedy_sets(wants, new)
+    wants = wants.join(free.where("counts"), "member").join(order, "seed").select("key", "seed", "pos", "member", (-F.col("score")).alias("place"), "counts")
+    made = checkpoint(keyed_sets(wants, new))
     born = made.join(order, "seed").join(m.select(F.col("memory_id").alias("seed"), "user_id"), "seed").select(
         F.concat(F.lit("new:"), F.col("seed").cast("string")).alias("ensemble"), "user_id", F.lit("cluster").alias("kind"), F.col("member").alias("memory_id"), F.struct(F.lit(1).alias("kind_no"), "pos", F.col("seed").alias("no")).alias("turn")
     )
@@ -133,12 +133,10 @@ def consolidate(memories: DataFrame, now_ms: int, age_hours: float = 24, smalles
     m = memories.where("NOT archived AND size(embedding) > 0")
     sensory = m.where("store = 'sensory'")
     seeds = sensory.where(F.col("kb_id").isNull() & (F.col("created_ms") <= now_ms - age))
-    # All within the threshold, not the nearest few: which these are depends on what is archived by then.
-    pairs = similar_pairs(sensory, sensory, alike, same="user_id")
-    both = pairs.union(pairs.select("b", "a", "score")).toDF("seed", "member", "score").union(seeds.select("memory_id", "memory_id", F.lit(2.0)))
-    wants = both.join(seeds.select(F.col("memory_id").alias("seed"), (-F.col("last_accessed_ms")).alias("pos")), "seed")
-    wants = wants.join(sensory.select(F.col("memory_id").alias("member"), F.col("kb_id").isNull().alias("counts")), "member").select("seed", "pos", "member", (-F.col("score")).alias("place"), "counts")
-    sets = greedy_sets(wants, smallest, most=window, marks_all=True)
+    # Of all within the threshold, not of the nearest few: which these are depends on what is archived by then.
+    chosen = F.col("kb_id").isNull() & (F.col("created_ms") <= now_ms - age)
+    given = sensory.select(F.col("user_id").alias("key"), F.col("memory_id").alias("id"), F.col("embedding").alias("v"), (-F.col("last_accessed_ms")).alias("pos"), F.coalesce(chosen, F.lit(False)).alias("seeds"), F.col("kb_id").isNull().alias("counts"))
+    sets = checkpoint(near_sets(given, alike, smallest, window))
 
     docs = sets.join(sensory.drop("created_ms", "last_accessed_ms").withColumnRenamed("memory_id", "member"), "member")
     n = F.count(F.lit(1))
@@ -171,10 +169,10 @@ def consolidate(memories: DataFrame, now_ms: int, age_hours: float = 24, smalles
     stale = neighbours(asks, known, 1, repeated, same="user_id").select(F.col("a").alias("memory_id")).distinct()
     fresh = asks.join(stale, "memory_id", "left_anti")
     alike_ = similar_pairs(fresh, fresh, repeated, same="user_id")
-    order = seeds.select(F.col("memory_id").alias("seed"), (-F.col("last_accessed_ms")).alias("pos"))
+    order = seeds.select(F.col("memory_id").alias("seed"), (-F.col("last_accessed_ms")).alias("pos"), F.col("user_id").alias("key"))
     rivals = alike_.union(alike_.select("b", "a", "score")).toDF("seed", "member", "score").select("seed", "member").union(fresh.select(F.col("memory_id").alias("seed"), F.col("memory_id").alias("member")))
     # A written one blocks all that are like it: it takes them, itself among them.
-    won = greedy_sets(rivals.join(order, "seed").select("seed", "pos", "member", F.lit(0).alias("place"), F.lit(True).alias("counts")), 1).select("seed").distinct()
+    won = keyed_sets(rivals.join(order, "seed").select("key", "seed", "pos", "member", F.lit(0).alias("place"), F.lit(True).alias("counts")), 1).select("seed").distinct()
     semantic = strong.join(won, "seed", "left_semi").select(
         F.lit("semantic").alias("level"), "source_id", "user_id", F.concat(F.lit(SEMANTIC), F.col("title")).alias("title"), "content", "embedding", _unit_range(F.col("strength") * 0.95 + 0.05).alias("strength"), _unit_range(F.col("confidence") + 0.05).alias("confidence"), "valence", "arousal", "n", "tags", "sources", "seed"
     )

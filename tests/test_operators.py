@@ -266,3 +266,21 @@ def test_gated_pairs_are_those_of_their_texts(spark):
     every = search.similar_pairs(df, df, 0.1, same="g").join(text["a"], "a").join(text["b"], "b")
     want = every.where(capture.worth_checking(F.col("score"), gates.facts_differ(F.col("a_text"), F.col("b_text")), 0.6, 0.8, 0.1)).select("a", "b", "score")
     assert got == sorted(tuple(r) for r in want.collect()) and len(got) > 100
+
+
+def test_sets_key_by_key(spark):
+    """Sets of each key as if its seeds were gone through alone, also of lists that all overlap."""
+    rng = random.Random(8)
+    vectors = {i: [rng.gauss(0, 1) for _ in range(4)] for i in range(90)}
+    key, pos, counts = {i: i % 3 for i in vectors}, {i: rng.randrange(20) for i in vectors}, {i: rng.random() < 0.8 for i in vectors}
+    seeds = {i for i in vectors if counts[i] and rng.random() < 0.8}
+    every = [(i, j, s) for i, j, s in cosines([(i, key[i], v) for i, v in vectors.items()]) if s >= 0.1]
+    wants = [(i, pos[i], j, -s, counts[j]) for i, j, s in every if i in seeds] + [(i, pos[i], i, -2.0, True) for i in seeds]
+    rows = spark.createDataFrame([(key[i], i, v, pos[i], i in seeds, counts[i]) for i, v in vectors.items()], "key long, id long, v array<double>, pos long, seeds boolean, counts boolean")
+    for least, most in ((2, 5), (3, 9)):
+        want = set().union(*(greedy_model([w for w in wants if key[w[0]] == k], least, most, True) for k in range(3)))
+        assert {(r.seed, r.member) for r in greedy.near_sets(rows, 0.1, least, most).collect()} == want and want
+    df = spark.createDataFrame([(key[w[0]], *w) for w in wants], "key long, seed long, pos long, member long, place double, counts boolean")
+    want = set().union(*(greedy_model([w for w in wants if key[w[0]] == k], 3, None, False) for k in range(3)))
+    assert {(r.seed, r.member) for r in greedy.keyed_sets(df, 3).collect()} == want and want
+    assert greedy.keyed_sets(df.limit(0), 1).count() == 0 and greedy.near_sets(rows.limit(0), 0.1, 2, 9).count() == 0
