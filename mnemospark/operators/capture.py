@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
+from mnemospark.operators.common import checkpoint
 from mnemospark.operators.content import stripped
 from mnemospark.operators.gates import scanned
 from mnemospark.operators.lifecycle import fixed_window_limit
@@ -26,8 +27,10 @@ def captured(memories: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:
     """
     shown = new.withColumn("threat", F.coalesce(scanned(F.col("title")), scanned(F.col("content"))))
     key = T.memory_hash(F.col("store"), F.col("category"), F.col("content"))
-    place = ["user_id", F.coalesce("channel", F.lit("")).alias("at"), F.col("channel").isNull().alias("nowhere"), key.alias("hash")]
-    kept = shown.where("threat IS NULL").select("memory_id", "channel", "tags", *place)
+    place = ["user_id", F.coalesce("channel", F.lit("")).alias("at"), F.col("channel").isNull().alias("nowhere")]
+    # Texts are scanned and hashed once; without them the rows are small.
+    shown = checkpoint(shown.select("memory_id", "user_id", "channel", "tags", "threat", F.when(F.col("threat").isNull(), key).alias("hash")))
+    kept = shown.where("threat IS NULL").select("memory_id", "channel", "tags", *place, "hash")
     by = ["user_id", "at", "nowhere", "hash"]
     incoming = kept.groupBy(*by).agg(F.min("memory_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("channel").alias("channel"), F.min_by("tags", "memory_id").alias("given"))
     # Distinct tags of equal texts, in order of their first use: no group gathers its rows.
@@ -35,7 +38,7 @@ def captured(memories: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:
     words = words.groupBy(*by, "tag").agg(F.min(F.struct("memory_id", "i")).alias("at_first"))
     words = words.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("at_first", "tag"))), lambda x: x["tag"]).alias("new_tags"))
     incoming = incoming.join(words, by, "left")
-    active = memories.where("NOT archived").select("memory_id", "strength", "confidence", F.col("tags").alias("old_tags"), *place)
+    active = memories.where("NOT archived").select("memory_id", "strength", "confidence", F.col("tags").alias("old_tags"), *place, key.alias("hash"))
     old = active.join(incoming.select(*by), by, "left_semi").groupBy(*by).agg(F.min(F.struct("memory_id", "strength", "confidence", "old_tags")).alias("old"))
     m = incoming.join(old, by, "left")
     merged = F.col("old").isNotNull()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ THREATS = (
     ("role_hijacking", rf"(?im)(?:^|you{S}+(?:must|should|will){S}+)do{S}+not{S}+tell{S}+the{S}+user|(?:i{S}+want{S}+you{S}+to|you{S}+(?:must|should|will)){S}+pretend{S}+to{S}+be\b|override{S}+your{S}+personality"),
     ("encoded_payload", "[A-Za-z0-9+/=]{500}"),
 )
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u202a\u202b\u202c\u202d\u202e"
 ACKNOWLEDGED = rf"(?i)^(NO_REPLY|ok|sure|got it|okay|yep|yeah|nope|nah|thanks|thank you)[!., \t\n\r\f]*$"
 GREETED = r"(?i)^(hi|hello|hey|good morning|good afternoon|good evening)[!., \t\n\r\f]*$"
 REFUSED = "(?i)^(I don't have|I cannot|I'm not able to)"
@@ -51,17 +53,41 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def _any(c: Column, *parts: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts])
+
+
 def threat(c: Column) -> Column:
-    """The first threat of a text, or null.  Expects compatibility form: nfkc() for texts that aren't ASCII."""
-    out = F.when(F.lit(False), F.lit(""))
-    for name, pattern in THREATS:
-        out = out.when(c.rlike(T.ascii_edges(pattern)), F.lit(name))
-    return out
+    """The first threat of a text, or null.  Expects compatibility form: nfkc() for texts that aren't ASCII.
+
+    Patterns are tried on texts that have the letters without which they can't match: few have, and these are found much faster.
+    """
+    may = {
+        "prompt_injection": lambda t: _any(t, "instructions", "rules", "override", "restrictions") | (F.contains(t, F.lit("you")) & F.contains(t, F.lit("now"))),
+        "exfiltration": lambda t: (F.contains(t, F.lit("$")) & _any(t, "curl", "wget")) | (F.contains(t, F.lit("cat")) & _any(t, ".env", "credentials")),
+        "role_hijacking": lambda t: _any(t, "tell", "pretend", "personality"),
+    }
+    names = dict(THREATS)
+
+    def first(x: Column) -> Column:
+        text, low = x["text"], x["low"]
+        out = F.when(_beyond_ascii(text) & _any(text, *INVISIBLE), F.lit("invisible_unicode"))
+        for name, able in may.items():
+            out = out.when(able(low) & text.rlike(T.ascii_edges(names[name])), F.lit(name))
+        # A run of 500 letters has its first 500 where it begins: other places needn't be tried.
+        return out.when((F.length(text) >= 500) & text.rlike(rf"(?<![A-Za-z0-9+/=]){names['encoded_payload']}"), F.lit("encoded_payload"))
+
+    # In a lambda's argument, text and lower case are made once.
+    return F.transform(F.array(F.struct(c.alias("text"), F.lower(c).alias("low"))), first)[0]
+
+
+def _beyond_ascii(c: Column) -> Column:
+    return F.octet_length(c) != F.length(c)
 
 
 def scanned(c: Column) -> Column:
     """threat() of the compatibility form; only texts beyond ASCII pay for a Python worker's work on them."""
-    return threat(F.when(c.rlike("[^\\x00-\\x7F]"), nfkc(F.when(c.rlike("[^\\x00-\\x7F]"), c))).otherwise(c))
+    return threat(F.when(_beyond_ascii(c), nfkc(F.when(_beyond_ascii(c), c))).otherwise(c))
 
 
 def noise(content: Column, title: Column, app: str = "Agent") -> Column:
@@ -142,9 +168,11 @@ def facts_differ(a: Column, b: Column) -> Column:
 
 def fact_ids(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, amounts, dates, negated) of each row's text, as numbers: texts of the same amounts (or dates) have the least id of a row that has them, null without any.  Whether facts_differ() of two texts is then told from six numbers."""
-    low = F.lower(text)
-    found = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all(low, F.lit(T.ascii_edges(p)), F.lit(0))))
-    f = rows.select(id_col, found(AMOUNTS).alias("amounts"), found(DATES).alias("dates"), low.rlike(T.ascii_edges(NEGATED)).cast("long").alias("negated"))
+    low = F.col("low")
+    # Most texts have nothing of the kind, which is seen faster without edges of words.
+    found = lambda p, may: F.when(low.rlike(may), F.array_sort(F.array_distinct(F.regexp_extract_all(low, F.lit(T.ascii_edges(p)), F.lit(0)))))
+    day = r"[0-9][-/][0-9]|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?[ \t]+[0-9]"
+    f = rows.select(id_col, F.lower(text).alias("low")).select(id_col, found(AMOUNTS, "[0-9]").alias("amounts"), found(DATES, day).alias("dates"), low.rlike(T.ascii_edges(NEGATED)).cast("long").alias("negated"))
     f = f.select(id_col, *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ("amounts", "dates")], "negated")
     for c in ("amounts", "dates"):
         names = f.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(id_col).alias(f"{c}_id"))
