@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions.scoring import WEIGHTS
-from mnemospark.operators.common import top_per
+from mnemospark.operators.common import checkpoint, top_per
 from mnemospark.sources.tables import DAY_MS
 
 #: Bounds of a weight; variations a run, and their steps; newest samples; how long a run keeps others away.
@@ -14,6 +16,11 @@ LOW, HIGH, VARIATIONS, UP, DOWN, SAMPLES, INTERVAL_MS = 0.02, 0.5, 4, 1.15, 0.85
 KEYS = tuple(WEIGHTS)
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is made once: what a lambda names from outside is made anew for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def bounded(weights: Column) -> Column:
     """An array of weights scaled to a sum of 1 inside [LOW, HIGH]: the first that leaves the bounds is held there and the others share the rest, again and again; what rounding leaves goes to the first."""
     n = len(KEYS)
@@ -21,11 +28,14 @@ def bounded(weights: Column) -> Column:
     start = F.struct(weights.alias("v"), none.alias("held"), F.lit(1.0).alias("left"))
 
     def step(s: Column, _: Column) -> Column:
-        own = F.transform(s["v"], lambda x, i: F.when(F.get(s["held"], i), 0.0).otherwise(F.greatest(x, F.lit(0.0))))
-        total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
-        share = F.transform(own, lambda x: x / F.when(total > 0, total).otherwise(F.lit(float(n))) * s["left"])
+        own = F.zip_with(s["v"], s["held"], lambda x, h: F.when(h, 0.0).otherwise(F.greatest(x, F.lit(0.0))))
+        return _with(own, lambda own: _with(F.aggregate(own, F.lit(0.0), lambda a, x: a + x), lambda total: _with(F.transform(own, lambda x: x / F.when(total > 0, total).otherwise(F.lit(float(n))) * s["left"]), lambda share: placed(s, share))))
+
+    def placed(s: Column, share: Column) -> Column:
         out = F.array_position(F.zip_with(share, s["held"], lambda x, h: ~h & ((x < LOW) | (x > HIGH))), True)
-        to = F.when(F.get(share, (out - 1).cast("int")) < LOW, LOW).otherwise(HIGH)
+        return _with(out, lambda out: held(s, share, out, F.when(F.get(share, (out - 1).cast("int")) < LOW, LOW).otherwise(HIGH)))
+
+    def held(s: Column, share: Column, out: Column, to: Column) -> Column:
         at = lambda i: i + 1 == out
         found = out > 0
         return F.struct(
@@ -55,8 +65,9 @@ def varied(policies: DataFrame, n: int = VARIATIONS) -> DataFrame:
     drawn = F.array(*[_draw(0, *base, F.lit(k)) for k in KEYS])
     ups = F.array(*[_draw(1, *base, F.lit(k)) % 2 == 1 for k in KEYS])
     rows = rows.withColumn("drawn", drawn).withColumn("ups", ups).withColumn("moved", 2 + _draw(0, *base, F.lit("moved")) % 2)
-    last = F.element_at(F.array_sort("drawn"), F.col("moved").cast("int"))
-    moved = F.transform("weights", lambda w, i: F.when(F.get("drawn", i) <= last, F.greatest(F.lit(LOW), F.least(F.lit(HIGH), w * F.when(F.get("ups", i), UP).otherwise(DOWN)))).otherwise(w))
+    # What is drawn is hashed once a row, not for each weight.
+    draws = F.struct("drawn", "ups", F.element_at(F.array_sort("drawn"), F.col("moved").cast("int")).alias("last"))
+    moved = _with(draws, lambda d: F.transform("weights", lambda w, i: F.when(F.get(d["drawn"], i) <= d["last"], F.greatest(F.lit(LOW), F.least(F.lit(HIGH), w * F.when(F.get(d["ups"], i), UP).otherwise(DOWN)))).otherwise(w)))
     return rows.select("user_id", "generation", "candidate", F.when(F.col("candidate") == 0, F.col("weights")).otherwise(bounded(moved)).alias("weights"))
 
 
@@ -97,7 +108,7 @@ def tuned(policies: DataFrame, logs: DataFrame, hits: DataFrame, relevant: DataF
     rejected, and so is the policy that is replaced.  New rows have the next generation.
     """
     newest = top_per(logs.select("log_id", "user_id", "created_ms"), ["user_id"], most, F.desc("created_ms"), F.desc("log_id"))
-    variants = varied(policies.where("NOT locked"))
+    variants = checkpoint(varied(policies.where("NOT locked")))
     scores = replayed(variants, hits.join(newest.select("log_id"), "log_id", "left_semi"), relevant, k)
     p = policies.join(scores, "user_id", "left")
     early = F.coalesce(F.lit(now_ms) - F.col("tuned_ms") < INTERVAL_MS, F.lit(False))
