@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: 64-bit words of a sieve.
+SIEVE = 1 << 18
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, written to the folder that spark.checkpoint.dir names: lineage is cut and lost executors don't matter.  Where it is unset: a local folder if Spark runs in this process alone, an error on a cluster, whose executors wouldn't see it."""
     context = df.sparkSession.sparkContext
@@ -68,3 +72,16 @@ def with_runs(rows: DataFrame, keys: list[str], gap: int, ts: str, bucket: int =
     edges = edges.withColumn("__run", F.sum(opens).over(by)).select("__bucket", *keys, "__run")
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "__bucket")]
     return marked.alias("l").join(edges.alias("r"), on).select("l.*", "r.__run").drop("__bucket")
+
+
+def sifted(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``key`` (a whole number) is among ids, of one column, and a few others, which the join that follows drops.
+
+    A bit for each hash is broadcast, in SIEVE rows of two numbers at most: rows with long
+    texts that nobody asks for aren't shuffled.  Far more ids than bits let everything through.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(64 * SIEVE))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__p").bitwiseAND(F.lit(63)).cast("int"))
+    words = ids.select(place(F.col(ids.columns[0])).alias("__p")).groupBy(F.shiftright("__p", 6).alias("__w")).agg(F.bit_or(bit).alias("__b"))
+    asked = rows.withColumn("__p", place(F.col(key))).join(F.broadcast(words), F.shiftright("__p", 6) == F.col("__w"))
+    return asked.where(F.getbit("__b", F.col("__p").bitwiseAND(F.lit(63)).cast("int")) == 1).select(*rows.columns)

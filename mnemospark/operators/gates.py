@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from mnemospark.functions import text as T
 from mnemospark.functions.jsonx import number
+from mnemospark.operators.common import checkpoint
 from mnemospark.sources.tables import DAY_MS
 
 # These patterns and phrases decide what is kept, so they must be these.
@@ -174,6 +175,7 @@ def fact_ids(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
     day = r"[0-9][-/][0-9]|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?[ \t]+[0-9]"
     f = rows.select(id_col, F.lower(text).alias("low")).select(id_col, found(AMOUNTS, "[0-9]").alias("amounts"), found(DATES, day).alias("dates"), low.rlike(T.ascii_edges(NEGATED)).cast("long").alias("negated"))
     f = f.select(id_col, *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ("amounts", "dates")], "negated")
+    f = checkpoint(f)  # texts are searched once, not once more for each kind
     for c in ("amounts", "dates"):
         names = f.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(id_col).alias(f"{c}_id"))
         f = f.join(names, c, "left").drop(c).withColumnRenamed(f"{c}_id", c)

@@ -10,7 +10,7 @@ from mnemospark.functions import text as T
 from mnemospark.operators import assistant, cleanup, context, contradictions, discovery, enrich, ensembles, lifecycle, procedures, pulse, reflection, replay, tuning
 from mnemospark.operators import gates as G
 from mnemospark.operators.clustering import mean_vectors
-from mnemospark.operators.common import top_per
+from mnemospark.operators.common import sifted, top_per
 from mnemospark.plans.filters import _IDEA, _lit
 from mnemospark.plans.joins import _HASH_TEXT
 from mnemospark.plans.oracle import sql
@@ -26,7 +26,9 @@ _V = """v AS MATERIALIZED (SELECT m.memory_id, m.user_id, m.archived, m.created_
 
 
 def with_vectors(spark, d):
-    return t.memories(spark, d).join(t.vectors(spark, d).withColumnRenamed("ensemble_id", "label"), "memory_id")
+    """Memories that have a vector; the texts of the others aren't shuffled."""
+    v = t.vectors(spark, d)
+    return sifted(t.memories(spark, d), "memory_id", v.select("memory_id")).join(v.withColumnRenamed("ensemble_id", "label"), "memory_id")
 
 
 def stored_ensembles(spark, d):

@@ -6,9 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import clustering, compaction, content, contradictions, dedupe, greedy, lifecycle, replay, search, vectorjoin, visibility
+from mnemospark.operators import clustering, compaction, content, contradictions, dedupe, gates, greedy, lifecycle, replay, search, vectorjoin, visibility
 from mnemospark.operators import windows as W
-from mnemospark.sources import files
+from mnemospark.operators.common import sifted
+from mnemospark.plans import jobs
+from mnemospark.sources import files, tables
 
 
 @pytest.mark.parametrize(
@@ -284,3 +286,31 @@ def test_sets_key_by_key(spark):
     want = set().union(*(greedy_model([w for w in wants if key[w[0]] == k], 3, None, False) for k in range(3)))
     assert {(r.seed, r.member) for r in greedy.keyed_sets(df, 3).collect()} == want and want
     assert greedy.keyed_sets(df.limit(0), 1).count() == 0 and greedy.near_sets(rows.limit(0), 0.1, 2, 9).count() == 0
+
+
+def test_sifted(spark):
+    """All rows that are asked for stay, and nearly all others go, without a shuffle of the rows."""
+    rows = spark.range(20000).withColumnRenamed("id", "k").withColumn("text", F.lit("x"))
+    ids = spark.range(0, 20000, 50)
+    got = sifted(rows, "k", ids)
+    kept = {r.k for r in got.collect()}
+    assert kept >= set(range(0, 20000, 50)) and len(kept) < 450 and got.columns == ["k", "text"]
+    assert sifted(rows, "k", ids.limit(0)).count() == 0
+
+
+def test_vectors_leave_other_texts_alone(spark, sf_dir):
+    """Without a broadcast of either side, only texts of memories that can have a vector are shuffled, also under a semi-join's worth of ids."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = jobs.with_vectors(spark, sf_dir)
+        plan = m.select("memory_id", "content")._jdf.queryExecution().executedPlan().toString()
+        assert "getbit" in plan and m.count() == tables.vectors(spark, sf_dir).join(tables.memories(spark, sf_dir), "memory_id").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_facts_are_found_once(spark):
+    rows = spark.createDataFrame([(1, "it costs $5"), (2, "not here"), (3, "so it costs $5")], "i long, t string")
+    ids = gates.fact_ids(rows, "i", F.col("t"))
+    assert "regexp_extract_all" not in ids._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.i: (r.amounts, r.negated) for r in ids.collect()} == {1: (1, 0), 2: (None, 1), 3: (1, 0)}
