@@ -85,3 +85,26 @@ def sifted(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     words = ids.select(place(F.col(ids.columns[0])).alias("__p")).groupBy(F.shiftright("__p", 6).alias("__w")).agg(F.bit_or(bit).alias("__b"))
     asked = rows.withColumn("__p", place(F.col(key))).join(F.broadcast(words), F.shiftright("__p", 6) == F.col("__w"))
     return asked.where(F.getbit("__b", F.col("__p").bitwiseAND(F.lit(63)).cast("int")) == 1).select(*rows.columns)
+
+
+def latest(marks: DataFrame, rows: DataFrame, by: str, most: int, mark: str, at: str, ts: str, id_col: str, carried: tuple[str, ...] = (), bucket: int = 86_400_000) -> DataFrame:
+    """(mark, at, id_col, ts, carried, place): of each mark the last ``most`` rows of its key at or before its instant, by (ts, id_col), place 1 the newest.
+
+    Rows are numbered in each key, by buckets of time, so that a key with many rows isn't one
+    task, and marks get the number of the last row before them.  A mark then meets two blocks of ``most``
+    rows, whatever else its key has.
+    """
+    r = rows.where(F.col(by).isNotNull() & F.col(ts).isNotNull()).select(by, F.col(ts).alias("__ts"), F.col(id_col).alias("__id"), F.struct(id_col, ts, *carried).alias("__row"))
+    m = marks.where(F.col(by).isNotNull() & F.col(at).isNotNull()).select(by, F.col(at).alias("__ts"), F.col(mark).alias("__id"), F.lit(None).cast(r.schema["__row"].dataType).alias("__row"))
+    both = r.unionByName(m).withColumn("__bin", F.floor(F.col("__ts") / bucket))
+    counts = F.col("__row").isNotNull().cast("long")
+    earlier = Window.partitionBy(by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = both.groupBy(by, "__bin").agg(F.sum(counts).alias("__n")).select(by, "__bin", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    so_far = Window.partitionBy(by, "__bin").orderBy("__ts", F.col("__row").isNull(), "__id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("__n", F.sum(counts).over(so_far)).join(bins, [by, "__bin"]).withColumn("__nth", F.col("__before") + F.col("__n"))
+    nth = F.col("__nth")
+    held = placed.where("__row IS NOT NULL").select(by, "__row", nth, F.floor(nth / most).alias("__block"))
+    blocks = F.array_distinct(F.array(F.floor((nth - most + 1) / most), F.floor(nth / most)))
+    wants = placed.where("__row IS NULL AND __nth > 0").select(by, F.col("__id").alias(mark), F.col("__ts").alias(at), nth.alias("__last"), F.explode(blocks).alias("__block"))
+    near = wants.join(held, [by, "__block"]).where((nth <= F.col("__last")) & (nth > F.col("__last") - most))
+    return near.select(mark, at, "__row.*", (F.col("__last") - nth + 1).alias("place"))

@@ -53,7 +53,7 @@ def built(prompts: DataFrame, preamble: str, tools: str, briefings: DataFrame, i
 
     prompts (prompt_id, session_key, user_id, prompt, first, cron, effective_tokens, share); briefings
     (session_key, briefing); ideas (user_id, rank, idea_id, title, summary, confidence, sources); hits and skills
-    (prompt_id, rank, memory_id, store, category, title, content, score, kb_id, continuity), matches and recent (prompt_id, rank, role, content, ts).
+    (prompt_id, rank, memory_id, store, block, kb_id, continuity), block as memory_block() makes it, matches and recent (prompt_id, rank, role, content, ts).
 
     Sections come in this order: preamble, for first prompts tools and briefing, ideas, evidence, skills;
     scheduled sessions (cron) get the last two only, and no messages.  Evidence holds
@@ -80,7 +80,7 @@ def built(prompts: DataFrame, preamble: str, tools: str, briefings: DataFrame, i
     parts.append(section(shown.join(told, "user_id"), 3, "Memory Discovery", discovery))
 
     def blocks(rows: DataFrame, name: str, most: int) -> DataFrame:
-        return _joined(rows, "prompt_id", "rank", memory_block(F.col("memory_id"), F.col("store"), F.col("category"), F.col("title"), F.col("content"), F.col("score")), name, most)
+        return _joined(rows, "prompt_id", "rank", F.col("block"), name, most)
 
     counted = hits.where(F.col("kb_id").isNotNull() | F.coalesce(F.col("continuity") != 0, F.lit(True)))
     stamp = F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd HH:mm")

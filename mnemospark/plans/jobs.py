@@ -10,7 +10,7 @@ from mnemospark.functions import text as T
 from mnemospark.operators import assistant, cleanup, context, contradictions, discovery, enrich, ensembles, lifecycle, procedures, pulse, reflection, replay, tuning
 from mnemospark.operators import gates as G
 from mnemospark.operators.clustering import mean_vectors
-from mnemospark.operators.common import sifted, top_per
+from mnemospark.operators.common import latest, sifted, top_per
 from mnemospark.plans.filters import _IDEA, _lit
 from mnemospark.plans.joins import _HASH_TEXT
 from mnemospark.plans.oracle import sql
@@ -355,16 +355,23 @@ def l18(spark, d):
 
     def ranked(rows, n):
         first = top_per(rows.select(*_SHOWN), ["user_id"], n, *best).withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*best)))
-        return p.select("prompt_id", "user_id").join(first, "user_id").withColumnRenamed("strength", "score").withColumn("continuity", F.col("user_id") % 3)
+        # Blocks are made once a memory (a few of each of 20 users), so that no whole text is shuffled with a prompt.
+        block = context.memory_block(*[F.col(c) for c in ("memory_id", "store", "category", "title", "content", "strength")])
+        shown = first.select("user_id", "rank", "memory_id", "store", "kb_id", block.alias("block"))
+        return p.select("prompt_id", "user_id").join(F.broadcast(shown), "user_id").withColumn("continuity", F.col("user_id") % 3)
 
     active = m.where("NOT archived")
     hits = ranked(active.where("strength >= 0.9"), 5).withColumn("kb_id", F.lit(None).cast("string"))
     ideas = m.where("category = 'goal'").select("user_id", F.col("memory_id").alias("rank"), F.col("memory_id").alias("idea_id"), "title", F.col("content").alias("summary"), "confidence", F.col("access_count").alias("sources"))
-    old = msgs.select(F.col("message_id").alias("other_id"), "session_key", "role", "content", "ts")
-    now = msgs.where("role = 'user'").select(F.col("message_id").alias("prompt_id"), "session_key", F.col("ts").alias("now"))
-    before = now.join(old, "session_key").where("ts < now").withColumn("rank", F.row_number().over(Window.partitionBy("prompt_id").orderBy(F.desc("ts"), F.asc("other_id"))))
+    # Of messages of one instant the one of least id is the later; a prompt's own instant doesn't count.
+    old = msgs.select((-F.col("message_id")).alias("other_id"), "session_key", "role", "content", "ts")
+    now = msgs.where("role = 'user'").select(F.col("message_id").alias("prompt_id"), "session_key", (F.col("ts") - 1).alias("now"))
+
+    def before(rows, n):
+        return latest(now, rows, "session_key", n, "prompt_id", "now", "ts", "other_id", ("role", "content")).withColumnRenamed("place", "rank")
+
     briefings = msgs.where("turn_index = 1").select("session_key", F.col("content").alias("briefing"))
-    return context.built(p, "Memory is on.", "Tools: recall, search.", briefings, ideas, hits, before, before.where("role = 'assistant'"), ranked(active.where("store = 'procedural'"), 3))
+    return context.built(p, "Memory is on.", "Tools: recall, search.", briefings, ideas, hits, before(old, context.MATCHES), before(old.where("role = 'assistant'"), 1), ranked(active.where("store = 'procedural'"), 3))
 
 
 _BASE_WEIGHTS = [0.22, 0.2, 0.12, 0.03, 0.13, 0.08, 0.12, 0.1]

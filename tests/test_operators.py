@@ -6,9 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import clustering, compaction, content, contradictions, dedupe, gates, greedy, lifecycle, replay, search, vectorjoin, visibility
+from mnemospark.operators import clustering, compaction, content, context, contradictions, dedupe, gates, greedy, lifecycle, replay, search, vectorjoin, visibility
 from mnemospark.operators import windows as W
-from mnemospark.operators.common import sifted
+from mnemospark.operators.common import latest, sifted
 from mnemospark.plans import jobs
 from mnemospark.sources import files, tables
 
@@ -314,3 +314,28 @@ def test_facts_are_found_once(spark):
     ids = gates.fact_ids(rows, "i", F.col("t"))
     assert "regexp_extract_all" not in ids._jdf.queryExecution().optimizedPlan().toString()
     assert {r.i: (r.amounts, r.negated) for r in ids.collect()} == {1: (1, 0), 2: (None, 1), 3: (1, 0)}
+
+
+def test_latest(spark):
+    """The last rows up to each mark: brute force, with ties, gaps, keys without rows and buckets of few rows."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice((1, 1, 1, 2, None)), rng.choice((None, *range(-5, 60))), f"t{i}") for i in range(300)]
+    marks = [(i, rng.choice((1, 2, 3, None)), rng.choice((None, *range(-9, 70)))) for i in range(80)]
+    r, m = spark.createDataFrame(rows, "id long, k long, ts long, t string"), spark.createDataFrame(marks, "mark long, k long, at long")
+    for most in (1, 3, 20):
+        want = set()
+        for mark, k, at in marks:
+            old = sorted(((ts, i, t) for i, key, ts, t in rows if None not in (k, at, ts) and key == k and ts <= at), reverse=True)[:most]
+            want |= {(mark, at, i, ts, t, n) for n, (ts, i, t) in enumerate(old, 1)}
+        got = [tuple(x) for x in latest(m, r, "k", most, "mark", "at", "ts", "id", ("t",), bucket=7).select("mark", "at", "id", "ts", "t", "place").collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_context_takes_blocks(spark):
+    """Of hits only their blocks go with a prompt, not their texts."""
+    p = spark.createDataFrame([(1, 1, 1, "recall the plan", True, False, 20000, 0.1)], "prompt_id long, session_key long, user_id long, prompt string, first boolean, cron boolean, effective_tokens long, share double")
+    none = {"briefings": "session_key long, briefing string", "ideas": "user_id long, rank long, idea_id long, title string, summary string, confidence double, sources long", "said": "prompt_id long, rank long, role string, content string, ts long"}
+    briefings, ideas, said = (spark.createDataFrame([], c) for c in none.values())
+    hits = spark.createDataFrame([(1, 2, 7, "semantic", "SECOND", None, 1), (1, 1, 8, "semantic", "FIRST", None, 1), (1, 3, 9, "semantic", "THIRD", None, 1)], "prompt_id long, rank long, memory_id long, store string, block string, kb_id string, continuity long")
+    (got,) = context.built(p, "pre", "tools", briefings, ideas, hits, said, said, hits.limit(0)).collect()
+    assert "FIRST\nSECOND\n" in got.text and "THIRD" not in got.text and got.labels == "Preamble|Preamble|Relevant Recall"
