@@ -10,7 +10,7 @@ from mnemospark.functions import text as T
 from mnemospark.operators import assistant, cleanup, context, contradictions, discovery, enrich, ensembles, lifecycle, procedures, pulse, reflection, replay, tuning
 from mnemospark.operators import gates as G
 from mnemospark.operators.clustering import mean_vectors
-from mnemospark.operators.common import latest, sifted, top_per
+from mnemospark.operators.common import checkpoint, latest, sifted, top_per
 from mnemospark.plans.filters import _IDEA, _lit
 from mnemospark.plans.joins import _HASH_TEXT
 from mnemospark.plans.oracle import sql
@@ -591,7 +591,7 @@ def _pulses(spark, d):
     """A pulse at each user's message of turn 2 or later; two users of ten are off."""
     m = t.messages(spark, d)
     p = m.where("role = 'user' AND turn_index >= 2").select(F.col("message_id").alias("pulse_id"), "user_id", "session_key", "ts", F.when(F.col("message_id") % 2 == 0, "recall").alias("intent"), F.col("channel"))
-    return pulse.admitted(p, m.select("user_id").distinct().where("user_id % 5 != 3"))
+    return checkpoint(pulse.admitted(p, m.select("user_id").distinct().where("user_id % 5 != 3")))
 
 
 def _predictions(pulses):
@@ -631,12 +631,12 @@ def i18(spark, d):
         a.ts + CASE place WHEN 0 THEN greatest(1, least(72, a.pulse_id % 100)) ELSE 24 END * {HOUR_MS} AS expires_ms, 'conversation_pulse:' || channel || CASE WHEN intent IS NOT NULL THEN ' [recall]' ELSE '' END || ': ' || CASE WHEN place = 0 AND a.pulse_id % 3 = 0 THEN 'habit' ELSE 'unknown' END AS pattern, coalesce(array_to_string(ids, ','), '') AS memory_ids FROM a LEFT JOIN f USING (pulse_id)"""))
 def i18_traces(spark, d):
     p = _pulses(spark, d).where("status = 'ok'")
-    found = pulse.related(p, t.messages(spark, d), _own_memories(spark, d))
+    found = pulse.matched(p, t.messages(spark, d), _own_memories(spark, d))
     return pulse.predicted(p, _predictions(p), found).withColumn("memory_ids", F.array_join(F.transform("memory_ids", lambda x: x.cast("string")), ","))
 
 
 @query("i18_warm_memories", sql(f"{_PULSES}, w AS (SELECT user_id, arg_max(ids[1:10], (ts, pulse_id)) AS ids, max(ts) AS ts FROM ok JOIN f USING (pulse_id) GROUP BY user_id) SELECT user_id, array_to_string(ids, ',') AS memory_ids, ts + {30 * MINUTE_MS} AS expires_ms FROM w"))
 def i18_warm(spark, d):
     p = _pulses(spark, d).where("status = 'ok'")
-    out = pulse.warmed(p, pulse.related(p, t.messages(spark, d), _own_memories(spark, d)))
+    out = pulse.kept_warm(p, t.messages(spark, d), _own_memories(spark, d))
     return out.withColumn("memory_ids", F.array_join(F.transform("memory_ids", lambda x: x.cast("string")), ","))

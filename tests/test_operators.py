@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import clustering, compaction, content, context, contradictions, dedupe, gates, greedy, lifecycle, replay, search, vectorjoin, visibility
+from mnemospark.operators import clustering, compaction, content, context, contradictions, dedupe, gates, greedy, lifecycle, pulse, replay, search, vectorjoin, visibility
 from mnemospark.operators import windows as W
 from mnemospark.operators.common import latest, sifted
 from mnemospark.plans import jobs
@@ -331,6 +331,19 @@ def test_latest(spark):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_pulses_in_rounds(spark):
+    """More than RELATED memories count, also where the first FIRST have none; what is kept warm comes from the last pulse with a match, however many pulses follow it."""
+    hour = 3_600_000
+    ts = 10 * 24 * hour
+    pulses = spark.createDataFrame([(1, 1, 1, ts), *[(10 + i, 1, 2, ts + 1 + i) for i in range(20)], (50, 2, 3, ts)], "pulse_id long, user_id long, session_key long, ts long")
+    messages = spark.createDataFrame([(1, 1, "user", "about apples", ts), (2, 2, "user", "nothing here", ts), (3, 3, "user", "so", ts)], "message_id long, session_key long, role string, content string, ts long")
+    memories = spark.createDataFrame([(i, 1, i == 3, ts - i * 60_000, f"t{i}", "pineapples" if i == 2 or i >= 60 else "pears", ["a", f"b{i}"]) for i in range(120)], "memory_id long, user_id long, archived boolean, created_ms long, title string, content string, tags array<string>")
+    found = {r.pulse_id: r for r in pulse.related(pulses, messages, memories).collect()}
+    assert found[1].memory_ids == [2, *range(60, 74)] and found[1].topics == ["a", "b2", "b60", "b61", "b62", "b63"] and found[1].summary == "user: about apples"
+    assert len(found) == 22 and found[50].memory_ids == [] and found[10].memory_ids == []
+    assert [tuple(r) for r in pulse.kept_warm(pulses, messages, memories).collect()] == [(1, [2, *range(60, 69)], ts + pulse.WARM_MS)]
+
+
 def test_context_takes_blocks(spark):
     """Of hits only their blocks go with a prompt, not their texts."""
     p = spark.createDataFrame([(1, 1, 1, "recall the plan", True, False, 20000, 0.1)], "prompt_id long, session_key long, user_id long, prompt string, first boolean, cron boolean, effective_tokens long, share double")
