@@ -11,12 +11,12 @@ from mnemospark.llm._shared import checkpoint
 def _large(e: DataFrame) -> DataFrame:
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    on = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    on = e.join(least.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return on.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -26,12 +26,15 @@ def components(edges: DataFrame) -> DataFrame:
     Both steps only use the least neighbour of a node (pre-aggregated) and joins, so
     no neighbourhood is ever gathered; the number of rounds grows with the logarithm
     of the longest path.  Nodes without another have no row.
+
+    For the driver's memory each step is a query of its own (in one, the first would be
+    planned three times over), and joins merge: broadcasts are built on the driver.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
     e = checkpoint(e)
     state = None
     while True:
-        e = checkpoint(_small(_large(e)))
+        e = checkpoint(_small(checkpoint(_large(e))))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

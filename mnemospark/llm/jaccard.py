@@ -205,18 +205,21 @@ def _may_link_wide(n1, wide1, n2, wide2, percent: int):
 
 
 def _links(scratch: Scratch, docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b, long) that link.  Pivots with many partners are split into runs of about FAN."""
-    x, y = (classes.select(F.col("rep").alias(c), F.struct("n", "map").alias(f"of_{c}")) for c in ("a", "b"))
+    """Those of the distinct pairs (a, b, long) that link.  Pivots with many partners are split into runs of about FAN.
+
+    What several queries read is stored, and joins merge: plans stay small, and nothing is broadcast, which the driver would hold.
+    """
+    x, y = (classes.select(F.col("rep").alias(c), F.struct("n", "map").alias(f"of_{c}")).hint("merge") for c in ("a", "b"))
     pairs = pairs.join(x, "a").join(y, "b").where(_may_link(F.col("of_a.n"), F.col("of_a.map"), F.col("of_b.n"), F.col("of_b.map"), percent)).select("a", "b", "long")
     # Only pairs of two long sets look up the wide maps.
-    x, y = (classes.where(F.col("n") > WIDE).select(F.col("rep").alias(c), F.struct("n", "wide").alias(f"of_{c}")) for c in ("a", "b"))
+    x, y = (classes.where(F.col("n") > WIDE).select(F.col("rep").alias(c), F.struct("n", "wide").alias(f"of_{c}")).hint("merge") for c in ("a", "b"))
     pairs = scratch.stored(pairs, "pairs")
     far = pairs.where("long").join(x, "a").join(y, "b").where(_may_link_wide(F.col("of_a.n"), F.col("of_a.wide"), F.col("of_b.n"), F.col("of_b.wide"), percent))
-    pairs = pairs.where("NOT long").select("a", "b").union(far.select("a", "b"))
+    pairs = scratch.stored(pairs.where("NOT long").select("a", "b").union(far.select("a", "b")), "fitting")
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("runs"))
-    members = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("salt"), F.col("b").alias("id"))
+    members = pairs.join(fan.hint("merge"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("salt"), F.col("b").alias("id"))
     pivots = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("salt"), F.col("a").alias("id"))
-    needs = members.union(pivots)
+    needs = scratch.stored(members.union(pivots), "needs")
     rows = held(docs.where("id IS NOT NULL"), bitmap(needs, F.col("id")), F.col("id")).join(needs, "id").select("a", "salt", "id", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("id") != F.col("a"), "id")
     return scratch.stored(rows.mapInArrow(_verify(size, percent), "u long, v long").distinct(), "links")
@@ -224,7 +227,7 @@ def _links(scratch: Scratch, docs: DataFrame, pairs: DataFrame, classes: DataFra
 
 def _labelled(classes: DataFrame, labels: DataFrame) -> DataFrame:
     """classes with the component that each belongs to so far."""
-    return classes.join(labels, classes["rep"] == labels["node"], "left").select(*classes.columns, F.coalesce("component", "rep").alias("label"))
+    return classes.join(labels.hint("merge"), classes["rep"] == labels["node"], "left").select(*classes.columns, F.coalesce("component", "rep").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,10 +295,11 @@ def _near_duplicates(scratch: Scratch, every: DataFrame, size: int, percent: int
     # What is left: lists whose groups are not all connected.
     labelled = scratch.stored(_labelled(classes.select("gid", "rep", "n", "small"), labels), "labels")
     spread = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count(F.lit(1)) == 1).alias("alone"))
-    rows = shared.select("h", "gid", "n", "i").join(spread, "gid").withColumn("own", F.when(F.col("lo") == F.col("hi"), F.col("lo")))
+    rows = shared.select("h", "gid", "n", "i").join(spread.hint("merge"), "gid").withColumn("own", F.when(F.col("lo") == F.col("hi"), F.col("lo")))
     major = rows.groupBy("h", "own").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.when(F.col("own").isNotNull(), F.struct("c", "own")))["own"].alias("major"), F.count(F.lit(1)).alias("parts"), F.max(F.col("own").isNull()).alias("mixed"))
-    rows = rows.join(major.where("parts > 1 OR mixed"), "h").withColumn("main", F.coalesce(F.col("own") == F.col("major"), F.lit(False)))
-    rows = rows.join(classes.where("rep = gid").select("gid", "map"), "gid")
+    rows = rows.join(major.where("parts > 1 OR mixed").hint("merge"), "h").withColumn("main", F.coalesce(F.col("own") == F.col("major"), F.lit(False)))
+    rows = scratch.stored(rows.select("h", "gid", "n", "i", "alone", "own", "main"), "open")
+    rows = rows.join(classes.where("rep = gid").select("gid", "map").hint("merge"), "gid")
     x, y = rows.where("NOT main").alias("x"), rows.alias("y")
     ordered = F.col("y.main") | (F.col("x.gid") < F.col("y.gid"))
     same = F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False))
@@ -311,13 +315,13 @@ def _near_duplicates(scratch: Scratch, every: DataFrame, size: int, percent: int
     rest = rest.select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b"), "long").distinct()
     more = _links(scratch, every, rest, classes, size, percent)
 
-    own = used.join(classes.select("n", "head", "whole", "rep"), ["n", "head", "whole"]).select("id", "rep", "n")
+    own = scratch.stored(used.join(classes.select("n", "head", "whole", "rep").hint("merge"), ["n", "head", "whole"]).select("id", "rep", "n"), "own")
     # An id with several texts connects their classes.
     several = own.groupBy("id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v != w").select("id", "v")
-    bridges = own.join(several, "id").select(F.col("rep").alias("u"), "v")
+    bridges = own.join(several.hint("merge"), "id").select(F.col("rep").alias("u"), "v")
     final = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more).union(bridges))
-    found = own.select("id", "rep").distinct().join(final, F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("c"))
-    out = facts.select("id", "n").join(found, "id", "left")
+    found = own.select("id", "rep").distinct().join(final.hint("merge"), F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("c"))
+    out = facts.select("id", "n").join(found.hint("merge"), "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
 
 

@@ -1,6 +1,7 @@
 """The pipeline over the small tables: each stage keeps what it must; nulls, repeats and empty tables pass through."""
 
 import corpus_pipeline
+from mnemospark.llm import components
 
 
 def test_pipeline(spark, sf_dir):
@@ -38,3 +39,15 @@ def test_stages_of_odd_rows(spark, sf_dir):
     none = rows.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf_dir).count() == 0
+
+
+def test_components_build_no_broadcast(spark, capsys):
+    """Small edges are merged too: each broadcast, at worst four of a step, is built and held on the driver."""
+    edges = spark.createDataFrame([(2, 1), (3, 2), (5, 4)], "u long, v long")
+    for step, expected in ((components._large, {(2, 1), (3, 1), (5, 4)}), (components._small, {(2, 1), (3, 2), (5, 4)})):
+        out = step(edges)
+        assert {tuple(r) for r in out.collect()} == expected
+        capsys.readouterr()
+        out.explain()
+        said = capsys.readouterr().out
+        assert "SortMergeJoin" in said and "Broadcast" not in said
